@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from runloom.llm import chat, decontaminate, sharding, url_filter
+from runloom.llm import chat, decontaminate, neardup, sharding, substring, url_filter
 
 
 def queries() -> dict:
@@ -10,7 +10,9 @@ def queries() -> dict:
         "op1_sharding": sharding.op1_sharding,
         "op4_decontamination": decontaminate.op4_decontamination,
         "op5_url_filters": url_filter.op5_url_filters,
+        "op6_minhash_near_dedup": neardup.op6_minhash_near_dedup,
         "op7_chat_formatting": chat.op7_chat_formatting,
+        "op9_substring_dedup": substring.op9_substring_dedup,
     }
 
 
@@ -19,4 +21,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_decontamination": decontaminate.OP4_SQL,
         "op5_url_filters": url_filter.OP5_SQL,
         "op7_chat_formatting": chat.OP7_SQL,
+        "op9_substring_dedup": substring.OP9_SQL,
     }
