@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from runloom.llm import chat, decontaminate, neardup, sharding, substring, url_filter
+from runloom.llm import chat, decontaminate, neardup, scoring, sharding, substring, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_sharding": sharding.op1_sharding,
+        "op2_lm_scoring": scoring.op2_lm_scoring,
         "op4_decontamination": decontaminate.op4_decontamination,
         "op5_url_filters": url_filter.op5_url_filters,
         "op6_minhash_near_dedup": neardup.op6_minhash_near_dedup,
