@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from runloom.llm import chat, decontaminate, neardup, scoring, sharding, substring, url_filter
+import corpus_pipeline
+from runloom.llm import chat, decontaminate, language, media, neardup, pieces, scoring, sharding, substring, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_sharding": sharding.op1_sharding,
         "op2_lm_scoring": scoring.op2_lm_scoring,
+        "op3_language_id": language.op3_language_id,
         "op4_decontamination": decontaminate.op4_decontamination,
         "op5_url_filters": url_filter.op5_url_filters,
         "op6_minhash_near_dedup": neardup.op6_minhash_near_dedup,
         "op7_chat_formatting": chat.op7_chat_formatting,
+        "op8_sentencepiece": pieces.op8_sentencepiece,
         "op9_substring_dedup": substring.op9_substring_dedup,
+        "op10_media_columns": media.op10_media_columns,
+        "pipeline": corpus_pipeline.run,
     }
 
 
