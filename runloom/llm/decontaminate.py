@@ -8,19 +8,24 @@ from pyspark.sql import functions as F
 from runloom.llm.base import broadcast_if_small, table, written
 
 WINDOW = 13
-#: Words of a text in either case: runs of what is neither an ASCII letter or digit's complement below U+0080.
-_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between words: ASCII characters other than letters and digits.
+_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def _split(text: Column) -> Column:
+    """Words by their gaps: several times as fast as to match each word."""
+    return F.array_remove(F.split(text, _GAP), "")
+
+
 def _words(text: Column) -> Column:
     """Exact words: only A-Z are lower-cased."""
-    return F.regexp_extract_all(F.translate(text, _UPPER, _LOWER), F.lit(_WORD), F.lit(0))
+    return _split(F.translate(text, _UPPER, _LOWER))
 
 
 def _folded(text: Column) -> Column:
     """The same words with every letter lower-cased: equal exact words have equal folded ones, and this is much faster."""
-    return F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0))
+    return _split(F.lower(text))
 
 
 def benchmark_windows(items: DataFrame, *, item: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -53,16 +58,17 @@ def contamination(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", tex
     prefix = written(at.groupBy("words").agg(F.min(F.struct("_n", "_word", "_p")).alias("_r"), F.first("items").alias("items")).select("words", "items", "_r._word", "_r._p"), "prefix")
 
     ids = [F.col(key).alias("_key"), F.xxhash64(text).alias("_h")]
-    places = docs.select(*ids, _folded(F.col(text)).alias("_w")).select("_key", "_h", F.size("_w").alias("_size"), F.posexplode("_w").alias("_at", "_word"))
+    places = docs.select(*ids, F.posexplode(_folded(F.col(text))).alias("_at", "_word"))
     found = places.join(broadcast_if_small(prefix, 16 << 20), "_word").withColumn("_start", F.col("_at") - F.col("_p"))
-    found = found.where((F.col("_start") >= 0) & (F.col("_start") + F.size("words") <= F.col("_size")))
+    found = found.where(F.col("_start") >= 0)
     found = found.groupBy("_key", "_h").agg(F.collect_set(F.struct("_start", "words", "items")).alias("_found"))
     found = found.select(F.col("_key").alias("_k2"), F.col("_h").alias("_h2"), "_found")
 
     both = docs.select(*ids, F.col(text).alias("_text")).hint("merge").join(found, F.col("_key").eqNullSafe(F.col("_k2")) & (F.col("_h") == F.col("_h2")), "left")
-    both = both.select("_key", F.coalesce(F.regexp_count("_text", F.lit(_WORD)), F.lit(0)).cast("long").alias("n_words"), F.when(F.col("_found").isNotNull(), _words(F.col("_text"))).alias("_w"), "_found")
-    hits = F.coalesce(F.filter("_found", lambda c: F.slice("_w", c["_start"] + 1, F.size(c["words"])) == c["words"]), F.array().cast(found.schema["_found"].dataType))
-    both = both.select("_key", "n_words", hits.alias("_hits"))
+    # bound to a lambda's variable, the words are made once for a document, not once for each candidate
+    match = F.element_at(F.transform(F.array(_words(F.col("_text"))), lambda w: F.filter("_found", lambda c: (c["_start"] + F.size(c["words"]) <= F.size(w)) & (F.slice(w, c["_start"] + 1, F.size(c["words"])) == c["words"]))), 1)
+    hits = F.when(F.col("_found").isNotNull(), match).otherwise(F.array().cast(found.schema["_found"].dataType))
+    both = both.select("_key", F.coalesce(F.size(_split(F.col("_text"))), F.lit(0)).cast("long").alias("n_words"), hits.alias("_hits"))
     covered = F.array_distinct(F.flatten(F.transform("_hits", lambda c: F.sequence(c["_start"], c["_start"] + F.size(c["words"]) - 1))))
     both = both.select("_key", "n_words", F.size(covered).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.transform("_hits", lambda c: c["items"])))).alias("items"))
     return both.select(F.col("_key").alias(key), "n_words", "n_hit", "items", ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))

@@ -29,9 +29,11 @@ class WordLattice:
         w = np.exp(np.array([w for _, w in opening + others] + [vocabulary.byte_weight]))
         self.stop = 0.4
         self.set(w)
-        keys = np.array([self._hash_one(p) for p in self.names[:-1]], dtype=np.uint64)
-        self.order = np.argsort(keys)
-        self.keys = keys[self.order]
+        # all beginnings of pieces by hash, with the piece that each is, or -1
+        table = {p[:k]: -1 for p in self.names[:-1] for k in range(1, len(p))} | {p: i for i, p in enumerate(self.names[:-1])}
+        keys = np.array([self._hash_one(p) for p in table], dtype=np.uint64)
+        order = np.argsort(keys)
+        self.keys, self.piece = keys[order], np.array(list(table.values()))[order]
         self.lone = self.names.index(SPACE)
 
     def set(self, weights: np.ndarray, floor: float = 0.0) -> None:
@@ -45,16 +47,7 @@ class WordLattice:
         h = 0
         for c in p:
             h = (h * int(_BASE) + ord(c) + 1) % (1 << 64)
-        return int(mix(np.array([h + len(p)], dtype=np.uint64) * np.uint64(2) + np.uint64(1))[0])
-
-    def _edges(self, codes: np.ndarray, i: int, j: int) -> np.ndarray:
-        """The piece from i to j of each word, -1 where there is none."""
-        h = np.zeros(len(codes), dtype=np.uint64)
-        for k in range(i, j):
-            h = h * _BASE + (codes[:, k] + np.uint64(1))
-        h = mix((h + np.uint64(j - i)) * np.uint64(2) + np.uint64(1))
-        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        return np.where(self.keys[at] == h, self.order[at], -1)
+        return int(mix(np.array([h], dtype=np.uint64))[0])
 
     def run(self, words: list[str], weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None, tuple[float, float]]:
         """Natural log P of each word; with weights, also the expected count of each piece, and of pieces and of words."""
@@ -84,23 +77,30 @@ class WordLattice:
         alpha = np.full((n + 1, len(words)), -np.inf)
         alpha[0] = 0
         edges = []
-        for j in range(1, n + 1):
-            for i in range(max(0, j - self.longest), j):
-                e = self._edges(codes, i, j)
+        for i in range(n):
+            on = np.flatnonzero(alpha[i] > -np.inf)
+            h = np.zeros(len(on), dtype=np.uint64)
+            leave = go if i > 1 else 0.0  # after a lone ▁ the word can't stop
+            for j in range(i + 1, min(i + self.longest, n) + 1):
+                h = h * _BASE + (codes[on, j - 1] + np.uint64(1))
+                x = mix(h)
+                at = np.minimum(np.searchsorted(self.keys, x), len(self.keys) - 1)
+                alive = self.keys[at] == x
+                own = np.where(alive, self.piece[at], -1)
                 if i and j == i + 1:
-                    e = np.where(e < 0, escape, e)
-                on = np.flatnonzero(e >= 0)
+                    own = np.where(own < 0, escape, own)
+                is_edge = own >= 0
+                k, own = on[is_edge], own[is_edge]
+                if len(k):
+                    w = self.lp[own] + leave
+                    if i and j == i + 1:
+                        w = w - np.where(own == escape, size[k, i], 0.0)
+                    alpha[j, k] = np.logaddexp(alpha[j, k], alpha[i, k] + w)
+                    if c is not None:
+                        edges.append((i, j, k, own, w))
+                on, h = on[alive], h[alive]
                 if not len(on):
-                    continue
-                own = e[on]
-                w = self.lp[own] + (go if i > 1 else 0.0)
-                if i == 1:  # after a lone ▁ the word can't stop
-                    w = w.copy()
-                if i and j == i + 1:
-                    w = w - np.where(own == escape, size[on, i], 0.0)
-                alpha[j, on] = np.logaddexp(alpha[j, on], alpha[i, on] + w)
-                if c is not None:
-                    edges.append((i, j, on, own, w))
+                    break
         z = alpha[n] + end
         if c is None:
             return z, 0.0

@@ -23,6 +23,22 @@ _CUT = re.compile(f"(?<=[^{SPACE}]){SPACE}")
 _NONE = -(1 << 60)
 
 
+class _Units(dict):
+    """The ids of each unit, kept up to a bound."""
+
+    def __init__(self, codec: Codec, most: int):
+        self.codec, self.most = codec, most
+
+    def __missing__(self, u: str) -> bytes:
+        _, back = self.codec.paths(u, 0, len(u))
+        got = self.codec.ids_between(u, back, 0, len(u))
+        if len(self) >= self.most:
+            self.clear()
+        if len(u) <= 64:
+            self[u] = got
+        return got
+
+
 class Codec:
     """The best segmentation of a text into pieces by the sum of their weights, and back.
 
@@ -33,8 +49,8 @@ class Codec:
     segmentation is remembered for at most `most` units.
     """
 
-    def __init__(self, vocabulary: Vocabulary, most: int = 200_000):
-        self.most, self.memo = most, {}
+    def __init__(self, vocabulary: Vocabulary, most: int = 300_000):
+        self.memo = _Units(self, most)
         self.score = {}
         self.id = {}
         for i, w in vocabulary.weights.items():
@@ -42,7 +58,12 @@ class Codec:
             if SPACE not in p.lstrip(SPACE) and not (p.startswith(SPACE * 2) and p.strip(SPACE)):
                 self.id[p], self.score[p] = i, round(w * 65536)
         self.longest = max(map(len, self.id))
-        self.starts = {p[:k] for p in self.id for k in range(1, len(p))}
+        self.trie: dict = {}  # at 0 the score of the piece that ends there
+        for p, w in self.score.items():
+            node = self.trie
+            for ch in p:
+                node = node.setdefault(ch, {})
+            node[0] = w
         self.bytes, self.byte_score = vocabulary.byte_ids, round(vocabulary.byte_weight * 65536)
         self.weights = np.full(len(vocabulary.pieces), self.byte_score, dtype=np.int64)
         for p, i in self.id.items():
@@ -58,22 +79,21 @@ class Codec:
         n = len(s)
         best, back = [_NONE] * (n + 1), [-1] * (n + 1)
         best[start] = 0
-        score, starts, longest = self.score, self.starts, self.longest
+        trie = self.trie
         for i in range(start, min(limit, n)):
             a = best[i]
             if a == _NONE:
                 continue
-            one = False
-            for j in range(i + 1, min(i + longest, n) + 1):
-                p = s[i:j]
-                w = score.get(p)
-                if w is not None:
-                    one |= j == i + 1
-                    if a + w > best[j]:
-                        best[j], back[j] = a + w, i
-                if p not in starts:
+            node, j = trie, i
+            while j < n:
+                node = node.get(s[j])
+                if node is None:
                     break
-            if not one:
+                j += 1
+                w = node.get(0)
+                if w is not None and a + w > best[j]:
+                    best[j], back[j] = a + w, i
+            if s[i] not in self.score:
                 w = a + self.byte_score * len(self._raw(s[i]))
                 if w > best[i + 1]:
                     best[i + 1], back[i + 1] = w, i
@@ -89,23 +109,12 @@ class Codec:
             out += [i] if i is not None else [self.bytes[x] for x in self._raw(s[a])]
         return np.array(out, dtype=np.uint16).tobytes()
 
-    def unit(self, u: str) -> bytes:
-        got = self.memo.get(u)
-        if got is None:
-            _, back = self.paths(u, 0, len(u))
-            got = self.ids_between(u, back, 0, len(u))
-            if len(self.memo) >= self.most:
-                self.memo.clear()
-            if len(u) <= 64:
-                self.memo[u] = got
-        return got
-
     def encode(self, text: str) -> bytes:
         """Ids of 16 bits each; none for an empty text."""
         return self._units(prepared(" " + text)) if text else b""
 
     def _units(self, s: str) -> bytes:
-        return b"".join(map(self.unit, _UNITS.findall(s)))
+        return b"".join(map(self.memo.__getitem__, _UNITS.findall(s)))
 
     def decode(self, ids: bytes) -> bytes:
         out = b"".join(map(self.text.__getitem__, np.frombuffer(ids, dtype=np.uint16).tolist()))
