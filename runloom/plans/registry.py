@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+FAMILIES = ("runs", "events", "grading", "text")
+
 
 def queries() -> dict:
-    return {}
+    return {k: v for f in FAMILIES for k, v in import_module(f"runloom.plans.{f}").QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for f in FAMILIES for k, v in import_module(f"runloom.plans.{f}").SQL.items()}
