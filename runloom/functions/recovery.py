@@ -8,6 +8,7 @@ import shlex
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _STRING = re.compile(r'"(?:[^"\\]|\\.)*"')
 
@@ -60,14 +61,14 @@ def recovered(text: str | None) -> dict:
     return {"truncated": True, "info": info, "messages": messages}
 
 
-@F.pandas_udf("truncated boolean, info string, messages array<string>")
+@F.pandas_udf(T.StructType().add("truncated", T.BooleanType()).add("info", T.StringType()).add("messages", T.ArrayType(T.StringType())))
 def recover_json(text: pd.Series) -> pd.DataFrame:
     """recovered(), with info and each message as JSON text."""
     out = [recovered(t) for t in text]
     return pd.DataFrame({"truncated": [o["truncated"] for o in out], "info": [json.dumps(o["info"]) if o["info"] is not None else None for o in out], "messages": [[json.dumps(m) for m in o["messages"]] for o in out]})
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def sorted_json(text: pd.Series) -> pd.Series:
     """JSON text with sorted keys; what isn't JSON stays."""
 
@@ -80,7 +81,7 @@ def sorted_json(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def shell_words(command: pd.Series) -> pd.Series:
     """Words of a command as a shell splits them; at white space where quotes don't match."""
 
@@ -120,7 +121,7 @@ def locate(quote: str, text: str) -> tuple[int, int, bool] | None:
     return (places[at], places[at + len(q) - 1] + 1, False) if at >= 0 else None
 
 
-@F.pandas_udf("start int, stop int, exact boolean")
+@F.pandas_udf(T.StructType().add("start", T.IntegerType()).add("stop", T.IntegerType()).add("exact", T.BooleanType()))
 def locate_quote(quote: pd.Series, text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([locate(q, t) or (None, None, None) for q, t in zip(quote, text, strict=True)], columns=["start", "stop", "exact"]).astype({"start": "Int32", "stop": "Int32", "exact": "boolean"})
 
