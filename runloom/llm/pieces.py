@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +30,7 @@ class _Units(dict):
         self.codec, self.most = codec, most
 
     def __missing__(self, u: str) -> bytes:
-        _, back = self.codec.paths(u, 0, len(u))
-        got = self.codec.ids_between(u, back, 0, len(u))
+        got = self.codec.ids_between(u, self.codec.paths(u, 0, len(u)), 0, len(u))
         if len(self) >= self.most:
             self.clear()
         if len(u) <= 64:
@@ -49,7 +48,7 @@ class Codec:
     segmentation is remembered for at most `most` units.
     """
 
-    def __init__(self, vocabulary: Vocabulary, most: int = 300_000):
+    def __init__(self, vocabulary: Vocabulary, most: int = 400_000):
         self.memo = _Units(self, most)
         self.score = {}
         self.id = {}
@@ -58,12 +57,12 @@ class Codec:
             if SPACE not in p.lstrip(SPACE) and not (p.startswith(SPACE * 2) and p.strip(SPACE)):
                 self.id[p], self.score[p] = i, round(w * 65536)
         self.longest = max(map(len, self.id))
-        self.trie: dict = {}  # at 0 the score of the piece that ends there
+        self.trie: dict = {}  # by character: what may follow, and the score and id of the piece that ends there
         for p, w in self.score.items():
             node = self.trie
-            for ch in p:
-                node = node.setdefault(ch, {})
-            node[0] = w
+            for ch in p[:-1]:
+                node = node.setdefault(ch, [{}, None, -1])[0]
+            node.setdefault(p[-1], [{}, None, -1])[1:] = [w, self.id[p]]
         self.bytes, self.byte_score = vocabulary.byte_ids, round(vocabulary.byte_weight * 65536)
         self.weights = np.full(len(vocabulary.pieces), self.byte_score, dtype=np.int64)
         for p, i in self.id.items():
@@ -75,39 +74,42 @@ class Codec:
         return SPACE.encode() if ch == _LITERAL else ch.encode("utf-8")
 
     def paths(self, s: str, start: int, limit: int):
-        """From start: the best score of a path to each place, and the place before; pieces begin before limit."""
+        """From start: the best score of a path to each place, the place before, and the piece between (-1: bytes); pieces begin before limit."""
         n = len(s)
-        best, back = [_NONE] * (n + 1), [-1] * (n + 1)
+        best, back, piece = [_NONE] * (n + 1), [-1] * (n + 1), [-1] * (n + 1)
         best[start] = 0
-        trie = self.trie
+        trie, longest = self.trie, self.longest
         for i in range(start, min(limit, n)):
             a = best[i]
             if a == _NONE:
                 continue
             node, j = trie, i
-            while j < n:
-                node = node.get(s[j])
-                if node is None:
+            for ch in s[i : i + longest]:
+                got = node.get(ch)
+                if got is None:
                     break
                 j += 1
-                w = node.get(0)
+                node, w, x = got
                 if w is not None and a + w > best[j]:
-                    best[j], back[j] = a + w, i
+                    best[j], back[j], piece[j] = a + w, i, x
             if s[i] not in self.score:
                 w = a + self.byte_score * len(self._raw(s[i]))
                 if w > best[i + 1]:
-                    best[i + 1], back[i + 1] = w, i
-        return best, back
+                    best[i + 1], back[i + 1], piece[i + 1] = w, i, -1
+        return best, back, piece
 
-    def ids_between(self, s: str, back: list[int], start: int, end: int) -> bytes:
-        cuts = [end]
-        while cuts[-1] > start:
-            cuts.append(back[cuts[-1]])
+    def ids_between(self, s: str, path: tuple, start: int, end: int) -> bytes:
+        _, back, piece = path
         out: list[int] = []
-        for a, b in zip(cuts[::-1], cuts[-2::-1], strict=False):
-            i = self.id.get(s[a:b])
-            out += [i] if i is not None else [self.bytes[x] for x in self._raw(s[a])]
-        return np.array(out, dtype=np.uint16).tobytes()
+        while end > start:
+            at = back[end]
+            if piece[end] >= 0:
+                out.append(piece[end])
+            else:
+                out += [self.bytes[x] for x in reversed(self._raw(s[at]))]
+            end = at
+        out.reverse()
+        return array("H", out).tobytes()
 
     def encode(self, text: str) -> bytes:
         """Ids of 16 bits each; none for an empty text."""
@@ -156,10 +158,10 @@ class Codec:
         end = size + j
         cuts = self._cuts(s, size)
         if not cuts or cuts[0] < i:
-            return self.ids_between(s, self.paths(s, i, size)[1], i, end)
+            return self.ids_between(s, self.paths(s, i, size), i, end)
         first, last = cuts
-        head = self.ids_between(s, self.paths(s[:first], i, first)[1], i, first)
-        tail = self.ids_between(s[last:], self.paths(s[last:], 0, size - last)[1], 0, end - last)
+        head = self.ids_between(s, self.paths(s[:first], i, first), i, first)
+        tail = self.ids_between(s[last:], self.paths(s[last:], 0, size - last), 0, end - last)
         return head + self._units(s[first:last]) + tail
 
 
