@@ -117,7 +117,7 @@ def _scored(head):
     return run
 
 
-def lm_scores(docs: DataFrame, held_out, *, key: str = "doc_id", text: str = "text", vocabulary: str = PATH, rounds: int = 1, head: int = HEAD) -> DataFrame:
+def lm_scores(docs: DataFrame, held_out, *, key: str = "doc_id", text: str = "text", vocabulary: str = PATH, rounds: int = 2, head: int = HEAD) -> DataFrame:
     """One row for each document: key, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are words (A-Z lower-cased, split at ASCII white space) and an end. The model is
