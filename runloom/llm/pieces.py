@@ -187,9 +187,21 @@ def states(matrices: list[np.ndarray]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+_CODECS: dict[tuple, Codec] = {}
+
+
+def _codec(vocabulary: Vocabulary) -> Codec:
+    """One codec for all tasks of a worker, so units that one task met needn't be segmented again by the next."""
+    key = (tuple(vocabulary.pieces), vocabulary.byte_weight)
+    if key not in _CODECS:
+        _CODECS.clear()
+        _CODECS[key] = Codec(vocabulary)
+    return _CODECS[key]
+
+
 def _encoded(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model.value)
+        codec = _codec(model.value)
         for rows, texts in text_runs(batches, 0, 1 << 20):
             ids = [codec.encode(t.decode("utf-8")) for t in texts]
             yield pa.RecordBatch.from_arrays([*rows.columns[1:], pa.array(ids, pa.binary()), pa.array([codec.total(x) for x in ids], pa.int64())], names=[*rows.schema.names[1:], "_ids", "_total"])
@@ -199,7 +211,7 @@ def _encoded(model):
 
 def _matrices(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model.value)
+        codec = _codec(model.value)
         for rows, texts in text_runs(batches, 3, 1 << 20):
             m = [codec.transfer(prepared(t.decode("utf-8")), n).tobytes() for t, n in zip(texts, rows.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(m, pa.binary())], names=["row", "k", "m"])
@@ -217,7 +229,7 @@ def _scan(t: pa.Table) -> pa.Table:
 
 def _traced(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model.value)
+        codec = _codec(model.value)
         for rows, texts in text_runs(batches, 3, 1 << 20):
             ids = [codec.between(prepared(t.decode("utf-8")), n, i, j) for t, n, i, j in zip(texts, *(rows.column(c).to_pylist() for c in (2, 4, 5)), strict=True)]
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(ids, pa.binary()), pa.array([codec.total(x) for x in ids], pa.int64())], names=["row", "k", "_ids", "_total"])
@@ -271,7 +283,7 @@ def encode(docs: DataFrame, *, key: str = "doc_id", text: str = "text", keep: tu
 
 def _decoded(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model.value)
+        codec = _codec(model.value)
         for rows, ids in text_runs(batches, 0, 1 << 20):
             col = rows.column(0)
             texts = pa.array([codec.decode(x) if ok else None for x, ok in zip(ids, col.is_valid().to_pylist(), strict=True)], pa.binary())
