@@ -109,7 +109,7 @@ def minor_version(c: Column) -> Column:
 
 def commands(c: Column) -> Column:
     """Fragments of a shell line."""
-    return F.filter(F.transform(F.split(c, r"&&|\|\||;|\n"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, r"&&|\|\||;|\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def command_kind(c: Column) -> Column:
