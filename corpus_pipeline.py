@@ -18,7 +18,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def language_id(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language was recognised; those without a letter go. Labels of `documents` are learned from, never used to predict."""
-    found = language.detect(docs, language.training_rows(docs), keep={c: F.col(c) for c in COLUMNS[1:]})
+    found = language.detect(docs, language.training_rows(docs), keep={c: F.col(c) for c in COLUMNS[2:]}, keep_text=True)
     return found.where(F.col("lang_pred") != language.UNKNOWN).select(*COLUMNS)
 
 

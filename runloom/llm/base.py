@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,38 @@ def text_runs(batches: Iterator[pa.RecordBatch], text: int, most: int = 2 << 20)
         cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), n]
         for a, b in zip(cuts, cuts[1:], strict=False):
             yield batch.slice(a, b - a), [x or b"" for x in col.slice(a, b - a).to_pylist()]
+    _give_back()
+
+
+def _give_back() -> None:
+    """Hands freed memory to the system: workers outlive their tasks, and idle ones would keep their peak."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
+_HELD: dict = {}
+
+
+def held(key: tuple, make: Callable):
+    """What make() gives, kept for the later tasks of this worker until a task asks for something else: one model at a time."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def small_batches(df: DataFrame, rows: int = 2000, most: int = 8 << 20) -> DataFrame:
+    """df; its session sends batches of at most so many rows and about so many bytes to Python, or of what was set if that is less."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, rows + 1):
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    now = df.sparkSession._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    if not 0 < now <= most:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
+    return df
 
 
 def mix(x: np.ndarray) -> np.ndarray:

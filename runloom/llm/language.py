@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runloom.llm.base import table, text_runs
+from runloom.llm.base import held, small_batches, table, text_runs
 from runloom.llm.scoring import crc_fold
 
 #: Bounds of the labelled sample: documents of a language, characters of each, characters of all languages.
@@ -106,21 +106,14 @@ class CrossParser:
         return best, score
 
 
-_PARSERS: dict = {}
-
-
-def _predicted(model):
+def _predicted(model, drop: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         samples = model.value
-        key = tuple(sorted(samples.items()))
-        if key not in _PARSERS:  # a worker serves many tasks
-            _PARSERS.clear()
-            _PARSERS[key] = CrossParser(samples)
-        parser = _PARSERS[key]
+        parser = held(("language", *sorted(samples.items())), lambda: CrossParser(samples))
         for rows, texts in text_runs(batches, 0):
             best, score = parser.of([t.decode("utf-8", "replace") for t in texts])
             langs = [parser.langs[i] if i >= 0 else UNKNOWN for i in best.tolist()]
-            yield pa.RecordBatch.from_arrays([*rows.columns[1:], pa.array(langs, pa.string()), pa.array(score)], names=[*rows.schema.names[1:], "_lang", "_score"])
+            yield pa.RecordBatch.from_arrays([*rows.columns[drop:], pa.array(langs, pa.string()), pa.array(score)], names=[*rows.schema.names[drop:], "_lang", "_score"])
 
     return run
 
@@ -149,8 +142,8 @@ def labelled_sample(rows: DataFrame) -> dict[str, str]:
     return {k: f" {' '.join(v)} "[:share] for k, v in out.items() if any(v)}
 
 
-def detect(docs: DataFrame, training: DataFrame, *, key: str = "doc_id", text: str = "text", keep: dict | None = None) -> DataFrame:
-    """One row for each document: key, keep's columns (name: expression), lang_pred, score.
+def detect(docs: DataFrame, training: DataFrame, *, key: str = "doc_id", text: str = "text", keep: dict | None = None, keep_text: bool = False) -> DataFrame:
+    """One row for each document: key, with keep_text the text, keep's columns (name: expression), lang_pred, score.
 
     training has the columns id, text and lang; rows with a null text or lang are left out.
     Each language's sample becomes a suffix automaton. A document's words (runs of letters in
@@ -163,11 +156,12 @@ def detect(docs: DataFrame, training: DataFrame, *, key: str = "doc_id", text: s
     """
     samples = labelled_sample(training.where("text IS NOT NULL AND lang IS NOT NULL"))
     model = docs.sparkSession.sparkContext.broadcast(samples)
-    held = {"_key": F.col(key)} | {f"_k{i}": e for i, e in enumerate((keep or {}).values())}
-    rows = docs.select(F.col(text).alias("_text"), *[e.alias(n) for n, e in held.items()])
+    others = {"_key": F.col(key)} | {f"_k{i}": e for i, e in enumerate((keep or {}).values())}
+    rows = small_batches(docs).select(F.col(text).alias("_text"), *[e.alias(n) for n, e in others.items()])
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    out = rows.mapInArrow(_predicted(model), ", ".join([f"{c} {kinds[c]}" for c in rows.columns[1:]] + ["_lang string", "_score double"]))
-    return out.select(F.col("_key").alias(key), *[F.col(f"_k{i}").alias(n) for i, n in enumerate(keep or {})], F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
+    drop = 0 if keep_text else 1
+    out = rows.mapInArrow(_predicted(model, drop), ", ".join([f"{c} {kinds[c]}" for c in rows.columns[drop:]] + ["_lang string", "_score double"]))
+    return out.select(F.col("_key").alias(key), *([F.col("_text").alias(text)] if keep_text else []), *[F.col(f"_k{i}").alias(n) for i, n in enumerate(keep or {})], F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
 
 
 def training_rows(docs: DataFrame) -> DataFrame:

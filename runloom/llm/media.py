@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runloom.llm import jpeg
-from runloom.llm.base import table, text_runs
+from runloom.llm.base import small_batches, table, text_runs
 
 
 def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -23,7 +23,7 @@ def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def store(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document: key, n_bytes, media: the text's UTF-8 bytes, padded with zeros to a positive multiple of 64, as the coefficients of a progressive JPEG file. A null text is empty."""
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(_stored, f"_key {kind}, n_bytes long, media binary").withColumnRenamed("_key", key)
+    return small_batches(docs).select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(_stored, f"_key {kind}, n_bytes long, media binary").withColumnRenamed("_key", key)
 
 
 _FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"

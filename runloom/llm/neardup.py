@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runloom.llm.base import WordHashes, broadcast_if_small, table, text_runs, written
+from runloom.llm.base import WordHashes, broadcast_if_small, held, small_batches, table, text_runs, written
 from runloom.llm.shingles import BANDS, shingle_sets, signatures
 
 #: Links need 100 * |A and B| >= PERCENT * |A or B|.
@@ -17,7 +17,7 @@ PERCENT = 85
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words = WordHashes()
+    words = held(("words",), WordHashes)
     for rows, texts in text_runs(batches, 1):
         flat, ends = shingle_sets(words, texts)
         fp, bands = signatures(flat, ends)
@@ -26,7 +26,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words = WordHashes()
+    words = held(("words",), WordHashes)
     for rows, texts in text_runs(batches, 1):
         flat, ends = shingle_sets(words, texts)
         lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.view(np.int64)))
@@ -89,7 +89,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     its component_id is null and it is kept. Rows that repeat a key count as one document. An
     empty table gives no rows.
     """
-    ids = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    ids = small_batches(docs).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     sketch = written(ids.mapInArrow(_sketch, "id long, n long, f1 long, f2 long, bands array<long>"), "sketch")
     classes = sketch.where("n > 0 AND id IS NOT NULL").groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.max("n").alias("rep_n"))
     classes = written(classes, "classes")

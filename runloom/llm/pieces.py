@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runloom.llm.base import table, text_runs, written
+from runloom.llm.base import held, small_batches, table, text_runs, written
 from runloom.llm.vocabulary import PATH, SPACE, Vocabulary, load
 
 #: Characters of a chunk; longer documents are split.
@@ -187,16 +187,9 @@ def states(matrices: list[np.ndarray]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-_CODECS: dict[tuple, Codec] = {}
-
-
 def _codec(vocabulary: Vocabulary) -> Codec:
     """One codec for all tasks of a worker, so units that one task met needn't be segmented again by the next."""
-    key = (tuple(vocabulary.pieces), vocabulary.byte_weight)
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = Codec(vocabulary)
-    return _CODECS[key]
+    return held(("pieces", tuple(vocabulary.pieces), vocabulary.byte_weight), lambda: Codec(vocabulary))
 
 
 def _encoded(model):
@@ -260,8 +253,8 @@ def encode(docs: DataFrame, *, key: str = "doc_id", text: str = "text", keep: tu
     model = spark.sparkContext.broadcast(codec_data)
     reach = max(map(len, codec_data.pieces)) - 1
     chunk = max(chunk, reach + 1)  # a piece reaches into the next chunk only
-    held = [F.col(key).alias("_key"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], F.col(text).isNull().alias("_null")]
-    rows = docs.select(F.col(text).alias("_text"), *held)
+    others = [F.col(key).alias("_key"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], F.col(text).isNull().alias("_null")]
+    rows = small_batches(docs).select(F.col(text).alias("_text"), *others)
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     names = rows.columns[1:]
     own = ", ".join(f"{c} {kinds[c]}" for c in names)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runloom.llm.base import table, text_runs, written
+from runloom.llm.base import small_batches, table, text_runs, written
 from runloom.llm.lattice import WordLattice
 from runloom.llm.vocabulary import PATH, load
 
@@ -135,7 +135,7 @@ def lm_scores(docs: DataFrame, held_out, *, key: str = "doc_id", text: str = "te
     empty table gives no rows; without training documents words have their lattice weight.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(held_out, F.lit(False)).alias("out"), F.col(text).alias("text"))
+    rows = small_batches(docs).select(F.col(key).cast("long").alias("id"), F.coalesce(held_out, F.lit(False)).alias("out"), F.col(text).alias("text"))
     counts = rows.select("out", "text").mapInArrow(_counted, "word binary, c long, n long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
     counts = written(counts, "counts")
     is_end = F.col("word") == F.lit(b"")

@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runloom.llm.base import GOLD, WordHashes, broadcast_if_small, mix, table, text_runs, written
+from runloom.llm.base import GOLD, WordHashes, broadcast_if_small, held, mix, small_batches, table, text_runs, written
 
 WINDOW = 20
 #: Windows that a task gathers before it emits them.
@@ -76,10 +76,10 @@ def _sketch(width: int, slices: int, window: int):
     """Each task's counts of cells, the high `width` bits of a window's hash; 2 stands for more. A row for each slice of the cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held, n = WordHashes(), [], 0
+        words, got, n = held(("words",), WordHashes), [], 0
 
         def rows():
-            c = np.sort(np.concatenate(held)) >> np.uint64(64 - width)
+            c = np.sort(np.concatenate(got)) >> np.uint64(64 - width)
             if len(c) > 2:
                 c = c[np.concatenate([[True, True], c[2:] != c[:-2]])]
             cut = np.searchsorted(c, np.arange(slices + 1, dtype=np.uint64) << np.uint64(width - slices.bit_length() + 1))
@@ -88,11 +88,11 @@ def _sketch(width: int, slices: int, window: int):
 
         for _, texts in text_runs(batches, 0):
             x = window_hashes(words, texts, window)[0]
-            held.append(x)
+            got.append(x)
             n += len(x)
             if n >= BLOCK:
                 yield from rows()
-                held, n = [], 0
+                got, n = [], 0
         if n:
             yield from rows()
 
@@ -120,7 +120,7 @@ def _suspects(parts, bits: int, groups: int, window: int):
     """Windows whose bit is set, with 96 bits of hash. In each block the first of equal ones goes to its slice, the others are repeats for sure."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held, n = WordHashes(), [], 0
+        words, got, n = held(("words",), WordHashes), [], 0
         flt = parts.value
 
         def wire(slice_of, flagged, d, s, a, b, ids, marks):
@@ -137,10 +137,10 @@ def _suspects(parts, bits: int, groups: int, window: int):
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in _WIRE.split(", ")])
 
         def rows():
-            ids, marks = np.concatenate([x[4] for x in held]), np.concatenate([x[5] for x in held])
-            base = np.cumsum([0, *(len(x[4]) for x in held)])
-            a, b, s = (np.concatenate([x[i] for x in held]) for i in (0, 1, 3))
-            d = np.concatenate([x[2] + o for x, o in zip(held, base, strict=False)])
+            ids, marks = np.concatenate([x[4] for x in got]), np.concatenate([x[5] for x in got])
+            base = np.cumsum([0, *(len(x[4]) for x in got)])
+            a, b, s = (np.concatenate([x[i] for x in got]) for i in (0, 1, 3))
+            d = np.concatenate([x[2] + o for x, o in zip(got, base, strict=False)])
             order = np.lexsort((s, ids[d], b, a))
             a, b, d, s = a[order], b[order], d[order], s[order]
             new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
@@ -157,11 +157,11 @@ def _suspects(parts, bits: int, groups: int, window: int):
             on = np.flatnonzero((flt[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1)
             if len(on):
                 ids = np.asarray(pa.compute.fill_null(batch.column(0), _NULL_ID))
-                held.append((a[on], b[on], d[on], s[on], ids, np.asarray(batch.column(1))))
+                got.append((a[on], b[on], d[on], s[on], ids, np.asarray(batch.column(1))))
                 n += len(on)
             if n >= BLOCK // 4:
                 yield from rows()
-                held, n = [], 0
+                got, n = [], 0
         if n:
             yield from rows()
 
@@ -210,20 +210,25 @@ def _runs(window: int):
     return run
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, texts in text_runs(batches, 0):
-        n, gone, kept = [], [], []
-        for text, runs in zip(texts, rows.column(1).to_pylist(), strict=True):
-            words = text.split()
-            n.append(len(words))
-            if runs:
-                stay = np.ones(len(words), dtype=bool)
-                for a, b in np.frombuffer(runs, np.uint32).reshape(-1, 2).tolist():
-                    stay[a:b] = False
-                words = [w for w, x in zip(words, stay.tolist(), strict=True) if x]
-            gone.append(n[-1] - len(words))
-            kept.append(b" ".join(words))
-        yield pa.RecordBatch.from_arrays([*rows.columns[2:], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=[*rows.schema.names[2:], "_n_words", "_n_removed", "_kept"])
+def _cut(drop: int):
+    """What stays of each text; of the columns runs, text and others, all from number `drop` on come along."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts in text_runs(batches, 1):
+            n, gone, kept = [], [], []
+            for text, runs in zip(texts, rows.column(0).to_pylist(), strict=True):
+                words = text.split()
+                n.append(len(words))
+                if runs:
+                    stay = np.ones(len(words), dtype=bool)
+                    for a, b in np.frombuffer(runs, np.uint32).reshape(-1, 2).tolist():
+                        stay[a:b] = False
+                    words = [w for w, x in zip(words, stay.tolist(), strict=True) if x]
+                gone.append(n[-1] - len(words))
+                kept.append(b" ".join(words))
+            yield pa.RecordBatch.from_arrays([*rows.columns[drop:], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=[*rows.schema.names[drop:], "_n_words", "_n_removed", "_kept"])
+
+    return run
 
 
 def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), window: int = WINDOW) -> DataFrame:
@@ -250,7 +255,7 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     width, bits = min(48, windows + 5), min(30, max(16, windows + 1))
     slices = 1 << min(bits - 3, max(9, windows - 20))
     groups = 1 << max(6, windows - 22)
-    counted = docs.select(F.col(text)).mapInArrow(_sketch(width, slices, window), "slice int, cells binary")
+    counted = small_batches(docs).select(F.col(text)).mapInArrow(_sketch(width, slices, window), "slice int, cells binary")
     merged = counted.groupBy("slice").applyInArrow(_merged(width, slices, bits), "slice int, part binary")
     flt = np.zeros((1 << bits) // 8, dtype=np.uint8)
     share = len(flt) // slices
@@ -263,11 +268,13 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     late = found.groupBy("slice").applyInArrow(_resolved, "id long, mark long, starts binary")
     runs = late.groupBy("id", "mark").agg(F.collect_list("starts").alias("starts")).mapInArrow(_runs(window), "id long, mark long, runs binary")
     runs = broadcast_if_small(written(runs, "runs"))
-    held = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(int(_NULL_ID))).alias("id"), F.xxhash64(text).alias("mark"), F.col(text).alias("_text"), F.col(key).alias("_key"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)])
-    j = held.join(runs, ["id", "mark"], "left").select("_text", "runs", "_key", *[f"_k{i}" for i in range(len(keep))])
+    whole = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(int(_NULL_ID))).alias("id"), F.xxhash64(text).alias("mark"), F.col(text).alias("_text"), F.col(key).alias("_key"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep) if c != text])
+    held_as = ["_text" if c == text else f"_k{i}" for i, c in enumerate(keep)]
+    j = whole.join(runs, ["id", "mark"], "left").select("runs", "_text", "_key", *[c for c in held_as if c != "_text"])
+    drop = 1 if text in keep else 2
     kinds = {f.name: f.dataType.simpleString() for f in j.schema}
-    out = j.mapInArrow(_cut, ", ".join([f"{c} {kinds[c]}" for c in j.columns[2:]] + ["_n_words long", "_n_removed long", "_kept string"]))
-    return out.select(F.col("_key").alias(key), *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"), F.col("_kept").alias("kept"))
+    out = j.mapInArrow(_cut(drop), ", ".join([f"{c} {kinds[c]}" for c in j.columns[drop:]] + ["_n_words long", "_n_removed long", "_kept string"]))
+    return out.select(F.col("_key").alias(key), *[F.col(h).alias(c) for h, c in zip(held_as, keep, strict=True)], F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"), F.col("_kept").alias("kept"))
 
 
 def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:
