@@ -19,6 +19,8 @@ from runloom.llm.vocabulary import PATH, load
 #: Words of the broadcast part of the model; all others are joined.
 HEAD = 1 << 17
 _LN10 = math.log(10)
+#: Concentrations of the mixture over how strongly a document repeats its own words; infinity is none.
+ALPHAS = (10.0, 100.0, 1000.0, 10000.0, math.inf)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,24 +81,53 @@ class _Head(dict):
         return -1
 
 
-_ROWS = "row long, sums struct<id: long, out: boolean, tokens: long, known: long, base: double, score: double>, word binary, tf long"
+_ROWS = "row long, sums struct<id: long, out: boolean, tokens: long, known: long, base: double, scores: array<double>>, word binary, tf long"
 
 
-def _scored(head):
+def _urn(keys: np.ndarray, n: int, sizes: np.ndarray, lp: np.ndarray, word: float) -> np.ndarray:
+    """For each document and concentration, the sum over its words of log10(a P + earlier uses) - log10(a + earlier words).
+
+    Keys are document * len(lp) + word; words of number len(lp) - 1 are left out but for the
+    divisor. P is 10^lp made to sum to 1 over words, each of which costs `word` besides.
+    """
+    keys = np.sort(keys)
+    of, ids = keys // len(lp), keys % len(lp)
+    lead = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, dtype=bool)
+    at = np.arange(len(keys))
+    earlier = at - np.maximum.accumulate(np.where(lead, at, 0))
+    own = ids < len(lp) - 1
+    again = np.flatnonzero(own & ~lead)
+    p = 10 ** (lp[ids[again]] - word)
+    static = np.bincount(of, np.where(own, lp[ids], 0.0), n)
+    first = np.bincount(of, np.where(own & lead, lp[ids] - word, 0.0), n)
+    firsts = np.bincount(of, own & lead, n)
+    out = np.empty((n, len(ALPHAS)))
+    longest = int(sizes.max()) if n else 0
+    for i, a in enumerate(ALPHAS):
+        if a == math.inf:
+            out[:, i] = static
+        else:
+            falls = np.cumsum(np.append(0.0, np.log10(a + np.arange(longest))))
+            out[:, i] = first + firsts * math.log10(a) + np.bincount(of[again], np.log10(a * p + earlier[again]), n) - falls[sizes] + sizes * word
+    return out
+
+
+def _scored(head, word: float):
     """A document's sums over the words of the head, and a row for each other word of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, c, lp = head.value
         index = _Head(zip(words, range(len(words)), strict=True))
-        base, score, known = np.append(np.log10(c + 0.5), 0.0), np.append(lp, 0.0), np.append(c > 0, False)
+        base, lp, known = np.append(np.log10(c + 0.5), 0.0), np.append(lp, 0.0), np.append(c > 0, False)
         get = index.__getitem__
         for batch, texts in text_runs(batches, 3):
             docs = [t.lower().split() for t in texts]
             sizes = np.fromiter(map(len, docs), np.int64, len(docs))
             ids = np.fromiter(map(get, chain.from_iterable(docs)), np.int32, int(sizes.sum()))
             of = np.repeat(np.arange(len(docs)), sizes)
-            add = lambda x: np.bincount(of, x[ids], len(docs))  # noqa: E731, B023
-            b, s, k = add(base), add(score), add(known).astype(np.int64)
+            add = lambda x: np.bincount(of, x[ids], len(docs)).astype(float)  # noqa: E731, B023 (counts of nothing are whole numbers)
+            b, k = add(base), add(known).astype(np.int64)
+            s = _urn(of * len(lp) + ids % len(lp), len(docs), sizes, lp, word)
             at = np.cumsum(np.append(0, sizes))
             rows, own, tf, lead = [], [], [], []
             number = batch.column(0).to_pylist()
@@ -110,7 +141,7 @@ def _scored(head):
             lead = np.array(lead)
             none = lead < 0
             take = np.where(none, 0, lead)
-            fields = [("id", batch.column(1).take(pa.array(take))), ("out", batch.column(2).take(pa.array(take))), ("tokens", pa.array((sizes + 1)[take])), ("known", pa.array(k[take])), ("base", pa.array(b[take])), ("score", pa.array(s[take]))]
+            fields = [("id", batch.column(1).take(pa.array(take))), ("out", batch.column(2).take(pa.array(take))), ("tokens", pa.array((sizes + 1)[take])), ("known", pa.array(k[take])), ("base", pa.array(b[take])), ("scores", pa.FixedSizeListArray.from_arrays(pa.array(s[take].reshape(-1)), len(ALPHAS)).cast(pa.list_(pa.float64())))]
             sums = pa.StructArray.from_arrays([x for _, x in fields], names=[n for n, _ in fields], mask=pa.array(none))
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), sums, pa.array(own, pa.binary()), pa.array(tf, pa.int64())], names=["row", "sums", "word", "tf"])
 
@@ -125,8 +156,10 @@ def lm_scores(docs: DataFrame, held_out, *, key: str = "doc_id", text: str = "te
     that of all its segmentations into pieces of an existing vocabulary, whose scores start
     the weights and which expected counts over the training words adjust `rounds` times; a
     training word also has an arc of its own through the lattice, with its absolutely
-    discounted share. So the score is the log10 of a proper distribution: over words and end
-    it sums to 1. base_score is the additively smoothed unigram score.
+    discounted share. A document then repeats its own words: after t words of which k were
+    this one, its probability is (a P + k) / (a + t), and the score is the log10 of the even
+    mixture over the concentrations ALPHAS. So it is that of a proper distribution over whole
+    texts. base_score is the additively smoothed unigram score.
 
     Counts are of all documents and are never cut off: the `head` most frequent words are
     broadcast, which bounds that by a number of words, and all others are joined.
@@ -156,15 +189,21 @@ def lm_scores(docs: DataFrame, held_out, *, key: str = "doc_id", text: str = "te
         lattice.set(weights + prior * max(10.0, 0.001 * weights.sum()))
         lattice.stop = min(0.99, max(0.01, got[-2] / max(got[-1], got[-2] + 1e-9)))
     model = spark.sparkContext.broadcast(lattice)
-    weighed = written(plain.mapInArrow(_weighed(model, float(t.n), float(t.words), discount), "word binary, c long, n long, lp double"), "weighed")
+    weighed = written(plain.mapInArrow(_weighed(model, float(t.n) if t.words else 0.0, float(t.words), discount), "word binary, c long, n long, lp double"), "weighed")
     top = weighed.orderBy(F.desc("n"), "word").limit(head).select("word", "c", "lp").toArrow()
     top = spark.sparkContext.broadcast((top.column("word").to_pylist(), np.asarray(top.column("c"), dtype=float), np.asarray(top.column("lp"), dtype=float)))
-    parts = rows.select(F.monotonically_increasing_id().alias("row"), "id", "out", "text").mapInArrow(_scored(top), _ROWS)
+    stop = t.ends / t.n if t.words else 0.5
+    word = math.log10(1 - stop)
+    parts = rows.select(F.monotonically_increasing_id().alias("row"), "id", "out", "text").mapInArrow(_scored(top, word), _ROWS)
     j = parts.join(weighed.select("word", "c", "lp"), "word", "left")
     known = F.when(F.col("c") > 0, F.col("tf")).otherwise(0)
-    j = j.groupBy("row").agg(F.max("sums").alias("s"), F.sum(known).alias("known"), F.sum(F.col("tf") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("base"), F.sum(F.coalesce(F.col("tf") * F.col("lp"), F.lit(0.0))).alias("score"))
+    later = lambda a: F.when(F.col("tf") > 1, F.aggregate(F.sequence(F.lit(1).cast("long"), F.col("tf") - 1), F.lit(0.0), lambda x, k: x + F.log10(a * F.pow(F.lit(10.0), F.col("lp") - word) + k))).otherwise(0.0)
+    tails = [F.col("tf") * F.col("lp") if a == math.inf else F.col("lp") - word + math.log10(a) + later(a) for a in ALPHAS]
+    tails = [F.sum(F.when((F.col("tf") > 0) & F.col("lp").isNotNull(), x).otherwise(0.0)).alias(f"s{i}") for i, x in enumerate(tails)]
+    j = j.groupBy("row").agg(F.max("sums").alias("s"), F.sum(known).alias("known"), F.sum(F.col("tf") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("base"), *tails)
+    j = j.withColumn("by", F.array(*[F.col("s.scores")[i] + F.col(f"s{i}") for i in range(len(ALPHAS))])).withColumn("most", F.array_max("by"))
+    mixed = F.col("most") + F.log10(F.aggregate("by", F.lit(0.0), lambda x, y: x + F.pow(F.lit(10.0), y - F.col("most")))) - math.log10(len(ALPHAS))
     norm = math.log10(t.n + 0.5 * (t.v + 1))
-    end = math.log10(t.ends / t.n) if t.ends else math.log10(0.5)
     return j.select(
         F.col("s.id").alias(key),
         F.col("s.out").alias("held_out"),
@@ -172,7 +211,7 @@ def lm_scores(docs: DataFrame, held_out, *, key: str = "doc_id", text: str = "te
         (F.col("s.known") + F.col("known") + int(t.ends > 0)).alias("n_known"),
         F.lit(t.n).cast("long").alias("train_tokens"),
         (F.col("s.base") + F.col("base") + math.log10(t.ends + 0.5) - F.col("s.tokens") * norm).alias("base_score"),
-        (F.col("s.score") + F.col("score") + end).alias("score"),
+        (mixed + math.log10(stop)).alias("score"),
     )
 
 

@@ -83,6 +83,28 @@ def test_scores_against_counts(spark, docs):
     assert all(r.score < 0 for r in scoring.lm_scores(docs, F.lit(True)).collect())
 
 
+@pytest.mark.parametrize("head", [2, 1000])
+def test_scores_are_a_mixture_of_urns(spark, docs, head):
+    doc = "w1 zzq w1 zzq zzq w2 w1 never".split()
+    rows = [(1000 + i, t) for i, t in enumerate([*sorted(set(doc)), " ".join(doc), ""])]
+    own = docs.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.doc_id: r.score for r in scoring.lm_scores(own, F.col("doc_id") >= 1000, head=head).collect()}
+    end = 10 ** got[1000 + len(rows) - 1]
+    p = {w: 10 ** got[1000 + i] / end / (1 - end) for i, w in enumerate(sorted(set(doc)))}
+    by = []
+    for a in scoring.ALPHAS:
+        x = end
+        for t, w in enumerate(doc):
+            x *= (1 - end) * (p[w] if a == np.inf else (a * p[w] + doc[:t].count(w)) / (a + t))
+        by.append(x)
+    assert got[1000 + len(rows) - 2] == pytest.approx(np.log10(np.mean(by)), rel=1e-9)
+
+
+def test_scores_learned_from_empty_texts(spark):
+    own = spark.createDataFrame([(1, ""), (2, "a b a"), (3, None)], "doc_id long, text string")
+    assert all(r.score < 0 and np.isfinite(r.score) for r in scoring.lm_scores(own, F.col("doc_id") == 2).collect())
+
+
 def test_lattice_against_all_segmentations():
     lat = lattice.WordLattice(load())
 
