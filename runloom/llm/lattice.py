@@ -34,6 +34,9 @@ class WordLattice:
         keys = np.array([self._hash_one(p) for p in table], dtype=np.uint64)
         order = np.argsort(keys)
         self.keys, self.piece = keys[order], np.array(list(table.values()))[order]
+        # where the keys of each value of the high bits begin: most values have one key at most
+        self.shift = np.uint64(64 - (len(keys).bit_length() + 3))
+        self.begin = np.searchsorted(self.keys >> self.shift, np.arange((1 << int(64 - self.shift)) + 1, dtype=np.uint64)).astype(np.int32)
         self.lone = self.names.index(SPACE)
 
     def set(self, weights: np.ndarray, floor: float = 0.0) -> None:
@@ -49,6 +52,22 @@ class WordLattice:
             h = (h * int(_BASE) + ord(c) + 1) % (1 << 64)
         return int(mix(np.array([h], dtype=np.uint64))[0])
 
+    def _pieces(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each hash is that of a beginning of a piece, and the piece that it is itself, or -1."""
+        high = (x >> self.shift).astype(np.int64)
+        at, last = self.begin[high], self.begin[high + 1]
+        found = np.full(len(x), -1, dtype=np.int64)
+        todo = np.flatnonzero(at < last)
+        at = at[todo]
+        alive = np.zeros(len(x), dtype=bool)
+        while len(todo):
+            same = self.keys[at] == x[todo]
+            hit = todo[same]
+            alive[hit], found[hit] = True, self.piece[at[same]]
+            more = ~same & (at + 1 < last[todo])
+            todo, at = todo[more], at[more] + 1
+        return alive, found
+
     def run(self, words: list[str], weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None, tuple[float, float]]:
         """Natural log P of each word; with weights, also the expected count of each piece, and of pieces and of words."""
         out = np.zeros(len(words))
@@ -83,10 +102,7 @@ class WordLattice:
             leave = go if i > 1 else 0.0  # after a lone ▁ the word can't stop
             for j in range(i + 1, min(i + self.longest, n) + 1):
                 h = h * _BASE + (codes[on, j - 1] + np.uint64(1))
-                x = mix(h)
-                at = np.minimum(np.searchsorted(self.keys, x), len(self.keys) - 1)
-                alive = self.keys[at] == x
-                own = np.where(alive, self.piece[at], -1)
+                alive, own = self._pieces(mix(h))
                 if i and j == i + 1:
                     own = np.where(own < 0, escape, own)
                 is_edge = own >= 0
