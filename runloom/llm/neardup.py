@@ -14,6 +14,8 @@ from runloom.llm.shingles import BANDS, shingle_sets, signatures
 
 #: Links need 100 * |A and B| >= PERCENT * |A or B|.
 PERCENT = 85
+#: A bucket's open pairs are all compared if there are at most so many for each member.
+FEW = 32
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,6 +66,7 @@ def candidates(reps: DataFrame) -> DataFrame:
     the most company in all its buckets (in a group of copies with edits this is the text
     they were made from), and one picked by a hash of its own, another in each bucket. So a
     bucket of k members gives less than 2 k pairs. Pairs whose sizes rule out a link go.
+    What these pairs leave open is for rest_of_buckets.
     """
     rows = reps.select("id", "n", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
@@ -77,13 +80,73 @@ def candidates(reps: DataFrame) -> DataFrame:
     return pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
 
 
+def rest_of_buckets(reps: DataFrame, least: DataFrame, sets_of) -> DataFrame | None:
+    """Pairs (a, b) by which every bucket's linked members end up connected, given the components of the hubs' links.
+
+    A bucket whose members are in one component is settled. In any other, pairs of different
+    components are still open. Where they are few they are all taken. Else the most central
+    member H serves as a template: a member A outside H's component shares c = |A and H| of
+    its shingles with it, and a link of A needs an overlap of o or more, o following from |A|
+    and the least size a partner may have. So A shares at least o - c shingles outside H with
+    any partner, and one of them is among the rarest |A - H| - (o - c) + 1 of A - H (prefix
+    filter; rarity is counted in the bucket). H's component comes with all its shingles
+    outside H. Members with o <= c are paired with the whole bucket, and so are all where the
+    shared shingles would give more pairs than that. No pair that may be a link is left out,
+    at the price of a square of the open members where nothing tells them apart.
+
+    sets_of gives (id, set) for a table of ids; None if no bucket is open.
+    """
+    rows = reps.select("id", "n", F.explode("bands").alias("bucket"))
+    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 2")
+    comp = least.select(F.col("node").alias("id"), "least")
+    rows = rows.join(shared, "bucket").join(comp, "id", "left").withColumn("comp", F.coalesce("least", "id")).drop("least")
+    by = rows.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket").agg(F.sum("k").alias("c"), ((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("cross")).where("cross > 0")
+    rows = written(rows.drop("c").join(by, "bucket"), "open")
+
+    def across(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+        x = left.select(*on, F.col("id").alias("a0"), F.col("n").alias("n0"), F.col("comp").alias("comp0"))
+        y = right.select(*on, F.col("id").alias("b0"), F.col("n").alias("m0"), F.col("comp").alias("comp1"))
+        j = x.join(y, on).where((F.col("comp0") != F.col("comp1")) & (100 * F.least("n0", "m0") >= PERCENT * F.greatest("n0", "m0")))
+        return j.select(F.least("a0", "b0").alias("a"), F.greatest("a0", "b0").alias("b")).distinct()
+
+    few = rows.where(F.col("cross") <= FEW * F.col("c"))
+    many = rows.where(F.col("cross") > FEW * F.col("c"))
+    pairs = across(few, few, ["bucket"])
+    if many.isEmpty():
+        return None if rows.isEmpty() else pairs
+    company = rows.groupBy("id").agg(F.sum("c").alias("company"))
+    hubs = many.join(company, "id").groupBy("bucket").agg(F.max(F.struct("company", (-F.col("id")).alias("i"), "comp")).alias("h"), F.min("n").alias("low"))
+    hubs = hubs.select("bucket", (-F.col("h.i")).alias("hub"), F.col("h.comp").alias("main"), "low")
+    many = many.join(hubs, "bucket")
+    sets = written(sets_of(many.select("id").distinct()), "open-sets")
+    j = many.join(sets, "id").join(sets.select(F.col("id").alias("hub"), F.col("set").alias("t")), "hub")
+    j = j.select("bucket", "id", "n", "comp", "c", "cross", "low", (F.col("comp") == F.col("main")).alias("linked"), F.array_except("set", "t").alias("own"))
+    need = F.expr(f"({PERCENT} * (n + greatest(({PERCENT} * n + 99) div 100, low)) + {99 + PERCENT}) div {100 + PERCENT}") - (F.col("n") - F.size("own"))
+    j = written(j.withColumn("need", F.when(F.col("linked"), F.lit(1).cast("long")).otherwise(need)).drop("low"), "own")
+    hard = j.where("need <= 0").select("bucket", "id", "n", "comp")
+    words = j.where("need > 0").select("bucket", "id", "n", "comp", "c", "cross", "need", F.size("own").alias("k"), F.explode("own").alias("s"))
+    often = words.groupBy("bucket", "s").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    first = words.join(often, ["bucket", "s"]).groupBy("bucket", "id", "n", "comp", "c", "cross", "need", "k").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("x"))
+    alone = F.col("k") - F.size("x")
+    first = first.select("bucket", "id", "n", "comp", "c", "cross", F.explode(F.slice("x", 1, F.greatest(F.lit(0), F.col("k") - F.col("need") + 1 - alone).cast("int"))).alias("w"))
+    first = written(first.select("bucket", "id", "n", "comp", "c", "cross", F.col("w.s").alias("s")), "prefixes")
+    met = first.groupBy("bucket", "cross", "s", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket", "cross", "s").agg((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))).alias("y")).where("y > 0")
+    cost = met.groupBy("bucket", "cross").agg(F.sum(F.col("y") / 2).alias("y")).select("bucket", "y").union(j.where("need <= 0").select("bucket", F.col("c").cast("double")))
+    dear = written(many.select("bucket", "cross").distinct().join(cost.groupBy("bucket").agg(F.sum("y").alias("y")), "bucket").where("y >= cross").select("bucket"), "dear")
+    cheap = first.join(dear, "bucket", "left_anti").join(met.select("bucket", "s"), ["bucket", "s"], "left_semi")
+    whole = many.join(dear, "bucket", "left_semi")
+    return pairs.union(across(cheap, cheap, ["bucket", "s"])).union(across(hard.join(dear, "bucket", "left_anti"), many, ["bucket"])).union(across(whole, whole, ["bucket"])).distinct()
+
+
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document: key, n_shingles, component_id, kept.
 
     Documents are linked if their sets of five-word shingles have a similarity of 0.85 or
     more; component_id is the least key of what a document is linked with over any path.
     Texts with equal sets form a class first and go on as one representative, so copies cost
-    one row each and no pair. Candidates are confirmed on the full sets.
+    one row each and no pair. Candidates are confirmed on the full sets. All linked documents
+    that share one of the 32 buckets get one component; hubs are tried first, then what they
+    leave open.
 
     A null or empty text has no shingles and is its own component. A null key takes no part:
     its component_id is null and it is kept. Rows that repeat a key count as one document. An
@@ -94,14 +157,26 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     classes = sketch.where("n > 0 AND id IS NOT NULL").groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.max("n").alias("rep_n"))
     classes = written(classes, "classes")
     reps = sketch.join(classes.select(F.col("rep").alias("id"), "f1", "f2"), ["id", "f1", "f2"], "left_semi").dropDuplicates(["id", "f1", "f2"])
+    reps = written(reps, "reps")
+
+    def sets_of(need: DataFrame) -> DataFrame:
+        need = written(need, "ids")
+        return ids.join(broadcast_if_small(need), "id", "left_semi").mapInArrow(_sets, "id long, set array<long>").dropDuplicates(["id"])
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        sets = written(sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "sets")
+        j = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+        both = F.size(F.array_intersect("x", "y"))
+        return written(j.where(100 * both >= PERCENT * (F.size("x") + F.size("y") - both)).select("a", "b"), "confirmed")
+
     pairs = written(candidates(reps), "pairs")
-    need = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    sets = ids.join(broadcast_if_small(need), "id", "left_semi").mapInArrow(_sets, "id long, set array<long>")
-    sets = written(sets.dropDuplicates(["id"]), "sets")
-    j = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
-    both = F.size(F.array_intersect("x", "y"))
-    links = j.where(100 * both >= PERCENT * (F.size("x") + F.size("y") - both)).select("a", "b")
+    links = confirmed(pairs)
     least = components(links)
+    rest = rest_of_buckets(reps, least, sets_of)
+    if rest is not None:
+        more = confirmed(written(rest.join(pairs, ["a", "b"], "left_anti"), "rest"))
+        if not more.isEmpty():
+            least = components(links.union(more))
     out = sketch.select("id", "n", "f1", "f2").join(classes.select("f1", "f2", "rep"), ["f1", "f2"], "left")
     out = out.withColumn("rep", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")))
     out = out.join(least, F.col("rep") == F.col("node"), "left").withColumn("component_id", F.coalesce("least", "rep"))

@@ -223,6 +223,32 @@ def test_near_duplicates_against_brute_force(spark, docs):
     assert [(r.component_id, r.kept) for r in nulls] == [(None, True)] * 2
 
 
+def _template_group(kind, pairs):
+    """Pairs of near-duplicates, strangers to each other but for a long template that alone is below the threshold."""
+    rng, base, out = random.Random(3), [f"t{i}" for i in range(459)], []
+    for g in range(pairs):
+        if kind == "appended":
+            shared = [f"g{g}x{i}" for i in range(7)]
+            out += [base + shared + [f"g{g}y{k}x{i}" for i in range(38)] for k in range(2)]
+        else:
+            one = [f"g{g}x{i}" if i in at else w for at in [set(rng.sample(range(459), 5))] for i, w in enumerate(base)]
+            out += [one, [f"g{g}y{i}" if i in at else w for at in [set(rng.sample(range(459), 6))] for i, w in enumerate(one)]]
+    return {i: " ".join(w) for i, w in enumerate(out)}
+
+
+@pytest.mark.parametrize("kind", ["appended", "replaced"])
+def test_near_duplicates_in_a_template_group(spark, kind):
+    t = _template_group(kind, 200)
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (x.split() for x in t.values())]
+    links = [(i, j) for i in t for j in range(i) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+    comp = {i: i for i in t}
+    for _ in range(20):
+        for i, j in links:
+            comp[i] = comp[j] = min(comp[i], comp[j])
+    own = spark.createDataFrame(list(t.items()), "doc_id long, text string").repartition(8)
+    assert len(set(comp.values())) > 100 and {r.doc_id: r.component_id for r in neardup.near_duplicates(own).collect()} == comp
+
+
 def test_components_of_a_path(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = {r.node: r.least for r in neardup.components(e).collect()}
