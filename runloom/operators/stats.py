@@ -28,7 +28,7 @@ def newcombe(x1: Column, n1: Column, x2: Column, n2: Column, z: float = Z95) ->
     return d - F.sqrt((p1 - l1) * (p1 - l1) + (u2 - p2) * (u2 - p2)), d + F.sqrt((u1 - p1) * (u1 - p1) + (p2 - l2) * (p2 - l2))
 
 
-def bootstrap_mean(values: DataFrame, value: str, draws: int = 200, seed: str = "b", key: str = "instance_id", alpha: float = 0.05) -> DataFrame:
+def bootstrap_mean(values: DataFrame, value: str, draws: int = 20_000, seed: str = "b", key: str = "instance_id", alpha: float = 0.05) -> DataFrame:
     """Percentile interval of the mean over rows, resampled by hashed indexes so that any engine gets the same.
 
     Rows are numbered by key; draw b takes n rows whose numbers are hashes of (seed, b, i)
@@ -38,14 +38,14 @@ def bootstrap_mean(values: DataFrame, value: str, draws: int = 200, seed: str =
 
     v = values.where(F.col(value).isNotNull()).select(F.col(value).alias("v"), (F.row_number().over(Window.orderBy(key)) - 1).alias("i"))
     n = v.agg(F.count(F.lit(1)).alias("n"))
-    picks = v.select("i").join(F.broadcast(n)).select("n", "i", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b"))
+    picks = values.sparkSession.range(draws).select(F.col("id").alias("b")).join(F.broadcast(v.select("i"))).join(F.broadcast(n))
     picks = picks.select("b", F.pmod(hashed(F.lit(seed), F.col("b"), F.col("i")), F.col("n")).alias("i"))
-    means = picks.join(v, "i").groupBy("b").agg(F.avg("v").alias("m"))
+    means = picks.join(F.broadcast(v), "i").groupBy("b").agg(F.avg("v").alias("m"))
     q = lambda p: F.percentile("m", F.lit(p))
     return means.agg(q(alpha / 2).alias("lo"), q(1 - alpha / 2).alias("hi")).join(F.broadcast(v.agg(F.avg("v").alias("mean"), F.count(F.lit(1)).alias("n"))))
 
 
-def relative_change_bootstrap(runs: DataFrame, value: str, draws: int = 2000, seed: int = 0, alpha: float = 0.05) -> DataFrame:
+def relative_change_bootstrap(runs: DataFrame, value: str, draws: int = 20_000, seed: int = 0, alpha: float = 0.05) -> DataFrame:
     """Mean over instances of the % change of `value`, with runs resampled within each instance.
 
     Each instance's draws are made where its runs are (one group); only means of draws leave.
@@ -70,7 +70,7 @@ def relative_change_bootstrap(runs: DataFrame, value: str, draws: int = 2000, se
     return per.agg(F.max(F.when(F.col("b") < 0, F.col("m"))).alias("change"), q(alpha / 2).alias("lo"), q(1 - alpha / 2).alias("hi"), F.max(F.when(F.col("b") < 0, F.col("k"))).alias("instances"))
 
 
-def binomial_redraw(rates: DataFrame, draws: int = 2000, seed: int = 0, alpha: float = 0.05) -> DataFrame:
+def binomial_redraw(rates: DataFrame, draws: int = 20_000, seed: int = 0, alpha: float = 0.05) -> DataFrame:
     """Interval of the mean difference of rates when each instance's successes are drawn anew.
 
     rates: p1, p2 (0 to 1), n1, n2 (trials, the same for all instances of a side). Instances

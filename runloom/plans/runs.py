@@ -109,11 +109,26 @@ def _bootstrap(s, d):
     return b.select(*[F.round(c, 8).alias(c) for c in ("lo", "hi", "mean")], "n")
 
 
+def _bootstrap_full(s, d):
+    """The whole job, with the operator's 20,000 draws; q_stats_bootstrap_mean has the 100 of its SQL."""
+    b = stats.bootstrap_mean(R.instance_report(runs(s, d)), "degradation")
+    return b.select(*[F.round(c, 8).alias(c) for c in ("lo", "hi", "mean")], "n")
+
+
+def _binomial(s, d):
+    """Trials are the modes of each side's sample counts over the instances that have both sides."""
+    r = R.instance_report(runs(s, d)).where("degradation IS NOT NULL")
+    n = r.agg(F.mode("bl_n", deterministic=True).alias("n1"), F.mode("mt_n", deterministic=True).alias("n2"))
+    p = r.select("instance_id", (F.col("bl_rate") / 100).alias("p1"), (F.col("mt_rate") / 100).alias("p2"))
+    return stats.binomial_redraw(p.join(F.broadcast(n)))
+
+
 _add("q_stats_bootstrap_mean", _bootstrap, _REPORT + """, v AS (SELECT degradation AS v, row_number() OVER (ORDER BY instance_id) - 1 AS i FROM r WHERE degradation IS NOT NULL),
 c AS (SELECT count(*) AS n, avg(v) AS mean FROM v), p AS (
 SELECT b, CAST('0x' || substr(md5('b|' || b || '|' || i), 1, 8) AS BIGINT) % n AS i FROM v, c, range(100) t(b)),
 m AS (SELECT b, avg(v) AS m FROM p JOIN v USING (i) GROUP BY b)
 SELECT round(quantile_cont(m, 0.025), 8) AS lo, round(quantile_cont(m, 0.975), 8) AS hi, round(any_value(mean), 8) AS mean, any_value(n) AS n FROM m, c""")
-_add("q_stats_relative_change", lambda s, d: stats.relative_change_bootstrap(runs(s, d), "steps", draws=200))
+_add("q_stats_bootstrap_mean_full", _bootstrap_full)
+_add("q_stats_relative_change", lambda s, d: stats.relative_change_bootstrap(runs(s, d), "steps"))
 _add("q_stats_sign_flip", lambda s, d: stats.sign_flip_test(R.instance_report(runs(s, d)).withColumn("side", F.when(F.col("instance_id") % 2 == 0, "even").otherwise("odd")), "degradation", "side"))
-_add("q_stats_binomial_redraw", lambda s, d: stats.binomial_redraw(R.instance_report(runs(s, d)).where("degradation IS NOT NULL").select("instance_id", (F.col("bl_rate") / 100).alias("p1"), (F.col("mt_rate") / 100).alias("p2"), F.lit(5).alias("n1"), F.lit(5).alias("n2")), draws=500))
+_add("q_stats_binomial_redraw", _binomial)

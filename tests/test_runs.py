@@ -77,3 +77,31 @@ def test_empty_tables(spark):
     r = _runs(spark, [])
     for out in (R.instance_report(r), R.spt_report(r), R.combination_report(r), R.usage(r), R.stratified(r, 3)):
         assert out.count() == 0
+
+
+def test_bootstraps_make_the_reference_number_of_draws(spark):
+    import inspect
+
+    for f in (stats.bootstrap_mean, stats.relative_change_bootstrap, stats.binomial_redraw):
+        assert inspect.signature(f).parameters["draws"].default == 20_000
+    v = spark.createDataFrame([(i, float(i % 3)) for i in range(6)], "instance_id long, d double")
+    few, all_ = stats.bootstrap_mean(v, "d", draws=100).first(), stats.bootstrap_mean(v, "d").first()
+    assert few.lo <= few.mean <= few.hi and all_.lo <= all_.mean == 1.0 <= all_.hi
+    import hashlib
+
+    at = lambda b, i: int(hashlib.md5(f"b|{b}|{i}".encode()).hexdigest()[:8], 16) % 6
+    m = [np.mean([at(b, i) % 3 for i in range(6)]) for b in range(20_000)]
+    assert np.allclose((all_.lo, all_.hi), np.quantile(m, [0.025, 0.975]))
+
+
+def test_binomial_query_takes_the_modes(spark, monkeypatch):
+    from runloom.plans import runs as plans
+
+    one = [(i, 10 * i + k, k % 2, "resolved") for i in range(3) for k in range(6)]
+    rows = [(i, s, "baseline" if b else "mutant", st, 1, 1, 1, s, {}) for i, s, b, st in one]
+    own = spark.createDataFrame(rows, "instance_id long, sample_id long, run_type string, status string, steps int, cost long, files long, scan_order long, spt map<string,int>")
+    seen = []
+    monkeypatch.setattr(plans, "runs", lambda s, d: own)
+    monkeypatch.setattr(plans.stats, "binomial_redraw", lambda rates, **kw: seen.append((rates.select("n1", "n2").distinct().collect(), kw)))
+    plans.QUERIES["q_stats_binomial_redraw"](spark, "")
+    assert [tuple(r) for r in seen[0][0]] == [(3, 3)] and seen[0][1] == {}
