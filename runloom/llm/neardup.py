@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from runloom.llm.base import WordHashes, broadcast_if_small, held, small_batches, table, text_runs, written
 from runloom.llm.shingles import BANDS, shingle_sets, signatures
 
-#: Links need 100 * |A and B| >= PERCENT * |A or B|.
-PERCENT = 85
+#: Links need 100 * |A and B| >= percent * |A or B|; op6_minhash_near_dedup has a percentage of its own.
+PERCENT, OP6_PERCENT = 80, 85
 #: A bucket's open pairs are all compared if there are at most so many for each member.
 FEW = 32
 
@@ -59,7 +59,7 @@ def components(edges: DataFrame, name: str = "links") -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("least"))
 
 
-def candidates(reps: DataFrame) -> DataFrame:
+def candidates(reps: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs (a, b) of the ids of reps (id, n, bands) that share a bucket with a hub of it.
 
     A bucket links its members to two of them only: the most central, that is the one with
@@ -76,11 +76,11 @@ def candidates(reps: DataFrame) -> DataFrame:
     hub = lambda order: F.max(F.struct(order.alias("o"), (-F.col("id")).alias("i"), "n"))
     hubs = rows.groupBy("bucket").agg(hub(F.col("company")).alias("x"), hub(F.xxhash64("id", "bucket")).alias("y"))
     hubs = hubs.select("bucket", F.explode(F.array_distinct(F.array(F.struct((-F.col("x.i")).alias("hub"), F.col("x.n").alias("m")), F.struct((-F.col("y.i")).alias("hub"), F.col("y.n").alias("m"))))).alias("h")).select("bucket", "h.*")
-    pairs = rows.join(hubs, "bucket").where((F.col("id") != F.col("hub")) & (100 * F.least("n", "m") >= PERCENT * F.greatest("n", "m")))
+    pairs = rows.join(hubs, "bucket").where((F.col("id") != F.col("hub")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")))
     return pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
 
 
-def rest_of_buckets(reps: DataFrame, least: DataFrame, sets_of) -> DataFrame | None:
+def rest_of_buckets(reps: DataFrame, least: DataFrame, sets_of, percent: int = PERCENT) -> DataFrame | None:
     """Pairs (a, b) by which every bucket's linked members end up connected, given the components of the hubs' links.
 
     A bucket whose members are in one component is settled. In any other, pairs of different
@@ -106,7 +106,7 @@ def rest_of_buckets(reps: DataFrame, least: DataFrame, sets_of) -> DataFrame | N
     def across(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
         x = left.select(*on, F.col("id").alias("a0"), F.col("n").alias("n0"), F.col("comp").alias("comp0"))
         y = right.select(*on, F.col("id").alias("b0"), F.col("n").alias("m0"), F.col("comp").alias("comp1"))
-        j = x.join(y, on).where((F.col("comp0") != F.col("comp1")) & (100 * F.least("n0", "m0") >= PERCENT * F.greatest("n0", "m0")))
+        j = x.join(y, on).where((F.col("comp0") != F.col("comp1")) & (100 * F.least("n0", "m0") >= percent * F.greatest("n0", "m0")))
         return j.select(F.least("a0", "b0").alias("a"), F.greatest("a0", "b0").alias("b")).distinct()
 
     few = rows.where(F.col("cross") <= FEW * F.col("c"))
@@ -121,7 +121,7 @@ def rest_of_buckets(reps: DataFrame, least: DataFrame, sets_of) -> DataFrame | N
     sets = written(sets_of(many.select("id").distinct()), "open-sets")
     j = many.join(sets, "id").join(sets.select(F.col("id").alias("hub"), F.col("set").alias("t")), "hub")
     j = j.select("bucket", "id", "n", "comp", "c", "cross", "low", (F.col("comp") == F.col("main")).alias("linked"), F.array_except("set", "t").alias("own"))
-    need = F.expr(f"({PERCENT} * (n + greatest(({PERCENT} * n + 99) div 100, low)) + {99 + PERCENT}) div {100 + PERCENT}") - (F.col("n") - F.size("own"))
+    need = F.expr(f"({percent} * (n + greatest(({percent} * n + 99) div 100, low)) + {99 + percent}) div {100 + percent}") - (F.col("n") - F.size("own"))
     j = written(j.withColumn("need", F.when(F.col("linked"), F.lit(1).cast("long")).otherwise(need)).drop("low"), "own")
     hard = j.where("need <= 0").select("bucket", "id", "n", "comp")
     words = j.where("need > 0").select("bucket", "id", "n", "comp", "c", "cross", "need", F.size("own").alias("k"), F.explode("own").alias("s"))
@@ -138,11 +138,11 @@ def rest_of_buckets(reps: DataFrame, least: DataFrame, sets_of) -> DataFrame | N
     return pairs.union(across(cheap, cheap, ["bucket", "s"])).union(across(hard.join(dear, "bucket", "left_anti"), many, ["bucket"])).union(across(whole, whole, ["bucket"])).distinct()
 
 
-def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row for each document: key, n_shingles, component_id, kept.
 
-    Documents are linked if their sets of five-word shingles have a similarity of 0.85 or
-    more; component_id is the least key of what a document is linked with over any path.
+    Documents are linked if their sets of five-word shingles have a similarity of percent / 100
+    or more; component_id is the least key of what a document is linked with over any path.
     Texts with equal sets form a class first and go on as one representative, so copies cost
     one row each and no pair. Candidates are confirmed on the full sets. All linked documents
     that share one of the 32 buckets get one component; hubs are tried first, then what they
@@ -167,12 +167,12 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
         sets = written(sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "sets")
         j = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
         both = F.size(F.array_intersect("x", "y"))
-        return written(j.where(100 * both >= PERCENT * (F.size("x") + F.size("y") - both)).select("a", "b"), "confirmed")
+        return written(j.where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b"), "confirmed")
 
-    pairs = written(candidates(reps), "pairs")
+    pairs = written(candidates(reps, percent), "pairs")
     links = confirmed(pairs)
     least = components(links)
-    rest = rest_of_buckets(reps, least, sets_of)
+    rest = rest_of_buckets(reps, least, sets_of, percent)
     if rest is not None:
         more = confirmed(written(rest.join(pairs, ["a", "b"], "left_anti"), "rest"))
         if not more.isEmpty():
@@ -184,4 +184,4 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
 
 
 def op6_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=OP6_PERCENT)

@@ -246,7 +246,16 @@ def test_near_duplicates_in_a_template_group(spark, kind):
         for i, j in links:
             comp[i] = comp[j] = min(comp[i], comp[j])
     own = spark.createDataFrame(list(t.items()), "doc_id long, text string").repartition(8)
-    assert len(set(comp.values())) > 100 and {r.doc_id: r.component_id for r in neardup.near_duplicates(own).collect()} == comp
+    assert len(set(comp.values())) > 100 and {r.doc_id: r.component_id for r in neardup.near_duplicates(own, percent=85).collect()} == comp
+
+
+def test_near_duplicates_from_80_to_85_percent(spark, tmp_path):
+    a = [f"v{i}" for i in range(104)]
+    rows = [(1, " ".join(a), "en", "s", 1), (2, " ".join([*a[:40], "other", *a[41:70], "other", *a[71:]]), "en", "s", 1)]  # 90 of 110 shingles
+    own = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    own.write.parquet(str(tmp_path / "documents.parquet"))
+    assert [r.doc_id for r in corpus_pipeline.near_duplicates(spark, own, str(tmp_path)).collect()] == [1]
+    assert sorted(r.component_id for r in neardup.op6_minhash_near_dedup(spark, str(tmp_path)).collect()) == [1, 2]
 
 
 def test_components_of_a_path(spark):
