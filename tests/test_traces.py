@@ -176,3 +176,13 @@ def test_sinks(spark, tmp_path):
     (tmp_path / "ids.txt").write_text("a\n\n# no\n b \n")
     got = {tuple(r) for f in ("p.json", "l.json") for r in archives.predictions(spark, str(tmp_path / f)).select("instance_id", "model_patch").collect()}
     assert got == {("i", "d"), ("j", "e")} and sorted(r.id for r in archives.ids(spark, str(tmp_path / "ids.txt")).collect()) == ["a", "b"]
+
+
+def test_recall_gold_holds_whole_items(spark, tmp_path):
+    from runloom.plans import text as plans
+
+    item = "one two three four five six seven eight nine ten"
+    spark.createDataFrame([(1, item), (2, "x" * 40), (3, "a\nlonger second line of an item that goes on")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = [(1, f"pre{item}post"), (2, item[:35]), (3, "y" + "x" * 41), (4, "in a\nlonger second line of an item that goes on"), (5, "none")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert sorted(map(tuple, plans._gold(spark, str(tmp_path)).collect())) == [(1, 1), (2, 3), (3, 4)]
