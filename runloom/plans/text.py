@@ -49,6 +49,17 @@ def _grep(s, d):
     return j.groupBy("conv_id", "keyword").agg(F.count(F.lit(1)).alias("n"), F.min("turn").alias("first_turn"))
 
 
+def _grep_full(s, d):
+    """The whole job: words of three letters or more of the first user turn, in every other turn but system ones; 0 where none has it."""
+    c = table(s, d, "conversations")
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    first = c.where("role = 'user'").withColumn("_n", F.row_number().over(w)).where("_n = 1")
+    words = first.select("conv_id", F.col("turn").alias("_issue"), F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda x: F.length(x) >= 3))).alias("keyword"))
+    t = c.where("role IS NULL OR role != 'system'").select(F.col("conv_id").alias("_c"), "turn", F.lower("text").alias("_t"))
+    j = words.join(t, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("turn") != F.col("_issue")) & F.col("_t").contains(F.col("keyword")), "left")
+    return j.groupBy("conv_id", "keyword").agg(F.count("turn").alias("n"), F.min("turn").alias("first_turn"))
+
+
 def _packing(s, d):
     o = table(s, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_quantity").cast("int").alias("q")))).alias("x"))
     return o.select("l_orderkey", F.array_join(X.greedy_packing(F.transform("x", lambda e: e["q"]), 60), ",").alias("taken"))
@@ -100,7 +111,7 @@ def _label_split(s, d):
 
 _WORDS = r"len(list_filter(string_split_regex(trim({c}), '\s+'), lambda x: x != ''))"
 QUERIES = {
-    "q_text_criteria": _criteria, "q_text_funnel": _funnel, "q_text_diff_summary": _diffs, "q_text_compaction": _compaction, "q_text_keyword_grep": _grep, "q_text_context_packing": _packing,
+    "q_text_criteria": _criteria, "q_text_funnel": _funnel, "q_text_diff_summary": _diffs, "q_text_compaction": _compaction, "q_text_keyword_grep": _grep, "q_text_keyword_grep_full": _grep_full, "q_text_context_packing": _packing,
     "q_retrieval_bm25": _bm25, "q_retrieval_recall": lambda s, d: retrieval.recall(_gold(s, d), _bm25(s, d), "item_id", "doc_id"),
     "q_sampling_shards": _shards, "q_text_label_split": _label_split,
     "q_sets_common_users": lambda s, d: table(s, d, "events").select(F.col("user_id").alias("id")).intersect(table(s, d, "customer").select(F.col("c_custkey").alias("id"))),

@@ -186,3 +186,12 @@ def test_recall_gold_holds_whole_items(spark, tmp_path):
     docs = [(1, f"pre{item}post"), (2, item[:35]), (3, "y" + "x" * 41), (4, "in a\nlonger second line of an item that goes on"), (5, "none")]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert sorted(map(tuple, plans._gold(spark, str(tmp_path)).collect())) == [(1, 1), (2, 3), (3, 4)]
+
+
+def test_keyword_grep_of_all_turns(spark, tmp_path):
+    from runloom.plans import text as plans
+
+    turns = [(1, 0, "system", "the bug"), (1, 1, "user", "Fix the bug, nowhere to"), (1, 2, "assistant", "a BUG"), (1, 3, "user", "fix this bug"), (2, 0, "user", "lonely")]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = sorted(map(tuple, plans.QUERIES["q_text_keyword_grep_full"](spark, str(tmp_path)).collect()))
+    assert got == [(1, "bug", 2, 2), (1, "fix", 1, 3), (1, "nowhere", 0, None), (1, "the", 0, None), (2, "lonely", 0, None)]
