@@ -1,4 +1,4 @@
-"""The lattice of all segmentations of a word into pieces: marginal probabilities and expected counts, for many words at once."""
+"""The lattice of all segmentations of a word into pieces: marginal probabilities of many words at once."""
 
 from __future__ import annotations
 
@@ -15,11 +15,11 @@ class WordLattice:
 
     Pieces that begin with ▁ open a word, all others go on with it; each class has weights
     that sum to 1. After each piece the word stops with probability q (not after a lone ▁).
-    A character outside the vocabulary takes the class's escape weight and 8 bits a byte. So
-    P sums to 1 over all words.
+    A character outside the vocabulary takes the class's escape weight and 8 bits a byte; as
+    not every byte sequence is a character, P sums to a little less than 1 over all words.
     """
 
-    def __init__(self, vocabulary: Vocabulary):
+    def __init__(self, vocabulary: Vocabulary, stop: float = 0.4):
         keep = [(p, vocabulary.weights[i]) for i, p in enumerate(vocabulary.pieces) if i in vocabulary.weights and SPACE not in p[1:] and p]
         opening = [(p, w) for p, w in keep if p[0] == SPACE]
         others = [(p, w) for p, w in keep if p[0] != SPACE]
@@ -27,8 +27,9 @@ class WordLattice:
         self.n_open = len(opening)
         self.longest = max(map(len, self.names))
         w = np.exp(np.array([w for _, w in opening + others] + [vocabulary.byte_weight]))
-        self.stop = 0.4
-        self.set(w)
+        a, b = w[: self.n_open], w[self.n_open :]
+        self.lp = np.log(np.concatenate([a / a.sum(), b / b.sum()]))
+        self.stop = stop
         # all beginnings of pieces by hash, with the piece that each is, or -1
         table = {p[:k]: -1 for p in self.names[:-1] for k in range(1, len(p))} | {p: i for i, p in enumerate(self.names[:-1])}
         keys = np.array([self._hash_one(p) for p in table], dtype=np.uint64)
@@ -37,13 +38,6 @@ class WordLattice:
         # where the keys of each value of the high bits begin: most values have one key at most
         self.shift = np.uint64(64 - (len(keys).bit_length() + 3))
         self.begin = np.searchsorted(self.keys >> self.shift, np.arange((1 << int(64 - self.shift)) + 1, dtype=np.uint64)).astype(np.int32)
-        self.lone = self.names.index(SPACE)
-
-    def set(self, weights: np.ndarray, floor: float = 0.0) -> None:
-        """Weights of the pieces, made to sum to 1 in each class."""
-        w = weights + floor
-        a, b = w[: self.n_open], w[self.n_open :]
-        self.lp = np.log(np.concatenate([a / a.sum(), b / b.sum()]))
 
     @staticmethod
     def _hash_one(p: str) -> int:
@@ -68,25 +62,20 @@ class WordLattice:
             todo, at = todo[more], at[more] + 1
         return alive, found
 
-    def run(self, words: list[str], weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None, tuple[float, float]]:
-        """Natural log P of each word; with weights, also the expected count of each piece, and of pieces and of words."""
+    def run(self, words: list[str]) -> np.ndarray:
+        """Natural log P of each word."""
         out = np.zeros(len(words))
-        expected = np.zeros(len(self.lp)) if weights is not None else None
-        pieces = stops = 0.0
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         for n in np.unique(lengths):
             own = np.flatnonzero(lengths == n)
             step = max(1, (1 << 18) // int(n))
             for k in range(0, len(own), step):
                 part = own[k : k + step]
-                z, p = self._same_length([words[i] for i in part.tolist()], int(n) + 1, None if weights is None else weights[part], expected)
-                out[part] = z
-                if weights is not None:
-                    pieces += p
-                    stops += weights[part].sum()
-        return out, expected, (pieces, stops)
+                out[part] = self._same_length([words[i] for i in part.tolist()], int(n) + 1)
+        return out
 
-    def _same_length(self, words: list[str], n: int, c: np.ndarray | None, expected: np.ndarray | None):
+    def _same_length(self, words: list[str], n: int) -> np.ndarray:
+        """The forward recursion over places, for words of n - 1 characters at once."""
         codes = np.empty((len(words), n), dtype=np.uint64)
         codes[:, 0] = ord(SPACE)
         codes[:, 1:] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(len(words), n - 1)
@@ -95,7 +84,6 @@ class WordLattice:
         escape = len(self.lp) - 1
         alpha = np.full((n + 1, len(words)), -np.inf)
         alpha[0] = 0
-        edges = []
         for i in range(n):
             on = np.flatnonzero(alpha[i] > -np.inf)
             h = np.zeros(len(on), dtype=np.uint64)
@@ -112,21 +100,7 @@ class WordLattice:
                     if i and j == i + 1:
                         w = w - np.where(own == escape, size[k, i], 0.0)
                     alpha[j, k] = np.logaddexp(alpha[j, k], alpha[i, k] + w)
-                    if c is not None:
-                        edges.append((i, j, k, own, w))
                 on, h = on[alive], h[alive]
                 if not len(on):
                     break
-        z = alpha[n] + end
-        if c is None:
-            return z, 0.0
-        beta = np.full((n + 1, len(words)), -np.inf)
-        beta[n] = end
-        total = 0.0
-        for i, j, on, own, w in sorted(edges, key=lambda e: (-e[0], -e[1])):
-            x = w + beta[j, on]
-            post = np.exp(alpha[i, on] + x - z[on]) * c[on]
-            expected += np.bincount(own, post, len(expected))
-            total += post.sum() - (post[own == self.lone].sum() if i == 0 else 0.0)
-            beta[i, on] = np.logaddexp(beta[i, on], x)
-        return z, total
+        return alpha[n] + end

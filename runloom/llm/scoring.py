@@ -19,8 +19,6 @@ from runloom.llm.vocabulary import PATH, load
 #: Words of the broadcast part of the model; all others are joined.
 HEAD = 1 << 17
 _LN10 = math.log(10)
-#: Concentrations of the mixture over how strongly a document repeats its own words; infinity is none.
-ALPHAS = (10.0, 100.0, 1000.0, 10000.0, math.inf)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -43,82 +41,49 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from rows(train, rest)
 
 
-def _expected(model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, total, sums = model.value, 0.0, np.zeros(2)
-        for batch in batches:
-            words = [w.decode("utf-8", "replace") for w in batch.column(0).to_pylist()]
-            if words:
-                _, e, s = lattice.run(words, np.asarray(batch.column(1), dtype=float))
-                total, sums = total + e, sums + s
-        if sums[1]:
-            some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array([*some.tolist(), -1, -2], pa.int64()), pa.array([*total[some].tolist(), *sums.tolist()])], names=["piece", "x"])
-
-    return run
-
-
 def _weighed(model, words: float, distinct: float, discount: float):
-    """log10 of each word's probability: its discounted share, and the discount's mass over all words by the lattice."""
+    """log10 of each word's probability: over all segmentations into pieces alone, and with the word's own arc."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = model.value
         for batch in batches:
             own = batch.column(0).to_pylist()
-            lp = lattice.run([w.decode("utf-8", "replace") for w in own])[0]
-            c = np.asarray(batch.column(1), dtype=float)
-            # the lattice's part is kept in logs: it may be below what a double holds
-            part = lp + math.log(discount * distinct / words) if words else lp + math.log(0.5)
-            seen = np.log(np.maximum(c - discount, 1e-300) / words) if words else np.full(len(c), -np.inf)
-            p = np.where(c > 0, np.logaddexp(np.where(c > 0, seen, -np.inf), part), part) / _LN10
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(p)], names=["word", "c", "n", "lp"])
+            lp = lattice.run([w.decode("utf-8", "replace") for w in own])
+            arc, rest = word_arcs(np.asarray(batch.column(1), dtype=float), words, distinct, discount)
+            both = np.logaddexp(arc, lp + rest)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(both / _LN10), pa.array(lp / _LN10)], names=["word", "c", "n", "lp", "lv"])
 
     return run
 
 
+def word_arcs(c: np.ndarray, words: float, distinct: float, discount: float) -> tuple[np.ndarray, float]:
+    """Natural logs of the weight of the arc that spans a whole training word, and of what is left for the paths of pieces.
+
+    The arc has the word's share of the training words, less an absolute discount; the
+    discounts of all distinct words are the weight of the pieces' paths. -inf: no arc.
+    """
+    if not words:
+        return np.full(len(c), -np.inf), 0.0
+    with np.errstate(divide="ignore"):
+        return np.log(np.maximum(c - discount, 0.0) / words), math.log(discount * distinct / words)
+
+
 class _Head(dict):
     def __missing__(self, word: bytes) -> int:
         return -1
 
 
-_ROWS = "row long, sums struct<id: long, out: boolean, tokens: long, known: long, base: double, scores: array<double>>, word binary, tf long"
+_ROWS = "row long, sums struct<id: long, out: boolean, tokens: long, known: long, base: double, score: double, pieces: double>, word binary, tf long"
 
 
-def _urn(keys: np.ndarray, n: int, sizes: np.ndarray, lp: np.ndarray, word: float) -> np.ndarray:
-    """For each document and concentration, the sum over its words of log10(a P + earlier uses) - log10(a + earlier words).
-
-    Keys are document * len(lp) + word; words of number len(lp) - 1 are left out but for the
-    divisor. P is 10^lp made to sum to 1 over words, each of which costs `word` besides.
-    """
-    keys = np.sort(keys)
-    of, ids = keys // len(lp), keys % len(lp)
-    lead = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, dtype=bool)
-    at = np.arange(len(keys))
-    earlier = at - np.maximum.accumulate(np.where(lead, at, 0))
-    own = ids < len(lp) - 1
-    again = np.flatnonzero(own & ~lead)
-    p = 10 ** (lp[ids[again]] - word)
-    static = np.bincount(of, np.where(own, lp[ids], 0.0), n)
-    first = np.bincount(of, np.where(own & lead, lp[ids] - word, 0.0), n)
-    firsts = np.bincount(of, own & lead, n)
-    out = np.empty((n, len(ALPHAS)))
-    longest = int(sizes.max()) if n else 0
-    for i, a in enumerate(ALPHAS):
-        if a == math.inf:
-            out[:, i] = static
-        else:
-            falls = np.cumsum(np.append(0.0, np.log10(a + np.arange(longest))))
-            out[:, i] = first + firsts * math.log10(a) + np.bincount(of[again], np.log10(a * p + earlier[again]), n) - falls[sizes] + sizes * word
-    return out
-
-
-def _scored(head, word: float):
+def _scored(head):
     """A document's sums over the words of the head, and a row for each other word of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, c, lp = head.value
+        words, c, lp, lv = head.value
         index = _Head(zip(words, range(len(words)), strict=True))
-        base, lp, known = np.append(np.log10(c + 0.5), 0.0), np.append(lp, 0.0), np.append(c > 0, False)
+        # the last number stands for words outside the head: they add nothing here
+        base, lp, lv, known = np.append(np.log10(c + 0.5), 0.0), np.append(lp, 0.0), np.append(lv, 0.0), np.append(c > 0, False)
         get = index.__getitem__
         for batch, texts in text_runs(batches, 3):
             docs = [t.lower().split() for t in texts]
@@ -126,8 +91,6 @@ def _scored(head, word: float):
             ids = np.fromiter(map(get, chain.from_iterable(docs)), np.int32, int(sizes.sum()))
             of = np.repeat(np.arange(len(docs)), sizes)
             add = lambda x: np.bincount(of, x[ids], len(docs)).astype(float)  # noqa: E731, B023 (counts of nothing are whole numbers)
-            b, k = add(base), add(known).astype(np.int64)
-            s = _urn(of * len(lp) + ids % len(lp), len(docs), sizes, lp, word)
             at = np.cumsum(np.append(0, sizes))
             rows, own, tf, lead = [], [], [], []
             number = batch.column(0).to_pylist()
@@ -141,31 +104,33 @@ def _scored(head, word: float):
             lead = np.array(lead)
             none = lead < 0
             take = np.where(none, 0, lead)
-            fields = [("id", batch.column(1).take(pa.array(take))), ("out", batch.column(2).take(pa.array(take))), ("tokens", pa.array((sizes + 1)[take])), ("known", pa.array(k[take])), ("base", pa.array(b[take])), ("scores", pa.FixedSizeListArray.from_arrays(pa.array(s[take].reshape(-1)), len(ALPHAS)).cast(pa.list_(pa.float64())))]
+            numbers = [("tokens", sizes + 1), ("known", add(known).astype(np.int64)), ("base", add(base)), ("score", add(lp)), ("pieces", add(lv))]
+            fields = [("id", batch.column(1).take(pa.array(take))), ("out", batch.column(2).take(pa.array(take))), *((n, pa.array(x[take])) for n, x in numbers)]
             sums = pa.StructArray.from_arrays([x for _, x in fields], names=[n for n, _ in fields], mask=pa.array(none))
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), sums, pa.array(own, pa.binary()), pa.array(tf, pa.int64())], names=["row", "sums", "word", "tf"])
 
     return run
 
 
-def lm_scores(docs: DataFrame, held_out, *, key: str = "doc_id", text: str = "text", vocabulary: str = PATH, rounds: int = 2, head: int = HEAD) -> DataFrame:
-    """One row for each document: key, held_out, n_tokens, n_known, train_tokens, base_score, score.
+def lm_scores(docs: DataFrame, held_out, *, key: str = "doc_id", text: str = "text", vocabulary: str = PATH, head: int = HEAD) -> DataFrame:
+    """One row for each document: key, held_out, n_tokens, n_known, train_tokens, base_score, score, pieces_score.
 
-    Tokens are words (A-Z lower-cased, split at ASCII white space) and an end. The model is
-    learned from documents for which the column held_out is false. A word's probability is
-    that of all its segmentations into pieces of an existing vocabulary, whose scores start
-    the weights and which expected counts over the training words adjust `rounds` times; a
-    training word also has an arc of its own through the lattice, with its absolutely
-    discounted share. A document then repeats its own words: after t words of which k were
-    this one, its probability is (a P + k) / (a + t), and the score is the log10 of the even
-    mixture over the concentrations ALPHAS. So it is that of a proper distribution over whole
-    texts. base_score is the additively smoothed unigram score.
+    Tokens are words (A-Z lower-cased, split at ASCII white space) and an end. A word's
+    probability is the sum over all paths through its lattice: every segmentation into pieces
+    of an existing vocabulary, weighted by that vocabulary's scores, and for a word of the
+    training documents (those for which the column held_out is false) one more arc, over the
+    whole word, with its discounted share of their words. A text is its words in order, each
+    followed by an end or not, so `score` is the log10 of the marginal probability over all
+    paths of the whole text. pieces_score is the same without the words' own arcs: the
+    vocabulary's scores alone. base_score is the additively smoothed unigram score.
 
-    Counts are of all documents and are never cut off: the `head` most frequent words are
-    broadcast, which bounds that by a number of words, and all others are joined.
+    Each distinct word goes through the lattice once, one forward pass in log space. Counts
+    are of all documents and are never cut off: the `head` most frequent words are broadcast,
+    which bounds that by a number of words, and all others are joined.
 
-    A null text is empty; an empty text is an end. A null key is scored like any other. An
-    empty table gives no rows; without training documents words have their lattice weight.
+    A null text is empty; an empty text is an end. A null key is scored like any other.
+    Repeated rows are scored each by itself. An empty table gives no rows; without training
+    documents words have their pieces' weight. Other columns of docs are not looked at.
     """
     spark = docs.sparkSession
     rows = small_batches(docs).select(F.col(key).cast("long").alias("id"), F.coalesce(held_out, F.lit(False)).alias("out"), F.col(text).alias("text"))
@@ -176,34 +141,22 @@ def lm_scores(docs: DataFrame, held_out, *, key: str = "doc_id", text: str = "te
         F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.coalesce(F.sum(F.when(is_end, F.col("c"))), F.lit(0)).alias("ends"),
         F.count_if((F.col("c") > 0) & ~is_end).alias("words"), F.count_if((F.col("c") == 1) & ~is_end).alias("n1"), F.count_if((F.col("c") == 2) & ~is_end).alias("n2"),
     ).first()
-    discount = min(0.9, max(0.1, t.n1 / (t.n1 + 2 * t.n2) if t.n1 else 0.5))
-    plain = counts.where(~is_end)
-    lattice = WordLattice(load(vocabulary))
-    for _ in range(rounds if t.words else 0):
-        # types, not tokens, as the lattice serves words that are rare or new
-        sums = plain.where("c > 0").select("word", F.log1p("c").alias("w")).mapInArrow(_expected(spark.sparkContext.broadcast(lattice)), "piece long, x double").groupBy("piece").agg(F.sum("x").alias("x"))
-        got = {r.piece: r.x for r in sums.collect()}  # a row for each piece of the vocabulary at most
-        lattice = WordLattice(load(vocabulary))
-        prior = np.exp(lattice.lp)
-        weights = np.array([got.get(i, 0.0) for i in range(len(lattice.lp))])
-        lattice.set(weights + prior * max(10.0, 0.001 * weights.sum()))
-        lattice.stop = min(0.99, max(0.01, got[-2] / max(got[-1], got[-2] + 1e-9)))
-    model = spark.sparkContext.broadcast(lattice)
-    weighed = written(plain.mapInArrow(_weighed(model, float(t.n) if t.words else 0.0, float(t.words), discount), "word binary, c long, n long, lp double"), "weighed")
-    top = weighed.orderBy(F.desc("n"), "word").limit(head).select("word", "c", "lp").toArrow()
-    top = spark.sparkContext.broadcast((top.column("word").to_pylist(), np.asarray(top.column("c"), dtype=float), np.asarray(top.column("lp"), dtype=float)))
+    discount = discount_of(t.n1, t.n2)
+    model = spark.sparkContext.broadcast(WordLattice(load(vocabulary)))
+    weighed = counts.where(~is_end).mapInArrow(_weighed(model, float(t.n - t.ends), float(t.words), discount), "word binary, c long, n long, lp double, lv double")
+    weighed = written(weighed, "weighed")
+    top = weighed.orderBy(F.desc("n"), "word").limit(head).select("word", "c", "lp", "lv").toArrow()
+    top = spark.sparkContext.broadcast((top.column("word").to_pylist(), *(np.asarray(top.column(k), dtype=float) for k in ("c", "lp", "lv"))))
     stop = t.ends / t.n if t.words else 0.5
-    word = math.log10(1 - stop)
-    parts = rows.select(F.monotonically_increasing_id().alias("row"), "id", "out", "text").mapInArrow(_scored(top, word), _ROWS)
-    j = parts.join(weighed.select("word", "c", "lp"), "word", "left")
-    known = F.when(F.col("c") > 0, F.col("tf")).otherwise(0)
-    later = lambda a: F.when(F.col("tf") > 1, F.aggregate(F.sequence(F.lit(1).cast("long"), F.col("tf") - 1), F.lit(0.0), lambda x, k: x + F.log10(a * F.pow(F.lit(10.0), F.col("lp") - word) + k))).otherwise(0.0)
-    tails = [F.col("tf") * F.col("lp") if a == math.inf else F.col("lp") - word + math.log10(a) + later(a) for a in ALPHAS]
-    tails = [F.sum(F.when((F.col("tf") > 0) & F.col("lp").isNotNull(), x).otherwise(0.0)).alias(f"s{i}") for i, x in enumerate(tails)]
-    j = j.groupBy("row").agg(F.max("sums").alias("s"), F.sum(known).alias("known"), F.sum(F.col("tf") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("base"), *tails)
-    j = j.withColumn("by", F.array(*[F.col("s.scores")[i] + F.col(f"s{i}") for i in range(len(ALPHAS))])).withColumn("most", F.array_max("by"))
-    mixed = F.col("most") + F.log10(F.aggregate("by", F.lit(0.0), lambda x, y: x + F.pow(F.lit(10.0), y - F.col("most")))) - math.log10(len(ALPHAS))
+    parts = rows.select(F.monotonically_increasing_id().alias("row"), "id", "out", "text").mapInArrow(_scored(top), _ROWS)
+    j = parts.join(weighed.select("word", "c", "lp", "lv"), "word", "left")
+    tail = lambda x: F.sum(F.col("tf") * F.coalesce(x, F.lit(0.0)))
+    j = j.groupBy("row").agg(
+        F.max("sums").alias("s"), F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("known"),
+        tail(F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("base"), tail(F.col("lp")).alias("score"), tail(F.col("lv")).alias("pieces"),
+    )
     norm = math.log10(t.n + 0.5 * (t.v + 1))
+    ends = (F.col("s.tokens") - 1) * math.log10(1 - stop) + math.log10(stop)
     return j.select(
         F.col("s.id").alias(key),
         F.col("s.out").alias("held_out"),
@@ -211,10 +164,16 @@ def lm_scores(docs: DataFrame, held_out, *, key: str = "doc_id", text: str = "te
         (F.col("s.known") + F.col("known") + int(t.ends > 0)).alias("n_known"),
         F.lit(t.n).cast("long").alias("train_tokens"),
         (F.col("s.base") + F.col("base") + math.log10(t.ends + 0.5) - F.col("s.tokens") * norm).alias("base_score"),
-        (mixed + math.log10(stop)).alias("score"),
+        (F.col("s.score") + F.col("score") + ends).alias("score"),
+        (F.col("s.pieces") + F.col("pieces") + ends).alias("pieces_score"),
     )
 
 
+def discount_of(once: int, twice: int) -> float:
+    """The absolute discount, from how many words were seen once and twice."""
+    return min(0.9, max(0.1, once / (once + 2 * twice) if once else 0.5))
+
+
 def crc_fold(key: str, folds: int):
     """crc32 of the key as text, modulo folds; of a null key 0."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % folds

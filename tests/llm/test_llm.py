@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -79,25 +80,52 @@ def test_scores_against_counts(spark, docs):
         assert (g.held_out, g.n_tokens, g.n_known, g.train_tokens) == (held[i], len(ws), sum(c[w] > 0 for w in ws), n)
         assert g.base_score == pytest.approx(sum(np.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws), rel=1e-9)
         assert g.score < 0 and g.score == pytest.approx(again[i], rel=1e-9)
-    assert scoring.lm_scores(empty(spark), F.lit(False)).count() == 0
+    assert scoring.lm_scores(empty(spark), F.lit(False)).count() == 0 and scoring.lm_scores(with_null_key(spark, docs), out).count() == len(got) + 2
     assert all(r.score < 0 for r in scoring.lm_scores(docs, F.lit(True)).collect())
 
 
+def word_paths(lat, word):
+    """Natural log of the sum over all segmentations of a word, each path by itself."""
+    s, go, stop = SPACE + word, np.log1p(-lat.stop), np.log(lat.stop)
+    index = {p: i for i, p in enumerate(lat.names[:-1])}
+
+    def paths(at):
+        if at == len(s):
+            return [stop]
+        out = []
+        for to in range(at + 1, len(s) + 1):
+            i = index.get(s[at:to])
+            w = lat.lp[i] if i is not None else lat.lp[-1] - np.log(256) * len(s[at:to].encode()) if at and to == at + 1 else None
+            if w is not None:
+                out += [w + (go if at > 1 else 0) + x for x in paths(to)]
+        return out
+
+    return np.logaddexp.reduce(paths(0))
+
+
 @pytest.mark.parametrize("head", [2, 1000])
-def test_scores_are_a_mixture_of_urns(spark, docs, head):
-    doc = "w1 zzq w1 zzq zzq w2 w1 never".split()
-    rows = [(1000 + i, t) for i, t in enumerate([*sorted(set(doc)), " ".join(doc), ""])]
-    own = docs.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string"))
-    got = {r.doc_id: r.score for r in scoring.lm_scores(own, F.col("doc_id") >= 1000, head=head).collect()}
-    end = 10 ** got[1000 + len(rows) - 1]
-    p = {w: 10 ** got[1000 + i] / end / (1 - end) for i, w in enumerate(sorted(set(doc)))}
-    by = []
-    for a in scoring.ALPHAS:
-        x = end
-        for t, w in enumerate(doc):
-            x *= (1 - end) * (p[w] if a == np.inf else (a * p[w] + doc[:t].count(w)) / (a + t))
-        by.append(x)
-    assert got[1000 + len(rows) - 2] == pytest.approx(np.log10(np.mean(by)), rel=1e-9)
+def test_scores_are_marginals_of_whole_texts(spark, head):
+    lat = lattice.WordLattice(load())
+    train = ["the thing the end", "The", "", None, "étage zzq the\tthing"]
+    own = spark.createDataFrame([(i, t, "x") for i, t in enumerate([*train, "the zzq never 日本", "thing", "", None])], "doc_id long, text string, word string")
+    got = {r.doc_id: r for r in scoring.lm_scores(own, F.col("doc_id") >= len(train), head=head).collect()}
+    c = Counter(w for t in train for w in split(t and t.lower()))
+    n, ends = sum(c.values()), len(train)
+    d = scoring.discount_of(*(sum(x == k for x in c.values()) for k in (1, 2)))
+    stop = ends / (n + ends)
+
+    def text_paths(words, arcs):
+        by = []  # log weights of each word's paths, own arc included
+        for w in words:
+            x = word_paths(lat, w.decode())
+            by.append([x + np.log(d * len(c) / n), *([np.log((c[w] - d) / n)] if c[w] else [])] if arcs else [x])
+        total = np.logaddexp.reduce([sum(p) for p in itertools.product(*by)])
+        return (total + len(words) * np.log(1 - stop) + np.log(stop)) / np.log(10)
+
+    for r in own.collect():
+        words = split(r.text and r.text.lower())
+        assert got[r.doc_id].score == pytest.approx(text_paths(words, True), rel=1e-9)
+        assert got[r.doc_id].pieces_score == pytest.approx(text_paths(words, False), rel=1e-9)
 
 
 def test_scores_learned_from_empty_texts(spark):
@@ -107,28 +135,9 @@ def test_scores_learned_from_empty_texts(spark):
 
 def test_lattice_against_all_segmentations():
     lat = lattice.WordLattice(load())
-
-    def brute(word):
-        s, go, stop = SPACE + word, np.log1p(-lat.stop), np.log(lat.stop)
-        index = {p: i for i, p in enumerate(lat.names[:-1])}
-
-        def paths(at):
-            if at == len(s):
-                return [stop]
-            out = []
-            for to in range(at + 1, len(s) + 1):
-                i = index.get(s[at:to])
-                w = lat.lp[i] if i is not None else lat.lp[-1] - np.log(256) * len(s[at:to].encode()) if at and to == at + 1 else None
-                if w is not None:
-                    out += [w + (go if at > 1 else 0) + x for x in paths(to)]
-            return out
-
-        return np.logaddexp.reduce(paths(0))
-
     words = ["the", "a", "thing", "étage", "日本", "zzz", "therein"]
-    z, e, (n, k) = lat.run(words, np.ones(len(words)))
-    assert np.allclose(z, [brute(w) for w in words], rtol=1e-12)
-    assert np.allclose(lat.run(["the"] * 3 + ["thing"])[0][3], brute("thing")) and k == len(words) and n >= k
+    assert np.allclose(lat.run(words), [word_paths(lat, w) for w in words], rtol=1e-12)
+    assert lat.run(["x" * 3000])[0] < lat.run(["x" * 300])[0] < 0 and len(lat.run([])) == 0
 
 
 def test_automaton_and_language(spark, docs):
