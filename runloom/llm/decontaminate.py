@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runloom.llm.base import broadcast_if_small, table, written
+from runloom.llm.base import broadcast_if_small, bytes_of, table, written
 
 WINDOW = 13
 #: What stands between words: ASCII characters other than letters and digits.
 _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: The most bytes of windows that are broadcast.
+_BROADCAST = 64 << 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -24,8 +26,12 @@ def _words(text: Column) -> Column:
 
 
 def _folded(text: Column) -> Column:
-    """The same words with every letter lower-cased: equal exact words have equal folded ones, and this is much faster."""
-    return _split(F.lower(text))
+    """The same words with every letter lower-cased, which is much faster.
+
+    Equal exact words have equal folded ones wherever they stand: the one lower-casing that
+    looks at a letter's neighbours is that of the Greek capital sigma, and final sigmas go.
+    """
+    return _split(F.replace(F.lower(text), F.lit("\u03c2"), F.lit("\u03c3")))
 
 
 def benchmark_windows(items: DataFrame, *, item: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -44,34 +50,43 @@ def contamination(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", tex
     Words are ordered by their count over all documents, ties by themselves. A document's
     words are joined with these prefix words; the word's position fixes where the window
     would start, and it must fit between the document's ends (position and length bound).
-    What is left is compared with the document's words one by one.
+    The words there are then compared with the window's, letter for letter, in the same scan:
+    only windows that do occur are shuffled, and no text is.
 
-    The benchmark's windows are broadcast up to a checked size, else both sides are shuffled.
+    The windows by their prefix words are broadcast if they take up to 64 MB; else the
+    documents' words meet them by a shuffle, and texts with a candidate are looked up again.
     A null text has no words and isn't contaminated. A null item id marks words as hit but
-    has no id to list. Documents that agree in key and text have equal results.
+    has no id to list. Documents that agree in key and text have equal results. Empty tables
+    of documents give no rows, of items no hits; other columns are not looked at.
     """
     wins = written(benchmark_windows(items, item=item, text=item_text, window=window), "windows")
-    vocab = written(wins.select(F.explode("words").alias("_exact")).distinct().select("_exact", F.lower("_exact").alias("_word")), "vocab")
-    seen = docs.select(F.explode(_folded(F.col(text))).alias("_word")).join(broadcast_if_small(vocab.select("_word").distinct(), 16 << 20), "_word").groupBy("_word").agg(F.count(F.lit(1)).alias("_n"))
-    seen = written(vocab.join(seen, "_word", "left").select("_exact", "_word", F.coalesce("_n", F.lit(0)).alias("_n")), "rarity")
-    at = wins.select("words", "items", F.posexplode("words").alias("_p", "_exact")).join(seen, "_exact")
-    prefix = written(at.groupBy("words").agg(F.min(F.struct("_n", "_word", "_p")).alias("_r"), F.first("items").alias("items")).select("words", "items", "_r._word", "_r._p"), "prefix")
+    at = wins.select("words", "items", F.posexplode("words").alias("_p", "_exact")).withColumn("_word", F.element_at(_folded(F.col("_exact")), 1))
+    vocab = written(at.select("_word").distinct(), "vocab")
+    seen = docs.select(F.explode(_folded(F.col(text))).alias("_word")).join(broadcast_if_small(vocab, 16 << 20), "_word").groupBy("_word").agg(F.count(F.lit(1)).alias("_n"))
+    seen = written(vocab.join(seen, "_word", "left").select("_word", F.coalesce("_n", F.lit(0)).alias("_n")), "rarity")
+    prefix = at.join(seen, "_word").groupBy("words").agg(F.min(F.struct("_n", "_word", "_p")).alias("_r"), F.first("items").alias("items"))
+    prefix = written(prefix.select("_r._word", "_r._p", F.size("words").alias("_size"), F.array_join("words", " ").alias("_window"), "items"), "prefix")
 
     ids = [F.col(key).alias("_key"), F.xxhash64(text).alias("_h")]
-    places = docs.select(*ids, F.posexplode(_folded(F.col(text))).alias("_at", "_word"))
-    found = places.join(broadcast_if_small(prefix, 16 << 20), "_word").withColumn("_start", F.col("_at") - F.col("_p"))
-    found = found.where(F.col("_start") >= 0)
-    found = found.groupBy("_key", "_h").agg(F.collect_set(F.struct("_start", "words", "items")).alias("_found"))
-    found = found.select(F.col("_key").alias("_k2"), F.col("_h").alias("_h2"), "_found")
-
-    both = docs.select(*ids, F.col(text).alias("_text")).hint("merge").join(found, F.col("_key").eqNullSafe(F.col("_k2")) & (F.col("_h") == F.col("_h2")), "left")
-    # bound to a lambda's variable, the words are made once for a document, not once for each candidate
-    match = F.element_at(F.transform(F.array(_words(F.col("_text"))), lambda w: F.filter("_found", lambda c: (c["_start"] + F.size(c["words"]) <= F.size(w)) & (F.slice(w, c["_start"] + 1, F.size(c["words"])) == c["words"]))), 1)
-    hits = F.when(F.col("_found").isNotNull(), match).otherwise(F.array().cast(found.schema["_found"].dataType))
-    both = both.select("_key", F.coalesce(F.size(_split(F.col("_text"))), F.lit(0)).cast("long").alias("n_words"), hits.alias("_hits"))
-    covered = F.array_distinct(F.flatten(F.transform("_hits", lambda c: F.sequence(c["_start"], c["_start"] + F.size(c["words"]) - 1))))
-    both = both.select("_key", "n_words", F.size(covered).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.transform("_hits", lambda c: c["items"])))).alias("items"))
-    return both.select(F.col("_key").alias(key), "n_words", "n_hit", "items", ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+    small = bytes_of(prefix) <= _BROADCAST
+    both = docs.select(*ids, _split(F.col(text)).alias("_w"), _folded(F.col(text)).alias("_f"))
+    if small:
+        # the arrays only pass through: they are read for candidates, and not copied for each word
+        found = both.select("_key", "_h", "_w", F.posexplode("_f").alias("_at", "_word")).join(F.broadcast(prefix), "_word")
+    else:
+        places = both.select("_key", "_h", F.posexplode("_f").alias("_at", "_word")).join(prefix, "_word").select("_key", "_h", "_at", "_p", "_size", "_window", "items")
+        places = written(places.where((F.col("_at") >= F.col("_p"))), "candidates")
+        found = places.join(both.select(F.col("_key").alias("_k2"), F.col("_h").alias("_h2"), "_w"), F.col("_key").eqNullSafe(F.col("_k2")) & (F.col("_h") == F.col("_h2")))
+    start = F.col("_at") - F.col("_p")
+    found = found.where((start >= 0) & (start + F.col("_size") <= F.size("_w")))
+    found = found.where(F.translate(F.array_join(F.slice("_w", start + 1, F.col("_size")), " "), _UPPER, _LOWER) == F.col("_window"))
+    hits = found.select("_key", "_h", start.alias("_start"), "_size", "items").groupBy("_key", "_h").agg(F.collect_set(F.struct("_start", "_size")).alias("_hits"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("_items"))
+    covered = F.array_distinct(F.flatten(F.transform("_hits", lambda c: F.sequence(c["_start"], c["_start"] + c["_size"] - 1))))
+    hits = hits.select(F.col("_key").alias("_k2"), F.col("_h").alias("_h2"), F.size(covered).cast("long").alias("_n_hit"), F.array_sort("_items").alias("_items"))
+    out = docs.select(*ids, F.coalesce(F.size(_split(F.col(text))), F.lit(0)).cast("long").alias("n_words"))
+    out = out.join(hits, F.col("_key").eqNullSafe(F.col("_k2")) & (F.col("_h") == F.col("_h2")), "left")
+    out = out.select("_key", "n_words", F.coalesce("_n_hit", F.lit(0)).alias("n_hit"), F.coalesce("_items", F.array().cast("array<string>")).alias("items"))
+    return out.select(F.col("_key").alias(key), "n_words", "n_hit", "items", ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
 def op4_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -165,6 +165,15 @@ def test_automaton_and_language(spark, docs):
     assert language.detect(docs, language.training_rows(docs)).count() == docs.count()
 
 
+@pytest.mark.parametrize("broadcast", [64 << 20, -1])
+def test_contamination_in_other_letters(spark, broadcast, monkeypatch):
+    monkeypatch.setattr(decontaminate, "_BROADCAST", broadcast)
+    b = spark.createDataFrame([(1, "ΟΔΟΣ"), (2, "İstanbul"), (3, "Éa B")], "item_id long, text string")
+    d = spark.createDataFrame([(1, "x ΟΔΟΣ'Α y"), (2, "ΟΔΟΣ.x.y"), (3, "οδος"), (4, "in İstanbul, k"), (5, "Éa-b éa B"), (6, "ΟΔΟΣΑ"), (None, "ΟΔΟΣ"), (None, "ΟΔΟΣ")], "doc_id long, text string")
+    got = sorted(((r.doc_id or 0, r.n_words, r.n_hit, r["items"]) for r in decontaminate.contamination(d, b).collect()))
+    assert got == [(0, 1, 1, ["1"]), (0, 1, 1, ["1"]), (1, 4, 1, ["1"]), (2, 3, 1, ["1"]), (3, 1, 0, []), (4, 3, 1, ["2"]), (5, 4, 2, ["3"]), (6, 1, 0, [])]
+
+
 def test_contamination_against_brute_force(spark, docs):
     t = texts(docs)
     long = next(x for x in t.values() if x and len(x.split()) > 2000).split()
