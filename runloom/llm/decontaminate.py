@@ -62,7 +62,7 @@ def contamination(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", tex
     wins = written(benchmark_windows(items, item=item, text=item_text, window=window), "windows")
     at = wins.select("words", "items", F.posexplode("words").alias("_p", "_exact")).withColumn("_word", F.element_at(_folded(F.col("_exact")), 1))
     vocab = written(at.select("_word").distinct(), "vocab")
-    seen = docs.select(F.explode(_folded(F.col(text))).alias("_word")).join(broadcast_if_small(vocab, 16 << 20), "_word").groupBy("_word").agg(F.count(F.lit(1)).alias("_n"))
+    seen = docs.select(F.explode_outer(_folded(F.col(text))).alias("_word")).join(broadcast_if_small(vocab, 16 << 20), "_word").groupBy("_word").agg(F.count(F.lit(1)).alias("_n"))
     seen = written(vocab.join(seen, "_word", "left").select("_word", F.coalesce("_n", F.lit(0)).alias("_n")), "rarity")
     prefix = at.join(seen, "_word").groupBy("words").agg(F.min(F.struct("_n", "_word", "_p")).alias("_r"), F.first("items").alias("items"))
     prefix = written(prefix.select("_r._word", "_r._p", F.size("words").alias("_size"), F.array_join("words", " ").alias("_window"), "items"), "prefix")
@@ -71,10 +71,11 @@ def contamination(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", tex
     small = bytes_of(prefix) <= _BROADCAST
     both = docs.select(*ids, _split(F.col(text)).alias("_w"), _folded(F.col(text)).alias("_f"))
     if small:
-        # the arrays only pass through: they are read for candidates, and not copied for each word
-        found = both.select("_key", "_h", "_w", F.posexplode("_f").alias("_at", "_word")).join(F.broadcast(prefix), "_word")
+        # The arrays only pass through: they are read for candidates, and not copied for each
+        # word. Outer, as else a filter is inferred that splits each text once more.
+        found = both.select("_key", "_h", "_w", F.posexplode_outer("_f").alias("_at", "_word")).join(F.broadcast(prefix), "_word")
     else:
-        places = both.select("_key", "_h", F.posexplode("_f").alias("_at", "_word")).join(prefix, "_word").select("_key", "_h", "_at", "_p", "_size", "_window", "items")
+        places = both.select("_key", "_h", F.posexplode_outer("_f").alias("_at", "_word")).join(prefix, "_word").select("_key", "_h", "_at", "_p", "_size", "_window", "items")
         places = written(places.where((F.col("_at") >= F.col("_p"))), "candidates")
         found = places.join(both.select(F.col("_key").alias("_k2"), F.col("_h").alias("_h2"), "_w"), F.col("_key").eqNullSafe(F.col("_k2")) & (F.col("_h") == F.col("_h2")))
     start = F.col("_at") - F.col("_p")
