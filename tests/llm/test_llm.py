@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from runloom.llm import chat, decontaminate, jpeg, language, lattice, media, neardup, pieces, scoring, sharding, substring, url_filter
+from runloom.llm import chat, decontaminate, language, lattice, media, neardup, pieces, scoring, sharding, substring, url_filter
 from runloom.llm.vocabulary import SPACE, load
 
 random.seed(7)
@@ -334,33 +334,19 @@ def test_repeats_against_brute_force(spark, docs):
     assert sorted((r.doc_id, r.n_removed) for r in twice) == sorted((i, len(gone[i])) for i in t for _ in range(2))
 
 
-def test_jpeg_any_decoder_agrees(spark, docs):
-    for n in (64, 128, 64 * 7, 64 * 100):
-        p = bytes(random.randrange(256) for _ in range(n))
-        data = jpeg.encode([p])[0]
-        f = jpeg.Frame(data)
-        slow = jpeg.coefficients(f)
-        fast = jpeg._own_coefficients([f])
-        assert jpeg._is_own(f) and all((a == b[0]).all() for a, b in zip(slow, fast, strict=True)) and jpeg.payload(f, slow) == p
-    assert list(jpeg.ZIGZAG[:10]) == [0, 1, 8, 16, 9, 2, 3, 10, 17, 24] and jpeg.ZIGZAG[63] == 63
-    z = np.zeros((1, 1, 64))
-    z[0, 0, 0] = 80
-    assert (jpeg._samples(z, np.ones(64), 1, 1) == 138).all()
-    z[0, 0, 1] = 50
-    x = np.arange(8)
-    want = 138 + 50 / 4 * np.sqrt(0.5) * np.cos((2 * x + 1) * np.pi / 16)
-    assert np.abs(jpeg._samples(z, np.ones(64), 1, 1)[0, 0] - want).max() <= 1
+def test_media_columns(spark, docs):
     t = texts(docs)
-    got = {r.doc_id: r for r in media.read(media.store(docs), keep=("n_bytes",), tensors=True).collect()}
+    got = {r.doc_id: r for r in media.read(media.store(docs), keep=("n_bytes",)).collect()}
     for i, x in t.items():
         b = (x or "").encode()
         p = b + bytes(-len(b) % 64 if b else 64)
         r = got[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
-        assert len(r.rgb) == np.prod(r.shape)
+        x = np.frombuffer(r.rgb, dtype=np.uint8).reshape(r.shape)
+        assert r.error is None and r.feature == f"{r.shape[1]}x{r.shape[0]}:" + ",".join(str(int(x[..., k].sum(dtype=np.int64)) * 1000 // (r.shape[0] * r.shape[1])) for k in range(3))
     same = [got[i] for i, x in t.items() if x == t[6]]
     assert len(same) == 2 and same[0].media_sha256 == same[1].media_sha256 and same[0].feature == same[1].feature
-    assert media.store(empty(spark)).count() == 0
+    assert media.store(empty(spark)).count() == 0 and media.read(media.store(with_null_key(spark, docs))).where("doc_id IS NULL AND payload_bytes = 64").count() == 2
     none = spark.createDataFrame([(1, None)], "doc_id long, media binary")
     assert media.read(none).first().feature is None
 
