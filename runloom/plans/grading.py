@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from runloom.operators import grading as G
+from runloom.operators import logs as L
 from runloom.plans.tables import table
 
 
@@ -35,6 +36,31 @@ def _logs(s, d):
     return table(s, d, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", line.alias("l")))), lambda x: x["l"]), "\n").alias("log"))
 
 
+#: By order modulo 6: the project whose log format it is, and the lines of a passed, a failed and a skipped test %t of suite %s.
+_FORMATS = [
+    ("pallets/flask", "PASSED a.py::%t", "FAILED a.py::%t - boom", "SKIPPED a.py::%t"),
+    ("axios/axios", "ok 3 %t", "not ok 3 %t", "# skip %t"),
+    ("babel/babel", "  ✓ %t (5 ms)", "  ✕ %t (12 ms)", "  ○ %t"),
+    ("redis/redis", "[ok]: %t (3 ms)", "[err]: %t in tests/x.tcl", "[skip]: %t"),
+    ("django/django", "%t (m.T) ... ok", "%t (m.T) ... FAIL", "%t (m.T) ... skipped 'no'"),
+    ("laravel/framework", "Suite %s (S)\n ✔ %t", "Suite %s (S)\n ✘ %t", "Suite %s (S)\n ↩ %t"),
+]
+
+
+def _format_logs(s, d):
+    """Logs of six formats made from rows, one for each order, with markers around; every eleventh lacks its end, every thirteenth tells of a failed step."""
+    t, suite = F.concat(F.lit("t"), F.col("l_partkey") % 7), (F.col("l_linenumber") % 2).cast("string")
+    line = F.lit("")
+    for i, (_, *words) in enumerate(_FORMATS):
+        word = F.when(F.col("l_returnflag") == "N", words[0]).when(F.col("l_returnflag") == "R", words[1]).otherwise(words[2])
+        line = F.when(F.col("l_orderkey") % 6 == i, F.replace(F.replace(word, F.lit("%t"), t), F.lit("%s"), suite)).otherwise(line)
+    g = table(s, d, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", line.alias("l")))), lambda x: x["l"]), "\n").alias("body"))
+    k = F.col("l_orderkey")
+    log = F.concat(F.when(k % 13 == 0, L.BAD_CODES[0] + "\n").otherwise(""), F.lit(L.START + "\n"), F.col("body"), F.when(k % 11 == 0, "\n").otherwise("\n" + L.END + "\nPASSED b.py::after"))
+    repo = F.element_at(F.array(*[F.lit(r) for r, *_ in _FORMATS]), (k % 6 + 1).cast("int"))
+    return g.select("l_orderkey", "body", log.alias("log"), L.parser_of(repo, F.lit("x-1")).alias("parser"))
+
+
 def _classes(s, d):
     o = table(s, d, "orders").select(F.col("o_orderkey").alias("id"), "o_orderstatus", "o_orderpriority")
     preds = o.where("id % 5 != 0").select("id", F.when(F.col("id") % 7 == 0, " ").otherwise(F.col("o_orderpriority")).alias("patch"))
@@ -46,6 +72,11 @@ _T = """WITH t AS (SELECT l_orderkey, 't' || l_linenumber AS test, CASE WHEN l_l
 g AS (SELECT l_orderkey, test, kind, CASE WHEN f = 'A' AND test != 't1' THEN NULL WHEN f = 'N' THEN 'PASSED' WHEN f = 'R' THEN 'FAILED' ELSE 'SKIPPED' END AS status FROM t),
 o AS (SELECT *, CASE WHEN status IN ('PASSED', 'XFAIL') THEN true WHEN status IS NULL OR status IN ('FAILED', 'ERROR') THEN false END AS ok FROM g)"""
 _C = """WITH c AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN 'incomplete' WHEN o_orderkey % 7 = 0 THEN 'empty' WHEN o_orderkey % 11 = 0 THEN 'error' WHEN o_orderstatus = 'F' THEN 'resolved' ELSE 'unresolved' END AS class FROM orders)"""
+_F = """WITH l AS (SELECT l_orderkey, CASE l_returnflag WHEN 'N' THEN 'PASSED' WHEN 'R' THEN 'FAILED' ELSE 'SKIPPED' END AS status, l_linenumber, l_partkey, 't' || l_partkey % 7 AS t,
+  CASE l_returnflag WHEN 'N' THEN 1 WHEN 'R' THEN 2 ELSE 3 END AS w FROM lineitem),
+r AS (SELECT l_orderkey, status, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, t, w) AS n,
+  CASE l_orderkey % 6 WHEN 0 THEN 'a.py::' || t WHEN 4 THEN t || ' (m.T)' WHEN 5 THEN 'Suite ' || l_linenumber % 2 || ' > ' || t ELSE t END AS test FROM l WHERE NOT (l_orderkey % 6 = 1 AND status = 'SKIPPED')),
+f AS (SELECT l_orderkey, test, arg_max(status, n) AS status FROM r GROUP BY 1, 2)"""
 QUERIES = {
     "q_grading_expected_tests": _graded,
     "q_grading_resolution": lambda s, d: G.resolution(_graded(s, d), ["l_orderkey"]),
@@ -53,7 +84,10 @@ QUERIES = {
     "q_grading_running_accuracy": lambda s, d: G.running_accuracy(table(s, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus"), "o_orderkey", F.col("o_orderstatus") == "F", "o_custkey"),
     "q_grading_run_classes": _classes,
     "q_grading_run_report": lambda s, d: G.report_counts(_classes(s, d), "id"),
-    "q_grading_log_lines": lambda s, d: G.parse_lines(_logs(s, d), "gotest", "l_orderkey", "log"),
+    "q_grading_log_lines": lambda s, d: L.parse(_logs(s, d), "l_orderkey", "log", "gotest"),
+    "q_grading_log_formats": lambda s, d: L.parse(_format_logs(s, d), "l_orderkey", "body", F.col("parser")),
+    "q_grading_log_applied": lambda s, d: L.evaluated(_format_logs(s, d), "l_orderkey", "log", F.col("parser"))[0],
+    "q_grading_log_evaluated": lambda s, d: L.evaluated(_format_logs(s, d), "l_orderkey", "log", F.col("parser"))[1],
     "q_grading_difficulty": lambda s, d: table(s, d, "orders").groupBy(F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "hard").when(F.col("o_orderpriority") == "3-MEDIUM", "medium").otherwise("unknown").alias("bucket")).agg(F.count_if(F.col("o_orderstatus") == "F").alias("n_resolved"), F.count(F.lit(1)).alias("n")),
 }
 SQL = {
@@ -68,5 +102,9 @@ SELECT *, CASE WHEN f2p = 1 AND p2p = 1 THEN 'FULL' WHEN f2p > 0 AND f2p < 1 AND
     "q_grading_log_lines": """WITH l AS (SELECT l_orderkey, 't' || l_partkey % 7 AS test, CASE l_returnflag WHEN 'N' THEN 'PASSED' WHEN 'R' THEN 'FAILED' ELSE 'SKIPPED' END AS status, l_linenumber, l_partkey FROM lineitem),
 r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, status) AS n FROM l)
 SELECT l_orderkey, test, arg_max(status, n) AS status FROM r GROUP BY 1, 2""",
+    "q_grading_log_formats": _F + " SELECT * FROM f",
+    "q_grading_log_applied": "SELECT l_orderkey, l_orderkey % 13 != 0 AND l_orderkey % 11 != 0 AS applied FROM lineitem GROUP BY 1",
+    # an order of the first format without results in its section has those of the whole log
+    "q_grading_log_evaluated": _F + " SELECT * FROM f WHERE l_orderkey % 13 != 0 AND l_orderkey % 11 != 0",
     "q_grading_difficulty": "SELECT CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'hard' WHEN o_orderpriority = '3-MEDIUM' THEN 'medium' ELSE 'unknown' END AS bucket, count(*) FILTER (o_orderstatus = 'F') AS n_resolved, count(*) AS n FROM orders GROUP BY 1",
 }

@@ -19,11 +19,61 @@ def one(spark, expr, **cols):
 
 
 def test_git_classes(spark):
-    cases = {"git -C repo checkout -- a.py": "reversion", "git -C repo status": "inspection", "git reset --hard": "reversion", "git reset": "state_change", "git restore --staged a": "state_change", "git restore a": "reversion", "git clean -fd": "destructive_cleanup", "git commit -m x": "recording", "ls": None}
-    for c, want in cases.items():
-        assert one(spark, X.git_class(F.col("c")), c=c) == want, c
+    cases = {
+        "git -C repo checkout -- a.py": "reversion", "git -C repo status": "inspection", "git reset --hard": "reversion", "git reset": "index_change", "git reset a.py": "index_change", "git reset HEAD~1": "reversion",
+        "git restore --staged a": "index_change", "git restore --staged --worktree a": "reversion", "git restore a": "reversion", "git clean -fd": "destructive_cleanup", "git commit -m x": "recording",
+        "git checkout main": "state_change", "git checkout ABCD": "reversion", "git checkout -b topic": "state_change", "git --no-pager -c a=b log": "inspection", "git revert abc": "reversion", "git stash": "state_change", "git": None, "ls": None,
+    }
+    df = spark.createDataFrame(list(cases.items()), "c string, want string")
+    for r in df.withColumn("got", X.git_class(F.col("c"))).collect():
+        assert r.got == r.want, r.c
     assert one(spark, X.commands(F.col("c")), c="cd a && git diff; ls || true") == ["cd a", "git diff", "ls", "true"]
-    assert one(spark, X.command_kind(F.col("c")), c="cat x | pytest") == "read"
+    assert one(spark, X.git_commands(F.col("c")), c="cd a && env git diff; ls || git  log -1 ") == ["git diff", "git  log -1"]
+
+
+def test_command_kinds_and_outcomes(spark):
+    kinds = {"cat x | pytest": "read", "pytest 2>&1": "test", "sed -i s/a/b/ f": "edit", "cat > f": "edit", "grep x f | cat": "search", "python -m unittest": "test", "go test ./...": "test", "ls": "other", "patch -p1 < d": "edit", "echo a > b": "other"}
+    for r in spark.createDataFrame(list(kinds.items()), "c string, want string").withColumn("got", X.command_kind(F.col("c"))).collect():
+        assert r.got == r.want, r.c
+    said = {"3 failed, 2 passed": "failed", "0 failed, 2 passed": "failed", "2 passed": "passed", "AssertionError": "failed", "ERROR x": "error", "all tests ok": "passed", "": "unknown", "Traceback": "error"}
+    for r in spark.createDataFrame(list(said.items()), "c string, want string").withColumn("got", X.test_outcome(F.col("c"))).collect():
+        assert r.got == r.want, r.c
+    assert one(spark, X.runs_tests(F.col("c")), c="cat x | pytest") and not one(spark, X.runs_tests(F.col("c")), c="cat mypytest")
+    assert one(spark, X.shell_blocks(F.col("c")), c="a ```bash\nls\n``` b ```\nls\n``` ```sh\ncd\n```") == ["ls", "cd"]
+    assert one(spark, X.file_tokens(F.col("c")), c="see a/src/x.py and (src/x.py), y.md http://h/z.py /dev/null") == ["src/x.py", "y.md", "z.py"]
+
+
+def test_statement_criteria(spark):
+    h = "0123456789abcdef0123456789abcdef01234567"
+    cases = [(h, True), (f"/{h}", False), ("1234567", False), ("[0123456789abcdef0123456]", True), (h + "0", False), (None, False)]
+    for r in spark.createDataFrame(cases, "c string, want boolean").withColumn("got", X.has_commit_hash(F.col("c"))).collect():
+        assert r.got == r.want, r.c
+    for text, want in {"see a.PNG": True, "b.mpeg!": True, "png": False, "x.pngs": False, ".png": False}.items():
+        assert one(spark, X.has_image(F.col("c")), c=text) == want, text
+    assert one(spark, X.has_link(F.col("c")), c="http://x") and not one(spark, X.has_link(F.col("c")), c="www.x") and one(spark, X.has_link(F.col("c"), "o/r"), c="www.x")
+    for text, want in {"Fixes #3": True, "prefixes #3": False, "see #3": False, "https://gitlab.com/a/b/issues": True}.items():
+        assert one(spark, X.has_issue_reference(F.col("c")), c=text) == want, text
+    for text, want in {"pytest.raises(E, match='x')": True, "pytest.raises(E)": False, "self.assertRaises(E)": True, "assert x": False}.items():
+        assert one(spark, X.asserts_on_message(F.col("c")), c=text) == want, text
+    for text, want in {"a\nImportError: x": True, "import a\nerror": False, "AttributeError": True}.items():
+        assert one(spark, X.has_attribute_or_import_error(F.col("c")), c=text) == want, text
+    for text, want in {"+ error: x": "ok", "litellm.RateLimitError": "error", " \n": "empty", "ratelimiterror": "ok"}.items():
+        assert one(spark, X.patch_class(F.col("c")), c=text) == want, text
+    u = one(spark, X.issue_url(F.col("c")), c="https://github.com/o/r/issues/12#x")
+    assert (u.owner, u.repo, u.number) == ("o", "r", 12) and one(spark, X.issue_url(F.col("c")), c="x") is None
+
+
+def test_agent_messages(spark):
+    text = "```bash\ncat ./src/a.py && sed -i s/x/y/ lib/b.py > out.py\n``` ```bash\npython test_c.py /tmp/reproduce_x.py\n```"
+    assert sorted(one(spark, X.files_touched(F.col("c")), c=text)) == ["b.py", "lib/b.py", "out.py", "src/a.py"]  # a path within a path counts too
+    assert one(spark, X.one_action(F.col("c")), c="x ```bash\nls -a\n```") == "ls -a" and one(spark, X.one_action(F.col("c")), c=text) is None
+    assert one(spark, X.is_submission(F.col("c"), F.lit(0), ("DONE",)), c="\nDONE\nx") and not one(spark, X.is_submission(F.col("c"), F.lit(1), ("DONE",)), c="DONE")
+    assert one(spark, X.over_limits(F.col("c"), F.lit(1.0), F.lit(0), F.lit(0)), c=9) is False and one(spark, X.over_limits(F.col("c"), F.lit(1.0), F.lit(9), F.lit(0)), c=9) is True
+    assert one(spark, X.image_name(F.col("c"), "reg/"), c="A__b-1") == "reg/a_1776_b-1:latest"
+    assert one(spark, X.minor_version(F.col("c")), c='"""__version__ = "9.9"""\n__version__ = "1.2.3"') == "1.2" and one(spark, X.minor_version(F.col("c")), c="VERSION = (3, 4, 0)") == "3.4"
+    k = one(spark, X.keywords(F.col("c")), c='```json\n{"keywords": [" a", "b", "a"]}\n```')
+    assert (k.keywords, k.failed) == (["a", "b"], False) and one(spark, X.keywords(F.col("c")), c="no").failed and not one(spark, X.keywords(F.col("c")), c='{"keywords": []}').failed
+    assert [one(spark, X.is_test_path(F.col("c")), c=p) for p in ("src/tests/a.py", "src/contest.py", "a_test.py")] == [True, False, True]
 
 
 def test_text_functions(spark):
@@ -75,25 +125,6 @@ def test_grading_edges(spark):
     assert {r.id: r.resolution for r in G.resolution(g, ["id"]).collect()} == {"i": "FULL", "j": "NO"}
 
 
-def test_parsers(spark):
-    logs = {
-        "pytest": ("PASSED a.py::t1\nFAILED a.py::t1 - x\nERROR b", {"a.py::t1": "FAILED", "b": "ERROR"}),
-        "cargo": ("test m::a ... ok\ntest m::b ... FAILED", {"m::a": "PASSED", "m::b": "FAILED"}),
-        "django": ("test_a (x.T) ... ok\ntest_b (x.T) ... skipped 'no'", {"test_a (x.T)": "PASSED", "test_b (x.T)": "SKIPPED"}),
-        "jest": ("  ✓ adds (3 ms)\n  ✕ fails", {"adds": "PASSED", "fails": "FAILED"}),
-        "tap": ("ok 1 - one\nnot ok 2 - two", {"one": "PASSED", "two": "FAILED"}),
-        "googletest": ("[       OK ] A.b (0 ms)\n[  FAILED  ] A.c (1 ms)", {"A.b": "PASSED", "A.c": "FAILED"}),
-    }
-    for name, (log, want) in logs.items():
-        df = spark.createDataFrame([("k", log)], "k string, log string")
-        assert {r.test: r.status for r in G.parse_lines(df, name, "k", "log").collect()} == want, name
-    df = spark.createDataFrame([("k", "Suite A\n ok one\nSuite B\n no two")], "k string, log string")
-    got = {r.test: r.status for r in G.parse_carried(df, "k", "log", r"^Suite (\w+)", r"^ (ok|no) (\w+)", {"ok": "PASSED", "no": "FAILED"}).collect()}
-    assert got == {"A > one": "PASSED", "B > two": "FAILED"}
-    df = spark.createDataFrame([("k", '{"tests": [{"name": "a", "status": "passed"}, {"name": "b", "status": "pending"}]}')], "k string, log string")
-    assert {r.test: r.status for r in G.parse_json(df, "k", "log").collect()} == {"a": "PASSED", "b": "SKIPPED"}
-
-
 def test_archives_and_trajectories(spark, tmp_path):
     mini = {"info": {"exit_status": "Submitted", "submission": "abc", "model_stats": {"api_calls": 2, "instance_cost": 0}, "config": {"model": {"model_name": "Qwen-x"}}}, "messages": [{"role": "user", "content": "hi", "timestamp": 10.0}, {"role": "assistant", "content": "a", "timestamp": 12.5, "extra": {"response": {"usage": {"prompt_tokens": 1000, "completion_tokens": 10}}}}]}
     oc = {"info": {"id": "s", "cost": 1.5, "tokens": {"input": 7, "output": 3, "cache": {"read": 1, "write": 2}}}, "messages": [{"info": {"role": "assistant", "time": {"created": 1e12, "completed": 1e12 + 4000}}, "parts": [{"type": "text", "text": "t"}, {"type": "tool", "tool": "bash", "state": {"status": "ok", "input": {"c": 1}, "output": "o"}}]}]}
