@@ -14,8 +14,10 @@ from runloom.llm.shingles import BANDS, shingle_sets, signatures
 
 #: Links need 100 * |A and B| >= percent * |A or B|; op6_minhash_near_dedup has a percentage of its own.
 PERCENT, OP6_PERCENT = 80, 85
-#: A bucket's open pairs are all compared if there are at most so many for each member.
-FEW = 32
+#: A group's open pairs are confirmed one by one if there are at most so many for each member.
+FEW = 8
+#: A template is copied so many times, so a large group meets it in as many tasks.
+SALTS = 16
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -40,16 +42,17 @@ def components(edges: DataFrame, name: str = "links") -> DataFrame:
 
     Alternating large and small stars: every step keeps the components and shortens paths,
     until each node hangs on its component's least. Each step is a minimum by node, made
-    before the shuffle where it can be, and a join; its result is written.
+    before the shuffle where it can be, written, and joined: broadcast while it is small,
+    else by a shuffle whose large keys can be split.
     """
     e = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), name)
     before = None
     while True:
         both = e.select("u", "v").union(e.select(F.col("v"), F.col("u")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = broadcast_if_small(written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), name))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         large = written(large, name)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = broadcast_if_small(written(large.groupBy("u").agg(F.min("v").alias("m")), name))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         e = written(small.where("u != v").distinct(), name)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -59,6 +62,21 @@ def components(edges: DataFrame, name: str = "links") -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("least"))
 
 
+def merged(least: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, least) after more edges (a, b): these connect components, which are few nodes, and no link is looked at again."""
+    least = written(least, "least")
+    small = broadcast_if_small(least)
+    at = lambda c: small.select(F.col("node").alias(c), F.col("least").alias(f"c{c}"))
+    between = edges.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a != b")
+    between = written(between.distinct(), "between")
+    if between.isEmpty():
+        return least
+    top = broadcast_if_small(written(components(between).select(F.col("node").alias("top"), F.col("least").alias("new")), "least"))
+    out = least.join(top, F.col("least") == F.col("top"), "left").select("node", F.coalesce("new", "least").alias("least"))
+    lone = top.join(least, F.col("top") == F.col("node"), "left_anti").select(F.col("top").alias("node"), F.col("new").alias("least"))
+    return out.unionByName(lone)
+
+
 def candidates(reps: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs (a, b) of the ids of reps (id, n, bands) that share a bucket with a hub of it.
 
@@ -80,62 +98,79 @@ def candidates(reps: DataFrame, percent: int = PERCENT) -> DataFrame:
     return pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
 
 
-def rest_of_buckets(reps: DataFrame, least: DataFrame, sets_of, percent: int = PERCENT) -> DataFrame | None:
-    """Pairs (a, b) by which every bucket's linked members end up connected, given the components of the hubs' links.
+def rest_of_buckets(reps: DataFrame, least: DataFrame, sets_of, confirmed, percent: int = PERCENT) -> DataFrame | None:
+    """The links (a, b) that the hubs' links leave out within the buckets, given the components of those; None if no bucket is open.
+
+    A bucket whose members are in one component is settled. The members of all other buckets
+    that have the same most central member H form one group, so a group of near copies is
+    looked at once and not in each of its buckets. Where a group's open pairs, that is those
+    of different components, are few for each member, they are confirmed one by one.
 
-    A bucket whose members are in one component is settled. In any other, pairs of different
-    components are still open. Where they are few they are all taken. Else the most central
-    member H serves as a template: a member A outside H's component shares c = |A and H| of
-    its shingles with it, and a link of A needs an overlap of o or more, o following from |A|
-    and the least size a partner may have. So A shares at least o - c shingles outside H with
-    any partner, and one of them is among the rarest |A - H| - (o - c) + 1 of A - H (prefix
-    filter; rarity is counted in the bucket). H's component comes with all its shingles
-    outside H. Members with o <= c are paired with the whole bucket, and so are all where the
-    shared shingles would give more pairs than that. No pair that may be a link is left out,
-    at the price of a square of the open members where nothing tells them apart.
+    Else H serves as a template. With D(A) = what A lacks of H and what it has besides, and
+    W(A) = 100 * |H - A| + percent * |A - H|, two members are linked exactly if
+    (100 + percent) * |D(A) and D(B)| >= W(A) + W(B) - (100 - percent) * |H|. A is linked with
+    H itself if W(A) is at most the last term; such members are in one component, so a pair
+    that is still open has one that isn't, and needs a common element of the D's. By how many
+    it needs at least, over all partners that the group offers, only the rarest elements of a
+    D can be the first common ones (prefix filter; rarity is counted in the group), and what
+    the D's hold after it bounds the overlap (positional filter). Only members that share
+    such an element are compared, once, by their D's. So no link is left out, and pairs
+    without a rare difference in common are never made.
 
-    sets_of gives (id, set) for a table of ids; None if no bucket is open.
+    sets_of gives (id, set) for a table of ids; confirmed the links among pairs (a, b).
     """
     rows = reps.select("id", "n", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 2")
     comp = least.select(F.col("node").alias("id"), "least")
     rows = rows.join(shared, "bucket").join(comp, "id", "left").withColumn("comp", F.coalesce("least", "id")).drop("least")
-    by = rows.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket").agg(F.sum("k").alias("c"), ((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("cross")).where("cross > 0")
-    rows = written(rows.drop("c").join(by, "bucket"), "open")
-
-    def across(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-        x = left.select(*on, F.col("id").alias("a0"), F.col("n").alias("n0"), F.col("comp").alias("comp0"))
-        y = right.select(*on, F.col("id").alias("b0"), F.col("n").alias("m0"), F.col("comp").alias("comp1"))
-        j = x.join(y, on).where((F.col("comp0") != F.col("comp1")) & (100 * F.least("n0", "m0") >= percent * F.greatest("n0", "m0")))
-        return j.select(F.least("a0", "b0").alias("a"), F.greatest("a0", "b0").alias("b")).distinct()
-
-    few = rows.where(F.col("cross") <= FEW * F.col("c"))
-    many = rows.where(F.col("cross") > FEW * F.col("c"))
-    pairs = across(few, few, ["bucket"])
-    if many.isEmpty():
-        return None if rows.isEmpty() else pairs
+    sums = [F.sum("k").alias("all"), ((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("cross")]
+    by = rows.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket").agg(*sums).where("cross > 0")
+    rows = written(rows.join(by.select("bucket"), "bucket", "left_semi"), "open")
+    if rows.isEmpty():
+        return None
     company = rows.groupBy("id").agg(F.sum("c").alias("company"))
-    hubs = many.join(company, "id").groupBy("bucket").agg(F.max(F.struct("company", (-F.col("id")).alias("i"), "comp")).alias("h"), F.min("n").alias("low"))
-    hubs = hubs.select("bucket", (-F.col("h.i")).alias("hub"), F.col("h.comp").alias("main"), "low")
-    many = many.join(hubs, "bucket")
+    hubs = rows.join(company, "id").groupBy("bucket").agg((-F.max(F.struct("company", (-F.col("id")).alias("i")))["i"]).alias("hub"))
+    members = written(rows.join(hubs, "bucket").select("hub", "id", "n", "comp").distinct(), "groups")
+    size = members.groupBy("hub", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("hub").agg(*sums)
+    size = broadcast_if_small(written(size, "sizes"))
+    close = lambda: 100 * F.least("n0", "n1") >= percent * F.greatest("n0", "n1")
+    side = lambda t, i, on: t.select(*on, *[F.col(c).alias(f"{c}{i}") for c in t.columns if c not in on])
+    few = members.join(size.where(F.col("cross") <= FEW * F.col("all")), "hub").select("hub", "id", "n", "comp")
+    pairs = side(few, 0, ["hub"]).join(side(few, 1, ["hub"]), "hub").where((F.col("id0") < F.col("id1")) & (F.col("comp0") != F.col("comp1")) & close())
+    links = confirmed(written(pairs.select(F.col("id0").alias("a"), F.col("id1").alias("b")).distinct(), "few"))
+    many = members.join(size.where(F.col("cross") > FEW * F.col("all")), "hub").select("hub", "id", "n", "comp")
+    many = written(many, "many")
+    if many.isEmpty():
+        return links
     sets = written(sets_of(many.select("id").distinct()), "open-sets")
-    j = many.join(sets, "id").join(sets.select(F.col("id").alias("hub"), F.col("set").alias("t")), "hub")
-    j = j.select("bucket", "id", "n", "comp", "c", "cross", "low", (F.col("comp") == F.col("main")).alias("linked"), F.array_except("set", "t").alias("own"))
-    need = F.expr(f"({percent} * (n + greatest(({percent} * n + 99) div 100, low)) + {99 + percent}) div {100 + percent}") - (F.col("n") - F.size("own"))
-    j = written(j.withColumn("need", F.when(F.col("linked"), F.lit(1).cast("long")).otherwise(need)).drop("low"), "own")
-    hard = j.where("need <= 0").select("bucket", "id", "n", "comp")
-    words = j.where("need > 0").select("bucket", "id", "n", "comp", "c", "cross", "need", F.size("own").alias("k"), F.explode("own").alias("s"))
-    often = words.groupBy("bucket", "s").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    first = words.join(often, ["bucket", "s"]).groupBy("bucket", "id", "n", "comp", "c", "cross", "need", "k").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("x"))
+    salt = F.array([F.lit(i) for i in range(SALTS)])
+    template = sets.join(many.select(F.col("hub").alias("id")).distinct(), "id", "left_semi").groupBy("id").agg(F.max("set").alias("t")).select(F.col("id").alias("hub"), "t", F.explode(salt).alias("salt"))
+    d = many.where("id != hub").join(sets, "id").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(template, ["hub", "salt"])
+    d = d.select("hub", "id", "n", "comp", F.array_except("set", "t").alias("own"), F.array_except("t", "set").alias("lacks"), F.size("t").alias("h"))
+    d = d.select("hub", F.struct("id", F.monotonically_increasing_id().alias("text")).alias("node"), "id", "n", "comp", F.concat("own", "lacks").alias("d"), (100 * F.size("lacks") + percent * F.size("own") - (100 - percent) * F.col("h")).alias("w"), ((100 - percent) * F.col("h")).alias("g"))
+    d = written(d, "differences")  # w is W less the last term: above 0 for those that H isn't linked with
+    least_w = broadcast_if_small(written(d.groupBy("hub").agg(F.min("w").alias("low"), F.min(F.when(F.col("w") > 0, F.col("w"))).alias("far"), F.max("g").alias("g")), "weights"))
+    need = F.ceil((F.col("w") + F.when(F.col("w") > 0, F.col("low")).otherwise(F.col("far")) + F.col("g")) / (100 + percent))
+    d2 = d.join(least_w.drop("g"), "hub").where("far IS NOT NULL").withColumn("take", F.size("d") - F.greatest(need, F.lit(1)) + 1)
+    words = d2.where("take > 0").select("hub", "node", "comp", "n", "w", "take", F.size("d").alias("k"), F.explode("d").alias("s"))
+    often = words.groupBy("hub", "s").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    first = words.join(often, ["hub", "s"]).groupBy("hub", "node", "comp", "n", "w", "take", "k").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("x"))
     alone = F.col("k") - F.size("x")
-    first = first.select("bucket", "id", "n", "comp", "c", "cross", F.explode(F.slice("x", 1, F.greatest(F.lit(0), F.col("k") - F.col("need") + 1 - alone).cast("int"))).alias("w"))
-    first = written(first.select("bucket", "id", "n", "comp", "c", "cross", F.col("w.s").alias("s")), "prefixes")
-    met = first.groupBy("bucket", "cross", "s", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket", "cross", "s").agg((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))).alias("y")).where("y > 0")
-    cost = met.groupBy("bucket", "cross").agg(F.sum(F.col("y") / 2).alias("y")).select("bucket", "y").union(j.where("need <= 0").select("bucket", F.col("c").cast("double")))
-    dear = written(many.select("bucket", "cross").distinct().join(cost.groupBy("bucket").agg(F.sum("y").alias("y")), "bucket").where("y >= cross").select("bucket"), "dear")
-    cheap = first.join(dear, "bucket", "left_anti").join(met.select("bucket", "s"), ["bucket", "s"], "left_semi")
-    whole = many.join(dear, "bucket", "left_semi")
-    return pairs.union(across(cheap, cheap, ["bucket", "s"])).union(across(hard.join(dear, "bucket", "left_anti"), many, ["bucket"])).union(across(whole, whole, ["bucket"])).distinct()
+    first = first.select("hub", "node", "comp", "n", "w", F.size("x").alias("k"), F.slice("x", 1, F.greatest(F.lit(0), F.col("take") - alone).cast("int"))["s"].alias("all"))
+    first = first.select("hub", "node", "comp", "n", "w", "k", "all", F.posexplode("all").alias("at", "s"))
+    first = first.select("hub", "node", "comp", "n", "w", "all", "s", (F.col("k") - F.col("at")).alias("left")).join(least_w.select("hub", "g"), "hub")
+    first = written(first, "prefixes")
+    on = ["hub", "s"]
+    met = side(first, 0, on).join(side(first, 1, on), on).where((F.col("node0") < F.col("node1")) & (F.col("comp0") != F.col("comp1")) & (F.greatest("w0", "w1") > 0) & close())
+    # of several shared elements the first makes the pair; what is left from there on must be enough
+    met = met.where((F.element_at(F.array_intersect("all0", "all1"), 1) == F.col("s")) & ((100 + percent) * F.least("left0", "left1") >= F.col("w0") + F.col("w1") + F.col("g0")))
+    met = written(met.select("hub", "node0", "node1"), "met")
+    own = d.select("hub", "node", "d", "w", "g")
+    j = met.join(side(own, 0, ["hub"]), ["hub", "node0"]).join(side(own, 1, ["hub"]), ["hub", "node1"])
+    j = j.where((100 + percent) * F.size(F.array_intersect("d0", "d1")) >= F.col("w0") + F.col("w1") + F.col("g0"))
+    found = j.select(F.least("node0.id", "node1.id").alias("a"), F.greatest("node0.id", "node1.id").alias("b")).where("a != b")
+    found = found.union(d.where("w <= 0").select(F.least("id", "hub"), F.greatest("id", "hub"))).distinct()
+    return links.union(written(found, "rest"))
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -149,8 +184,9 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     leave open.
 
     A null or empty text has no shingles and is its own component. A null key takes no part:
-    its component_id is null and it is kept. Rows that repeat a key count as one document. An
-    empty table gives no rows.
+    its component_id is null and it is kept. Rows that repeat a key count as one document,
+    linked with all that any of its texts is linked with; n_shingles is each row's own. An
+    empty table gives no rows. Other columns of docs are not looked at.
     """
     ids = small_batches(docs).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     sketch = written(ids.mapInArrow(_sketch, "id long, n long, f1 long, f2 long, bands array<long>"), "sketch")
@@ -161,25 +197,24 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
     def sets_of(need: DataFrame) -> DataFrame:
         need = written(need, "ids")
-        return ids.join(broadcast_if_small(need), "id", "left_semi").mapInArrow(_sets, "id long, set array<long>").dropDuplicates(["id"])
+        return ids.join(broadcast_if_small(need), "id", "left_semi").mapInArrow(_sets, "id long, set array<long>").distinct()
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         sets = written(sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "sets")
         j = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
         both = F.size(F.array_intersect("x", "y"))
-        return written(j.where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b"), "confirmed")
+        return written(j.where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b").distinct(), "confirmed")
 
     pairs = written(candidates(reps, percent), "pairs")
     links = confirmed(pairs)
     least = components(links)
-    rest = rest_of_buckets(reps, least, sets_of, percent)
+    rest = rest_of_buckets(reps, least, sets_of, confirmed, percent)
     if rest is not None:
-        more = confirmed(written(rest.join(pairs, ["a", "b"], "left_anti"), "rest"))
-        if not more.isEmpty():
-            least = components(links.union(more))
-    out = sketch.select("id", "n", "f1", "f2").join(classes.select("f1", "f2", "rep"), ["f1", "f2"], "left")
-    out = out.withColumn("rep", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")))
-    out = out.join(least, F.col("rep") == F.col("node"), "left").withColumn("component_id", F.coalesce("least", "rep"))
+        least = merged(least, rest)
+    some = F.col("n") > 0
+    out = sketch.where(some & F.col("id").isNotNull()).select("id", "n", "f1", "f2").join(classes.select("f1", "f2", "rep"), ["f1", "f2"]).select("id", "n", "rep")
+    out = out.join(broadcast_if_small(written(least, "least")), F.col("rep") == F.col("node"), "left").select("id", "n", F.coalesce("least", "rep").alias("component_id"))
+    out = out.unionByName(sketch.where(~some | F.col("id").isNull()).select("id", "n", F.col("id").alias("component_id")))
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 

@@ -267,6 +267,31 @@ def test_near_duplicates_in_a_template_group(spark, kind):
     assert len(set(comp.values())) > 100 and {r.doc_id: r.component_id for r in neardup.near_duplicates(own, percent=85).collect()} == comp
 
 
+@pytest.mark.parametrize("percent,edits,words", [(85, 4, 400), (85, 5, 400), (80, 5, 400), (85, 1, 60)])
+def test_near_duplicates_of_an_absent_base(spark, percent, edits, words):
+    """Every text is one base with a few words changed; the base itself is absent, so hubs link with few."""
+    rng, base, t = random.Random(edits), [f"b{i}" for i in range(words)], {}
+    for d in range(400):
+        at = rng.sample(range(words), edits)
+        t[d] = " ".join(f"x{d}y{i}" if i in at else w for i, w in enumerate(base))
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, x.split()) for i, x in t.items())}
+    links = [(i, j) for i in t for j in range(i) if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])]
+    comp = {i: i for i in t}
+    while any(comp[i] != comp[j] for i, j in links):
+        for i, j in links:
+            comp[i] = comp[j] = min(comp[i], comp[j])
+    own = spark.createDataFrame(list(t.items()), "doc_id long, text string").repartition(8)
+    assert links and {r.doc_id: r.component_id for r in neardup.near_duplicates(own, percent=percent).collect()} == comp
+
+
+def test_near_duplicates_of_a_repeated_key(spark):
+    a, b = prose(60, 50), " ".join(f"z{i}" for i in range(60))
+    own = spark.createDataFrame([(1, a), (5, a), (5, b), (7, b), (8, "q r"), (8, None)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in neardup.near_duplicates(own).collect())
+    n = len({tuple(a.split()[k : k + 5]) for k in range(56)})
+    assert got == sorted([(1, n, 1), (5, n, 1), (5, 56, 1), (7, 56, 1), (8, 1, 8), (8, 0, 8)])
+
+
 def test_near_duplicates_from_80_to_85_percent(spark, tmp_path):
     a = [f"v{i}" for i in range(104)]
     rows = [(1, " ".join(a), "en", "s", 1), (2, " ".join([*a[:40], "other", *a[41:70], "other", *a[71:]]), "en", "s", 1)]  # 90 of 110 shingles
