@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runloom.operators.runs import hashed
-
 #: The standard normal quantile at 0.975.
 Z95 = 1.959963984540054
 
@@ -28,66 +28,137 @@ def newcombe(x1: Column, n1: Column, x2: Column, n2: Column, z: float = Z95) ->
     return d - F.sqrt((p1 - l1) * (p1 - l1) + (u2 - p2) * (u2 - p2)), d + F.sqrt((u1 - p1) * (u1 - p1) + (p2 - l2) * (p2 - l2))
 
 
-def bootstrap_mean(values: DataFrame, value: str, draws: int = 20_000, seed: str = "b", key: str = "instance_id", alpha: float = 0.05) -> DataFrame:
-    """Percentile interval of the mean over rows, resampled by hashed indexes so that any engine gets the same.
+#: A prime below 2^31: products of two remainders fit 64 bits in any engine.
+PRIME = (1 << 31) - 1
+#: A sample of at most so many values is broadcast for resampling.
+MOST_VALUES = 4 << 20
+#: Draws that are made at once.
+BLOCK = 512
+
+
+def picks(b: np.ndarray, i: np.ndarray, n: int) -> np.ndarray:
+    """The row, below n, that draw b takes at place i: fifth powers modulo a prime, twice; the same in any engine."""
+    u = (b * 1_000_003 + i * 7_919 + 12_345) % PRIME
+    for k in (31, 0):
+        s = u * u % PRIME
+        u = (s * s % PRIME * u % PRIME + k * b) % PRIME
+    return u % n
+
 
-    Rows are numbered by key; draw b takes n rows whose numbers are hashes of (seed, b, i)
-    modulo n. Made for values aggregated by instance, so n is a count of instances.
+def _interval(means: DataFrame, alpha: float) -> list[Column]:
+    return [F.percentile("m", F.lit(alpha / 2)).alias("lo"), F.percentile("m", F.lit(1 - alpha / 2)).alias("hi")]
+
+
+def bootstrap_mean(values: DataFrame, value: str, draws: int = 20_000, seed: int = 0, key: str = "instance_id", alpha: float = 0.05) -> DataFrame:
+    """Percentile interval of the mean over rows: lo, hi, mean, n.
+
+    Each draw takes n of the n rows again. Up to MOST_VALUES values these are broadcast in
+    order of key and each task makes some of the draws, by picks(). Beyond, each task keeps
+    its own rows: how many of a draw's n rows it gives follows from one multinomial that all
+    tasks know, it picks as many of its own, and only its sums by draw leave. Fewer than two
+    values, or equal ones, are their own interval. No value: a mean of 0 with n = 0.
     """
-    from pyspark.sql import Window
+    spark = values.sparkSession
+    v = values.where(F.col(value).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(value).cast("double").alias("v"))
+    t = v.agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"), F.min("v").alias("a"), F.max("v").alias("b")).first()
+    if t.n < 2 or t.a == t.b:
+        point = float(t["mean"] or 0.0)
+        return spark.createDataFrame([(point, point, point, t.n)], "lo double, hi double, mean double, n long")
+    means = _small_draws(v, int(t.n), draws, seed) if t.n <= MOST_VALUES else _wide_draws(v, int(t.n), draws, seed)
+    return means.agg(*_interval(means, alpha)).select("lo", "hi", F.lit(float(t["mean"])).alias("mean"), F.lit(t.n).alias("n"))
+
+
+def _small_draws(v: DataFrame, n: int, draws: int, seed: int) -> DataFrame:
+    """(b, m): the mean of each draw, of values that fit a broadcast."""
+    kind = "long" if v.where(F.col("key").try_cast("long").isNull()).isEmpty() else "string"
+    own = v.select(F.col("key").cast(kind).alias("key"), "v").toArrow().sort_by([("key", "ascending"), ("v", "ascending")])  # a bounded number of values
+    x = v.sparkSession.sparkContext.broadcast(np.asarray(own.column("v")))
+
+    def draw(batches):
+        for pdf in batches:
+            b = pdf["id"].to_numpy()
+            step = max(1, (1 << 21) // n)
+            m = [x.value[picks(b[k : k + step, None] + seed * 1_000_000, np.arange(n)[None, :], n)].mean(axis=1) for k in range(0, len(b), step)]
+            yield pd.DataFrame({"b": b, "m": np.concatenate(m) if m else np.zeros(0)})
+
+    tasks = max(1, min(draws // BLOCK, v.sparkSession.sparkContext.defaultParallelism * 2))
+    return v.sparkSession.range(0, draws, 1, tasks).mapInPandas(draw, "b long, m double")
+
+
+def _wide_draws(v: DataFrame, n: int, draws: int, seed: int, blocks: int = 1024) -> DataFrame:
+    """(b, m): the mean of each draw, from sums that each block of rows makes of its own."""
+    rows = v.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
+    size = np.zeros(blocks, dtype=np.int64)
+    for r in rows.groupBy("block").count().collect():  # a row for each block
+        size[r["block"]] = r["count"]
+
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        k, x = int(pdf["block"].iloc[0]), pdf.sort_values(["key", "v"])["v"].to_numpy()
+        all_, own = np.random.default_rng([seed, 1]), np.random.default_rng([seed, 2, k])
+        sums = np.zeros(draws)
+        for a in range(0, draws, BLOCK):
+            m = min(BLOCK, draws - a)
+            for i, c in enumerate(all_.multinomial(n, size / n, m)[:, k].tolist()):
+                sums[a + i] = x[own.integers(0, len(x), c)].sum()
+        return pd.DataFrame({"b": np.arange(draws), "s": sums})
+
+    return rows.groupBy("block").applyInPandas(draw, "b long, s double").groupBy("b").agg((F.sum("s") / n).alias("m"))
+
 
-    v = values.where(F.col(value).isNotNull()).select(F.col(value).alias("v"), (F.row_number().over(Window.orderBy(key)) - 1).alias("i"))
-    n = v.agg(F.count(F.lit(1)).alias("n"))
-    picks = values.sparkSession.range(draws).select(F.col("id").alias("b")).join(F.broadcast(v.select("i"))).join(F.broadcast(n))
-    picks = picks.select("b", F.pmod(hashed(F.lit(seed), F.col("b"), F.col("i")), F.col("n")).alias("i"))
-    means = picks.join(F.broadcast(v), "i").groupBy("b").agg(F.avg("v").alias("m"))
-    q = lambda p: F.percentile("m", F.lit(p))
-    return means.agg(q(alpha / 2).alias("lo"), q(1 - alpha / 2).alias("hi")).join(F.broadcast(v.agg(F.avg("v").alias("mean"), F.count(F.lit(1)).alias("n"))))
+def _seeded(seed: int, *parts: object) -> np.random.Generator:
+    """A generator of its own for each instance, from its whole id."""
+    return np.random.default_rng([seed, int.from_bytes(hashlib.blake2b(repr(parts).encode(), digest_size=8).digest(), "big")])
 
 
 def relative_change_bootstrap(runs: DataFrame, value: str, draws: int = 20_000, seed: int = 0, alpha: float = 0.05) -> DataFrame:
-    """Mean over instances of the % change of `value`, with runs resampled within each instance.
+    """Mean over instances of the % change of `value`, with runs resampled within each instance: change, lo, hi, instances.
 
-    Each instance's draws are made where its runs are (one group); only means of draws leave.
-    An instance without runs of a side, or with a baseline that sums to 0, is left out; a
-    resampled baseline of mean 0 gives no change for that draw.
+    Each instance's draws are made where its runs are (one group), seeded by its whole id;
+    only means of draws leave, and are added up before they are shuffled. An instance without
+    runs of a side, or with a baseline that sums to 0, is left out; a resampled baseline of
+    mean 0 gives no change for that draw.
     """
-    rows = runs.select("instance_id", "run_type", F.col(value).cast("double").alias("v")).where("v IS NOT NULL")
+    rows = runs.select(F.col("instance_id").cast("string").alias("instance_id"), "run_type", F.col(value).cast("double").alias("v")).where("v IS NOT NULL")
 
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
         b, m = (pdf.loc[pdf.run_type == k, "v"].sort_values().to_numpy() for k in ("baseline", "mutant"))
         if not len(b) or not len(m) or b.sum() == 0:
             return pd.DataFrame({"b": [], "c": []})
-        rng = np.random.default_rng([seed, abs(int.from_bytes(str(pdf.instance_id.iloc[0]).encode()[-8:], "big"))])
-        bm, mm = (x[rng.integers(0, len(x), (draws, len(x)))].mean(axis=1) for x in (b, m))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            c = (mm - bm) / bm * 100
-        return pd.DataFrame({"b": np.arange(-1, draws), "c": np.concatenate([[(m.mean() - b.mean()) / b.mean() * 100], np.where(np.isfinite(c), c, np.nan)])})
+        rng, c = _seeded(seed, pdf.instance_id.iloc[0]), []
+        step = max(1, (1 << 20) // max(len(b), len(m)))
+        for k in range(0, draws, step):
+            bm, mm = (x[rng.integers(0, len(x), (min(step, draws - k), len(x)))].mean(axis=1) for x in (b, m))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                c.append((mm - bm) / bm * 100)
+        c = np.concatenate([[(m.mean() - b.mean()) / b.mean() * 100], *c])
+        return pd.DataFrame({"b": np.arange(-1, draws), "c": np.where(np.isfinite(c), c, np.nan)})
 
     d = rows.groupBy("instance_id").applyInPandas(draw, "b long, c double").where("c IS NOT NULL AND NOT isnan(c)")
     per = d.groupBy("b").agg(F.avg("c").alias("m"), F.count(F.lit(1)).alias("k"))
     q = lambda p: F.percentile(F.when(F.col("b") >= 0, F.col("m")), F.lit(p))
-    return per.agg(F.max(F.when(F.col("b") < 0, F.col("m"))).alias("change"), q(alpha / 2).alias("lo"), q(1 - alpha / 2).alias("hi"), F.max(F.when(F.col("b") < 0, F.col("k"))).alias("instances"))
+    return per.agg(F.max(F.when(F.col("b") < 0, F.col("m"))).alias("change"), q(alpha / 2).alias("lo"), q(1 - alpha / 2).alias("hi"), F.coalesce(F.max(F.when(F.col("b") < 0, F.col("k"))), F.lit(0)).alias("instances"))
 
 
 def binomial_redraw(rates: DataFrame, draws: int = 20_000, seed: int = 0, alpha: float = 0.05) -> DataFrame:
-    """Interval of the mean difference of rates when each instance's successes are drawn anew.
+    """Interval, in percentage points, of the mean difference of rates when each instance's successes are drawn anew: lo, hi, mean, n.
 
-    rates: p1, p2 (0 to 1), n1, n2 (trials, the same for all instances of a side). Instances
-    are numbered blocks of one group each, so draws add up by number.
+    rates: instance_id, p1, p2 (0 to 1), n1, n2 (trials, the same for all instances of a
+    side). Each task adds up its instances' draws by number, seeded by their whole ids.
     """
 
     def draw(batches):
+        out, k = np.zeros(draws), 0
         for pdf in batches:
-            out = np.zeros(draws)
             for r in pdf.itertuples():
-                rng = np.random.default_rng([seed, int(r.k)])
+                rng = _seeded(seed, r.id)
                 out += (rng.binomial(int(r.n1), r.p1, draws) / max(1, r.n1) - rng.binomial(int(r.n2), r.p2, draws) / max(1, r.n2)) * 100
-            yield pd.DataFrame({"b": np.arange(draws), "s": out, "k": len(pdf)})
+            k += len(pdf)
+        if k:
+            yield pd.DataFrame({"b": np.arange(draws), "s": out, "k": k})
 
-    rows = rates.select("p1", "p2", "n1", "n2", F.abs(F.xxhash64("instance_id")).alias("k"))
+    rows = rates.select(F.col("instance_id").cast("string").alias("id"), *[F.col(c).cast("double").alias(c) for c in ("p1", "p2")], "n1", "n2").where("p1 IS NOT NULL AND p2 IS NOT NULL")
     d = rows.mapInPandas(draw, "b long, s double, k long").groupBy("b").agg((F.sum("s") / F.sum("k")).alias("m"))
-    return d.agg(F.percentile("m", F.lit(alpha / 2)).alias("lo"), F.percentile("m", F.lit(1 - alpha / 2)).alias("hi"))
+    return d.agg(*_interval(d, alpha)).join(F.broadcast(rows.agg(F.avg((F.col("p1") - F.col("p2")) * 100).alias("mean"), F.count(F.lit(1)).alias("n"))))
 
 
 def sign_flip(diffs: np.ndarray, draws: int = 100_000, seed: int = 0, exact: int = 24) -> float:

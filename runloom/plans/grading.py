@@ -54,7 +54,7 @@ def _format_logs(s, d):
     for i, (_, *words) in enumerate(_FORMATS):
         word = F.when(F.col("l_returnflag") == "N", words[0]).when(F.col("l_returnflag") == "R", words[1]).otherwise(words[2])
         line = F.when(F.col("l_orderkey") % 6 == i, F.replace(F.replace(word, F.lit("%t"), t), F.lit("%s"), suite)).otherwise(line)
-    g = table(s, d, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", line.alias("l")))), lambda x: x["l"]), "\n").alias("body"))
+    g = table(s, d, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_returnflag", line.alias("l")))), lambda x: x["l"]), "\n").alias("body"))
     k = F.col("l_orderkey")
     log = F.concat(F.when(k % 13 == 0, L.BAD_CODES[0] + "\n").otherwise(""), F.lit(L.START + "\n"), F.col("body"), F.when(k % 11 == 0, "\n").otherwise("\n" + L.END + "\nPASSED b.py::after"))
     repo = F.element_at(F.array(*[F.lit(r) for r, *_ in _FORMATS]), (k % 6 + 1).cast("int"))
@@ -72,9 +72,8 @@ _T = """WITH t AS (SELECT l_orderkey, 't' || l_linenumber AS test, CASE WHEN l_l
 g AS (SELECT l_orderkey, test, kind, CASE WHEN f = 'A' AND test != 't1' THEN NULL WHEN f = 'N' THEN 'PASSED' WHEN f = 'R' THEN 'FAILED' ELSE 'SKIPPED' END AS status FROM t),
 o AS (SELECT *, CASE WHEN status IN ('PASSED', 'XFAIL') THEN true WHEN status IS NULL OR status IN ('FAILED', 'ERROR') THEN false END AS ok FROM g)"""
 _C = """WITH c AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN 'incomplete' WHEN o_orderkey % 7 = 0 THEN 'empty' WHEN o_orderkey % 11 = 0 THEN 'error' WHEN o_orderstatus = 'F' THEN 'resolved' ELSE 'unresolved' END AS class FROM orders)"""
-_F = """WITH l AS (SELECT l_orderkey, CASE l_returnflag WHEN 'N' THEN 'PASSED' WHEN 'R' THEN 'FAILED' ELSE 'SKIPPED' END AS status, l_linenumber, l_partkey, 't' || l_partkey % 7 AS t,
-  CASE l_returnflag WHEN 'N' THEN 1 WHEN 'R' THEN 2 ELSE 3 END AS w FROM lineitem),
-r AS (SELECT l_orderkey, status, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, t, w) AS n,
+_F = """WITH l AS (SELECT l_orderkey, CASE l_returnflag WHEN 'N' THEN 'PASSED' WHEN 'R' THEN 'FAILED' ELSE 'SKIPPED' END AS status, l_linenumber, l_partkey, 't' || l_partkey % 7 AS t, l_returnflag AS f FROM lineitem),
+r AS (SELECT l_orderkey, status, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, f) AS n,
   CASE l_orderkey % 6 WHEN 0 THEN 'a.py::' || t WHEN 4 THEN t || ' (m.T)' WHEN 5 THEN 'Suite ' || l_linenumber % 2 || ' > ' || t ELSE t END AS test FROM l WHERE NOT (l_orderkey % 6 = 1 AND status = 'SKIPPED')),
 f AS (SELECT l_orderkey, test, arg_max(status, n) AS status FROM r GROUP BY 1, 2)"""
 QUERIES = {

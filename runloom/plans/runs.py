@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from runloom.operators import report, stats
 from runloom.operators import runs as R
-from runloom.operators import stats
 from runloom.plans.tables import RUNS_SQL, runs
 
 _W = f"WITH {RUNS_SQL}"
@@ -105,14 +105,15 @@ SELECT instance_id, bl_n, mt_n, round(x1 / n1 - x2 / n2 - sqrt((x1 / n1 - l1) **
 
 
 def _bootstrap(s, d):
-    b = stats.bootstrap_mean(R.instance_report(runs(s, d)), "degradation", draws=100)
+    b = stats.bootstrap_mean(R.instance_report(runs(s, d)), "degradation")
     return b.select(*[F.round(c, 8).alias(c) for c in ("lo", "hi", "mean")], "n")
 
 
-def _bootstrap_full(s, d):
-    """The whole job, with the operator's 20,000 draws; q_stats_bootstrap_mean has the 100 of its SQL."""
-    b = stats.bootstrap_mean(R.instance_report(runs(s, d)), "degradation")
-    return b.select(*[F.round(c, 8).alias(c) for c in ("lo", "hi", "mean")], "n")
+def _sign_flip_exact(s, d):
+    """Groups of few instances, so all signs are tried; differences in whole hundredths."""
+    r = R.instance_report(runs(s, d)).where("degradation IS NOT NULL").select((F.col("instance_id") % 211).alias("side"), F.floor(F.col("degradation") + F.lit(0.5)).alias("degradation"))
+    few = r.where("degradation != 0").groupBy("side").count().where("count <= 12").select("side")
+    return stats.sign_flip_test(r.join(few, "side", "left_semi"), "degradation", "side")
 
 
 def _binomial(s, d):
@@ -123,12 +124,29 @@ def _binomial(s, d):
     return stats.binomial_redraw(p.join(F.broadcast(n)))
 
 
-_add("q_stats_bootstrap_mean", _bootstrap, _REPORT + """, v AS (SELECT degradation AS v, row_number() OVER (ORDER BY instance_id) - 1 AS i FROM r WHERE degradation IS NOT NULL),
-c AS (SELECT count(*) AS n, avg(v) AS mean FROM v), p AS (
-SELECT b, CAST('0x' || substr(md5('b|' || b || '|' || i), 1, 8) AS BIGINT) % n AS i FROM v, c, range(100) t(b)),
+_add("q_stats_bootstrap_mean", _bootstrap, _REPORT + f""", v AS (SELECT degradation AS v, row_number() OVER (ORDER BY instance_id) - 1 AS i FROM r WHERE degradation IS NOT NULL),
+c AS (SELECT count(*) AS n, avg(v) AS mean FROM v), u1 AS (SELECT b, (b * 1000003 + i * 7919 + 12345) % {stats.PRIME} AS u FROM v, range(20000) t(b)),
+u2 AS (SELECT b, ((u * u % {stats.PRIME}) * (u * u % {stats.PRIME}) % {stats.PRIME} * u % {stats.PRIME} + 31 * b) % {stats.PRIME} AS u FROM u1),
+p AS (SELECT b, ((u * u % {stats.PRIME}) * (u * u % {stats.PRIME}) % {stats.PRIME} * u % {stats.PRIME}) % n AS i FROM u2, c),
 m AS (SELECT b, avg(v) AS m FROM p JOIN v USING (i) GROUP BY b)
 SELECT round(quantile_cont(m, 0.025), 8) AS lo, round(quantile_cont(m, 0.975), 8) AS hi, round(any_value(mean), 8) AS mean, any_value(n) AS n FROM m, c""")
-_add("q_stats_bootstrap_mean_full", _bootstrap_full)
+_add("q_stats_sign_flip_exact", _sign_flip_exact, _REPORT + """, d AS (SELECT instance_id % 211 AS side, CAST(floor(degradation + 0.5) AS BIGINT) AS v FROM r WHERE degradation IS NOT NULL),
+few AS (SELECT side FROM d WHERE v != 0 GROUP BY 1 HAVING count(*) <= 12), z AS (SELECT side, v, row_number() OVER (PARTITION BY side ORDER BY v) - 1 AS i FROM d WHERE v != 0 AND side IN (SELECT side FROM few)),
+zn AS (SELECT side, count(*) AS k, sum(v) AS t FROM z GROUP BY 1), sg AS (SELECT zn.side, k, t, g, sum(CASE WHEN (g >> i) & 1 = 1 THEN -v ELSE v END) AS x FROM zn, range(4096) u(g), z WHERE g < (1 << k) AND z.side = zn.side GROUP BY ALL)
+SELECT side, (SELECT count(*) FROM d WHERE d.side = sg.side) AS n, count(*) FILTER (abs(x) >= abs(t)) / CAST(count(*) AS DOUBLE) AS p FROM sg GROUP BY side""")
+_add("q_stats_degradation_intervals", lambda s, d: report.degradation_intervals(runs(s, d)).select("instance_id", F.round("p1", 9).alias("p1"), F.round("p2", 9).alias("p2"), "n_baseline", "n_mutant"), _REPORT + """
+SELECT instance_id, round(bl_resolved / CAST(bl_n AS DOUBLE), 9) AS p1, round(mt_resolved / CAST(mt_n AS DOUBLE), 9) AS p2, bl_n AS n_baseline, mt_n AS n_mutant FROM r WHERE bl_n > 0 AND mt_n > 0""")
+_add("q_runs_errors", lambda s, d: report.errors(runs(s, d), 3), _W + """, c AS (
+SELECT instance_id, count(*) FILTER (run_type = 'baseline') AS b, count(*) FILTER (run_type = 'mutant') AS m FROM runs GROUP BY 1)
+SELECT 'no-op mutant' AS kind, CAST(instance_id AS VARCHAR) AS instance_id, CAST(sample_id AS VARCHAR) AS sample_id, CAST(NULL AS BIGINT) AS n_baseline, CAST(NULL AS BIGINT) AS n_mutant FROM runs WHERE run_type = 'mutant' AND combo IS NULL
+UNION ALL SELECT CASE WHEN m = 0 THEN 'baseline only' ELSE 'low baseline' END, CAST(instance_id AS VARCHAR), NULL, b, m FROM c WHERE b > 0 AND (m = 0 OR b < 3)""")
+_add("q_runs_summary", lambda s, d: report.summary(runs(s, d)), _REPORT + """, o AS (SELECT count(*) FILTER (status = 'resolved' AND run_type = 'baseline') AS baseline_resolved, count(*) FILTER (run_type = 'baseline') AS baseline_runs,
+  count(*) FILTER (status = 'resolved' AND run_type = 'mutant') AS mutant_resolved, count(*) FILTER (run_type = 'mutant') AS mutant_runs FROM runs),
+sc AS (SELECT count(*) FILTER (status = 'resolved') AS x, count(*) AS scoped_baseline_runs FROM runs WHERE run_type = 'baseline' AND instance_id IN (SELECT instance_id FROM runs WHERE run_type = 'mutant')),
+ex AS (SELECT count(*) FILTER (bl_n > 0 AND mt_n = 0) AS excluded_instances, avg(degradation) AS mean_degradation FROM r)
+SELECT baseline_resolved, baseline_runs, 100.0 * baseline_resolved / baseline_runs AS baseline_rate, mutant_resolved, mutant_runs, 100.0 * mutant_resolved / mutant_runs AS mutant_rate, excluded_instances,
+  100.0 * x / scoped_baseline_runs AS scoped_baseline_rate, scoped_baseline_runs, 100.0 * x / scoped_baseline_runs - 100.0 * mutant_resolved / mutant_runs AS pooled_degradation, mean_degradation FROM o, sc, ex""")
+_add("q_stats_report", lambda s, d: report.statistics(runs(s, d)))
 _add("q_stats_relative_change", lambda s, d: stats.relative_change_bootstrap(runs(s, d), "steps"))
 _add("q_stats_sign_flip", lambda s, d: stats.sign_flip_test(R.instance_report(runs(s, d)).withColumn("side", F.when(F.col("instance_id") % 2 == 0, "even").otherwise("odd")), "degradation", "side"))
 _add("q_stats_binomial_redraw", _binomial)

@@ -40,17 +40,7 @@ def _compaction(s, d):
 
 
 def _grep(s, d):
-    """Words of the first user turn that later turns repeat."""
-    c = table(s, d, "conversations")
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    first = c.where("role = 'user'").withColumn("_n", F.row_number().over(w)).where("_n = 1")
-    words = first.select("conv_id", F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda x: F.length(x) >= 6))).alias("keyword"))
-    j = c.where("role = 'assistant'").join(words, "conv_id").where(F.lower("text").contains(F.col("keyword")))
-    return j.groupBy("conv_id", "keyword").agg(F.count(F.lit(1)).alias("n"), F.min("turn").alias("first_turn"))
-
-
-def _grep_full(s, d):
-    """The whole job: words of three letters or more of the first user turn, in every other turn but system ones; 0 where none has it."""
+    """Words of three letters or more of the first user turn, in every other turn but system ones; 0 where none has it."""
     c = table(s, d, "conversations")
     w = Window.partitionBy("conv_id").orderBy("turn")
     first = c.where("role = 'user'").withColumn("_n", F.row_number().over(w)).where("_n = 1")
@@ -111,7 +101,7 @@ def _label_split(s, d):
 
 _WORDS = r"len(list_filter(string_split_regex(trim({c}), '\s+'), lambda x: x != ''))"
 QUERIES = {
-    "q_text_criteria": _criteria, "q_text_funnel": _funnel, "q_text_diff_summary": _diffs, "q_text_compaction": _compaction, "q_text_keyword_grep": _grep, "q_text_keyword_grep_full": _grep_full, "q_text_context_packing": _packing,
+    "q_text_criteria": _criteria, "q_text_funnel": _funnel, "q_text_diff_summary": _diffs, "q_text_compaction": _compaction, "q_text_keyword_grep": _grep, "q_text_context_packing": _packing,
     "q_retrieval_bm25": _bm25, "q_retrieval_recall": lambda s, d: retrieval.recall(_gold(s, d), _bm25(s, d), "item_id", "doc_id"),
     "q_sampling_shards": _shards, "q_text_label_split": _label_split,
     "q_sets_common_users": lambda s, d: table(s, d, "events").select(F.col("user_id").alias("id")).intersect(table(s, d, "customer").select(F.col("c_custkey").alias("id"))),
@@ -131,6 +121,6 @@ SELECT conv_id, turn, CASE WHEN length(text) > b THEN b + 3 ELSE length(text) EN
     "q_sets_remaining": "SELECT c_custkey AS id FROM customer ANTI JOIN orders ON o_custkey = c_custkey",
     "q_cost_by_rate": "WITH g AS (SELECT event_type, count(*) AS n, CAST(sum(length(props)) AS BIGINT) AS n_in FROM events GROUP BY 1) SELECT *, (n_in * 285 + n * 2400) / 1e9 AS cost FROM g",
     "q_text_keyword_grep": r"""WITH f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE role = 'user') WHERE n = 1),
-w AS (SELECT conv_id, unnest(list_distinct(list_filter(string_split_regex(lower(text), '[^\p{L}]+'), lambda x: length(x) >= 6))) AS keyword FROM f)
-SELECT w.conv_id, keyword, count(*) AS n, min(turn) AS first_turn FROM w JOIN conversations c ON c.conv_id = w.conv_id AND role = 'assistant' AND contains(lower(text), keyword) GROUP BY 1, 2""",
+w AS (SELECT conv_id, turn AS issue, unnest(list_distinct(list_filter(string_split_regex(lower(text), '[^\p{L}]+'), lambda x: length(x) >= 3))) AS keyword FROM f)
+SELECT w.conv_id, keyword, count(c.turn) AS n, min(c.turn) AS first_turn FROM w LEFT JOIN conversations c ON c.conv_id = w.conv_id AND c.turn != issue AND coalesce(role, '') != 'system' AND contains(lower(text), keyword) GROUP BY 1, 2""",
 }

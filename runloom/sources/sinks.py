@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from runloom.session import written
+
 
 def write_report(df: DataFrame, path: str, kind: str = "csv") -> None:
     """A report, which is small, as one CSV (null: empty) or JSON file; an empty one isn't written."""
+    df = written(df, "report")
     if df.isEmpty():
         return
-    one = df.coalesce(1)
+    one = df.coalesce(1)  # of a table that is there already
     if kind == "json":
         one.write.mode("overwrite").json(path)
     else:

@@ -84,14 +84,68 @@ def test_bootstraps_make_the_reference_number_of_draws(spark):
 
     for f in (stats.bootstrap_mean, stats.relative_change_bootstrap, stats.binomial_redraw):
         assert inspect.signature(f).parameters["draws"].default == 20_000
-    v = spark.createDataFrame([(i, float(i % 3)) for i in range(6)], "instance_id long, d double")
-    few, all_ = stats.bootstrap_mean(v, "d", draws=100).first(), stats.bootstrap_mean(v, "d").first()
-    assert few.lo <= few.mean <= few.hi and all_.lo <= all_.mean == 1.0 <= all_.hi
-    import hashlib
-
-    at = lambda b, i: int(hashlib.md5(f"b|{b}|{i}".encode()).hexdigest()[:8], 16) % 6
-    m = [np.mean([at(b, i) % 3 for i in range(6)]) for b in range(20_000)]
-    assert np.allclose((all_.lo, all_.hi), np.quantile(m, [0.025, 0.975]))
+
+
+def test_bootstrap_of_the_mean_against_plain_draws(spark, monkeypatch):
+    v = spark.createDataFrame([(i, float(i % 3) ** 2) for i in range(40)], "instance_id long, d double")
+    x = np.array([float(i % 3) ** 2 for i in range(40)])
+    m = [np.mean([x[int(stats.picks(np.array([b]), np.array([i]), 40)[0])] for i in range(40)]) for b in range(300)]
+    few = stats.bootstrap_mean(v, "d", draws=300).first()
+    assert np.allclose((few.lo, few.hi), np.quantile(m, [0.025, 0.975])) and few.n == 40
+    rng = np.random.default_rng(0)
+    want = np.quantile(x[rng.integers(0, 40, (50_000, 40))].mean(axis=1), [0.025, 0.975])
+    all_ = stats.bootstrap_mean(v, "d").first()
+    assert np.allclose((all_.lo, all_.hi), want, atol=0.05)
+    monkeypatch.setattr(stats, "MOST_VALUES", 10)  # the way beyond the broadcast
+    wide = stats.bootstrap_mean(v, "d", draws=4000).first()
+    assert np.allclose((wide.lo, wide.hi), want, atol=0.08) and (wide["mean"], wide.n) == (all_["mean"], 40)
+    one = stats.bootstrap_mean(v.where("instance_id = 2"), "d").first()
+    none = stats.bootstrap_mean(v.limit(0), "d").first()
+    assert (one.lo, one.hi, one.n) == (4.0, 4.0, 1) and (none.lo, none["mean"], none.n) == (0.0, 0.0, 0)
+
+
+def test_picks_are_even():
+    n, b = 97, 2000
+    k = np.bincount(stats.picks(np.arange(b)[:, None], np.arange(n)[None, :], n).reshape(-1), minlength=n)
+    assert ((k - b) ** 2 / b).sum() < 160  # chi square of 96 degrees
+    own = stats.picks(np.arange(b)[:, None], np.arange(n)[None, :], n)
+    distinct = np.mean([len(set(r)) for r in own.tolist()]) / n
+    assert abs(distinct - (1 - np.exp(-1))) < 0.01  # as with independent picks
+
+
+def test_instances_are_resampled_apart(spark):
+    """Instances whose ids end alike draw apart, so their errors average out."""
+    one = lambda i: [(i, t, float(x)) for t, xs in (("baseline", (5, 15)), ("mutant", (8, 12))) for x in xs]
+    make = lambda ids: spark.createDataFrame([r for i in ids for r in one(i)], "instance_id string, run_type string, steps double")
+    a = stats.relative_change_bootstrap(make(["aa__django-11099"]), "steps", draws=4000).first()
+    b = stats.relative_change_bootstrap(make([f"{x}{x}__django-11099" for x in "abcdefgh"]), "steps", draws=4000).first()
+    assert b.hi - b.lo < 0.6 * (a.hi - a.lo)
+    p = lambda ids: spark.createDataFrame([(i, 0.5, 0.5, 9, 9) for i in ids], "instance_id string, p1 double, p2 double, n1 int, n2 int")
+    x, y = (stats.binomial_redraw(p(ids), draws=4000).first() for ids in (["aa__django-11099"], [f"{x}{x}__django-11099" for x in "abcdefgh"]))
+    assert y.hi - y.lo < 0.6 * (x.hi - x.lo) and (y["mean"], y.n) == (0.0, 8)
+
+
+def test_statistics_report_and_files(spark, tmp_path):
+    from runloom.operators import report
+
+    rng = np.random.default_rng(3)
+    rows = [(i, t, "resolved" if rng.random() < (0.7 if t == "baseline" else 0.4) else "unresolved", {"x": 1} if t == "mutant" and k else {}) for i in "abcdef" for t in ("baseline", "mutant") for k in range(5)]
+    r = _runs(spark, [*rows, ("g", "baseline", "resolved", {})])
+    x = report.statistics(r, draws=500).first()
+    per = report.degradation_intervals(r).collect()
+    assert len(per) == 6 and x.degradation_ci.n_instances == 6 and abs(x.degradation_ci.mean_pp - 100 * np.mean([p.degradation for p in per])) < 1e-4  # four digits
+    assert x.degradation_ci.ci_lower_pp <= x.degradation_ci.mean_pp <= x.degradation_ci.ci_upper_pp
+    assert (x.degradation_binomial_ci.n_baseline_per_instance, x.degradation_binomial_ci.n_mutant_per_instance) == (5, 5)
+    assert x.sign_flip_pvalue == round(stats.sign_flip([p.p1 - p.p2 for p in per]), 6)
+    assert x.step_delta_ci.mean_pct == 0.0 and x.step_delta_resolved_ci.n_instances <= 6
+    none = report.statistics(r.limit(0), draws=50).first()
+    assert none.degradation_ci is None and none.degradation_binomial_ci is None and none.sign_flip_pvalue is None and none.cost_delta_ci is None
+    report.write_all(r, str(tmp_path / "out"), min_baseline=2, draws=50)
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["degradation_ci", "detailed", "errors", "instances", "spt_combinations", "spt_correlation", "statistics"]
+    kinds = {z.kind for z in report.errors(r, 2).collect()}
+    assert kinds == {"no-op mutant", "baseline only"}
+    s = report.summary(r).first()
+    assert (s.baseline_runs, s.mutant_runs, s.excluded_instances, s.scoped_baseline_runs) == (31, 30, 1, 30)
 
 
 def test_binomial_query_takes_the_modes(spark, monkeypatch):

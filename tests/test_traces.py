@@ -224,5 +224,5 @@ def test_keyword_grep_of_all_turns(spark, tmp_path):
 
     turns = [(1, 0, "system", "the bug"), (1, 1, "user", "Fix the bug, nowhere to"), (1, 2, "assistant", "a BUG"), (1, 3, "user", "fix this bug"), (2, 0, "user", "lonely")]
     spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
-    got = sorted(map(tuple, plans.QUERIES["q_text_keyword_grep_full"](spark, str(tmp_path)).collect()))
+    got = sorted(map(tuple, plans.QUERIES["q_text_keyword_grep"](spark, str(tmp_path)).collect()))
     assert got == [(1, "bug", 2, 2), (1, "fix", 1, 3), (1, "nowhere", 0, None), (1, "the", 0, None), (2, "lonely", 0, None)]
