@@ -135,13 +135,18 @@ def normalized_path(c: Column) -> Column:
 
 
 def identifier(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(c), "^instance_", ""), r"[_-](mini(swe)?|opencode)([_-].*)?$", "")
+    """An id in lower case, without the names that folders add to it; null if nothing is left."""
+    return F.nullif(F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), "^instance_", ""), r"_(?:miniswe|opencode)(?:-sample)?$", ""), F.lit(""))
+
+
+#: Words for a result that holds and for one that doesn't.
+YES, NO = ("resolved", "passed", "pass", "success", "true"), ("unresolved", "failed", "fail", "failure", "false")
 
 
 def tri_state(c: Column) -> Column:
-    """true, false or null from booleans, numbers and words."""
+    """true, false or null from booleans, the numbers 0 and 1, and words."""
     x = F.lower(F.trim(c.cast("string")))
-    return F.when(x.isin("true", "1", "yes", "resolved", "pass", "passed"), True).when(x.isin("false", "0", "no", "unresolved", "fail", "failed"), False)
+    return F.when(x.isin(*YES, "1", "1.0"), True).when(x.isin(*NO, "0", "0.0"), False)
 
 
 def split_id(c: Column) -> tuple[Column, Column]:

@@ -10,7 +10,10 @@ import zipfile
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-FILES = "sample string, member string, content string"
+#: sample: the name of its folder; path: where a file lies below that; member: its base name.
+FILES = "sample string, path string, member string, content string"
+#: Rows of an archive go on in batches of about so many bytes.
+BATCH = 16 << 20
 
 
 def safe(name: str) -> bool:
@@ -25,73 +28,104 @@ def sample_of(path: Column | str) -> Column:
 
 
 def directory(spark: SparkSession, path: str) -> DataFrame:
-    """All files below a folder; wrapping folders don't matter, as a sample is known by its name."""
+    """All files below a folder; wrapping folders don't matter, as a sample is known by its name. Loose files are left out."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     s = sample_of("path")
-    return f.select(s.alias("sample"), F.substring_index("path", "/", -1).alias("member"), F.col("content").cast("string").alias("content")).where("sample IS NOT NULL")
+    below = F.substring(F.col("path"), F.instr("path", F.concat(F.lit("/"), s, F.lit("/"))) + F.length(s) + 2, F.length("path"))
+    f = f.select(s.alias("sample"), below.alias("path"), F.substring_index("path", "/", -1).alias("member"), F.col("content").cast("string").alias("content"), F.endswith("path", F.concat(F.lit("/"), s)).alias("loose"))
+    return f.where("sample IS NOT NULL AND NOT loose").drop("loose")
 
 
-def _members(name: str, raw: bytes):
+def _members(name: str, raw: bytes, prefix: str, unsafe: str):
+    def allowed(n: str) -> bool:
+        if safe(n) and ".." not in n.split("/"):
+            return True
+        if unsafe == "reject":
+            raise ValueError(f"unsafe path in {name}: {n}")
+        return False
+
     if name.endswith(".zip"):
         with zipfile.ZipFile(io.BytesIO(raw)) as z:
             for n in sorted(z.namelist()):
-                if not n.endswith("/") and safe(n):
+                if n.startswith(prefix) and not n.endswith("/") and allowed(n):
                     yield n, z.read(n)
     else:
-        with tarfile.open(fileobj=io.BytesIO(raw), mode="r:*") as t:
+        with tarfile.open(fileobj=io.BytesIO(raw), mode="r|*") as t:  # one member after the other
             for m in t:
-                if m.isfile() and safe(m.name):
+                if m.isfile() and m.name.startswith(prefix) and allowed(m.name):
                     yield m.name, t.extractfile(m).read()
 
 
-def archive(spark: SparkSession, path: str) -> DataFrame:
-    """Members of .tar.gz and .zip files: one archive is one task, as gzip can't be split. Unsafe paths are left out.
+def archive(spark: SparkSession, path: str, subpath: str = "", unsafe: str = "skip") -> DataFrame:
+    """Members of .tar.gz and .zip files below subpath: one archive is one task, as gzip can't be split.
 
-    A sample's members needn't stand together: rows are grouped by sample later, so it is one
-    record however it was packed. Archives are read by Spark, so any store will do.
+    An archive's bytes are in memory once (Spark reads it, so any store will do, up to 2 GB);
+    its members are unpacked one by one and go on in batches of a bounded size. Paths that
+    leave the archive are skipped, or with unsafe="reject" an error. A sample's members
+    needn't stand together: rows are grouped by sample later, so it is one record however it
+    was packed.
     """
+    prefix = subpath.rstrip("/") + "/" if subpath else ""
 
     def read(batches):
         import pandas as pd
 
+        frame = lambda rows: pd.DataFrame(rows, columns=["sample", "path", "member", "content"])
         for pdf in batches:
             for name, raw in zip(pdf["path"], pdf["content"], strict=True):
-                rows = []
-                for n, content in _members(name, raw):
-                    parts = [x for x in n.split("/") if "__" in x]
-                    if parts:
-                        rows.append((parts[0], n.rsplit("/", 1)[-1], content.decode("utf-8", "replace")))
-                yield pd.DataFrame(rows, columns=["sample", "member", "content"])
+                rows, size = [], 0
+                for n, content in _members(name, raw, prefix, unsafe):
+                    parts = n.split("/")
+                    at = next((i for i, x in enumerate(parts[:-1]) if "__" in x), -1)
+                    if at < 0:
+                        continue
+                    rows.append((parts[at], "/".join(parts[at + 1 :]), parts[-1], content.decode("utf-8", "replace")))
+                    size += len(content)
+                    if size > BATCH:
+                        yield frame(rows)
+                        rows, size = [], 0
+                yield frame(rows)
 
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("path").rlike(r"\.(tar\.gz|tgz|tar|zip)$"))
     return f.select("path", "content").mapInPandas(read, FILES)
 
 
-def load(spark: SparkSession, path: str) -> DataFrame:
+def load(spark: SparkSession, path: str, subpath: str = "") -> DataFrame:
     """Folder or archive, by the name's ending."""
-    return archive(spark, path) if path.endswith((".zip", ".tar", ".tgz", ".tar.gz")) else directory(spark, path)
+    return archive(spark, path, subpath) if path.endswith((".zip", ".tar", ".tgz", ".tar.gz")) else directory(spark, f"{path}/{subpath}".rstrip("/"))
 
 
 def assembled(files: DataFrame) -> DataFrame:
-    """One row for each sample: its trajectory, transformation log, patch and reports.
+    """One row for each sample: its trajectory, transformation log, patch, predictions and reports, and whether it has a report folder.
 
-    Of several trajectories one named for the instance is preferred, then the first by name.
+    Of several trajectories one whose file or folder is named for the instance is preferred,
+    then the first by path. Reports are files of the sample's folder report/ only; of the
+    counting ones, which report.json and eval_results.json aren't, the first that is JSON.
     """
     from runloom.functions.text import split_id
 
+    instance, sample = split_id(F.col("sample"))
+    f = files.withColumns({"instance_id": instance, "sample_id": sample})
+    in_report = F.col("path") == F.concat(F.lit("report/"), F.col("member"))
     role = (
         F.when(F.col("member").endswith(".traj.json"), "trajectory")
-        .when(F.col("member") == "spt_log.json", "spt_log")
-        .when(F.col("member").isin("patch.diff", "patch.txt"), "patch")
-        .when(F.col("member") == "preds.json", "preds")
-        .when(F.col("member") == "eval_results.json", "eval_results")
-        .when(F.col("member").endswith(".json"), "report")
+        .when(F.col("path") == "spt_log.json", "spt_log")
+        .when(F.col("path") == "patch.diff", "patch")
+        .when(F.col("path") == "preds.json", "preds")
+        .when(in_report & (F.col("member") == "eval_results.json"), "eval_results")
+        .when(in_report & F.col("member").endswith(".json") & (F.col("member") != "report.json") & F.try_parse_json("content").isNotNull(), "report")
     )
-    instance, sample = split_id(F.col("sample"))
-    f = files.withColumns({"role": role, "instance_id": instance, "sample_id": sample})
-    f = f.withColumn("_n", F.row_number().over(Window.partitionBy("sample", "role").orderBy(F.contains("member", F.col("instance_id")).desc(), "member")))
+    named = (F.col("member") == F.concat("instance_id", F.lit(".traj.json"))) | F.endswith(F.concat(F.lit("/"), F.col("path")), F.concat(F.lit("/"), "instance_id", F.lit("/"), "member"))
+    f = f.withColumn("role", role)
+    f = f.withColumn("_n", F.row_number().over(Window.partitionBy("sample", "role").orderBy(named.desc(), "path")))
     pick = lambda r: F.max(F.when((F.col("role") == r) & (F.col("_n") == 1), F.col("content"))).alias(r)
-    return f.groupBy("sample", "instance_id", "sample_id").agg(*[pick(r) for r in ("trajectory", "spt_log", "patch", "preds", "eval_results", "report")])
+    has_report = F.coalesce(F.bool_or(F.startswith("path", F.lit("report/"))), F.lit(False)).alias("has_report")
+    return f.groupBy("sample", "instance_id", "sample_id").agg(*[pick(r) for r in ("trajectory", "spt_log", "patch", "preds", "eval_results", "report")], has_report)
+
+
+def spt_entry_count(log: Column) -> Column:
+    """All entries of a log, also those that are no transformation; 0 if it isn't a list."""
+    return F.coalesce(F.json_array_length(log), F.lit(0))
 
 
 def spt_breakdown(log: Column) -> Column:
@@ -101,25 +135,91 @@ def spt_breakdown(log: Column) -> Column:
     return F.map_from_entries(F.transform(F.array_sort(F.array_distinct(names)), lambda n: F.struct(n, F.size(F.filter(names, lambda x: x == n)))))
 
 
+def spt_metadata(log: Column) -> Column:
+    """available, entry_count and applied of a log: applied is true or null, as an empty log doesn't prove that nothing was applied."""
+    v = F.try_parse_json(log)
+    n = F.coalesce(F.json_array_length(log), F.size(F.json_object_keys(log)))
+    return F.struct(v.isNotNull().alias("available"), F.when(v.isNotNull(), n).alias("entry_count"), F.when(v.isNotNull() & (n > 0), True).alias("applied"))
+
+
+def predicted_patch(preds: Column) -> Column:
+    """The patch of a predictions file: of its object, or of the first of a list; null if it isn't JSON."""
+    own = F.coalesce(*[F.nullif(F.get_json_object(preds, f"{root}.{k}"), F.lit("")) for root in ("$[0]", "$") for k in ("patch", "model_patch")], F.lit(""))
+    return F.when(F.try_parse_json(preds).isNotNull(), own)
+
+
 def status(sample: DataFrame) -> Column:
-    """resolved, unresolved, empty, error or unknown: results by instance first, then counts, then the patch."""
+    """resolved, unresolved, empty, error or unknown.
+
+    Without a report folder: unknown. Results by instance come first: any that holds is
+    resolved, else the predicted patch tells (no predictions: empty, no JSON: error). Then
+    the counts of a report. Unreadable results by instance are passed over.
+    """
     from runloom.functions.text import patch_class
 
-    ev = F.from_json("eval_results", "map<string,boolean>")
-    own = F.when(F.exists(F.map_values(ev), lambda x: F.coalesce(x, F.lit(False))), "resolved")
-    cls = patch_class(F.col("patch"))
+    ev = F.from_json("eval_results", "map<string,string>")
+    yes = F.exists(F.map_values(ev), lambda x: F.coalesce(~x.isin("false", "0", "", "null", "[]", "{}"), F.lit(False)))
+    patch = F.when(F.col("preds").isNull(), "empty").when(F.try_parse_json("preds").isNull(), "error").otherwise(patch_class(predicted_patch(F.col("preds"))))
     n = lambda k: F.coalesce(F.get_json_object("report", f"$.{k}").try_cast("int"), F.lit(0))
     old = F.when(n("resolved_instances") > 0, "resolved").when(n("error_instances") > 0, "error").when(n("empty_patch_instances") > 0, "empty").otherwise("unresolved")
-    return F.when(F.coalesce(F.size(F.map_keys(ev)), F.lit(0)) > 0, F.coalesce(own, F.when(cls == "ok", "unresolved").otherwise(cls))).when(F.col("report").isNotNull(), old).otherwise("unknown")
+    by_instance = F.when(yes, "resolved").when(patch == "ok", "unresolved").otherwise(patch)
+    return F.when(~F.col("has_report"), "unknown").when(F.coalesce(F.size(F.map_keys(ev)), F.lit(0)) > 0, by_instance).when(F.col("report").isNotNull(), old).otherwise("unknown")
+
+
+def outcome(sample: DataFrame) -> Column:
+    """The four-way outcome: as status, but error where nothing is reported, and no empty: an empty patch is unresolved."""
+    s = status(sample)
+    return F.when(s == "unknown", "error").when(s == "empty", "unresolved").otherwise(s)
 
 
-def predictions(spark: SparkSession, path: str) -> DataFrame:
-    """Predictions as rows, from a map by id, a list, or lines of JSON."""
+def records(samples: DataFrame, run_type: str) -> DataFrame:
+    """assembled() samples as runs: ids, status, metrics of the trajectory, transformations, files of the patch."""
+    from runloom.functions.text import patch_files
+    from runloom.sources import trajectories
+
+    files = F.coalesce(F.size(patch_files(F.col("patch"))), F.lit(0))
+    s = samples.withColumns({"status": status(samples), "patch_files_touched": files, "spt": spt_breakdown(F.col("spt_log")), "spt_entry_count": spt_entry_count(F.col("spt_log"))})
+    s = trajectories.metrics(trajectories.parsed(s))
+    return s.select("instance_id", "sample_id", F.lit(run_type).alias("run_type"), "status", F.col("sample").alias("source_dir"), "patch_files_touched", *trajectories.METRICS, "spt", F.array_join(F.array_sort(F.map_keys("spt")), ",").alias("spt_types"), "spt_entry_count")
+
+
+def predictions(spark: SparkSession, path: str, dataset: DataFrame | None = None) -> DataFrame:
+    """Predictions as rows (instance_id, model_name_or_path, model_patch), from a map by id, a list, or lines of JSON.
+
+    The path "gold" gives the dataset's own patches. A prediction without an id is an error.
+    """
+    if path == "gold":
+        if dataset is None:
+            raise ValueError("gold predictions need a dataset")
+        return dataset.select("instance_id", F.lit("gold").alias("model_name_or_path"), F.col("patch").alias("model_patch"))
     raw = spark.read.text(path, wholetext=not path.endswith(".jsonl"))
-    kind = "struct<instance_id:string,model_name_or_path:string,model_patch:string,patch:string>"
+    kind = "struct<instance_id:string,model_name_or_path:string,model_patch:string,patch:string,prefix:string>"
     v = F.col("value")
     rows = F.when(v.rlike(r"^\s*\["), F.from_json(v, f"array<{kind}>")).when(F.lit(path.endswith(".jsonl")), F.array(F.from_json(v, kind))).otherwise(F.map_values(F.from_json(v, f"map<string,{kind}>")))
-    return raw.select(F.explode(rows).alias("p")).select("p.instance_id", "p.model_name_or_path", F.coalesce("p.model_patch", "p.patch").alias("model_patch")).where("instance_id IS NOT NULL")
+    out = raw.select(F.explode(rows).alias("p")).select("p.instance_id", F.coalesce("p.model_name_or_path", "p.prefix").alias("model_name_or_path"), F.coalesce("p.model_patch", "p.patch").alias("model_patch"))
+    return out.withColumn("instance_id", F.when(F.col("instance_id").isNull(), F.raise_error(F.lit("a prediction has no instance_id"))).otherwise(F.col("instance_id")))
+
+
+def reshaped(preds: DataFrame, prefix: str) -> DataFrame:
+    """Predictions in the list form: instance_id, patch (null: empty) and prefix."""
+    return preds.select("instance_id", F.coalesce("model_patch", F.lit("")).alias("patch"), F.lit(prefix).alias("prefix"))
+
+
+def dataset(spark: SparkSession, path: str, ids: DataFrame | None = None) -> DataFrame:
+    """Instances from .json (a list) or .jsonl; with ids (column id) only those. An id that the dataset lacks is an error."""
+    df = spark.read.json(path, multiLine=not path.endswith(".jsonl"))
+    if ids is None:
+        return df
+    missing = [r.id for r in ids.join(df.select(F.col("instance_id").alias("id")), "id", "left_anti").orderBy("id").limit(10).collect()]
+    if missing:
+        raise ValueError(f"not in the dataset: {', '.join(missing)}")
+    return df.join(ids.select(F.col("id").alias("instance_id")), "instance_id", "left_semi")
+
+
+def frame(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV with a header, or lines of JSON, with empty text for null."""
+    df = spark.read.json(path) if path.endswith(".jsonl") else spark.read.csv(path, header=True, multiLine=True, escape='"')
+    return df.na.fill("")
 
 
 def ids(spark: SparkSession, path: str) -> DataFrame:
@@ -132,6 +232,11 @@ def upsert(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return existing.join(new.select(key), key, "left_anti").unionByName(new)
 
 
+def without(existing: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """existing without the rows of these ids."""
+    return existing.join(ids.select(key), key, "left_anti")
+
+
 def match_results(cases: DataFrame, results: DataFrame) -> DataFrame:
     """The best result of each case: matched, missing, or ambiguous if the two best tie with different ids.
 

@@ -3,6 +3,7 @@ import json
 import tarfile
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from runloom.functions import recovery
@@ -87,7 +88,7 @@ def test_text_functions(spark):
     assert one(spark, X.packed_labels(F.array(F.lit(1), F.lit(2)), F.array(F.lit(7))), c="") == [-100, -100, 7]
     a, b = X.split_id(F.col("c"))
     assert (one(spark, a, c="p__q-1_s_7"), one(spark, b, c="p__q-1_s_7"), one(spark, b, c="x")) == ("p__q-1_s", "7", "")
-    assert one(spark, X.tri_state(F.col("c")), c="maybe") is None and one(spark, X.tri_state(F.col("c")), c="Yes") is True
+    assert one(spark, X.tri_state(F.col("c")), c="maybe") is None and one(spark, X.tri_state(F.col("c")), c="Success ") is True
     assert one(spark, X.without_ansi(F.col("c")), c="\x1b[31mred\x1b[0m") == "red"
 
 
@@ -128,7 +129,7 @@ def test_grading_edges(spark):
 def test_archives_and_trajectories(spark, tmp_path):
     mini = {"info": {"exit_status": "Submitted", "submission": "abc", "model_stats": {"api_calls": 2, "instance_cost": 0}, "config": {"model": {"model_name": "Qwen-x"}}}, "messages": [{"role": "user", "content": "hi", "timestamp": 10.0}, {"role": "assistant", "content": "a", "timestamp": 12.5, "extra": {"response": {"usage": {"prompt_tokens": 1000, "completion_tokens": 10}}}}]}
     oc = {"info": {"id": "s", "cost": 1.5, "tokens": {"input": 7, "output": 3, "cache": {"read": 1, "write": 2}}}, "messages": [{"info": {"role": "assistant", "time": {"created": 1e12, "completed": 1e12 + 4000}}, "parts": [{"type": "text", "text": "t"}, {"type": "tool", "tool": "bash", "state": {"status": "ok", "input": {"c": 1}, "output": "o"}}]}]}
-    files = {"w/p__q-1_a/run.traj.json": json.dumps(mini), "w/p__q-1_a/spt_log.json": '[{"order":1,"transformation":"x"},{"order":2,"transformation":"x"}]', "w/p__q-1_b/s.traj.json": json.dumps(oc), "w/p__q-1_b/eval_results.json": '{"p__q-1": true}', "../evil__x/a.json": "{}"}
+    files = {"w/p__q-1_a/run.traj.json": json.dumps(mini), "w/p__q-1_a/spt_log.json": '[{"order":1,"transformation":"x"},{"order":2,"transformation":"x"}]', "w/p__q-1_b/s.traj.json": json.dumps(oc), "w/p__q-1_b/report/eval_results.json": '{"p__q-1": true}', "../evil__x/a.json": "{}", "w/loose__file": "x"}
     with tarfile.open(tmp_path / "r.tar.gz", "w:gz") as t:
         for n, c in files.items():
             i = tarfile.TarInfo(n)
@@ -142,13 +143,69 @@ def test_archives_and_trajectories(spark, tmp_path):
         got = {r["sample"]: r for r in s.withColumn("spt", archives.spt_breakdown(F.col("spt_log"))).withColumn("status", archives.status(s)).collect()}
         assert sorted(got) == ["p__q-1_a", "p__q-1_b"] and got["p__q-1_a"].spt == {"x": 2}
         assert (got["p__q-1_b"].status, got["p__q-1_a"].status, got["p__q-1_a"].sample_id) == ("resolved", "unknown", "a")
+        with pytest.raises(Exception, match="unsafe path"):
+            archives.archive(spark, str(tmp_path / name), unsafe="reject").count()
+    assert archives.archive(spark, str(tmp_path / "r.zip"), "w/p__q-1_a").count() == 2 and archives.load(spark, str(tmp_path / "r.tar.gz"), "none").count() == 0
     t = trajectories.parsed(s)
     m = {r["sample"]: r for r in trajectories.metrics(t).collect()}
     a, b = m["p__q-1_a"], m["p__q-1_b"]
     assert (a.dialect, a.steps, a.exit_status, a.input_tokens) == ("mini", 2, "Submitted", 1000) and abs(a.cost - (1000 * 0.285 + 10 * 2.4) / 1e6) < 1e-12
     assert (b.dialect, b.steps, b.cost, b.input_tokens, b.cache_write_tokens) == ("opencode", 1, 1.5, 7, 2)
     e = trajectories.events(t, "sample").orderBy("sample", "event_idx").collect()
-    assert [(x.id, x.duration_seconds, x.duration_is_estimated) for x in e] == [("E1", 2.5, False), ("E2", None, False), ("E1", 2.0, True), ("E2", 2.0, True)]
+    assert [(x.id, x.duration_seconds, x.duration_is_estimated) for x in e] == [("E0", 2.5, False), ("E1", None, False), ("E0", 2.0, True), ("E1", 2.0, True)]
+
+
+def test_run_records(spark, tmp_path):
+    """Statuses, steps, files and costs of samples, a folder for each."""
+    diff = "diff --git a/x.py b/x.py\n--- a/x.py\n+++ b/x.py\n@@ -1 +1 @@\n-a\n+error: b\n"
+    bash = lambda c: {"role": "assistant", "content": f"```bash\n{c}\n```"}
+    mini = {"info": {"model_stats": {"api_calls": 0, "instance_cost": 0.5}}, "messages": [{"role": "user", "content": "q"}, bash("cat src/a.py"), bash("cat src/a.py ./b.py")]}
+    steps = {"info": {"sessionID": "s", "model": {"id": "Qwen"}, "tokens": {"prompt_tokens": 1000, "output": 100, "reasoning": 7}}, "messages": [{"info": {"role": "assistant"}, "parts": [{"type": "step-start"}, {"type": "text"}, {"type": "step-start"}]}]}
+    text = json.dumps(mini)
+    samples = {
+        "p__q-1_a": {"report/eval_results.json": '{"p__q-1": false}', "preds.json": json.dumps({"model_patch": diff}), "p__q-1.traj.json": text, "x/a.traj.json": "{}", "patch.diff": diff},
+        "p__q-1_b": {"report/eval_results.json": '{"p__q-1": false}', "preds.json": '[{"patch": "litellm.RateLimitError"}]', "p__q-1.traj.json": text[:-30], "patch.diff": diff},
+        "p__q-1_c": {"report/eval_results.json": '{"p__q-1": false}', "patch.diff": diff, "ses.traj.json": json.dumps(steps)},
+        "p__q-1_d": {"report/run.json": '{"resolved_instances": 0, "empty_patch_instances": 1}', "report/report.json": '{"resolved_instances": 1}'},
+        "p__q-1_e": {"report/report.json": '{"resolved_instances": 1}', "other.json": '{"resolved_instances": 1}', "spt_log.json": '[{"transformation": "x"}, {"keywords": ["k"]}]'},
+        "p__q-1_f": {"report/eval_results.json": "broken", "report/run.json": '{"resolved_instances": 2}'},
+        "p__q-1_g": {"eval_results.json": '{"p__q-1": true}', "patch.diff": diff},
+    }
+    for sample, files in samples.items():
+        for name, content in files.items():
+            at = tmp_path / "w" / sample / name
+            at.parent.mkdir(parents=True, exist_ok=True)
+            at.write_text(content)
+    got = {r.sample_id: r for r in archives.records(archives.assembled(archives.load(spark, str(tmp_path / "w"))), "mutant").collect()}
+    assert {k: r.status for k, r in got.items()} == {"a": "unresolved", "b": "error", "c": "empty", "d": "empty", "e": "unknown", "f": "resolved", "g": "unknown"}
+    a, b, c, e = (got[k] for k in "abce")
+    assert (a.steps, a.cost, a.exit_status, a.files_touched, a.patch_files_touched) == (2, 0.5, "unknown", 3, 1)  # a path within a path counts too
+    assert (b.steps, b.exit_status, b.files_touched) == (1, "truncated", 1)
+    assert (c.steps, c.exit_status, c.reasoning_tokens, c.output_tokens) == (2, "ok", 7, 100) and abs(c.cost - (1000 * 0.285 + 100 * 2.4) / 1e6) < 1e-12
+    assert (e.spt, e.spt_types, e.spt_entry_count, e.steps, e.exit_status) == ({"x": 1}, "x", 2, 0, "unknown")
+    assert {r.source_dir for r in got.values()} == set(samples) and {r.run_type for r in got.values()} == {"mutant"}
+    s = archives.assembled(archives.load(spark, str(tmp_path / "w")))
+    assert {r.sample_id: r.o for r in s.withColumn("o", archives.outcome(s)).collect()}["e"] == "error"
+    for log, want in (("[]", (True, 0, None)), ("[1]", (True, 1, True)), (None, (False, None, None)), ("x", (False, None, None))):
+        assert tuple(one(spark, archives.spt_metadata(F.col("c").cast("string")), c=log)) == want, log
+
+
+def test_loading_of_datasets(spark, tmp_path):
+    (tmp_path / "d.jsonl").write_text('{"instance_id": "a", "patch": "p"}\n{"instance_id": "b", "patch": "q"}\n')
+    (tmp_path / "d.json").write_text('[{"instance_id": "a", "patch": "p"}]')
+    (tmp_path / "f.csv").write_text('instance_id,x\na,\nb,"1\n2"\n')
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
+    d = archives.dataset(spark, str(tmp_path / "d.jsonl"))
+    assert archives.dataset(spark, str(tmp_path / "d.jsonl"), ids("b")).first().patch == "q" and archives.dataset(spark, str(tmp_path / "d.json")).count() == 1
+    with pytest.raises(ValueError, match="not in the dataset: z"):
+        archives.dataset(spark, str(tmp_path / "d.jsonl"), ids("a", "z"))
+    assert sorted(map(tuple, archives.frame(spark, str(tmp_path / "f.csv")).collect())) == [("a", ""), ("b", "1\n2")]
+    assert sorted(r.model_patch for r in archives.predictions(spark, "gold", d).collect()) == ["p", "q"]
+    assert tuple(archives.reshaped(archives.predictions(spark, "gold", d), "x").orderBy("instance_id").first()) == ("a", "p", "x")
+    (tmp_path / "p.json").write_text('[{"patch": "e"}]')
+    with pytest.raises(Exception, match="no instance_id"):
+        archives.predictions(spark, str(tmp_path / "p.json")).collect()
+    assert [r.instance_id for r in archives.without(d, ids("a").withColumnRenamed("id", "instance_id"), "instance_id").collect()] == ["b"]
 
 
 def test_results_stay_with_their_root(spark):
