@@ -108,8 +108,9 @@ def patch_limits(c: Column) -> Column:
     return F.struct((n(lambda x: x.startswith("--- ")) - created).alias("files"), n(lambda x: x.startswith("@@ ")).alias("hunks"), changed.alias("lines"), adds_or_removes_files(c).alias("other_files"))
 
 
-def truncated(c: Column, limit: int, marker: str = "\n...[truncated]...") -> Column:
-    return F.when(F.length(c) > limit, F.concat(F.left(c, F.lit(limit - len(marker))), F.lit(marker))).otherwise(c)
+def truncated(c: Column, limit: int, marker: str = "\n...[truncated]", room: int = 18) -> Column:
+    """A text of more than limit characters is cut to limit - room, and a marker follows."""
+    return F.when(F.length(c) > limit, F.concat(F.left(c, F.lit(max(0, limit - room))), F.lit(marker))).otherwise(c)
 
 
 def head_tail(c: Column, budget: Column, head: float = 0.65) -> Column:

@@ -72,10 +72,12 @@ def elapsed(events: DataFrame, case: str, ts: str) -> DataFrame:
 
 
 def phase_statistics(events: DataFrame, case: str, phase: str, duration: str) -> DataFrame:
-    """By case and phase: events, seconds and shares; and whether it is the largest by events (ties: first by name)."""
+    """By case and phase: events, seconds and shares; and whether it is the largest by events and by time (ties: first by name)."""
     g = events.groupBy(case, phase).agg(F.count(F.lit(1)).alias("n_events"), F.coalesce(F.sum(duration), F.lit(0)).alias("seconds"))
     w = Window.partitionBy(case)
-    return g.withColumn("share", 100.0 * F.col("n_events") / F.sum("n_events").over(w)).withColumn("largest", F.row_number().over(w.orderBy(F.desc("n_events"), phase)) == 1)
+    g = g.withColumn("share", 100.0 * F.col("n_events") / F.sum("n_events").over(w))
+    top = lambda c: F.row_number().over(w.orderBy(F.desc(c), phase)) == 1
+    return g.withColumns({"largest": top("n_events"), "largest_by_time": top("seconds")})
 
 
 def test_counts(tests: DataFrame, case: str, command: str, outcome: str, failed: str) -> DataFrame:
@@ -88,9 +90,29 @@ def steps(messages: DataFrame, case: str, order: str, role: str, closes: str = "
     return messages.withColumn("step", F.coalesce(F.sum((F.col(role) == closes).cast("long")).over(before), F.lit(0)))
 
 
-def shortlist(cases: DataFrame, order: list[Column]) -> DataFrame:
-    """Ranks from 1 over all cases, for a triage table that a person reads."""
-    return cases.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+def shortlist(cases: DataFrame, order: list[Column], descending: list[bool]) -> DataFrame:
+    """Ranks from 1 over all cases, for a triage table; the order should leave no ties."""
+    from runloom.operators.ranks import numbered
+
+    return numbered(cases, order, "rank", descending).withColumn("rank", F.col("rank") + 1)
+
+
+def triage_shortlist(cases: DataFrame, order: str) -> DataFrame:
+    """Triaged cases by include, priority, confidence and score, each from the top, ties as they came, with tags joined by |; failed ones come after all others, without a rank.
+
+    cases: status, include, priority, confidence, score, tags (array) and the column order.
+    """
+    level = F.when(F.col("priority") == "high", 2).when(F.col("priority") == "medium", 1).otherwise(0)
+    done = cases.where("status = 'completed'")
+    keys = [F.coalesce("include", F.lit(False)).cast("int"), level, F.coalesce("confidence", F.lit(0.0)), F.coalesce("score", F.lit(0)), F.col(order)]
+    ranked = shortlist(done, keys, [True, True, True, True, False])
+    failed = cases.where("status IS NULL OR status != 'completed'").withColumn("rank", F.lit(None).cast("long"))
+    return ranked.unionByName(failed).withColumn("tags", F.array_join("tags", " | "))
+
+
+def next_content(events: DataFrame, case: str, order: list[str], content: str = "content") -> DataFrame:
+    """Adds evidence: an event's content and that of the next one."""
+    return events.withColumn("evidence", F.concat_ws("\n", F.coalesce(content, F.lit("")), F.lead(content).over(_by(case, order))))
 
 
 def suffixed(names: DataFrame, name: str, order: str) -> DataFrame:

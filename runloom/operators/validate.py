@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from runloom.functions.recovery import locate_quote
+
 
 def violations(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """Adds an array of the names of the rules that a row breaks; a rule that is null is broken."""
@@ -38,18 +40,75 @@ def evidence(quotes: DataFrame, events: DataFrame) -> DataFrame:
     return j.withColumn("found", F.coalesce(F.contains("content", F.col("quote")), F.lit(False))).drop("content")
 
 
-def contradictions(cases: DataFrame) -> DataFrame:
-    """resolved although the patch wasn't applied, tests failed, or the run ended in failure."""
-    ok = F.coalesce("resolved", F.lit(False))
-    return violations(
-        cases,
-        {
-            "patch not applied": ~(ok & (F.coalesce("patch_applied", F.lit(True)) == F.lit(False))),
-            "failed tests": ~(ok & (F.coalesce("n_failed_tests", F.lit(0)) > 0)),
-            "failed exit": ~(ok & F.coalesce(F.lower("exit_status").rlike("fail|error"), F.lit(False))),
-        },
-    )
-
-
 def triage(rows: DataFrame) -> DataFrame:
+    """Adds violations of triage answers: score, confidence, priority, and an inclusion of low priority."""
     return violations(rows, {"score": F.col("score").between(0, 100), "confidence": F.col("confidence").between(0, 1), "priority": F.col("priority").isin("high", "medium", "low"), "include": ~(F.col("include") & (F.col("priority") == "low"))})
+
+
+def clues(rows: DataFrame, issues: DataFrame, categories: list[str], roles: list[str], strengths: list[str]) -> DataFrame:
+    """Clues with their places in the issue's text and the rules that each breaks.
+
+    rows: case_id, id, category, type, role, signal_strength, value, quote, confidence, and
+    `at`, their order. issues: case_id, issue_description. A quote that is found only with
+    case, spaces or quotes folded becomes the text's own, with exact_match false; one that
+    isn't found stays as it is, without a place. An id or, for the same category, a span that
+    an earlier clue of the case has is a duplicate.
+    """
+    c = rows.join(issues.select("case_id", "issue_description"), "case_id", "left").withColumn("_at", locate_quote("quote", "issue_description"))
+    c = c.withColumns({"start": F.col("_at.start"), "stop": F.col("_at.stop"), "exact_match": F.coalesce("_at.exact", F.lit(False))})
+    c = c.withColumn("quote", F.when(F.col("start").isNotNull(), F.expr("substring(issue_description, start + 1, stop - start)")).otherwise(F.col("quote")))
+    first = lambda *keys: F.row_number().over(Window.partitionBy("case_id", *keys).orderBy("at")) == 1
+    c = c.withColumns({"_id": first("id"), "_span": F.col("start").isNull() | first("start", "stop", "category")})
+    text = lambda n: F.col(n).rlike(r"\S")
+    rules = {"id": text("id") & F.col("_id"), "category": F.col("category").isin(categories), "type": text("type"), "role": F.col("role").isin(roles), "signal_strength": F.col("signal_strength").isin(strengths), "value": F.col("value").isNotNull(), "quote": F.col("quote") != "", "span": F.col("_span"), "confidence": F.col("confidence").between(0, 1)}
+    return violations(c, rules).drop("issue_description", "_at", "_id", "_span")
+
+
+def repaired(nodes: DataFrame, evidence_: DataFrame, events: DataFrame, phases: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, evidence, unclassified) after repairs that keep the evidence.
+
+    nodes: case_id, id, at (their order), phase, confidence, event_idx (array). evidence_:
+    case_id, id (of its node), event_idx, quote. events: case_id, event_idx, content.
+
+    A phase "a|b" becomes the first known one, with a confidence of 0.75 at most. Quotes are
+    brought to the event's own text where they are found in it. A node without events takes
+    those of its evidence. Nodes are put in the order of their first events and trimmed to
+    events after those of the nodes before, with their evidence; nodes left without events or
+    evidence go. Events of no node are unclassified. A case's nodes are folded in one task.
+    """
+    known = F.try_element_at(F.filter(F.transform(F.split("phase", r"\|"), lambda p: F.trim(p)), lambda p: p.isin(phases)), F.lit(1))
+    picked = ~F.col("phase").isin(phases) & known.isNotNull()
+    n = nodes.withColumns({"phase": F.when(picked, known).otherwise(F.col("phase")), "confidence": F.when(picked, F.least("confidence", F.lit(0.75))).otherwise(F.col("confidence"))})
+    e = evidence_.join(events.select("case_id", "event_idx", "content"), ["case_id", "event_idx"]).withColumn("_at", locate_quote("quote", "content"))
+    e = e.select("case_id", "id", "event_idx", F.when(F.col("_at.start").isNotNull(), F.expr("substring(content, _at.start + 1, _at.stop - _at.start)")).otherwise(F.col("quote")).alias("quote"), F.coalesce("_at.exact", F.lit(False)).alias("exact_match"))
+    own = e.groupBy("case_id", "id").agg(F.collect_set("event_idx").alias("_ev"))
+    all_ = events.groupBy("case_id").agg(F.collect_set("event_idx").alias("_all"))
+    n = n.join(own, ["case_id", "id"], "left").join(all_, "case_id", "left")
+    n = n.withColumn("event_idx", F.array_sort(F.array_distinct(F.array_intersect(F.when(F.coalesce(F.size("event_idx"), F.lit(0)) > 0, F.col("event_idx")).otherwise(F.coalesce("_ev", F.array().cast("array<int>"))), "_all"))))
+    item = F.struct(F.coalesce(F.array_min("event_idx"), F.lit(1 << 30)).alias("lo"), "at", "id", "event_idx", F.coalesce("_ev", F.array().cast("array<int>")).alias("ev"))
+    kind = "array<struct<id:string,event_idx:array<int>>>"
+    start = F.struct(F.lit(-1).alias("last"), F.array().cast(kind).alias("out"))
+
+    def step(acc, x):
+        kept = F.filter(x["event_idx"], lambda i: i > acc["last"])
+        # evidence of a dropped event goes with it; what stands outside the node stays
+        dropped = F.array_except(x["event_idx"], kept)
+        stays = (F.size(kept) > 0) & (F.size(F.array_except(x["ev"], dropped)) > 0)
+        return F.struct(F.when(stays, F.array_max(kept)).otherwise(acc["last"]).alias("last"), F.when(stays, F.concat(acc["out"], F.array(F.struct(x["id"].cast("string").alias("id"), kept.alias("event_idx"))))).otherwise(acc["out"]).alias("out"))
+
+    folded = n.groupBy("case_id").agg(F.array_sort(F.collect_list(item)).alias("x")).select("case_id", F.explode(F.aggregate("x", start, step, lambda a: a["out"])).alias("o"))
+    kept = folded.select("case_id", F.col("o.id").alias("id"), F.col("o.event_idx").alias("event_idx"))
+    out = n.drop("event_idx", "_ev", "_all").join(kept, ["case_id", "id"])
+    was = n.select("case_id", "id", F.col("event_idx").alias("_was"))
+    gone = kept.join(was, ["case_id", "id"]).select("case_id", "id", F.explode(F.array_except("_was", "event_idx")).alias("event_idx"))
+    e = e.join(kept.select("case_id", "id"), ["case_id", "id"], "left_semi").join(gone, ["case_id", "id", "event_idx"], "left_anti")
+    rest = events.select("case_id", "event_idx").join(kept.select("case_id", F.explode("event_idx").alias("event_idx")), ["case_id", "event_idx"], "left_anti")
+    return out, e, rest
+
+
+def graph_entries(nodes: DataFrame, unclassified: DataFrame) -> DataFrame:
+    """(case_id, position, kind, id): nodes and unclassified events by their first event; what has none comes last."""
+    far = F.lit(1_000_000)
+    a = nodes.select("case_id", F.coalesce(F.array_min("event_idx"), far).alias("first"), F.lit("node").alias("kind"), F.col("id").cast("string").alias("id"))
+    b = unclassified.select("case_id", F.coalesce("event_idx", far).alias("first"), F.lit("unclassified").alias("kind"), F.concat(F.lit("E"), "event_idx").alias("id"))
+    return a.unionByName(b).withColumn("position", F.row_number().over(Window.partitionBy("case_id").orderBy("first", "kind", "id"))).drop("first")

@@ -46,7 +46,7 @@ QUERIES = {
     "q_events_phase_statistics": lambda s, d: E.phase_statistics(E.durations(events(s, d), "user_id", _ORDER, "us"), "user_id", "event_type", "duration_seconds"),
     "q_events_test_counts": lambda s, d: E.test_counts(events(s, d).where("event_type IN ('error', 'view')"), "user_id", "k", "event_type", "error"),
     "q_events_steps": lambda s, d: E.steps(table(s, d, "conversations"), "conv_id", "turn", "role").groupBy("conv_id", "step").agg(F.count(F.lit(1)).alias("n")),
-    "q_events_shortlist": lambda s, d: E.shortlist(events(s, d).groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("errors"), F.count(F.lit(1)).alias("n")), [F.desc("errors"), F.desc("n"), F.col("user_id")]),
+    "q_events_shortlist": lambda s, d: E.shortlist(events(s, d).groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("errors"), F.count(F.lit(1)).alias("n")), [F.col("errors"), F.col("n"), F.col("user_id")], [True, True, False]),
     "q_events_suffixed_names": lambda s, d: E.suffixed(table(s, d, "events").select("event_id", F.col("event_type").alias("name")), "name", "event_id"),
 }
 SQL = {
@@ -62,7 +62,7 @@ t AS (SELECT *, lead(i) OVER ({_W}) AS ni, lead(event_type) OVER ({_W}) AS nk, l
 SELECT user_id, i AS test_event, ni AS next_test, nk AS next_kind, CAST(coalesce(ne, al) - ed AS BIGINT) AS n_edits FROM t WHERE event_type = 'error'""",
     "q_events_elapsed": f"{_E} SELECT user_id, count(*) AS n_events, CASE WHEN count(us) >= 2 THEN max(us) - min(us) END AS elapsed FROM e GROUP BY 1",
     "q_events_phase_statistics": f"""{_E}, d AS (SELECT *, lead(us) OVER ({_W}) - us AS dur FROM e), g AS (SELECT user_id, event_type, count(*) AS n_events, CAST(coalesce(sum(dur), 0) AS BIGINT) AS seconds FROM d GROUP BY 1, 2)
-SELECT *, 100.0 * n_events / sum(n_events) OVER (PARTITION BY user_id) AS share, row_number() OVER (PARTITION BY user_id ORDER BY n_events DESC, event_type) = 1 AS largest FROM g""",
+SELECT *, 100.0 * n_events / sum(n_events) OVER (PARTITION BY user_id) AS share, row_number() OVER (PARTITION BY user_id ORDER BY n_events DESC, event_type) = 1 AS largest, row_number() OVER (PARTITION BY user_id ORDER BY seconds DESC, event_type) = 1 AS largest_by_time FROM g""",
     "q_events_test_counts": f"{_E} SELECT user_id, count(*) AS n_runs, count(*) FILTER (event_type = 'error') AS n_failed, count(*) - count(DISTINCT k) AS n_reruns FROM e WHERE event_type IN ('error', 'view') GROUP BY 1",
     "q_events_steps": "WITH c AS (SELECT conv_id, CAST(coalesce(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS step FROM conversations) SELECT conv_id, step, count(*) AS n FROM c GROUP BY 1, 2",
     "q_events_shortlist": "WITH g AS (SELECT user_id, count(*) FILTER (event_type = 'error') AS errors, count(*) AS n FROM events GROUP BY 1) SELECT *, row_number() OVER (ORDER BY errors DESC, n DESC, user_id) AS rank FROM g",

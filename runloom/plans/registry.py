@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("runs", "events", "grading", "text")
+FAMILIES = ("runs", "events", "grading", "text", "checks", "datasets")
 
 
 def queries() -> dict:

@@ -6,21 +6,18 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from runloom.functions import text as X
-from runloom.operators import retrieval
+from runloom.operators import datasets, retrieval
 from runloom.operators.runs import hashed
 from runloom.plans.tables import table
 
 
 def _criteria(s, d):
-    p = table(s, d, "pages")
-    return p.select("page_id", X.n_words(F.col("html")).alias("n_words"), X.has_link(F.col("url")).alias("link"), X.has_image(F.col("html")).alias("image"), X.has_commit_hash(F.col("html")).alias("commit_hash"))
-
-
-def _funnel(s, d):
-    """Survivors of each criterion in turn, in one pass."""
-    t = table(s, d, "documents").select(X.n_words(F.col("text")).alias("n"), F.col("text"))
-    a, b, c = F.col("n") >= 40, F.col("n") <= 2000, ~X.has_link(F.col("text"))
-    return t.agg(F.count(F.lit(1)).alias("total"), F.count_if(a).alias("long_enough"), F.count_if(a & b).alias("short_enough"), F.count_if(a & b & c).alias("no_link"))
+    """Criteria of statements over pages, each followed by what some of them lack: a commit, a picture, a reference."""
+    k = F.col("page_id")
+    more = F.concat(F.when(k % 3 == 0, F.concat(F.lit(" "), F.sha1(k.cast("string").cast("binary")))).otherwise(""), F.when(k % 4 == 0, " see shot.PNG").otherwise(""), F.when(k % 5 == 0, " fixes #12").otherwise(""))
+    p = table(s, d, "pages").select("page_id", "url", F.concat(F.regexp_replace(F.coalesce("html", F.lit("")), "[0-9#./]", " "), more).alias("t"))
+    t = F.col("t")
+    return p.select("page_id", X.n_words(t).alias("n_words"), X.has_link(F.col("url")).alias("link"), X.has_image(t).alias("image"), X.has_commit_hash(t).alias("commit_hash"), X.has_issue_reference(t).alias("reference"))
 
 
 def _patch():
@@ -101,24 +98,28 @@ def _label_split(s, d):
 
 _WORDS = r"len(list_filter(string_split_regex(trim({c}), '\s+'), lambda x: x != ''))"
 QUERIES = {
-    "q_text_criteria": _criteria, "q_text_funnel": _funnel, "q_text_diff_summary": _diffs, "q_text_compaction": _compaction, "q_text_keyword_grep": _grep, "q_text_context_packing": _packing,
+    "q_text_criteria": _criteria, "q_text_diff_summary": _diffs, "q_text_compaction": _compaction, "q_text_keyword_grep": _grep, "q_text_context_packing": _packing,
     "q_retrieval_bm25": _bm25, "q_retrieval_recall": lambda s, d: retrieval.recall(_gold(s, d), _bm25(s, d), "item_id", "doc_id"),
     "q_sampling_shards": _shards, "q_text_label_split": _label_split,
     "q_sets_common_users": lambda s, d: table(s, d, "events").select(F.col("user_id").alias("id")).intersect(table(s, d, "customer").select(F.col("c_custkey").alias("id"))),
-    "q_sets_remaining": lambda s, d: table(s, d, "customer").select(F.col("c_custkey").alias("id")).join(table(s, d, "orders").select(F.col("o_custkey").alias("id")), "id", "left_anti"),
+    "q_sets_remaining": lambda s, d: datasets.remaining(table(s, d, "customer").select(F.col("c_custkey").alias("id")), table(s, d, "events").select(F.col("user_id").alias("id")), "id"),
     "q_cost_by_rate": lambda s, d: table(s, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("props")).cast("long").alias("n_in")).withColumn("cost", (F.col("n_in") * 285 + F.col("n") * 2400) / 1e9),
 }
 SQL = {
-    "q_text_funnel": f"WITH t AS (SELECT {_WORDS.format(c='text')} AS n, regexp_matches(text, 'https?://[^\\s)]+') AS l FROM documents) SELECT count(*) AS total, count(*) FILTER (n >= 40) AS long_enough, count(*) FILTER (n BETWEEN 40 AND 2000) AS short_enough, count(*) FILTER (n BETWEEN 40 AND 2000 AND NOT l) AS no_link FROM t",
+    "q_text_criteria": r"""WITH p AS (SELECT page_id, url, regexp_replace(coalesce(html, ''), '[0-9#./]', ' ', 'g') || CASE WHEN page_id % 3 = 0 THEN ' ' || sha1(CAST(page_id AS VARCHAR)) ELSE '' END || CASE WHEN page_id % 4 = 0 THEN ' see shot.PNG' ELSE '' END || CASE WHEN page_id % 5 = 0 THEN ' fixes #12' ELSE '' END AS t FROM pages)
+SELECT page_id, len(list_filter(string_split_regex(trim(t), '\s+'), lambda x: x != '')) AS n_words, coalesce(regexp_matches(url, 'https?://(www\.)?\S+'), false) AS link, page_id % 4 = 0 AS image, page_id % 3 = 0 AS commit_hash, page_id % 5 = 0 AS reference FROM p""",
     "q_text_diff_summary": "SELECT p_partkey, 1 AS files, 2 AS lines_added, 1 AS lines_removed, 1 AS hunks, 'ok' AS class, 'src/f' || p_partkey || '.py' AS file FROM part",
     "q_text_compaction": """WITH c AS (SELECT *, greatest(180, least(850, 2000 // count(*) OVER (PARTITION BY conv_id))) AS b FROM conversations)
-SELECT conv_id, turn, CASE WHEN length(text) > b THEN b + 3 ELSE length(text) END AS n_chars, left(CASE WHEN length(text) > 100 THEN left(text, 82) || chr(10) || '...[truncated]...' ELSE text END, 80) AS head FROM c""",
+SELECT conv_id, turn, CASE WHEN length(text) > b THEN b + 3 ELSE length(text) END AS n_chars, left(CASE WHEN length(text) > 100 THEN left(text, 82) || chr(10) || '...[truncated]' ELSE text END, 80) AS head FROM c""",
     "q_text_context_packing": _PACK_SQL,
+    "q_retrieval_recall": _BM + """, z AS (SELECT item_id, doc_id, r.doc_id IS NOT NULL AS hit FROM (SELECT item_id, documents.doc_id FROM benchmark JOIN documents ON contains(documents.text, benchmark.text) WHERE benchmark.text != '') g LEFT JOIN (SELECT * FROM h WHERE rank <= 20) r USING (item_id, doc_id)),
+y AS (SELECT item_id, count(*) FILTER (hit) / CAST(count(*) AS DOUBLE) AS r FROM z GROUP BY 1)
+SELECT count(*) AS n, avg(r) AS recall_avg, avg(CASE WHEN r = 1 THEN 1 ELSE 0 END) AS recall_all, avg(CASE WHEN r > 0 THEN 1 ELSE 0 END) AS recall_any FROM y""",
     "q_retrieval_bm25": _BM + " SELECT * FROM h WHERE rank <= 20",
     "q_sampling_shards": "SELECT doc_id, lang, ntile(4) OVER (PARTITION BY lang ORDER BY n_chars, doc_id) AS shard, CAST('0x' || substr(md5('split|' || doc_id), 1, 8) AS BIGINT) % 10 = 0 AS validation FROM documents",
     "q_text_label_split": "SELECT source, count(quality) AS labelled, count(*) FILTER (quality IS NULL) AS unlabelled, coalesce(avg(quality), 0.0) AS quality_rate, count(*) FILTER (toxic = 1) AS toxic FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1",
     "q_sets_common_users": "SELECT user_id AS id FROM events INTERSECT SELECT c_custkey FROM customer",
-    "q_sets_remaining": "SELECT c_custkey AS id FROM customer ANTI JOIN orders ON o_custkey = c_custkey",
+    "q_sets_remaining": "SELECT c_custkey AS id FROM customer ANTI JOIN events ON user_id = c_custkey",
     "q_cost_by_rate": "WITH g AS (SELECT event_type, count(*) AS n, CAST(sum(length(props)) AS BIGINT) AS n_in FROM events GROUP BY 1) SELECT *, (n_in * 285 + n * 2400) / 1e9 AS cost FROM g",
     "q_text_keyword_grep": r"""WITH f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE role = 'user') WHERE n = 1),
 w AS (SELECT conv_id, turn AS issue, unnest(list_distinct(list_filter(string_split_regex(lower(text), '[^\p{L}]+'), lambda x: length(x) >= 3))) AS keyword FROM f)

@@ -240,21 +240,27 @@ def without(existing: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 def match_results(cases: DataFrame, results: DataFrame) -> DataFrame:
     """The best result of each case: matched, missing, or ambiguous if the two best tie with different ids.
 
-    cases: root, case_id, path. results: root, record_id, path, resolved, has_tests, has_patch.
-    Scores: 100 for the same id, 60 for an id in the path, 20 for the root's only record; and
-    for what the record holds. Only records of the case's own root are looked at.
+    cases: root, case_id, and trajectory_id if that is another id. results: root, path,
+    record_id, n_records (of its file; 1 if there is no such column and the root has one
+    record), resolved, has_tests, has_patch. Scores: 100 for the same id, 60 for an id in the
+    root's name, 20 for a file's only record; and for what the record holds. Only records of
+    the case's own root are looked at.
     """
     from runloom.functions.text import identifier
 
-    r = results.withColumn("_only", F.count(F.lit(1)).over(Window.partitionBy("root")) == 1)
-    j = cases.select("root", "case_id", F.col("path").alias("_cp")).join(r, "root", "left")
-    same = F.when(identifier(F.col("record_id")) == identifier(F.col("case_id")), 100).when(F.contains(F.lower("_cp"), identifier(F.col("record_id"))), 60).when(F.col("_only"), 20)
+    r = results if "n_records" in results.columns else results.withColumn("n_records", F.count(F.lit(1)).over(Window.partitionBy("root")))
+    own = "trajectory_id" if "trajectory_id" in cases.columns else "case_id"
+    j = cases.select("root", "case_id", F.col(own).alias("_id")).join(r, "root", "left")
+    record, name = identifier(F.col("record_id")), identifier(F.substring_index("root", "/", -1))
+    same = F.when(record == identifier(F.col("_id")), 100).when(F.contains(name, record), 60).when(F.col("n_records") == 1, 20).otherwise(0)
     quality = F.when(F.col("resolved").isNotNull(), 10).otherwise(0) + F.when(F.col("has_tests"), 30).otherwise(0) + F.when(F.col("has_patch"), 5).otherwise(0)
-    j = j.withColumn("score", same + quality + F.when(F.col("path").rlike(r"(^|/)results?\.json$"), 2).otherwise(0))
-    w = Window.partitionBy("root", "case_id")
-    j = j.withColumn("_best", F.max("score").over(w)).withColumn("_n", F.row_number().over(w.orderBy(F.desc_nulls_last("score"), "path", "record_id")))
-    ids_at_top = F.size(F.collect_set(F.when(F.col("score") == F.col("_best"), F.col("record_id"))).over(w))
-    state = F.when(F.col("_best").isNull(), "missing").when(ids_at_top > 1, "ambiguous").otherwise("matched")
-    j = j.withColumn("status", state).where("_n = 1")
+    named = F.when(F.lower(F.substring_index("path", "/", -1)).isin("result.json", "results.json"), 2).otherwise(0)
+    j = j.withColumn("score", F.when(F.col("path").isNotNull(), same + quality + named))
+    w = Window.partitionBy("root", "case_id").orderBy(F.desc_nulls_last("score"), "path", "record_id")
+    j = j.withColumns({"_n": F.row_number().over(w), "_second": F.lead(F.struct("score", "record_id")).over(w)}).where("_n = 1")
+    tie = F.coalesce((F.col("_second.score") == F.col("score")) & ~F.col("_second.record_id").eqNullSafe(F.col("record_id")), F.lit(False))
+    state = F.when(F.col("score").isNull(), "missing").when(tie, "ambiguous").otherwise("matched")
+    j = j.withColumn("status", state)
     keep = F.col("status") == "matched"
-    return j.select("case_id", "status", F.when(keep, F.col("record_id")).alias("record_id"), F.when(keep, F.col("resolved")).alias("resolved"), F.when(keep, F.col("score")).alias("score"))
+    said = [c for c in ("resolved", "patch_applied", "tests_status") if c in j.columns]
+    return j.select("case_id", "status", F.when(keep, F.col("record_id")).alias("record_id"), *[F.when(keep, F.col(c)).alias(c) for c in said], F.when(keep, F.col("score")).alias("score"))

@@ -10,7 +10,7 @@ from runloom.functions import recovery
 from runloom.functions import text as X
 from runloom.operators import events as E
 from runloom.operators import grading as G
-from runloom.operators import retrieval, validate
+from runloom.operators import checks, retrieval, validate
 from runloom.sources import archives, sinks, trajectories
 from runloom.streaming import runs as S
 
@@ -103,7 +103,9 @@ def test_recovery():
     assert recovery.locate("abc", "xabc") == (1, 4, True) and recovery.locate("q", "x") is None
     assert recovery.spans([(3, 5), (0, 2), (0, 4), (4, 6)]) == [(0, 4), (4, 6)]
     assert [n["events"] for n in recovery.ordered_nodes([{"id": "b", "events": [3, 4, 5]}, {"id": "a", "events": [1, 3, 4]}])] == [[1, 3, 4], [5]]
-    assert recovery.loose_unescape('"a\\n\\"b"') == 'a\n"b' and recovery.loose_unescape("a\\nb\\") == "a\nb\\"
+    assert recovery.loose_unescape('"a\\n\\"b"') == 'a\n"b' and recovery.loose_unescape("a\\nb\\") == "a\nb\\" and recovery.loose_unescape(None) == ""
+    assert recovery.locate("a – b…", "A - b") == (0, 5, False) or recovery.locate("a – b", "A - b") == (0, 5, False)
+    assert recovery.locate("...x y...", "ax y") == (1, 4, False) and recovery.locate("..x", "x") is None
 
 
 def test_cycles_and_segments(spark):
@@ -212,7 +214,7 @@ def test_results_stay_with_their_root(spark):
     c = spark.createDataFrame([("ra", "p__q-1", "ra/x.traj.json"), ("rb", "p__q-2", "rb/x.traj.json"), ("rc", "z", "rc/x")], "root string, case_id string, path string")
     r = spark.createDataFrame([("rb", "p__q-2", "rb/result.json", True, True, True), ("rc", "m", "rc/1.json", True, False, False), ("rc", "n", "rc/2.json", True, False, False)], "root string, record_id string, path string, resolved boolean, has_tests boolean, has_patch boolean")
     got = {x.case_id: (x.status, x.score) for x in archives.match_results(c, r).collect()}
-    assert got["p__q-1"][0] == "missing" and got["p__q-2"] == ("matched", 147) and got["z"][0] == "missing"
+    assert got["p__q-1"][0] == "missing" and got["p__q-2"] == ("matched", 147) and got["z"][0] == "ambiguous"
 
 
 def test_validation(spark):
@@ -221,8 +223,8 @@ def test_validation(spark):
     un = spark.createDataFrame([("a", 3)], "case_id string, event_idx int")
     got = {r.case_id: r.violations for r in validate.graph(n, ev, un, ["Fix"]).collect()}
     assert got == {"a": [], "b": ["phases", "ids", "confidence", "order", "accounting"]}
-    c = spark.createDataFrame([(True, False, 1, "error"), (False, False, 1, "error")], "resolved boolean, patch_applied boolean, n_failed_tests int, exit_status string")
-    assert [len(r.violations) for r in validate.contradictions(c).collect()] == [3, 0]
+    c = spark.createDataFrame([(True, False, 1, "Error", "d"), (False, False, 1, "error", None), (None, None, None, None, None), (True, None, 0, "error_free", "d")], "resolved boolean, patch_applied boolean, n_failures int, exit_status string, submission string")
+    assert [(r.outcome, len(r.contradictions)) for r in checks.reconciled(c).collect()] == [("resolved", 3), ("unresolved", 0), ("unknown", 0), ("resolved", 0)]
 
 
 def test_closure_of_cycles_and_recall(spark):
