@@ -33,6 +33,14 @@ def broadcast_if_small(df: DataFrame, most: int = 64 << 20) -> DataFrame:
     return F.broadcast(df) if bytes_of(df) <= most else df
 
 
+def written_small(df: DataFrame, rows: int, name: str = "table", each: int = 1 << 15) -> DataFrame:
+    """written(), for a table of at most `rows` rows: a file for each 32,768 of them, and never more than df has partitions.
+
+    Many steps over small tables would else write a file for each shuffle partition.
+    """
+    return written(df.coalesce(max(1, -(-rows // each))), name)
+
+
 def text_runs(batches: Iterator[pa.RecordBatch], text: int, most: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches whose texts take about `most` bytes (one row at least), with these as UTF-8; null is empty."""
     for batch in batches:
@@ -89,19 +97,34 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(dict):
-    """64-bit hash of each word, kept for at most `most` words; what was forgotten is computed again."""
+    """Two independent 64-bit hashes of each word; words are numbered as they come and forgotten between calls once there are more than `most`."""
 
     def __init__(self, most: int = 300_000):
         self.most = most
+        self.table = np.zeros((2, 1 << 16), dtype=np.uint64)
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
+        i = len(self)
+        if i >= self.table.shape[1]:
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)], axis=1)
+        self.table[0, i] = xxhash.xxh3_64_intdigest(word)
+        self.table[1, i] = xxhash.xxh3_64_intdigest(word, 1)
+        self[word] = i
+        return i
+
+    def _numbers(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self) > self.most:
             self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
+        ends = np.cumsum([0, *map(len, texts)])
+        get = self.__getitem__
+        return np.fromiter((i for words in texts for i in map(get, words)), dtype=np.int32, count=int(ends[-1])), ends
 
     def of(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         """The hashes of all words of all texts, and where each text begins and ends in them."""
-        ends = np.cumsum([0, *map(len, texts)])
-        get = self.__getitem__
-        return np.fromiter((h for words in texts for h in map(get, words)), dtype=np.uint64, count=int(ends[-1])), ends
+        ids, ends = self._numbers(texts)
+        return self.table[0][ids], ends
+
+    def both(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As of(), with the second hashes too."""
+        ids, ends = self._numbers(texts)
+        return self.table[0][ids], self.table[1][ids], ends

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runloom.llm.base import WordHashes, broadcast_if_small, held, small_batches, table, text_runs, written
+from runloom.llm.base import WordHashes, broadcast_if_small, held, small_batches, table, text_runs, written, written_small
 from runloom.llm.shingles import BANDS, shingle_sets, signatures
 
 #: Links need 100 * |A and B| >= percent * |A or B|; op6_minhash_near_dedup has a percentage of its own.
@@ -46,15 +46,16 @@ def components(edges: DataFrame, name: str = "links") -> DataFrame:
     else by a shuffle whose large keys can be split.
     """
     e = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), name)
-    before = None
+    n, before = e.count(), None
+    small = lambda df, k: written_small(df, k * n, name)  # noqa: E731 (no step makes more than twice as many rows)
     while True:
         both = e.select("u", "v").union(e.select(F.col("v"), F.col("u")))
-        least = broadcast_if_small(written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), name))
+        least = broadcast_if_small(small(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), 2))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        large = written(large, name)
-        least = broadcast_if_small(written(large.groupBy("u").agg(F.min("v").alias("m")), name))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        e = written(small.where("u != v").distinct(), name)
+        large = small(large, 1)
+        least = broadcast_if_small(small(large.groupBy("u").agg(F.min("v").alias("m")), 1))
+        stars = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
+        e = small(stars.where("u != v").distinct(), 2)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -64,21 +65,21 @@ def components(edges: DataFrame, name: str = "links") -> DataFrame:
 
 def merged(least: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, least) after more edges (a, b): these connect components, which are few nodes, and no link is looked at again."""
-    least = written(least, "least")
+    n = least.count()
     small = broadcast_if_small(least)
     at = lambda c: small.select(F.col("node").alias(c), F.col("least").alias(f"c{c}"))
     between = edges.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a != b")
-    between = written(between.distinct(), "between")
+    between = written_small(between.distinct(), n, "between")
     if between.isEmpty():
         return least
-    top = broadcast_if_small(written(components(between).select(F.col("node").alias("top"), F.col("least").alias("new")), "least"))
+    top = broadcast_if_small(written_small(components(between).select(F.col("node").alias("top"), F.col("least").alias("new")), n, "least"))
     out = least.join(top, F.col("least") == F.col("top"), "left").select("node", F.coalesce("new", "least").alias("least"))
     lone = top.join(least, F.col("top") == F.col("node"), "left_anti").select(F.col("top").alias("node"), F.col("new").alias("least"))
     return out.unionByName(lone)
 
 
-def candidates(reps: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs (a, b) of the ids of reps (id, n, bands) that share a bucket with a hub of it.
+def candidates(reps: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of the ids of reps (id, n, bands) that share a bucket with a hub of it; and the buckets (bucket, id, n, c) of more than one member, c of them.
 
     A bucket links its members to two of them only: the most central, that is the one with
     the most company in all its buckets (in a group of copies with edits this is the text
@@ -87,18 +88,19 @@ def candidates(reps: DataFrame, percent: int = PERCENT) -> DataFrame:
     What these pairs leave open is for rest_of_buckets.
     """
     rows = reps.select("id", "n", F.explode("bands").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    rows = written(rows.join(shared, "bucket"), "buckets")
+    shared = written_small(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), 8 * reps.count(), "shared")
+    buckets = rows = written_small(rows.join(broadcast_if_small(shared), "bucket"), 8 * reps.count(), "buckets")
     central = rows.groupBy("id").agg(F.sum("c").alias("company"))
     rows = rows.join(central, "id")
     hub = lambda order: F.max(F.struct(order.alias("o"), (-F.col("id")).alias("i"), "n"))
     hubs = rows.groupBy("bucket").agg(hub(F.col("company")).alias("x"), hub(F.xxhash64("id", "bucket")).alias("y"))
+    hubs = written_small(hubs, shared.count(), "hubs")  # so the join below can split a large bucket
     hubs = hubs.select("bucket", F.explode(F.array_distinct(F.array(F.struct((-F.col("x.i")).alias("hub"), F.col("x.n").alias("m")), F.struct((-F.col("y.i")).alias("hub"), F.col("y.n").alias("m"))))).alias("h")).select("bucket", "h.*")
     pairs = rows.join(hubs, "bucket").where((F.col("id") != F.col("hub")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")))
-    return pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+    return pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct(), buckets
 
 
-def rest_of_buckets(reps: DataFrame, least: DataFrame, sets_of, confirmed, percent: int = PERCENT) -> DataFrame | None:
+def rest_of_buckets(buckets: DataFrame, least: DataFrame, sets_of, confirmed, percent: int = PERCENT) -> DataFrame | None:
     """The links (a, b) that the hubs' links leave out within the buckets, given the components of those; None if no bucket is open.
 
     A bucket whose members are in one component is settled. The members of all other buckets
@@ -117,29 +119,31 @@ def rest_of_buckets(reps: DataFrame, least: DataFrame, sets_of, confirmed, perce
     such an element are compared, once, by their D's. So no link is left out, and pairs
     without a rare difference in common are never made.
 
-    sets_of gives (id, set) for a table of ids; confirmed the links among pairs (a, b).
+    buckets has the columns bucket, id, n and c, of candidates(). sets_of gives (id, set) for
+    a table of ids; confirmed the links among pairs (a, b).
     """
-    rows = reps.select("id", "n", F.explode("bands").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 2")
-    comp = least.select(F.col("node").alias("id"), "least")
-    rows = rows.join(shared, "bucket").join(comp, "id", "left").withColumn("comp", F.coalesce("least", "id")).drop("least")
+    comp = broadcast_if_small(written_small(least.select(F.col("node").alias("id"), "least"), buckets.count(), "least"))
+    rows = buckets.where("c > 2").join(comp, "id", "left").withColumn("comp", F.coalesce("least", "id")).drop("least")
     sums = [F.sum("k").alias("all"), ((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("cross")]
     by = rows.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket").agg(*sums).where("cross > 0")
-    rows = written(rows.join(by.select("bucket"), "bucket", "left_semi"), "open")
-    if rows.isEmpty():
+    by = written_small(by.select("bucket"), buckets.count(), "unsettled")  # tables of their own, so the joins with them can split a large bucket
+    rows = written(rows.join(broadcast_if_small(by), "bucket", "left_semi"), "open")
+    n = rows.count()
+    if not n:
         return None
     company = rows.groupBy("id").agg(F.sum("c").alias("company"))
     hubs = rows.join(company, "id").groupBy("bucket").agg((-F.max(F.struct("company", (-F.col("id")).alias("i")))["i"]).alias("hub"))
-    members = written(rows.join(hubs, "bucket").select("hub", "id", "n", "comp").distinct(), "groups")
+    hubs = broadcast_if_small(written_small(hubs, by.count(), "hubs"))
+    members = written_small(rows.join(hubs, "bucket").select("hub", "id", "n", "comp").distinct(), n, "groups")
     size = members.groupBy("hub", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("hub").agg(*sums)
-    size = broadcast_if_small(written(size, "sizes"))
+    size = broadcast_if_small(written_small(size, n, "sizes"))
     close = lambda: 100 * F.least("n0", "n1") >= percent * F.greatest("n0", "n1")
     side = lambda t, i, on: t.select(*on, *[F.col(c).alias(f"{c}{i}") for c in t.columns if c not in on])
     few = members.join(size.where(F.col("cross") <= FEW * F.col("all")), "hub").select("hub", "id", "n", "comp")
     pairs = side(few, 0, ["hub"]).join(side(few, 1, ["hub"]), "hub").where((F.col("id0") < F.col("id1")) & (F.col("comp0") != F.col("comp1")) & close())
-    links = confirmed(written(pairs.select(F.col("id0").alias("a"), F.col("id1").alias("b")).distinct(), "few"))
+    links = confirmed(written_small(pairs.select(F.col("id0").alias("a"), F.col("id1").alias("b")).distinct(), FEW * n, "few"))
     many = members.join(size.where(F.col("cross") > FEW * F.col("all")), "hub").select("hub", "id", "n", "comp")
-    many = written(many, "many")
+    many = written_small(many, n, "many")
     if many.isEmpty():
         return links
     sets = written(sets_of(many.select("id").distinct()), "open-sets")
@@ -149,7 +153,7 @@ def rest_of_buckets(reps: DataFrame, least: DataFrame, sets_of, confirmed, perce
     d = d.select("hub", "id", "n", "comp", F.array_except("set", "t").alias("own"), F.array_except("t", "set").alias("lacks"), F.size("t").alias("h"))
     d = d.select("hub", F.struct("id", F.monotonically_increasing_id().alias("text")).alias("node"), "id", "n", "comp", F.concat("own", "lacks").alias("d"), (100 * F.size("lacks") + percent * F.size("own") - (100 - percent) * F.col("h")).alias("w"), ((100 - percent) * F.col("h")).alias("g"))
     d = written(d, "differences")  # w is W less the last term: above 0 for those that H isn't linked with
-    least_w = broadcast_if_small(written(d.groupBy("hub").agg(F.min("w").alias("low"), F.min(F.when(F.col("w") > 0, F.col("w"))).alias("far"), F.max("g").alias("g")), "weights"))
+    least_w = broadcast_if_small(written_small(d.groupBy("hub").agg(F.min("w").alias("low"), F.min(F.when(F.col("w") > 0, F.col("w"))).alias("far"), F.max("g").alias("g")), n, "weights"))
     need = F.ceil((F.col("w") + F.when(F.col("w") > 0, F.col("low")).otherwise(F.col("far")) + F.col("g")) / (100 + percent))
     d2 = d.join(least_w.drop("g"), "hub").where("far IS NOT NULL").withColumn("take", F.size("d") - F.greatest(need, F.lit(1)) + 1)
     words = d2.where("take > 0").select("hub", "node", "comp", "n", "w", "take", F.size("d").alias("k"), F.explode("d").alias("s"))
@@ -170,7 +174,7 @@ def rest_of_buckets(reps: DataFrame, least: DataFrame, sets_of, confirmed, perce
     j = j.where((100 + percent) * F.size(F.array_intersect("d0", "d1")) >= F.col("w0") + F.col("w1") + F.col("g0"))
     found = j.select(F.least("node0.id", "node1.id").alias("a"), F.greatest("node0.id", "node1.id").alias("b")).where("a != b")
     found = found.union(d.where("w <= 0").select(F.least("id", "hub"), F.greatest("id", "hub"))).distinct()
-    return links.union(written(found, "rest"))
+    return links.union(written_small(found, met.count() + n, "rest"))
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -190,30 +194,32 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     """
     ids = small_batches(docs).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     sketch = written(ids.mapInArrow(_sketch, "id long, n long, f1 long, f2 long, bands array<long>"), "sketch")
+    n = sketch.count()
     classes = sketch.where("n > 0 AND id IS NOT NULL").groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.max("n").alias("rep_n"))
-    classes = written(classes, "classes")
+    classes = written_small(classes, n, "classes")
     reps = sketch.join(classes.select(F.col("rep").alias("id"), "f1", "f2"), ["id", "f1", "f2"], "left_semi").dropDuplicates(["id", "f1", "f2"])
-    reps = written(reps, "reps")
+    reps = written_small(reps, n, "reps")
 
     def sets_of(need: DataFrame) -> DataFrame:
-        need = written(need, "ids")
+        need = written_small(need, n, "ids")
         return ids.join(broadcast_if_small(need), "id", "left_semi").mapInArrow(_sets, "id long, set array<long>").distinct()
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         sets = written(sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "sets")
         j = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
         both = F.size(F.array_intersect("x", "y"))
-        return written(j.where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b").distinct(), "confirmed")
+        return written_small(j.where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b").distinct(), pairs.count(), "confirmed", 1 << 12)
 
-    pairs = written(candidates(reps, percent), "pairs")
+    pairs, buckets = candidates(reps, percent)
+    pairs = written_small(pairs, 8 * n, "pairs")
     links = confirmed(pairs)
     least = components(links)
-    rest = rest_of_buckets(reps, least, sets_of, confirmed, percent)
+    rest = rest_of_buckets(buckets, least, sets_of, confirmed, percent)
     if rest is not None:
         least = merged(least, rest)
     some = F.col("n") > 0
     out = sketch.where(some & F.col("id").isNotNull()).select("id", "n", "f1", "f2").join(classes.select("f1", "f2", "rep"), ["f1", "f2"]).select("id", "n", "rep")
-    out = out.join(broadcast_if_small(written(least, "least")), F.col("rep") == F.col("node"), "left").select("id", "n", F.coalesce("least", "rep").alias("component_id"))
+    out = out.join(broadcast_if_small(written_small(least, n, "least")), F.col("rep") == F.col("node"), "left").select("id", "n", F.coalesce("least", "rep").alias("component_id"))
     out = out.unionByName(sketch.where(~some | F.col("id").isNull()).select("id", "n", F.col("id").alias("component_id")))
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 

@@ -10,11 +10,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runloom.llm.base import GOLD, WordHashes, broadcast_if_small, held, mix, small_batches, table, text_runs, written
+from runloom.llm.base import WordHashes, broadcast_if_small, held, mix, small_batches, table, text_runs, written
 
 WINDOW = 20
 #: Windows that a task gathers before it emits them.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 _BASE = np.uint64(0xA0761D6478BD642F | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _NULL_ID = np.iinfo(np.int64).min
@@ -54,9 +54,14 @@ def window_hashes(words: WordHashes, texts: list[bytes], window: int, second: bo
     """For each window of each text: its hash (with `second`, another of 32 bits), its text's number, its start.
 
     One running sum for all texts: a window's polynomial is a difference of two prefixes,
-    divided by a power of the base (odd, so it has an inverse).
+    divided by a power of the base (odd, so it has an inverse). The other hash comes from
+    independent hashes of the words, so words that collide in one don't in the other.
     """
-    h, ends = words.of([t.split() for t in texts])
+    split = [t.split() for t in texts]
+    if second:
+        h, other, ends = words.both(split)
+    else:
+        h, ends = words.of(split)
     n = np.maximum(np.diff(ends) - window + 1, 0)
     doc = np.repeat(np.arange(len(texts)), n)
     first = np.concatenate([[0], np.cumsum(n)])[:-1]
@@ -65,7 +70,7 @@ def window_hashes(words: WordHashes, texts: list[bytes], window: int, second: bo
     up, down = _POWERS.to(len(h) + 1)
     out = []
     for k in range(1 + second):
-        w = mix(h ^ GOLD) if k else h
+        w = other if k else h
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w * up[: len(w)])])
         x = mix((total[at + window] - total[at]) * down[at])
         out.append((x >> np.uint64(32)).astype(np.uint32) if k else x)
@@ -79,7 +84,10 @@ def _sketch(width: int, slices: int, window: int):
         words, got, n = held(("words",), WordHashes), [], 0
 
         def rows():
-            c = np.sort(np.concatenate(got)) >> np.uint64(64 - width)
+            c = np.concatenate(got)
+            got.clear()
+            c.sort()
+            c >>= np.uint64(64 - width)
             if len(c) > 2:
                 c = c[np.concatenate([[True, True], c[2:] != c[:-2]])]
             cut = np.searchsorted(c, np.arange(slices + 1, dtype=np.uint64) << np.uint64(width - slices.bit_length() + 1))
@@ -92,7 +100,7 @@ def _sketch(width: int, slices: int, window: int):
             n += len(x)
             if n >= BLOCK:
                 yield from rows()
-                got, n = [], 0
+                n = 0
         if n:
             yield from rows()
 
@@ -159,7 +167,7 @@ def _suspects(parts, bits: int, groups: int, window: int):
                 ids = np.asarray(pa.compute.fill_null(batch.column(0), _NULL_ID))
                 got.append((a[on], b[on], d[on], s[on], ids, np.asarray(batch.column(1))))
                 n += len(on)
-            if n >= BLOCK // 4:
+            if n >= BLOCK // 2:
                 yield from rows()
                 got, n = [], 0
         if n:
@@ -242,7 +250,7 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     wide as the corpus asks for, sent as sorted cells); the counts are added slice by slice,
     and what has 2 or more, an overestimate, becomes a bit filter of at most 2^30 bits, the
     only thing that is broadcast. Second pass: only windows with their bit set go on, with 96
-    bits of hash, and equal ones are grouped. A task sends one of equal windows at most, so a
+    bits of hash from two independent hashes of each word, and equal ones are grouped. A task sends one of equal windows at most, so a
     passage that a third of all rows share costs a row for each task. Beyond the filter's
     bound more windows pass it, and none is lost.
 
