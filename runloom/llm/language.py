@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 from runloom.llm.base import held, small_batches, table, text_runs
 from runloom.llm.scoring import crc_fold
 
-#: Bounds of the labelled sample: documents of a language, characters of each, characters of all languages.
-SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_ALL = 64, 700, 180_000
 UNKNOWN = "und"
 _WORDS = re.compile(r"[^\W\d_]+")
 
@@ -50,59 +48,54 @@ class SuffixAutomaton:
                     link[q] = link[new] = clone
             last = new
 
+        # a state is its dictionary of characters, so a step is one look-up
+        for d in self.next:
+            for ch, to in d.items():
+                d[ch] = self.next[to]
+        self.root = self.next[0]
+
     def phrases(self, text: str) -> int:
         """How many longest matches, one after the other, make up text; a character that the automaton lacks is a phrase."""
-        n, state, to = 0, 0, self.next
-        root = to[0]
+        n, root = 0, self.root
+        state = root
         for ch in text:
-            at = to[state].get(ch)
-            if at is None:
-                n += state != 0
-                at = root.get(ch)
-                if at is None:
-                    n, at = n + 1, 0
-            state = at
-        return n + (state != 0)
+            to = state.get(ch)
+            if to is None:
+                if state is not root:
+                    n += 1
+                to = root.get(ch)
+                if to is None:
+                    n += 1
+                    to = root
+            state = to
+        return n + (state is not root)
+
+
+def normalised(text: str) -> str:
+    """The words of a text (runs of letters) in lower case, with a space around each; empty if it has no letter."""
+    words = _WORDS.findall(text.lower())
+    if not words or not (words[0].isalpha() or any(ch.isalpha() for w in words for ch in w)):
+        return ""
+    return f" {' '.join(words)} "
 
 
 class CrossParser:
-    """Phrases of a word in each language; words are parsed with a space before and after, and remembered up to a bound."""
+    """The automata of all languages, and what a phrase costs in each: the bits that name a place in its sample."""
 
-    def __init__(self, samples: dict[str, str], most: int = 300_000):
+    def __init__(self, samples: dict[str, str]):
         self.langs = sorted(samples)
         self.automata = [SuffixAutomaton(samples[x]) for x in self.langs]
         self.cost = np.array([math.log2(len(samples[x]) + 2) for x in self.langs])
-        self.most = most
-        self.table = np.zeros((most + 1, max(1, len(self.langs))), dtype=np.int32)
-        self.index: dict[str, int] = {}
-
-    def add(self, word: str) -> int:
-        i = len(self.index)
-        self.table[i] = [a.phrases(f" {word} ") for a in self.automata]
-        self.index[word] = i
-        return i
 
     def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """For each text the best language's number (-1: no letter, or nothing was learned) and a score."""
         best, score = np.full(len(texts), -1), np.zeros(len(texts))
-        if not self.langs:
-            return best, score
         for i, text in enumerate(texts):
-            words = _WORDS.findall(text.lower())
-            if not words or not (words[0].isalpha() or any(ch.isalpha() for w in words for ch in w)):
-                continue
-            n = np.zeros(len(self.langs))
-            for k in range(0, len(words), 50_000):
-                part = words[k : k + 50_000]
-                if len(self.index) + len(part) > self.most:
-                    self.index.clear()
-                get, add = self.index.get, self.add
-                ids = [j if (j := get(w)) is not None else add(w) for w in part]
-                n += self.table[ids].sum(axis=0)
-            n *= self.cost
-            order = np.argsort(n, kind="stable")
-            best[i] = order[0]
-            score[i] = 1.0 if len(n) == 1 else float((n[order[1]] - n[order[0]]) / n[order[1]])
+            if self.langs and (text := normalised(text)):
+                n = np.array([a.phrases(text) for a in self.automata]) * self.cost
+                order = np.argsort(n, kind="stable")
+                best[i] = order[0]
+                score[i] = 1.0 if len(n) == 1 else float((n[order[1]] - n[order[0]]) / n[order[1]])
         return best, score
 
 
@@ -118,43 +111,47 @@ def _predicted(model, drop: int):
     return run
 
 
-def labelled_sample(rows: DataFrame) -> dict[str, str]:
+def labelled_sample(rows: DataFrame, *, docs: int = 64, chars: int = 700, all_chars: int = 180_000, labels: int = 1000) -> dict[str, str]:
     """A bounded sample of rows (id, text, lang) as normalised text by language.
 
-    Of each language the documents with the least hashes of their ids are taken, SAMPLE_DOCS
-    at most and SAMPLE_CHARS characters of each; all languages together have SAMPLE_ALL
-    characters at most. Labels are the 100 most frequent ones.
+    Of each language the documents with the least hashes of their ids are taken, `docs` at
+    most and `chars` characters of each; all languages together have `all_chars` characters
+    at most. Languages are the `labels` most frequent ones, ties by name: no other is ever
+    predicted.
     """
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(100).collect()
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(labels).collect()
     if not counts:
         return {}
     rate = F.lit(0.0)
     for r in counts:
-        rate = F.when(F.col("lang") == r["lang"], min(1.0, 3 * SAMPLE_DOCS / r["count"])).otherwise(rate)
+        rate = F.when(F.col("lang") == r["lang"], min(1.0, 3 * docs / r["count"])).otherwise(rate)
     h = F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(1 << 30))
-    some = rows.select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"), h.alias("h"), rate.alias("rate")).where(F.col("h") < F.col("rate") * (1 << 30))
-    some = some.orderBy("h", "lang", "text").limit(8 * SAMPLE_DOCS * len(counts)).collect()
+    some = rows.select("lang", F.substring("text", 1, chars).alias("text"), h.alias("h"), rate.alias("rate")).where(F.col("h") < F.col("rate") * (1 << 30))
+    some = some.orderBy("h", "lang", "text").limit(8 * docs * len(counts)).collect()
     out: dict[str, list[str]] = {r["lang"]: [] for r in counts}
     for r in some:
-        if len(out[r["lang"]]) < SAMPLE_DOCS:
+        if len(out[r["lang"]]) < docs:
             out[r["lang"]].append(" ".join(_WORDS.findall(r["text"].lower())))
-    share = SAMPLE_ALL // len(out)
+    share = all_chars // len(out)
     return {k: f" {' '.join(v)} "[:share] for k, v in out.items() if any(v)}
 
 
-def detect(docs: DataFrame, training: DataFrame, *, key: str = "doc_id", text: str = "text", keep: dict | None = None, keep_text: bool = False) -> DataFrame:
+def detect(docs: DataFrame, training: DataFrame, *, key: str = "doc_id", text: str = "text", keep: dict | None = None, keep_text: bool = False, sample: dict | None = None) -> DataFrame:
     """One row for each document: key, with keep_text the text, keep's columns (name: expression), lang_pred, score.
 
     training has the columns id, text and lang; rows with a null text or lang are left out.
-    Each language's sample becomes a suffix automaton. A document's words (runs of letters in
-    lower case, whole text) are cut into longest matches; phrases times the bits to name a
-    place in the sample are summed, and the least sum wins, ties going to the first language
-    by name. score is the winner's lead over the second as a share of the second's sum.
+    Each language's sample becomes a suffix automaton; sample has other bounds for it than
+    labelled_sample's own. A document's whole text, as words (runs of letters in lower case)
+    with spaces between, is cut into longest matches by each automaton; phrases times the bits
+    to name a place in the sample are the language's cost, and the least cost wins, ties going
+    to the first language by name. score is the winner's lead over the second as a share of
+    the second's cost.
 
     A text that is null or has no letter, or any if nothing was learned, is `und` with score
-    0. Equal texts have equal results. An empty table gives no rows.
+    0. Equal texts have equal results; repeated rows and null keys each have theirs. An empty
+    table gives no rows. Other columns of docs are not looked at.
     """
-    samples = labelled_sample(training.where("text IS NOT NULL AND lang IS NOT NULL"))
+    samples = labelled_sample(training.where("text IS NOT NULL AND lang IS NOT NULL"), **(sample or {}))
     model = docs.sparkSession.sparkContext.broadcast(samples)
     others = {"_key": F.col(key)} | {f"_k{i}": e for i, e in enumerate((keep or {}).values())}
     rows = small_batches(docs).select(F.col(text).alias("_text"), *[e.alias(n) for n, e in others.items()])
