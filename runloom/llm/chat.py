@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,21 +20,42 @@ CHATML = {
 }
 
 
-def escape(c: Column) -> Column:
-    """Puts one more backslash between < and | (with any backslashes between), so no text holds a control string."""
-    return F.regexp_replace(c, r"<(\\*)\|", r"<\\$1|")
+def _openings(template: dict) -> list[str]:
+    """The first two characters of the template's control strings; what texts must not hold."""
+    out = sorted({template[k][:2] for k in ("start", "end")})
+    if any(len(x) < 2 or "\\" in x for x in out) or (template["end"] + "\n").startswith(template["start"][1:]):
+        raise ValueError("a template's marks need two characters, no backslash there, and an end that can't complete a start")
+    return out
+
+
+def _quoted(x: str) -> str:
+    return re.escape(x)
+
 
+def escape(c: Column, template: dict = CHATML) -> Column:
+    """Puts one more backslash between the first two characters of any control string (and between those with backslashes already there), so no text holds one."""
+    for x in _openings(template):
+        c = F.regexp_replace(c, rf"{_quoted(x[0])}(?=\\*{_quoted(x[1])})", _literal(x[0]) + r"\\")
+    return c
 
-def unescape(c: Column) -> Column:
-    return F.regexp_replace(c, r"<\\(\\*)\|", "<$1|")
 
+def unescape(c: Column, template: dict = CHATML) -> Column:
+    for x in reversed(_openings(template)):
+        c = F.regexp_replace(c, rf"{_quoted(x[0])}\\(?=\\*{_quoted(x[1])})", _literal(x[0]))
+    return c
 
-def _escape_role(c: Column) -> Column:
-    return escape(F.replace(F.replace(c, F.lit("\\"), F.lit("\\b")), F.lit("\n"), F.lit("\\n")))
 
+def _literal(x: str) -> str:
+    """A character as it must stand in a replacement."""
+    return "\\" + x if x in "$\\" else x
 
-def _unescape_role(c: Column) -> Column:
-    return F.replace(F.replace(unescape(c), F.lit("\\n"), F.lit("\n")), F.lit("\\b"), F.lit("\\"))
+
+def _escape_role(c: Column, template: dict) -> Column:
+    return escape(F.replace(F.replace(c, F.lit("\\"), F.lit("\\b")), F.lit("\n"), F.lit("\\n")), template)
+
+
+def _unescape_role(c: Column, template: dict) -> Column:
+    return F.replace(F.replace(unescape(c, template), F.lit("\\n"), F.lit("\n")), F.lit("\\b"), F.lit("\\"))
 
 
 def format_chats(df: DataFrame, template: dict = CHATML, *, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -46,7 +69,10 @@ def format_chats(df: DataFrame, template: dict = CHATML, *, conv: str = "conv_id
 
     A null text or role counts as empty; rows of a null conversation form one; turns that tie
     are ordered by role, then text; an empty table gives no rows. A conversation is one output
-    value, so its turns meet in one task.
+    value, so its turns meet in one task. Other columns of df are not looked at.
+
+    Texts and roles are escaped so that they hold none of the template's marks, whatever these
+    are, and read_back() gives them back as they were.
     """
     turns = df.groupBy(F.col(conv).alias(conv)).agg(F.sort_array(F.collect_list(F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")))).alias("_turns"))
     moves = F.array(*[F.lit(f"{a}>{b}") for a, to in template["moves"].items() for b in to])
@@ -68,8 +94,8 @@ def format_chats(df: DataFrame, template: dict = CHATML, *, conv: str = "conv_id
         F.transform(
             "_turns",
             lambda t: F.array(
-                segment(F.concat(F.lit(template["start"]), _escape_role(t["role"]), F.lit("\n")), F.lit(False)),
-                segment(escape(t["text"]), F.array_contains(loss, t["role"])),
+                segment(F.concat(F.lit(template["start"]), _escape_role(t["role"], template), F.lit("\n")), F.lit(False)),
+                segment(escape(t["text"], template), F.array_contains(loss, t["role"])),
                 segment(F.lit(template["end"] + "\n"), F.lit(False)),
             ),
         )
@@ -85,8 +111,8 @@ def read_back(formatted: Column, template: dict = CHATML) -> Column:
     return F.transform(
         blocks,
         lambda b: F.struct(
-            _unescape_role(F.substring_index(b, "\n", 1)).alias("role"),
-            unescape(F.substring(b, F.instr(b, "\n") + 1, F.length(b) - F.instr(b, "\n") - tail)).alias("text"),
+            _unescape_role(F.substring_index(b, "\n", 1), template).alias("role"),
+            unescape(F.substring(b, F.instr(b, "\n") + 1, F.length(b) - F.instr(b, "\n") - tail), template).alias("text"),
         ),
     )
 
@@ -96,7 +122,6 @@ def op7_chat_formatting(spark, sf_dir: str) -> DataFrame:
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), tie.alias("text"))
     chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     out = format_chats(chats).withColumn("_turns", read_back(F.col("formatted")))
-    lost = unescape(F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: s["text"]), "\x00"))
     lost = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
     return out.select(
         "conv_id",

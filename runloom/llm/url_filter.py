@@ -8,22 +8,35 @@ from pyspark.sql import functions as F
 from runloom.llm.base import broadcast_if_small, table, written
 
 
+#: scheme, user, host, port; of these only the host must be there.
+_HOST = r"^(?:(?:[A-Za-z][A-Za-z0-9+.-]*:)?//)?(?:[^/?#@]*@)?([^\s/?#:@]+)(?::\d*)?(?:[/?#]|$)"
+
+
+def host_of(url):
+    """The host of a URL, with or without its scheme, in lower case without user, port and final dot; empty if there is none."""
+    return F.coalesce(F.regexp_replace(F.lower(F.regexp_extract(url, _HOST, 1)), r"\.+$", ""), F.lit(""))
+
+
+def path_of(url):
+    """The path of a URL, from its first slash; a lone slash if it has none."""
+    return F.coalesce(F.nullif(F.regexp_extract(url, r"^(?:(?:[A-Za-z][A-Za-z0-9+.-]*:)?//)?[^/?#]*(/[^?#]*)", 1), F.lit("")), F.lit("/"))
+
+
 def validity(entries: DataFrame, *, pattern: str = "pattern", name: str = "list", day: str = "day", active: str = "active") -> DataFrame:
-    """Dated entries as intervals: pattern, list, from_day, to_day (exclusive; null: still open).
+    """Dated entries as intervals: pattern (a domain), path, list, from_day, to_day (exclusive; null: still open).
 
-    An entry says that from its day on a pattern is on a list (active) or off it. Of several
-    entries of one day the one that takes it off wins. Entries with a null pattern, list or
-    day are void; a null `active` counts as off.
+    An entry says that from its day on a pattern is on a list (active) or off it. A pattern is
+    a domain, in any case, maybe with a scheme, a leading *. or a final dot; what follows its
+    first slash is a path below which all is listed. Of several entries of one day the one
+    that takes a pattern off wins. Entries with a null pattern, list or day, or without a
+    domain, are void; a null `active` counts as off.
     """
+    p = F.regexp_replace(F.trim(pattern), r"(^|//)\*?\.", "$1")
     e = entries.where(F.col(pattern).isNotNull() & F.col(name).isNotNull() & F.col(day).isNotNull())
-    e = e.groupBy(F.col(pattern).alias("pattern"), F.col(name).alias("list"), F.col(day).cast("date").alias("from_day")).agg(F.min(F.coalesce(F.col(active), F.lit(False))).alias("_on"))
-    e = e.withColumn("to_day", F.lead("from_day").over(Window.partitionBy("pattern", "list").orderBy("from_day")))
-    return e.where("_on").select("pattern", "list", "from_day", "to_day")
-
-
-def host_of(url):
-    """The host of a URL in lower case without user and port; empty if there is none."""
-    return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)", 1)), F.lit(""))
+    e = e.select(host_of(p).alias("pattern"), F.regexp_replace(path_of(p), "/+$", "").alias("path"), F.col(name).alias("list"), F.col(day).cast("date").alias("from_day"), F.coalesce(F.col(active), F.lit(False)).alias("_a")).where("pattern != ''")
+    e = e.groupBy("pattern", "path", "list", "from_day").agg(F.min("_a").alias("_on"))
+    e = e.withColumn("to_day", F.lead("from_day").over(Window.partitionBy("pattern", "path", "list").orderBy("from_day")))
+    return e.where("_on").select("pattern", "path", "list", "from_day", "to_day")
 
 
 def url_filter(captures: DataFrame, entries: DataFrame, *, key: str = "page_id", url: str = "url", at: str = "fetched", **names: str) -> DataFrame:
@@ -36,15 +49,18 @@ def url_filter(captures: DataFrame, entries: DataFrame, *, key: str = "page_id",
     interval holds the time. lists: the sorted names, comma-joined; since: the earliest day
     from which an entry that blocks has held.
 
-    A null URL or time blocks nothing. Repeated captures give repeated rows. Empty lists
-    block nothing; empty captures give no rows.
+    A listed path must be the capture's path or stand above it. A null URL or time blocks
+    nothing. Repeated captures give repeated rows; so do null keys. Empty lists block nothing;
+    empty captures give no rows. Other columns of either table are not looked at.
     """
     spans = broadcast_if_small(written(validity(entries, **names), "spans"), 16 << 20)
     c = captures.select(F.monotonically_increasing_id().alias("_row"), F.col(key).alias(key), F.col(url).alias(url), F.col(at).alias(at), host_of(F.col(url)).alias("host"))
     labels = F.split("host", r"\.")
     above = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels), F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     c = c.withColumn("_domain", F.explode(above))
-    held = (F.col("_domain") == F.col("pattern")) & (F.col(at).cast("date") >= F.col("from_day")) & (F.col("to_day").isNull() | (F.col(at).cast("date") < F.col("to_day")))
+    c = c.withColumn("_path", path_of(F.col(url)))
+    below = (F.col("path") == "") | F.startswith(F.concat("_path", F.lit("/")), F.concat("path", F.lit("/")))
+    held = (F.col("_domain") == F.col("pattern")) & below & (F.col(at).cast("date") >= F.col("from_day")) & (F.col("to_day").isNull() | (F.col(at).cast("date") < F.col("to_day")))
     j = c.join(spans, held, "left")
     out = j.groupBy("_row").agg(*[F.first(x).alias(x) for x in (key, url, at, "host")], F.array_sort(F.collect_set("list")).alias("_lists"), F.min("from_day").alias("since"))
     return out.select(key, url, at, "host", (F.size("_lists") > 0).alias("blocked"), F.size("_lists").cast("long").alias("n_lists"), F.array_join("_lists", ",").alias("lists"), "since")
@@ -74,7 +90,7 @@ def op5_url_filters(spark, sf_dir: str) -> DataFrame:
 OP5_SQL = r"""
 WITH p AS (
   SELECT page_id, url, DATE '2024-01-01' + CAST(page_id * 37 % 730 AS INTEGER) AS fetched,
-    coalesce(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '') AS host
+    coalesce(regexp_replace(lower(regexp_extract(url, '^(?:(?:[A-Za-z][A-Za-z0-9+.-]*:)?//)?(?:[^/?#@]*@)?([^\s/?#:@]+)(?::\d*)?(?:[/?#]|$)', 1)), '\.+$', ''), '') AS host
   FROM pages
 ), n AS (
   SELECT host AS h, CAST('0x' || substr(md5(host || '/kind'), 1, 8) AS BIGINT) % 10 AS k,
