@@ -16,6 +16,8 @@ from runloom.llm.vocabulary import PATH, SPACE, Vocabulary, load
 
 #: Characters of a chunk; longer documents are split.
 CHUNK = 1 << 15
+#: Chunks whose matrices are combined in one task.
+BLOCK = 256
 #: Stands for a literal ▁ of the text, which no piece may match; a lone surrogate is in no text.
 _LITERAL = "\ud800"
 _UNITS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
@@ -174,12 +176,20 @@ def max_plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a[:, :, None] + b[None, :, :]).max(axis=1), _NONE)
 
 
-def states(matrices: list[np.ndarray]) -> list[tuple[int, int]]:
-    """The entering and leaving state of each chunk on the best path from state 0 to state 0."""
-    ahead = [np.where(np.arange(len(matrices[0])) == 0, 0, _NONE)[None, :]]
+def product(matrices: list[np.ndarray]) -> np.ndarray:
+    """All matrices combined in order, by pairs, pairs of pairs and so on."""
+    while len(matrices) > 1:
+        pairs = [max_plus(a, b) for a, b in zip(matrices[::2], matrices[1::2], strict=False)]
+        matrices = pairs + matrices[2 * len(pairs) :]
+    return matrices[0]
+
+
+def states(matrices: list[np.ndarray], first: int = 0, last: int = 0) -> list[tuple[int, int]]:
+    """The entering and leaving state of each chunk on the best path from one state to another."""
+    ahead = [np.where(np.arange(len(matrices[0])) == first, 0, _NONE)[None, :]]
     for m in matrices:
         ahead.append(max_plus(ahead[-1], m))
-    j, out = 0, []
+    j, out = last, []
     for v, m in zip(ahead[-2::-1], matrices[::-1], strict=True):
         i = int((v[0] + m[:, j]).argmax())
         out.append((i, j))
@@ -212,11 +222,29 @@ def _matrices(model):
     return run
 
 
+def _squares(column: pa.ChunkedArray) -> list[np.ndarray]:
+    flat = [np.frombuffer(x, dtype=np.int64) for x in column.to_pylist()]
+    side = int(len(flat[0]) ** 0.5)
+    return [x.reshape(side, side) for x in flat]
+
+
+def _block(t: pa.Table) -> pa.Table:
+    """The chunks of a block as one matrix."""
+    t = t.sort_by("k")
+    return pa.table({"row": t.column("row").slice(0, 1), "b": t.column("b").slice(0, 1), "m": pa.array([product(_squares(t.column("m"))).tobytes()], pa.binary())})
+
+
 def _scan(t: pa.Table) -> pa.Table:
+    """The states at the borders of a document's blocks."""
+    t = t.sort_by("b")
+    s = states(_squares(t.column("m")))
+    return pa.table({"row": t.column("row"), "b": t.column("b"), "first": pa.array([a for a, _ in s], pa.int32()), "last": pa.array([b for _, b in s], pa.int32())})
+
+
+def _within(t: pa.Table) -> pa.Table:
+    """The states at the borders of a block's chunks, given those at its own."""
     t = t.sort_by("k")
-    m = [np.frombuffer(x, dtype=np.int64) for x in t.column("m").to_pylist()]
-    side = int(len(m[0]) ** 0.5)
-    s = states([x.reshape(side, side) for x in m])
+    s = states(_squares(t.column("m")), t.column("first")[0].as_py(), t.column("last")[0].as_py())
     return pa.table({"row": t.column("row"), "k": t.column("k"), "i": pa.array([a for a, _ in s], pa.int32()), "j": pa.array([b for _, b in s], pa.int32())})
 
 
@@ -241,12 +269,18 @@ def encode(docs: DataFrame, *, key: str = "doc_id", text: str = "text", keep: tu
     The ids are those of a segmentation with the greatest sum of unigram weights; total is the
     sum in 2^-16 nats. A document of up to `chunk` characters is coded in one piece. A longer
     one is split into chunks, rows of a written table that may lie anywhere: each gives a
-    matrix of best scores from every state at its front border to every state at its end, the
-    matrices of a document (not its text) are combined in one task, and each chunk is
-    backtraced by itself between the two states that this fixes. Of several best
+    matrix of best scores from every state at its front border to every state at its end.
+    Blocks of these are combined, each by itself, as the max-plus product is associative; a
+    document's few block matrices then fix the states at the blocks' borders, each block those
+    at its chunks' borders, and each chunk is backtraced by itself between two states. No task
+    holds more than a block of matrices, or a document's blocks. Of several best
     segmentations any may come out, but equal texts have equal ids.
 
-    A null text has null ids, an empty one none. An empty table gives no rows.
+    The vocabulary's file has ranks as scores; the weights are made from these (Vocabulary),
+    so ids may differ from those of the file's own merges.
+
+    A null text has null ids, an empty one none. Null keys and repeated rows are coded each by
+    itself. An empty table gives no rows. Other columns of docs are not looked at.
     """
     spark = docs.sparkSession
     codec_data = load(vocabulary)
@@ -265,7 +299,9 @@ def encode(docs: DataFrame, *, key: str = "doc_id", text: str = "text", keep: tu
     parts = parts.select("row", "k", F.least(F.lit(chunk), F.col("n") - F.col("k") * chunk).cast("int").alias("size"), F.substring("s", F.col("k") * chunk + 1, F.lit(chunk + reach)).alias("part"), *[F.when(F.col("k") == 0, F.col(c)).alias(c) for c in names])
     parts = written(parts.repartition("row", "k"), "chunks")
     at = parts.select("row", "k", "size", "part")
-    via = at.mapInArrow(_matrices(model), "row long, k int, m binary").groupBy("row").applyInArrow(_scan, "row long, k int, i int, j int")
+    m = written(at.mapInArrow(_matrices(model), "row long, k int, m binary").withColumn("b", F.floor(F.col("k") / BLOCK).cast("int")), "matrices")
+    blocks = m.groupBy("row", "b").applyInArrow(_block, "row long, b int, m binary").groupBy("row").applyInArrow(_scan, "row long, b int, first int, last int")
+    via = m.join(blocks, ["row", "b"]).select("row", "b", "k", "m", "first", "last").groupBy("row", "b").applyInArrow(_within, "row long, k int, i int, j int")
     traced = at.join(via, ["row", "k"]).select("row", "k", "size", "part", "i", "j").mapInArrow(_traced(model), "row long, k int, _ids binary, _total long")
     whole = traced.groupBy("row").applyInArrow(_joined, "row long, _ids binary, _total long")
     long = parts.where("k = 0").select("row", *names).join(whole, "row").select(*names, "_ids", "_total")
@@ -286,7 +322,7 @@ def _decoded(model):
 
 
 def decode(coded: DataFrame, *, key: str = "doc_id", ids: str = "ids", keep: tuple[str, ...] = (), vocabulary: str = PATH) -> DataFrame:
-    """One row for each: key, keep's columns, text. Null ids give a null text."""
+    """One row for each: key, keep's columns, text. Null ids give a null text, empty ones an empty text. Repeated rows and null keys are decoded each by itself; an empty table gives no rows; other columns are not looked at."""
     model = coded.sparkSession.sparkContext.broadcast(load(vocabulary))
     rows = coded.select(F.col(ids).alias("_ids"), F.col(key).alias("_key"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)])
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}

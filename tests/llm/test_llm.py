@@ -163,6 +163,38 @@ def test_automaton_and_language(spark, docs):
     assert got == [(1, "en"), (2, "de"), (3, "und"), (4, "und"), (5, "und"), (5, "und")]
     assert {r.lang_pred for r in language.detect(d, train.limit(0)).collect()} == {"und"} and language.detect(empty(spark), train).count() == 0
     assert language.detect(docs, language.training_rows(docs)).count() == docs.count()
+    assert language.detect(with_null_key(spark, docs), train).where("doc_id IS NULL").count() == 2
+
+
+def test_language_of_whole_texts_by_brute_force(spark):
+    vocab = {"en": "the thing and other words here", "de": "der und schöne andere wörter hier", "fr": "le chose et d'autres mots"}
+    train = [(i * 10 + k, " ".join(random.choice(v.split()) for _ in range(15)), lang) for i in range(6) for k, (lang, v) in enumerate(vocab.items())]
+    t = spark.createDataFrame(train, "id long, text string, lang string")
+    bounds = {"docs": 5, "chars": 60, "all_chars": 600}
+    samples = language.labelled_sample(t, **bounds)
+    assert set(samples) == set(vocab) and all(len(x) <= 200 for x in samples.values()) and set(language.labelled_sample(t, labels=2)) == {"de", "en"}
+
+    def brute(text):
+        words = language._WORDS.findall(text.lower())
+        if not words:
+            return "und", 0.0
+        s, cost = " " + " ".join(words) + " ", {}
+        for lang, own in samples.items():
+            n, i = 0, 0
+            while i < len(s):
+                j = i + 1
+                while j < len(s) and s[i : j + 1] in own:
+                    j += 1
+                n, i = n + 1, j
+            cost[lang] = n * np.log2(len(own) + 2)
+        (a, lang), (b, _) = sorted((c, x) for x, c in cost.items())[:2]
+        return lang, (b - a) / b
+
+    texts = [" ".join(random.choice(random.choice(list(vocab.values())).split() + ["zzz", "12"]) for _ in range(n)) for n in (1, 2, 5, 9, 30, 200) for _ in range(4)] + ["", "77 !", "Über-the"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in language.detect(d, t, sample=bounds).collect():
+        want = brute(texts[r.doc_id])
+        assert r.lang_pred == want[0] and r.score == pytest.approx(want[1])
 
 
 @pytest.mark.parametrize("broadcast", [64 << 20, -1])
@@ -214,6 +246,11 @@ def test_url_lists(spark):
     p = spark.createDataFrame([(1, "http://x.b.A.com/p", "2024-01-10"), (1, "http://x.b.A.com/p", "2024-01-10"), (2, "https://b.a.com", "2024-01-20"), (3, "http://a.com:80", "2024-02-01"), (4, "http://aa.com", "2024-01-05"), (5, None, "2024-01-05"), (6, "http://a.com", None), (7, "http://a.com", "2023-12-31"), (8, "http://c.com", "2024-01-02")], "page_id long, url string, fetched string").withColumn("fetched", F.col("fetched").cast("date"))
     got = sorted((r.page_id, r.blocked, r.lists) for r in url_filter.url_filter(p, e).collect())
     assert got == [(1, True, "spam"), (1, True, "spam"), (2, True, "adult,spam"), (3, False, ""), (4, False, ""), (5, False, ""), (6, False, ""), (7, False, ""), (8, False, "")]
+    more = [("*.D.com.", "spam", "2024-01-01", True), ("https://E.com/bad/", "spam", "2024-01-01", True), (" ", "spam", "2024-01-01", True), ("/only/path", "spam", "2024-01-01", True)]
+    e2 = spark.createDataFrame(more, "pattern string, list string, day string, active boolean").withColumns({"day": F.col("day").cast("date"), "url": F.lit("clash"), "_path": F.lit("clash")})
+    urls = {"d.com/x": True, "a.D.COM.": True, "//d.com:80?q": True, "http://u@e.com/bad/x": True, "e.com/bad": True, "http://e.com/badly": False, "http://e.com/": False, "mailto:x@d.com": True, "d.community": False, "": False, "only/path": False}
+    q = spark.createDataFrame([(u, "2024-05-05", "c") for u in urls], "url string, fetched string, lists string").withColumns({"fetched": F.col("fetched").cast("date"), "page_id": F.lit(None).cast("long")})
+    assert {r.url: r.blocked for r in url_filter.url_filter(q, e2).collect()} == urls
     assert url_filter.url_filter(p.limit(0), e).count() == 0 and not any(r.blocked for r in url_filter.url_filter(p, e.limit(0)).collect())
 
 
@@ -319,6 +356,24 @@ def test_chat_round_trip(spark):
     assert [s.loss for s in out[1].segments].count(True) == 1 and chat.format_chats(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("start,end", [("[INST]", "[/INST]"), ("<<S>>", "<<E>>"), ("$(a", "$)b"), ("<|im_start|>", "<|im_end|>")])
+def test_chat_marks_of_any_template(spark, start, end):
+    t = {**chat.CHATML, "start": start, "end": end}
+    bits = [start, end, start[:2], end[:2], start[0], "\\", "\n", "x", "$1"]
+    random.seed(5)
+    rows = [(c, k, random.choice(["user", "assistant", start, "a\nb"]), "".join(random.choice(bits) for _ in range(random.randint(0, 9)))) for c in range(40) for k in range(3)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for r in chat.format_chats(df, t).withColumn("t", chat.read_back(F.col("formatted"), t)).collect():
+        assert [(x.role, x.text) for x in r.t] == [(q[2], q[3]) for q in rows if q[0] == r.conv_id]
+        assert not any(start in s.text or end in s.text for i, s in enumerate(r.segments) if i % 3 == 1)
+
+
+def test_chat_templates_that_cannot_be_read_back():
+    for start, end in (("<", ">>"), ("ab", "bc"), ("\\[", "]]")):
+        with pytest.raises(ValueError):
+            chat._openings({"start": start, "end": end})
+
+
 def test_pieces_are_best_and_chunks_agree(spark, docs):
     from tokenizers import Tokenizer, models
 
@@ -341,6 +396,27 @@ def test_pieces_are_best_and_chunks_agree(spark, docs):
     assert {r.doc_id: r.text for r in back} == t
 
 
+def test_states_by_blocks(spark, docs, monkeypatch):
+    rng = np.random.default_rng(2)
+    m = [rng.integers(-50, 0, (4, 4)) for _ in range(11)]
+    whole = m[0]
+    for x in m[1:]:
+        whole = pieces.max_plus(whole, x)
+    assert (pieces.product(list(m)) == whole).all() and (pieces.product(m[:1]) == m[0]).all()
+    s = pieces.states(m, 1, 2)
+    assert s[0][0] == 1 and s[-1][1] == 2 and all(a[1] == b[0] for a, b in zip(s, s[1:], strict=False)) and sum(int(x[i, j]) for x, (i, j) in zip(m, s, strict=True)) == whole[1, 2]
+    c = pieces.Codec(load())
+    big = {r.doc_id: r.total for r in pieces.encode(docs, chunk=16).collect()}
+    monkeypatch.setattr(pieces, "BLOCK", 3)
+    small = pieces.encode(docs, chunk=16).collect()  # ties may fall otherwise
+    assert {r.doc_id: r.total for r in small} == big and all(c.decode(bytes(r.ids)).decode() == texts(docs)[r.doc_id] for r in small if r.ids is not None)
+    long = prose(20_000)  # over four chunks of the usual size
+    assert len(long) > 2 * pieces.CHUNK
+    one = spark.createDataFrame([(1, long), (None, long)], "doc_id long, text string")
+    got = pieces.encode(one).collect()
+    assert len(got) == 2 and all(c.decode(bytes(r.ids)).decode() == long and r.total == c.total(c.encode(long)) for r in got)
+
+
 def test_repeats_against_brute_force(spark, docs):
     t = texts(docs)
     seen, gone = {}, defaultdict(set)
