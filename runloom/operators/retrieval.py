@@ -38,16 +38,26 @@ def recall(gold: DataFrame, hits: DataFrame, query: str, key: str) -> DataFrame:
     return r.agg(F.count(F.lit(1)).alias("n"), F.avg("r").alias("recall_avg"), F.avg((F.col("r") == 1).cast("int")).alias("recall_all"), F.avg((F.col("r") > 0).cast("int")).alias("recall_any"))
 
 
-def closure(edges: DataFrame, src: str = "src", dst: str = "dst", most: int = 64) -> DataFrame:
-    """All pairs that imports connect, over any number of steps: paths double each round until no pair is new; cycles do no harm."""
+def closure(edges: DataFrame, src: str = "src", dst: str = "dst", most: int = 10_000) -> DataFrame:
+    """All pairs (a, b) that imports connect, over any number of steps; cycles do no harm.
+
+    Each round joins only the pairs that the last one found with the edges, and drops those
+    known already, so it ends after as many rounds as the longest shortest path has steps.
+    A graph with longer ones than `most` is an error.
+    """
     from runloom.session import written
 
-    pairs = written(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).distinct(), "closure")
-    n = pairs.count()
+    e = written(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).distinct(), "closure")
+    new, parts = e, [e]
     for _ in range(most):
-        step = pairs.alias("x").join(pairs.alias("y"), F.col("x.b") == F.col("y.a")).select("x.a", "y.b")
-        pairs = written(pairs.unionByName(step).distinct(), "closure")
-        if (m := pairs.count()) == n:
-            break
-        n = m
-    return pairs
+        known = parts[0]
+        for p in parts[1:]:
+            known = known.unionByName(p)
+        step = new.select("a", F.col("b").alias("_via")).join(e.select(F.col("a").alias("_via"), "b"), "_via").select("a", "b").distinct()
+        new = written(step.join(known, ["a", "b"], "left_anti"), "closure")
+        if new.isEmpty():
+            return known
+        parts.append(new)
+        if len(parts) > 8:  # few tables to read in each round
+            parts = [written(known.unionByName(new), "closure")]
+    raise ValueError(f"paths of more than {most} steps")

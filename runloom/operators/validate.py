@@ -29,7 +29,7 @@ def graph(nodes: DataFrame, events: DataFrame, unclassified: DataFrame, phases:
     )
     used = nodes.select("case_id", F.explode("event_idx").alias("event_idx")).unionByName(unclassified.select("case_id", "event_idx")).groupBy("case_id", "event_idx").agg(F.count(F.lit(1)).alias("_k"))
     full = events.select("case_id", "event_idx", F.lit(1).alias("_e")).join(used, ["case_id", "event_idx"], "full_outer")
-    once = full.groupBy("case_id").agg(F.bool_and((F.col("_k") == 1) & F.col("_e").isNotNull()).alias("_once"))
+    once = full.groupBy("case_id").agg(F.bool_and((F.coalesce("_k", F.lit(0)) == 1) & F.col("_e").isNotNull()).alias("_once"))
     j = once.join(by, "case_id", "left")
     return violations(j, {"phases": F.col("phases"), "ids": F.col("ids"), "confidence": F.col("confidence"), "order": F.col("order"), "accounting": F.col("_once")}).select("case_id", "violations")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -27,8 +28,13 @@ def local_session(app: str = "runloom", cores: str | None = None) -> SparkSessio
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where none is set."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or on one machine a temporary one where none is set.
+
+    On a cluster without it there is no such folder, so that is an error.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors and the driver share")
     if not at:
         at = tempfile.mkdtemp(prefix="runloom-")
         spark.sparkContext.setCheckpointDir(at)

@@ -227,6 +227,23 @@ def test_validation(spark):
     assert [(r.outcome, len(r.contradictions)) for r in checks.reconciled(c).collect()] == [("resolved", 3), ("unresolved", 0), ("unknown", 0), ("resolved", 0)]
 
 
+def test_events_of_no_node_are_told(spark):
+    n = spark.createDataFrame([("a", "1", "Fix", 0.5, [0])], "case_id string, id string, phase string, confidence double, event_idx array<int>")
+    ev = spark.createDataFrame([("a", 0), ("a", 1)], "case_id string, event_idx int")
+    assert validate.graph(n, ev, ev.limit(0), ["Fix"]).first().violations == ["accounting"]
+
+
+def test_shared_folder_is_asked_for_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from runloom import session
+
+    far = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://x:1", getCheckpointDir=lambda: None))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(far)
+    assert session.shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *_: "s3://b/c"), sparkContext=None)) == "s3://b/c"
+
+
 def test_closure_of_cycles_and_recall(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "a")], "src string, dst string")
     got = {tuple(r) for r in retrieval.closure(e).collect()}
