@@ -167,6 +167,19 @@ def to_run(dataset: DataFrame, preds: DataFrame, done: DataFrame, key: str, patc
     return remaining(dataset.join(some.select(key), key, "left_semi"), done, key)
 
 
+def token_costs(rows: DataFrame, rates: dict[str, tuple[float, float]], model: str, tokens_in: Column, tokens_out: Column) -> DataFrame:
+    """Adds cost: tokens times the model's rates in and out; null for a model without rates."""
+    rate = F.create_map(*[x for m, (a, b) in rates.items() for x in (F.lit(m), F.struct(F.lit(float(a)).alias("i"), F.lit(float(b)).alias("o")))])
+    r = F.try_element_at(rate, F.col(model))
+    return rows.withColumn("cost", tokens_in * r["i"] + tokens_out * r["o"])
+
+
+def merged_shards(spark, path: str, key: str) -> DataFrame:
+    """The rows of all shards (lines of JSON) below a path, each key once: of the first shard by name that has it."""
+    d = spark.read.json(path, recursiveFileLookup=True).withColumn("_f", F.input_file_name())
+    return d.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("_f", F.monotonically_increasing_id()))).where("_n = 1").drop("_n", "_f")
+
+
 def missing_images(required: DataFrame, existing: DataFrame, image: str) -> DataFrame:
     return required.select(image).distinct().join(existing.select(image), image, "left_anti")
 

@@ -51,6 +51,11 @@ def run_report(dataset: DataFrame, predictions: DataFrame, reports: DataFrame, k
     return dataset.join(p, key, "left").join(r, key, "left").select(key, c.alias("class"))
 
 
+def report_lists(classes: DataFrame, key: str) -> DataFrame:
+    """(class, n, ids): the sorted ids of each class, for the run report of one dataset."""
+    return classes.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(key)).alias("ids"))
+
+
 def report_counts(classes: DataFrame, key: str) -> DataFrame:
     return classes.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first_id"))
 

@@ -83,6 +83,7 @@ QUERIES = {
     "q_grading_running_accuracy": lambda s, d: G.running_accuracy(table(s, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus"), "o_orderkey", F.col("o_orderstatus") == "F", "o_custkey"),
     "q_grading_run_classes": _classes,
     "q_grading_run_report": lambda s, d: G.report_counts(_classes(s, d), "id"),
+    "q_grading_run_lists": lambda s, d: G.report_lists(_classes(s, d), "id").select("class", "n", F.md5(F.array_join("ids", ",").cast("binary")).alias("ids_md5")),
     "q_grading_log_lines": lambda s, d: L.parse(_logs(s, d), "l_orderkey", "log", "gotest"),
     "q_grading_log_formats": lambda s, d: L.parse(_format_logs(s, d), "l_orderkey", "body", F.col("parser")),
     "q_grading_log_applied": lambda s, d: L.evaluated(_format_logs(s, d), "l_orderkey", "log", F.col("parser"))[0],
@@ -98,6 +99,7 @@ SELECT *, CASE WHEN f2p = 1 AND p2p = 1 THEN 'FULL' WHEN f2p > 0 AND f2p < 1 AND
     "q_grading_running_accuracy": "SELECT o_custkey, o_orderkey, o_orderstatus, avg(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) OVER w AS accuracy, row_number() OVER w AS seen FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)",
     "q_grading_run_classes": _C + " SELECT * FROM c",
     "q_grading_run_report": _C + " SELECT class, count(*) AS n, min(id) AS first_id FROM c GROUP BY 1",
+    "q_grading_run_lists": _C + " SELECT class, count(*) AS n, md5(string_agg(CAST(id AS VARCHAR), ',' ORDER BY id)) AS ids_md5 FROM c GROUP BY 1",
     "q_grading_log_lines": """WITH l AS (SELECT l_orderkey, 't' || l_partkey % 7 AS test, CASE l_returnflag WHEN 'N' THEN 'PASSED' WHEN 'R' THEN 'FAILED' ELSE 'SKIPPED' END AS status, l_linenumber, l_partkey FROM lineitem),
 r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, status) AS n FROM l)
 SELECT l_orderkey, test, arg_max(status, n) AS status FROM r GROUP BY 1, 2""",

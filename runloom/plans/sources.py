@@ -38,6 +38,7 @@ def files(s, d):
         f(k % 5 != 0, "preds.json", F.concat(F.lit('{"model_patch": "'), patch, F.lit('"}'))),
         f(F.lit(True), "run/a.traj.json", F.col("x")),
         f(F.lit(True), "spt_log.json", F.concat(F.lit("["), entries, F.lit("]"))),
+        f(k % 4 != 1, "report/report.json", F.concat(F.lit('{"x": {"patch_is_None": '), F.when(k % 5 == 0, "true").otherwise("false"), F.lit(', "patch_successfully_applied": '), F.when(k % 3 == 0, "false").otherwise("true"), F.lit(', "resolved": '), F.when(F.col("o_orderstatus") == "F", "true").otherwise("false"), F.lit("}}"))),
         f(k % 2 == 0, "patch.diff", F.lit("diff --git a/x.py b/x.py\n--- a/x.py\n+++ b/x.py\n@@ -1 +1 @@\n-a\n+b")),
     )
     sample = F.concat(F.lit("o__c-"), "o_custkey", F.lit("_"), "o_orderkey")
@@ -90,13 +91,14 @@ def _closure(s, d):
     return retrieval.closure(p.select((F.col("p_partkey") % 97).alias("src"), (F.col("p_partkey") * 13 % 97).alias("dst")).where("src % 3 != 0"))
 
 
-QUERIES = {"q_sources_records": _records, "q_sources_events": _events, "q_sources_match_results": _match, "q_validate_graph": _graph, "q_validate_evidence": _evidence, "q_retrieval_closure": _closure}
+QUERIES = {"q_sources_records": _records, "q_sources_outcomes": lambda s, d: archives.outcomes(files(s, d)), "q_sources_events": _events, "q_sources_match_results": _match, "q_validate_graph": _graph, "q_validate_evidence": _evidence, "q_retrieval_closure": _closure}
 SQL = {
     "q_sources_records": """WITH o AS (SELECT o_orderkey AS k, *, CAST(o_orderkey % 3 + 1 - CASE WHEN o_orderkey % 13 = 0 THEN 1 ELSE 0 END AS BIGINT) AS turns, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END AS pf FROM orders)
 SELECT 'o__c-' || o_custkey AS instance_id, CAST(k AS VARCHAR) AS sample_id,
   CASE WHEN k % 11 = 0 THEN 'unknown' WHEN o_orderstatus = 'F' THEN 'resolved' WHEN k % 5 = 0 THEN 'empty' WHEN k % 7 = 0 THEN 'error' WHEN k % 4 = 0 THEN 'empty' ELSE 'unresolved' END AS status,
   CASE WHEN k % 7 > 0 THEN k % 7 ELSE turns END AS steps, (k % 100) / 4.0 AS cost, CASE WHEN k % 13 = 0 THEN 'truncated' ELSE 'Submitted' END AS exit_status, 3 AS submission_length,
   CASE WHEN k % 13 = 0 THEN pf ELSE 2 END AS files_touched, pf AS patch_files_touched, CASE WHEN k % 3 = 0 THEN '' ELSE 't' || k % 2 END AS spt_types, k % 3 + CASE WHEN k % 6 = 0 THEN 1 ELSE 0 END AS spt_entry_count FROM o""",
+    "q_sources_outcomes": """SELECT 'o__c-' || o_custkey || '_' || o_orderkey AS sample, CASE WHEN o_orderkey % 11 != 0 THEN 'unresolved' WHEN o_orderkey % 4 = 1 THEN 'error' WHEN o_orderkey % 5 = 0 THEN 'empty' WHEN o_orderkey % 3 = 0 THEN 'error' WHEN o_orderstatus = 'F' THEN 'resolved' ELSE 'unresolved' END AS outcome FROM orders""",
     "q_sources_events": """WITH o AS (SELECT o_orderkey AS k, 'o__c-' || o_custkey || '_' || o_orderkey AS sample, o_orderkey % 3 + 1 - CASE WHEN o_orderkey % 13 = 0 THEN 1 ELSE 0 END AS turns FROM orders), e AS (SELECT o.*, i FROM o, range(4) t(i) WHERE i <= turns)
 SELECT sample, 'E' || i AS id, CASE WHEN i = 0 THEN 'user' ELSE 'assistant' END AS role, CASE WHEN i = 0 THEN 1 ELSE length('```bash' || chr(10) || 'cat src/f0.py' || chr(10) || '```') END AS n_chars, CAST(i * 1.5 AS DOUBLE) AS timestamp, CASE WHEN i < turns THEN CAST(1.5 AS DOUBLE) END AS duration_seconds FROM e""",
     "q_sources_match_results": """WITH r AS (SELECT o_custkey AS c, 'f' || o_orderkey || '.json' AS path, CASE WHEN o_orderkey % 3 = 0 THEN 'c__r-' || o_custkey ELSE 'other-' || o_orderkey END AS record_id, o_orderstatus = 'F' AS resolved,

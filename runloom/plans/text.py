@@ -25,6 +25,16 @@ def _patch():
     return F.concat(F.lit("diff --git a/src/f"), k, F.lit(".py b/src/f"), k, F.lit(".py\n--- a/src/f"), k, F.lit(".py\n+++ b/src/f"), k, F.lit(".py\n@@ -1,2 +1,3 @@\n-"), F.col("p_name"), F.lit("\n+"), F.col("p_brand"), F.lit("\n+"), F.col("p_type"))
 
 
+def _patch_filters(s, d):
+    """Limits of patches with one to three hunks, of which every fifth creates its file; assertions on messages; errors of imports in logs."""
+    k = F.col("p_partkey")
+    hunks = F.array_join(F.array_repeat(F.lit("@@ -1 +1 @@\n-a\n+b"), (k % 3 + 1).cast("int")), "\n")
+    patch = F.concat(F.when(k % 5 == 0, "diff --git a/f b/f\nnew file mode 100644\n--- /dev/null\n+++ b/f\n").otherwise("diff --git a/f b/f\n--- a/f\n+++ b/f\n"), hunks)
+    test = F.element_at(F.array(F.lit("assert x"), F.lit("with pytest.raises(E, match='x')"), F.lit("with pytest.raises(E)"), F.lit("self.assertRaises(E)")), (k % 4 + 1).cast("int"))
+    log = F.element_at(F.array(F.lit("import a"), F.lit("x\nImportError: y"), F.lit("cannot import: failed"), F.lit("import a\nerror"), F.lit("attribute"), F.lit("failed")), (k % 6 + 1).cast("int"))
+    return table(s, d, "part").select("p_partkey", X.patch_limits(patch).alias("x"), X.asserts_on_message(test).alias("asserts"), X.has_attribute_or_import_error(log).alias("import_error")).select("p_partkey", "x.*", "asserts", "import_error")
+
+
 def _diffs(s, d):
     return table(s, d, "part").select("p_partkey", _patch().alias("patch")).select("p_partkey", X.diff_summary(F.col("patch")).alias("x"), X.patch_class(F.col("patch")).alias("class"), F.element_at(X.patch_files(F.col("patch")), 1).alias("file")).select("p_partkey", "x.*", "class", "file")
 
@@ -103,7 +113,10 @@ QUERIES = {
     "q_sampling_shards": _shards, "q_text_label_split": _label_split,
     "q_sets_common_users": lambda s, d: table(s, d, "events").select(F.col("user_id").alias("id")).intersect(table(s, d, "customer").select(F.col("c_custkey").alias("id"))),
     "q_sets_remaining": lambda s, d: datasets.remaining(table(s, d, "customer").select(F.col("c_custkey").alias("id")), table(s, d, "events").select(F.col("user_id").alias("id")), "id"),
-    "q_cost_by_rate": lambda s, d: table(s, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("props")).cast("long").alias("n_in")).withColumn("cost", (F.col("n_in") * 285 + F.col("n") * 2400) / 1e9),
+    "q_cost_by_rate": lambda s, d: datasets.token_costs(table(s, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("props")).cast("long").alias("n_in")), {"view": (285e-9, 2.4e-6), "click": (1e-6, 4e-6), "error": (0.0, 5e-6)}, "event_type", F.col("n_in"), F.col("n")).withColumn("cost", F.round("cost", 9)),
+    "q_text_patch_filters": _patch_filters,
+    "q_data_language": lambda s, d: table(s, d, "documents").select("doc_id", datasets.language_is(F.col("lang"), "en", {"de": "en"}).alias("same")),
+    "q_data_take": lambda s, d: datasets.take(table(s, d, "documents").select("doc_id"), "doc_id", 50),
 }
 SQL = {
     "q_text_criteria": r"""WITH p AS (SELECT page_id, url, regexp_replace(coalesce(html, ''), '[0-9#./]', ' ', 'g') || CASE WHEN page_id % 3 = 0 THEN ' ' || sha1(CAST(page_id AS VARCHAR)) ELSE '' END || CASE WHEN page_id % 4 = 0 THEN ' see shot.PNG' ELSE '' END || CASE WHEN page_id % 5 = 0 THEN ' fixes #12' ELSE '' END AS t FROM pages)
@@ -120,7 +133,10 @@ SELECT count(*) AS n, avg(r) AS recall_avg, avg(CASE WHEN r = 1 THEN 1 ELSE 0 EN
     "q_text_label_split": "SELECT source, count(quality) AS labelled, count(*) FILTER (quality IS NULL) AS unlabelled, coalesce(avg(quality), 0.0) AS quality_rate, count(*) FILTER (toxic = 1) AS toxic FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1",
     "q_sets_common_users": "SELECT user_id AS id FROM events INTERSECT SELECT c_custkey FROM customer",
     "q_sets_remaining": "SELECT c_custkey AS id FROM customer ANTI JOIN events ON user_id = c_custkey",
-    "q_cost_by_rate": "WITH g AS (SELECT event_type, count(*) AS n, CAST(sum(length(props)) AS BIGINT) AS n_in FROM events GROUP BY 1) SELECT *, (n_in * 285 + n * 2400) / 1e9 AS cost FROM g",
+    "q_cost_by_rate": "WITH g AS (SELECT event_type, count(*) AS n, CAST(sum(length(props)) AS BIGINT) AS n_in FROM events GROUP BY 1) SELECT *, round(CASE event_type WHEN 'view' THEN n_in * 285e-9 + n * 2.4e-6 WHEN 'click' THEN n_in * 1e-6 + n * 4e-6 WHEN 'error' THEN n * 5e-6 END, 9) AS cost FROM g",
+    "q_text_patch_filters": """SELECT p_partkey, 1 - CASE WHEN p_partkey % 5 = 0 THEN 1 ELSE 0 END AS files, p_partkey % 3 + 1 AS hunks, (p_partkey % 3 + 1) * 2 AS lines, p_partkey % 5 = 0 AS other_files, p_partkey % 4 IN (1, 3) AS asserts, p_partkey % 6 IN (1, 2) AS import_error FROM part""",
+    "q_data_language": "SELECT doc_id, coalesce(lower(lang) IN ('en', 'de'), false) AS same FROM documents",
+    "q_data_take": "SELECT doc_id FROM documents ORDER BY CAST('0x' || substr(md5('take|' || doc_id), 1, 8) AS BIGINT), doc_id LIMIT 50",
     "q_text_keyword_grep": r"""WITH f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE role = 'user') WHERE n = 1),
 w AS (SELECT conv_id, turn AS issue, unnest(list_distinct(list_filter(string_split_regex(lower(text), '[^\p{L}]+'), lambda x: length(x) >= 3))) AS keyword FROM f)
 SELECT w.conv_id, keyword, count(c.turn) AS n, min(c.turn) AS first_turn FROM w LEFT JOIN conversations c ON c.conv_id = w.conv_id AND c.turn != issue AND coalesce(role, '') != 'system' AND contains(lower(text), keyword) GROUP BY 1, 2""",

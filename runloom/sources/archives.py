@@ -166,10 +166,28 @@ def status(sample: DataFrame) -> Column:
     return F.when(~F.col("has_report"), "unknown").when(F.coalesce(F.size(F.map_keys(ev)), F.lit(0)) > 0, by_instance).when(F.col("report").isNotNull(), old).otherwise("unknown")
 
 
-def outcome(sample: DataFrame) -> Column:
-    """The four-way outcome: as status, but error where nothing is reported, and no empty: an empty patch is unresolved."""
-    s = status(sample)
-    return F.when(s == "unknown", "error").when(s == "empty", "unresolved").otherwise(s)
+def outcomes(files: DataFrame) -> DataFrame:
+    """(sample, outcome) by the other convention: resolved, unresolved, empty or error; a sample without reports is an error.
+
+    The first counting report by name, any but report.json, tells by its counts; without one
+    the first entry of report.json does.
+    """
+    own = F.col("path") == F.concat(F.lit("report/"), F.col("member"))
+    json = own & F.endswith("member", F.lit(".json"))
+    counting = json & (F.col("member") != "report.json")
+    g = files.groupBy("sample").agg(F.min_by("content", F.when(counting, F.col("path"))).alias("c"), F.max(F.when(counting, 1)).alias("has"), F.max(F.when(json & (F.col("member") == "report.json"), F.col("content"))).alias("r"))
+    n = lambda k: F.coalesce(F.get_json_object("c", f"$.{k}").try_cast("int"), F.lit(0)) > 0
+    counts = F.when(n("resolved_instances"), "resolved").when(n("error_instances"), "error").when(n("empty_patch_instances"), "empty").otherwise("unresolved")
+    entry = F.try_element_at(F.map_values(F.from_json("r", "map<string,string>")), F.lit(1))
+    flag = lambda k, default: F.coalesce(F.get_json_object(entry, f"$.{k}"), F.lit(default)) == "true"
+    one = F.when(~F.coalesce(entry.rlike(r"^\s*\{"), F.lit(False)), "error").when(flag("patch_is_None", "false") | ~flag("patch_exists", "true"), "empty").when(~flag("patch_successfully_applied", "true"), "error").when(flag("resolved", "false"), "resolved").otherwise("unresolved")
+    return g.select("sample", F.when(F.col("has") == 1, counts).otherwise(one).alias("outcome"))
+
+
+def group_key(results: Column, folder: Column) -> Column:
+    """The id that results by instance name first; without one the first half of a folder's name, which holds it twice."""
+    parts = F.split(folder, "_")
+    return F.coalesce(F.try_element_at(F.json_object_keys(results), F.lit(1)), F.array_join(F.slice(parts, 1, F.floor(F.size(parts) / 2).cast("int")), "_"))
 
 
 def records(samples: DataFrame, run_type: str) -> DataFrame:

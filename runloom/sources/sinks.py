@@ -29,3 +29,10 @@ def spt_log(entries: DataFrame, sample: str, order: str) -> DataFrame:
 
 def exit_statuses(runs: DataFrame, status: str, key: str) -> DataFrame:
     return runs.groupBy(status).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(key)).alias("ids")).orderBy(F.desc("n"), status)
+
+
+def write_cases(cases: DataFrame, path: str, key: str, index: list[str]) -> None:
+    """Each case as JSON in a folder of its own below path/cases, and the columns of the index as one table."""
+    df = written(cases, "cases")
+    df.withColumn("_key", F.col(key)).write.mode("overwrite").partitionBy("_key").json(f"{path}/cases")
+    write_report(df.select(key, *index).orderBy(key), f"{path}/index")

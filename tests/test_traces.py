@@ -186,8 +186,9 @@ def test_run_records(spark, tmp_path):
     assert (c.steps, c.exit_status, c.reasoning_tokens, c.output_tokens) == (2, "ok", 7, 100) and abs(c.cost - (1000 * 0.285 + 100 * 2.4) / 1e6) < 1e-12
     assert (e.spt, e.spt_types, e.spt_entry_count, e.steps, e.exit_status) == ({"x": 1}, "x", 2, 0, "unknown")
     assert {r.source_dir for r in got.values()} == set(samples) and {r.run_type for r in got.values()} == {"mutant"}
-    s = archives.assembled(archives.load(spark, str(tmp_path / "w")))
-    assert {r.sample_id: r.o for r in s.withColumn("o", archives.outcome(s)).collect()}["e"] == "error"
+    o = {r["sample"][-1]: r.outcome for r in archives.outcomes(archives.load(spark, str(tmp_path / "w"))).collect()}
+    assert o == {"a": "unresolved", "b": "unresolved", "c": "unresolved", "d": "empty", "e": "error", "f": "unresolved", "g": "error"}
+    assert one(spark, archives.group_key(F.col("c"), F.lit("a__b_1_a__b_1")), c='{"k": true}') == "k" and one(spark, archives.group_key(F.lit(None).cast("string"), F.col("c")), c="a__b_1_a__b_1") == "a__b_1"
     for log, want in (("[]", (True, 0, None)), ("[1]", (True, 1, True)), (None, (False, None, None)), ("x", (False, None, None))):
         assert tuple(one(spark, archives.spt_metadata(F.col("c").cast("string")), c=log)) == want, log
 
@@ -271,11 +272,32 @@ def test_streaming_equals_batch(spark, tmp_path):
     assert sorted(r.id for r in spark.read.parquet(target).collect()) == list(range(7))
 
 
+def test_samples_are_flushed_as_they_end(spark, tmp_path):
+    schema = "sample string, member string, content string, ts timestamp"
+    batches = [[("a", "x", "11", 100), ("b", "x", "1", 100)], [("a", "end", "111", 101), ("c", "end", "", 101)], [("d", "x", "1", 3700)], [("e", "x", "1", 7300)]]
+    src = str(tmp_path / "in")
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, "sample string, member string, content string, s long").select("sample", "member", "content", F.timestamp_seconds("s").alias("ts")).coalesce(1).write.parquet(f"{src}/{i}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(src)
+    target = str(tmp_path / "out")
+    q = S.flush_samples(stream, "ts", "end").writeStream.outputMode("append").foreachBatch(lambda b, i: S.append_batch(b, i, target)).option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.stop()
+    got = {r["sample"]: (r.n, r.bytes, r.complete) for r in spark.read.parquet(target).collect()}
+    assert got["a"] == (2, 5, True) and got["c"] == (1, 0, True) and got["b"] == (1, 1, False)
+    S.append_batch(spark.read.parquet(target + "/batch=1"), 99, target)
+    n = spark.read.parquet(target).count()
+    S.append_batch(spark.read.parquet(target + "/batch=1"), 99, target)
+    assert spark.read.parquet(target).count() == n
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("a", 1, "x", "f"), ("a", 2, "y", "g")], "sample string, at int, transformation string, file string")
     assert json.loads(sinks.spt_log(df, "sample", "at").first().spt_log)[1] == {"order": 2, "transformation": "y", "file": "g"}
     sinks.write_report(df, str(tmp_path / "r"))
     assert spark.read.csv(str(tmp_path / "r"), header=True).count() == 2
+    sinks.write_cases(df, str(tmp_path / "cases"), "at", ["transformation"])
+    assert spark.read.csv(str(tmp_path / "cases/index"), header=True).count() == 2 and spark.read.json(str(tmp_path / "cases/cases/_key=1")).first().transformation == "x"
     up = archives.upsert(df.select("sample", "at"), spark.createDataFrame([("a", 9), ("b", 1)], "sample string, at int"), "sample")
     assert sorted(map(tuple, up.collect())) == [("a", 9), ("b", 1)]
     (tmp_path / "p.json").write_text('{"i": {"instance_id": "i", "model_patch": "d"}}')
