@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runloom.session import shared_dir, written  # noqa: F401
+from runloom.session import written  # noqa: F401
 
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 

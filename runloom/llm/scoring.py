@@ -112,6 +112,18 @@ def _scored(head):
     return run
 
 
+def _most_frequent(weighed: DataFrame, head: int) -> DataFrame:
+    """At most `head` of the most frequent words: those above a frequency that counts by its logarithm give, so no task sees all tasks' words."""
+    step = F.floor(F.log2("n") * 64)
+    left, least = head, None
+    for r in sorted(weighed.groupBy(step.alias("k")).count().collect(), key=lambda r: -r["k"]):  # 4,096 rows at most
+        left -= r["count"]
+        if left < 0:
+            break
+        least = r["k"]
+    return weighed.where(step >= least) if least is not None else weighed.limit(0)
+
+
 def lm_scores(docs: DataFrame, held_out, *, key: str = "doc_id", text: str = "text", vocabulary: str = PATH, head: int = HEAD) -> DataFrame:
     """One row for each document: key, held_out, n_tokens, n_known, train_tokens, base_score, score, pieces_score.
 
@@ -125,8 +137,8 @@ def lm_scores(docs: DataFrame, held_out, *, key: str = "doc_id", text: str = "te
     vocabulary's scores alone. base_score is the additively smoothed unigram score.
 
     Each distinct word goes through the lattice once, one forward pass in log space. Counts
-    are of all documents and are never cut off: the `head` most frequent words are broadcast,
-    which bounds that by a number of words, and all others are joined.
+    are of all documents and are never cut off: up to `head` of the most frequent words are
+    broadcast, which bounds that by a number of words, and all others are joined.
 
     A null text is empty; an empty text is an end. A null key is scored like any other.
     Repeated rows are scored each by itself. An empty table gives no rows; without training
@@ -145,7 +157,7 @@ def lm_scores(docs: DataFrame, held_out, *, key: str = "doc_id", text: str = "te
     model = spark.sparkContext.broadcast(WordLattice(load(vocabulary)))
     weighed = counts.where(~is_end).mapInArrow(_weighed(model, float(t.n - t.ends), float(t.words), discount), "word binary, c long, n long, lp double, lv double")
     weighed = written(weighed, "weighed")
-    top = weighed.orderBy(F.desc("n"), "word").limit(head).select("word", "c", "lp", "lv").toArrow()
+    top = _most_frequent(weighed, head).select("word", "c", "lp", "lv").toArrow()
     top = spark.sparkContext.broadcast((top.column("word").to_pylist(), *(np.asarray(top.column(k), dtype=float) for k in ("c", "lp", "lv"))))
     stop = t.ends / t.n if t.words else 0.5
     parts = rows.select(F.monotonically_increasing_id().alias("row"), "id", "out", "text").mapInArrow(_scored(top), _ROWS)

@@ -67,6 +67,22 @@ def test_sharding(spark, docs):
     assert sharding.assign_shards(empty(spark)).count() == 0 and sharding.assign_shards(with_null_key(spark, docs)).count() == n + 2
 
 
+def test_sharding_against_a_plain_sort(spark, docs):
+    rows = docs.select("doc_id", "source", F.coalesce("text", F.lit("")).cast("binary").alias("b")).select("doc_id", "source", F.crc32("b").alias("crc"), (F.octet_length("b") + 1).cast("long").alias("size"))
+    rows = rows.withColumn("h", F.xxhash64(F.lit(17), "doc_id", "crc", "size")).collect()
+    by = defaultdict(list)
+    for r in rows:
+        by[f"={r.source}" if r.source is not None else "null"].append(((r.h % (1 << 64)) >> 32, r.h, r.doc_id, r.crc, r["size"]))
+    placed = [((i + 0.5) / len(own), stratum, x) for stratum, own in by.items() for i, x in enumerate(sorted(own))]
+    n, want, seen = len(placed), {}, Counter()
+    for i, (_, _, x) in enumerate(sorted(placed)):
+        shard = i * 8 // n
+        want[x[2]] = (shard, seen[shard])
+        seen[shard] += 1
+    for rows_in in (50_000, 3):  # one bucket, and many
+        assert {r.doc_id: (r.shard, r.slot) for r in sharding.assign_shards(docs, bucket_rows=rows_in).collect()} == want
+
+
 def test_scores_against_counts(spark, docs):
     out = scoring.crc_fold("doc_id", 5) == 1
     got = {r.doc_id: r for r in scoring.lm_scores(docs, out, head=16).collect()}
@@ -468,3 +484,23 @@ def test_pipeline(spark, docs, tmp_path):
     assert set(texts(stages[2])) == set(texts(stages[1])) and set(texts(stages[3])) < set(texts(stages[2]))
     c = pieces.Codec(load())
     assert {r.doc_id: c.decode(bytes(r.ids)).decode() for r in stages[4].collect()} == texts(stages[3])
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Null keys, repeated rows, clashing names; and tables without rows."""
+    passage = prose(30)
+    rows = [(i, prose(40) + " " + passage, "en", None, None) for i in range(6)] + [(None, prose(35), None, None, None)] * 2 + [(3, "again another text of the same key, by itself", "en", "s", 1)] * 2 + [(20, None, "en", "s", 1), (21, "", None, None, None), (22, "12 34", "en", "s", 2)]
+    own = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit("clash") for c in ("id", "kept", "words", "_text", "ids", "runs")})
+    own.write.parquet(str(tmp_path / "odd/documents.parquet"))
+    spark.createDataFrame([(1, "the same key, by itself"), (None, None)], "item_id long, text string").write.parquet(str(tmp_path / "odd/benchmark.parquet"))
+    at, got = spark.read.parquet(str(tmp_path / "odd/documents.parquet")), []
+    for name, f in corpus_pipeline.STAGES:
+        at = corpus_pipeline.written(f(spark, at, str(tmp_path / "odd")), name)
+        got.append(Counter(r.doc_id for r in at.select("doc_id").collect()))
+    keys = Counter({**dict.fromkeys(range(6), 1), None: 2, 3: 3})
+    assert got[0] == got[1] == got[2] == keys
+    del keys[3]  # contaminated: goes with all its rows
+    assert got[3] == got[4] == keys
+    spark.read.parquet(str(tmp_path / "odd/documents.parquet")).limit(0).write.parquet(str(tmp_path / "none/documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "none/benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
