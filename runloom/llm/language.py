@@ -111,7 +111,7 @@ def _predicted(model, drop: int):
     return run
 
 
-def labelled_sample(rows: DataFrame, *, docs: int = 64, chars: int = 700, all_chars: int = 180_000, labels: int = 1000) -> dict[str, str]:
+def labelled_sample(rows: DataFrame, *, docs: int = 48, chars: int = 400, all_chars: int = 60_000, labels: int = 1000) -> dict[str, str]:
     """A bounded sample of rows (id, text, lang) as normalised text by language.
 
     Of each language the documents with the least hashes of their ids are taken, `docs` at
