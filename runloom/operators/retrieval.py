@@ -16,19 +16,41 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     return t.groupBy(key, "size", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, *, key: str, text: str, query: str, query_text: str, k: int = 20, k1: float = 0.9, b: float = 0.4) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, *, key: str, text: str, query: str, query_text: str, k: int = 20, k1: float = 0.9, b: float = 0.4, often: float = 0.05) -> DataFrame:
     """The k best documents of each query: query, key, score, rank; ties by key.
 
-    k1 and b are 0.9 and 0.4. The corpus is cut to the queries' terms before it is grouped.
+    k1 and b are 0.9 and 0.4. The corpus is cut to the queries' terms, and these postings are
+    written once. A term that more than the share `often` of all documents have isn't scored
+    for all of them: the kth best score by a query's rarer terms is a bound that the k best
+    must reach, and a document that has only such common terms as can't reach it together (a
+    term adds less than its idf) is never made. So common terms are added to the documents
+    that other terms admit and that can still get in, and the result is that of scoring all.
     """
+    from runloom.session import written
+
     q = queries.select(F.col(query), F.explode(F.array_distinct(terms(F.col(query_text)))).alias("term"))
     n = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(terms(F.coalesce(F.col(text), F.lit(""))))).alias("avgdl"))
-    p = postings(docs, key, text).join(q.select("term").distinct(), "term", "left_semi")
-    df = p.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    w = df.join(F.broadcast(n)).select("term", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    s = p.join(w, "term").select("term", key, (F.col("idf") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("avgdl")))).alias("s"))
-    g = s.join(q, "term").groupBy(query, key).agg(F.sum("s").alias("score")).withColumn("score", F.round("score", 9))
-    return g.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), key))).where(F.col("rank") <= k)
+    p = written(postings(docs, key, text).join(q.select("term").distinct(), "term", "left_semi"), "postings")
+    df = p.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n))
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    w = written(df.select("term", "avgdl", idf.alias("idf"), (F.col("df") > F.greatest(F.lit(k), F.col("n") * often)).alias("common")), "weights")
+    weight = F.col("idf") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("avgdl")))
+    of = q.join(w, "term")
+
+    def scores(own: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+        j = p.join(own, "term") if pairs is None else pairs.select(query, key).join(own, query).join(p, [key, "term"])
+        return j.groupBy(query, key).agg(F.sum(weight).alias("score"))
+
+    top = Window.partitionBy(query).orderBy(F.desc("score"), key)
+    kth = scores(of.where("NOT common")).withColumn("rank", F.row_number().over(top)).where(F.col("rank") == k).select(query, (F.col("score") - 1e-8).alias("bound"))
+    c = of.where("common").join(kth, query, "left").withColumn("sum", F.sum("idf").over(Window.partitionBy(query).orderBy("idf", "term")))
+    c = written(c.withColumn("late", F.coalesce(F.col("sum") < F.col("bound"), F.lit(False))), "common")
+    first = scores(of.where("NOT common").unionByName(c.where("NOT late").select(*of.columns)))
+    late = c.where("late").groupBy(query).agg(F.max("sum").alias("more"), F.max("bound").alias("bound"))
+    first = written(first.join(late, query, "left").where("more IS NULL OR score + more >= bound").select(query, key, "score"), "first")
+    more = scores(c.where("late").select(*of.columns), first).withColumnRenamed("score", "more")
+    g = first.join(more, [query, key], "left").withColumn("score", F.round(F.col("score") + F.coalesce("more", F.lit(0.0)), 9)).drop("more")
+    return g.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k)
 
 
 def recall(gold: DataFrame, hits: DataFrame, query: str, key: str) -> DataFrame:

@@ -245,6 +245,31 @@ def test_shared_folder_is_asked_for_on_a_cluster(spark):
     assert session.shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *_: "s3://b/c"), sparkContext=None)) == "s3://b/c"
 
 
+def test_bm25_with_common_terms_is_that_of_all_scores(spark):
+    import math
+    import random
+
+    rng = random.Random(4)
+    docs = [(i, " ".join(rng.choice(["the", "of", "and", *(f"w{j}" for j in range(30))] if rng.random() < 0.6 else ["the", "of"]) for _ in range(rng.randint(1, 25)))) for i in range(300)] + [(900, None), (901, "")]
+    queries = [(1, "the w1 w2 w3"), (2, "the of and"), (3, "w5"), (4, "nowhere"), (5, "the of w7 w7")]
+    d, q = spark.createDataFrame(docs, "id long, text string"), spark.createDataFrame(queries, "q long, qt string")
+    toks = {i: (t or "").split() for i, t in docs}
+    avg = sum(map(len, toks.values())) / len(toks)
+    want = {}
+    for i, t in queries:
+        s = {}
+        for term in set(t.split()):
+            df = sum(term in x for x in toks.values())
+            for k, x in toks.items():
+                if term in x:
+                    tf = x.count(term)
+                    s[k] = s.get(k, 0) + math.log(1 + (len(toks) - df + 0.5) / (df + 0.5)) * tf / (tf + 0.9 * (0.6 + 0.4 * len(x) / avg))
+        want |= {(i, r + 1): (k, round(v, 9)) for r, (k, v) in enumerate(sorted(s.items(), key=lambda y: (-round(y[1], 9), y[0]))[:5])}
+    for often in (0.05, 0.3, 2.0):
+        got = {(r.q, r["rank"]): (r.id, r.score) for r in retrieval.bm25(d, q, key="id", text="text", query="q", query_text="qt", k=5, often=often).collect()}
+        assert set(got) == set(want) and all(got[x][0] == want[x][0] and abs(got[x][1] - want[x][1]) < 2e-9 for x in got)
+
+
 def test_closure_of_cycles_and_recall(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "a")], "src string, dst string")
     got = {tuple(r) for r in retrieval.closure(e).collect()}
