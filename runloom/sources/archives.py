@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import fnmatch
 import io
 import posixpath
 import tarfile
@@ -234,6 +235,34 @@ def dataset(spark: SparkSession, path: str, ids: DataFrame | None = None) -> Dat
     return df.join(ids.select(F.col("id").alias("instance_id")), "instance_id", "left_semi")
 
 
+def python_files(files: DataFrame, folders: tuple[str, ...] = (), names: tuple[str, ...] = (), patterns: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(Python files that aren't excluded, one row of counts) of files (path): by a folder's name anywhere above, by base name, or by a shell pattern over the path."""
+    parts, none = F.split("path", "/"), F.lit(False)
+    words = lambda w: F.array(*[F.lit(x) for x in w]).cast("array<string>")
+    by_folder = F.arrays_overlap(F.slice(parts, 1, F.size(parts) - 1), words(folders)) if folders else none
+    by_name = F.element_at(parts, -1).isin(*names) if names else none
+    by_pattern = none
+    for p in patterns:
+        by_pattern = by_pattern | F.col("path").rlike("^" + fnmatch.translate(p).replace(r"\Z", r"\z"))
+    py = F.endswith("path", F.lit(".py"))
+    kept = py & ~(by_folder | by_name | by_pattern)
+    n = lambda c, name: F.count_if(c).alias(name)
+    return files.where(kept), files.agg(n(py, "found"), n(py & by_folder, "by_folder"), n(py & by_name, "by_name"), n(py & by_pattern, "by_pattern"), n(kept, "kept"))
+
+
+def code_files(files: DataFrame) -> DataFrame:
+    """Files whose paths have no word of tests."""
+    from runloom.functions.text import is_test_path
+
+    return files.where(~is_test_path(F.col("path")))
+
+
+def gathered_patches(files: DataFrame, ending: str = r"\.(pred|json|patch|diff)$") -> DataFrame:
+    """(sample, patch) of each sample's first matching file by path: the patch of a JSON prediction, else the whole text."""
+    f = files.where(F.col("path").rlike(ending)).groupBy("sample").agg(F.min_by("content", "path").alias("c"))
+    return f.select("sample", F.coalesce(F.get_json_object("c", "$.model_patch"), F.get_json_object("c", "$.patch"), F.col("c")).alias("patch"))
+
+
 def frame(spark: SparkSession, path: str) -> DataFrame:
     """A CSV with a header, or lines of JSON, with empty text for null."""
     df = spark.read.json(path) if path.endswith(".jsonl") else spark.read.csv(path, header=True, multiLine=True, escape='"')

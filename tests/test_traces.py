@@ -211,6 +211,26 @@ def test_loading_of_datasets(spark, tmp_path):
     assert [r.instance_id for r in archives.without(d, ids("a").withColumnRenamed("id", "instance_id"), "instance_id").collect()] == ["b"]
 
 
+def test_files_of_projects(spark):
+    paths = ["a.py", "src/b.py", "src/gen/c.py", "tests/test_d.py", "setup.py", "e.txt", "src/x_pb2.py"]
+    f = spark.createDataFrame([(p,) for p in paths], "path string")
+    kept, n = archives.python_files(f, ("gen",), ("setup.py",), ("*_pb2.py",))
+    assert sorted(r.path for r in kept.collect()) == ["a.py", "src/b.py", "tests/test_d.py"] and tuple(n.first()) == (6, 1, 1, 1, 3)
+    assert archives.python_files(f)[0].count() == 6 and sorted(r.path for r in archives.code_files(kept).collect()) == ["a.py", "src/b.py"]
+    g = spark.createDataFrame([("s", "b.pred", '{"model_patch": "p"}'), ("s", "c.json", "{}"), ("t", "x.patch", "raw"), ("u", "n.txt", "no")], "sample string, path string, content string")
+    assert {(r["sample"], r.patch) for r in archives.gathered_patches(g).collect()} == {("s", "p"), ("t", "raw")}
+
+
+def test_options():
+    from runloom.options import COMPARISON, with_defaults
+
+    got = with_defaults({"report": {"draws": 5}}, COMPARISON)
+    assert got["report"] == {"min_baseline": 1, "draws": 5, "seed": 0} and got["sampling"] == COMPARISON["sampling"] and with_defaults(None, COMPARISON) == COMPARISON
+    for bad, error in (({"none": 1}, KeyError), ({"report": {"x": 1}}, KeyError), ({"report": {"draws": "many"}}, TypeError)):
+        with pytest.raises(error):
+            with_defaults(bad, COMPARISON)
+
+
 def test_results_stay_with_their_root(spark):
     c = spark.createDataFrame([("ra", "p__q-1", "ra/x.traj.json"), ("rb", "p__q-2", "rb/x.traj.json"), ("rc", "z", "rc/x")], "root string, case_id string, path string")
     r = spark.createDataFrame([("rb", "p__q-2", "rb/result.json", True, True, True), ("rc", "m", "rc/1.json", True, False, False), ("rc", "n", "rc/2.json", True, False, False)], "root string, record_id string, path string, resolved boolean, has_tests boolean, has_patch boolean")
