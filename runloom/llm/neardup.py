@@ -213,6 +213,14 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     pairs, buckets = candidates(reps, percent)
     pairs = written_small(pairs, 8 * n, "pairs")
     links = confirmed(pairs)
+    # a key with several texts is one document: its texts' classes are linked
+    text_of = F.struct("f1", "f2")
+    several = sketch.where("n > 0 AND id IS NOT NULL").groupBy("id").agg(F.min(text_of).alias("a"), F.max(text_of).alias("b")).where("a != b").select("id")
+    several = written_small(several, n, "several")
+    if not several.isEmpty():
+        own = sketch.where("n > 0").join(several, "id", "left_semi").join(classes, ["f1", "f2"]).select("id", "rep")
+        own = own.join(own.groupBy("id").agg(F.min("rep").alias("a")), "id").where("a != rep").select("a", F.col("rep").alias("b")).distinct()
+        links = links.union(written_small(own, n, "same-key"))
     least = components(links)
     rest = rest_of_buckets(buckets, least, sets_of, confirmed, percent)
     if rest is not None:
