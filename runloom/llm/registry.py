@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from runloom.llm import chat, decontaminate, language, media, neardup, pieces, scoring, sharding, substring, url_filter
+from runloom.llm import chat, decontaminate, language, media, neardup, pages, pieces, repair, scoring, sharding, substring, url_filter, whitening
 
 
 def queries() -> dict:
@@ -18,6 +18,9 @@ def queries() -> dict:
         "op8_sentencepiece": pieces.op8_sentencepiece,
         "op9_substring_dedup": substring.op9_substring_dedup,
         "op10_media_columns": media.op10_media_columns,
+        "op11_conversation_repair": repair.op11_conversation_repair,
+        "op12_html_extraction": pages.op12_html_extraction,
+        "op13_embedding_whitening": whitening.op13_embedding_whitening,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -28,4 +31,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_url_filters": url_filter.OP5_SQL,
         "op7_chat_formatting": chat.OP7_SQL,
         "op9_substring_dedup": substring.OP9_SQL,
+        "op11_conversation_repair": repair.OP11_SQL,
+        "op12_html_extraction": pages.OP12_SQL,
     }
