@@ -100,6 +100,23 @@ def candidates(reps: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, Data
     return pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct(), buckets
 
 
+def side(t: DataFrame, i: int, on: list[str]) -> DataFrame:
+    """t with a number behind the names of all columns but `on`."""
+    return t.select(*on, *[F.col(c).alias(f"{c}{i}") for c in t.columns if c not in on])
+
+
+def across(members: DataFrame, on: list[str], rows: int) -> DataFrame:
+    """All pairs of members (columns on, comp and others) that agree in `on` and differ in comp, each once, from 0 and 1 of its columns.
+
+    Pairs of components are made first, and members put to them, so no pair within a
+    component is ever made: a settled group of any size beside a few others costs what its
+    pairs with these do.
+    """
+    comps = written_small(members.select(*on, "comp").distinct(), rows, "components")
+    two = side(comps, 0, on).join(side(comps, 1, on), on).where("comp0 < comp1")
+    return two.join(side(members, 0, on), [*on, "comp0"]).join(side(members, 1, on), [*on, "comp1"])
+
+
 def rest_of_buckets(buckets: DataFrame, least: DataFrame, sets_of, confirmed, percent: int = PERCENT) -> DataFrame | None:
     """The links (a, b) that the hubs' links leave out within the buckets, given the components of those; None if no bucket is open.
 
@@ -138,10 +155,9 @@ def rest_of_buckets(buckets: DataFrame, least: DataFrame, sets_of, confirmed, pe
     size = members.groupBy("hub", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("hub").agg(*sums)
     size = broadcast_if_small(written_small(size, n, "sizes"))
     close = lambda: 100 * F.least("n0", "n1") >= percent * F.greatest("n0", "n1")
-    side = lambda t, i, on: t.select(*on, *[F.col(c).alias(f"{c}{i}") for c in t.columns if c not in on])
     few = members.join(size.where(F.col("cross") <= FEW * F.col("all")), "hub").select("hub", "id", "n", "comp")
-    pairs = side(few, 0, ["hub"]).join(side(few, 1, ["hub"]), "hub").where((F.col("id0") < F.col("id1")) & (F.col("comp0") != F.col("comp1")) & close())
-    links = confirmed(written_small(pairs.select(F.col("id0").alias("a"), F.col("id1").alias("b")).distinct(), FEW * n, "few"))
+    pairs = across(few, ["hub"], n).where(close())
+    links = confirmed(written_small(pairs.select(F.least("id0", "id1").alias("a"), F.greatest("id0", "id1").alias("b")).distinct(), FEW * n, "few"))
     many = members.join(size.where(F.col("cross") > FEW * F.col("all")), "hub").select("hub", "id", "n", "comp")
     many = written_small(many, n, "many")
     if many.isEmpty():
@@ -165,7 +181,7 @@ def rest_of_buckets(buckets: DataFrame, least: DataFrame, sets_of, confirmed, pe
     first = first.select("hub", "node", "comp", "n", "w", "all", "s", (F.col("k") - F.col("at")).alias("left")).join(least_w.select("hub", "g"), "hub")
     first = written(first, "prefixes")
     on = ["hub", "s"]
-    met = side(first, 0, on).join(side(first, 1, on), on).where((F.col("node0") < F.col("node1")) & (F.col("comp0") != F.col("comp1")) & (F.greatest("w0", "w1") > 0) & close())
+    met = across(first, on, first.count()).where((F.greatest("w0", "w1") > 0) & close())
     # of several shared elements the first makes the pair; what is left from there on must be enough
     met = met.where((F.element_at(F.array_intersect("all0", "all1"), 1) == F.col("s")) & ((100 + percent) * F.least("left0", "left1") >= F.col("w0") + F.col("w1") + F.col("g0")))
     met = written(met.select("hub", "node0", "node1"), "met")
