@@ -84,7 +84,7 @@ def contamination(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", tex
     hits = found.select("_key", "_h", start.alias("_start"), "_size", "items").groupBy("_key", "_h").agg(F.collect_set(F.struct("_start", "_size")).alias("_hits"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("_items"))
     covered = F.array_distinct(F.flatten(F.transform("_hits", lambda c: F.sequence(c["_start"], c["_start"] + c["_size"] - 1))))
     hits = hits.select(F.col("_key").alias("_k2"), F.col("_h").alias("_h2"), F.size(covered).cast("long").alias("_n_hit"), F.array_sort("_items").alias("_items"))
-    out = docs.select(*ids, F.coalesce(F.size(_split(F.col(text))), F.lit(0)).cast("long").alias("n_words"))
+    out = docs.select(*ids, F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(_split(F.col(text)))).cast("long").alias("n_words"))
     out = out.join(hits, F.col("_key").eqNullSafe(F.col("_k2")) & (F.col("_h") == F.col("_h2")), "left")
     out = out.select("_key", "n_words", F.coalesce("_n_hit", F.lit(0)).alias("n_hit"), F.coalesce("_items", F.array().cast("array<string>")).alias("items"))
     return out.select(F.col("_key").alias(key), "n_words", "n_hit", "items", ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
