@@ -21,10 +21,16 @@ CHATML = {
 
 
 def _openings(template: dict) -> list[str]:
-    """The first two characters of the template's control strings; what texts must not hold."""
-    out = sorted({template[k][:2] for k in ("start", "end")})
-    if any(len(x) < 2 or "\\" in x for x in out) or (template["end"] + "\n").startswith(template["start"][1:]):
-        raise ValueError("a template's marks need two characters, no backslash there, and an end that can't complete a start")
+    """The first two characters of the template's control strings; what texts must not hold.
+
+    What stands around a text must not make a mark with its beginning or end either. A header
+    ends in a line break, so no mark may have one in these characters; and a start must not
+    be made of a text's last character and what follows it, or stand in that by itself.
+    """
+    start, end = template["start"], template["end"]
+    out, after = sorted({start[:2], end[:2]}), f"{end}\n{start}"
+    if any(len(x) < 2 or "\\" in x or "\n" in x for x in out) or after.startswith(start[1:]) or after.index(start) != len(end) + 1:
+        raise ValueError("a template's marks need two characters, no backslash or line break there, and an end that can't complete a start")
     return out
 
 
@@ -71,8 +77,8 @@ def format_chats(df: DataFrame, template: dict = CHATML, *, conv: str = "conv_id
     are ordered by role, then text; an empty table gives no rows. A conversation is one output
     value, so its turns meet in one task. Other columns of df are not looked at.
 
-    Texts and roles are escaped so that they hold none of the template's marks, whatever these
-    are, and read_back() gives them back as they were.
+    Texts and roles are escaped so that they hold none of the template's marks, and read_back()
+    gives them back as they were. Templates with which that can't be done are an error.
     """
     turns = df.groupBy(F.col(conv).alias(conv)).agg(F.sort_array(F.collect_list(F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")))).alias("_turns"))
     moves = F.array(*[F.lit(f"{a}>{b}") for a, to in template["moves"].items() for b in to])
