@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from runloom.llm.base import held, small_batches, table, text_runs
@@ -111,28 +111,28 @@ def _predicted(model, drop: int):
     return run
 
 
-def labelled_sample(rows: DataFrame, *, docs: int = 48, chars: int = 400, all_chars: int = 60_000, labels: int = 1000) -> dict[str, str]:
+def labelled_sample(rows: DataFrame, *, docs: int = 48, chars: int = 400, all_chars: int = 60_000, lang_chars: int = 4_000, labels: int = 1000) -> dict[str, str]:
     """A bounded sample of rows (id, text, lang) as normalised text by language.
 
-    Of each language the documents with the least hashes of their ids are taken, `docs` at
-    most and `chars` characters of each; all languages together have `all_chars` characters
-    at most. Languages are the `labels` most frequent ones, ties by name: no other is ever
-    predicted.
+    Of each language the documents with the least hashes of id and text are taken, `docs` at
+    most, rows that agree in both once, and `chars` characters of each. A language has its
+    share of `all_chars` characters at most, or `lang_chars` if that is more, so many languages
+    don't starve each other: some 300 bytes of memory a character. Languages are the `labels`
+    most frequent ones, ties by name: no other is ever predicted. So at most docs * labels
+    rows of `chars` characters come to the driver.
     """
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(labels).collect()
-    if not counts:
-        return {}
-    rate = F.lit(0.0)
-    for r in counts:
-        rate = F.when(F.col("lang") == r["lang"], min(1.0, 3 * docs / r["count"])).otherwise(rate)
-    h = F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(1 << 30))
-    some = rows.select("lang", F.substring("text", 1, chars).alias("text"), h.alias("h"), rate.alias("rate")).where(F.col("h") < F.col("rate") * (1 << 30))
-    some = some.orderBy("h", "lang", "text").limit(8 * docs * len(counts)).collect()
-    out: dict[str, list[str]] = {r["lang"]: [] for r in counts}
+    h = F.xxhash64(F.lit(5), "id", "text")
+    some = rows.select("lang", F.substring("text", 1, chars).alias("text"), h.alias("h"))
+    known = some.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("h").alias("d")).orderBy(F.desc("n"), "lang").limit(labels)
+    # by rate three times as many rows as are needed, so that few are ranked
+    rates = known.select("lang", F.least(F.lit(1.0), 3.0 * docs / F.greatest("d", F.lit(1))).alias("rate"))
+    some = some.join(F.broadcast(rates), "lang").where(F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < F.col("rate") * (1 << 30))
+    some = some.groupBy("lang", "h").agg(F.min("text").alias("text"))
+    some = some.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("at") <= docs).orderBy("lang", "at").select("lang", "text").collect()
+    out: dict[str, list[str]] = {}
     for r in some:
-        if len(out[r["lang"]]) < docs:
-            out[r["lang"]].append(" ".join(_WORDS.findall(r["text"].lower())))
-    share = all_chars // len(out)
+        out.setdefault(r["lang"], []).append(" ".join(_WORDS.findall(r["text"].lower())))
+    share = max(all_chars // len(out), lang_chars) if out else 0
     return {k: f" {' '.join(v)} "[:share] for k, v in out.items() if any(v)}
 
 

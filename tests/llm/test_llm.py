@@ -186,7 +186,7 @@ def test_language_of_whole_texts_by_brute_force(spark):
     vocab = {"en": "the thing and other words here", "de": "der und schöne andere wörter hier", "fr": "le chose et d'autres mots"}
     train = [(i * 10 + k, " ".join(random.choice(v.split()) for _ in range(15)), lang) for i in range(6) for k, (lang, v) in enumerate(vocab.items())]
     t = spark.createDataFrame(train, "id long, text string, lang string")
-    bounds = {"docs": 5, "chars": 60, "all_chars": 600}
+    bounds = {"docs": 5, "chars": 60, "all_chars": 600, "lang_chars": 0}
     samples = language.labelled_sample(t, **bounds)
     assert set(samples) == set(vocab) and all(len(x) <= 200 for x in samples.values()) and set(language.labelled_sample(t, labels=2)) == {"de", "en"}
 
@@ -385,7 +385,7 @@ def test_chat_marks_of_any_template(spark, start, end):
 
 
 def test_chat_templates_that_cannot_be_read_back():
-    for start, end in (("<", ">>"), ("ab", "bc"), ("\\[", "]]")):
+    for start, end in (("<", ">>"), ("ab", "bc"), ("\\[", "]]"), ("\n### ", "</e>"), ("a\nb", "</e>"), ("[[x", "\n]]"), ("[A]\n[", "[A]")):
         with pytest.raises(ValueError):
             chat._openings({"start": start, "end": end})
 

@@ -207,3 +207,50 @@ def test_page_rows(spark):
     got = sorted((tuple(r) for r in pages.extract(spark.createDataFrame(rows, kind)).collect()), key=str)
     assert got == sorted([(1, "u", "", 0), (None, None, "Null key.", 9), (2, "v", "Twice.", 6), (2, "v", "Twice.", 6)], key=str)
     assert pages.extract(spark.createDataFrame([], kind)).count() == 0
+
+
+@pytest.mark.parametrize("k", [20_000, 80_000])
+def test_a_settled_group_and_an_outsider_make_pairs_in_proportion(spark, k):
+    """One bucket of k documents in one component and one document of another: k open pairs, and no more are made."""
+    from runloom.llm import neardup
+
+    F = repair.F
+    buckets = spark.range(k + 1).select(F.lit(7).cast("long").alias("bucket"), "id", F.lit(100).cast("long").alias("n"), F.lit(k + 1).cast("long").alias("c"))
+    least = spark.range(k).select(F.col("id").alias("node"), F.lit(0).cast("long").alias("least"))
+    seen = []
+
+    def confirmed(pairs):
+        seen.append(pairs.count())
+        return pairs.where("a = 5")
+
+    got = neardup.rest_of_buckets(buckets, least, None, confirmed).collect()
+    assert seen == [k] and [(r["a"], r["b"]) for r in got] == [(5, k)]
+
+
+def test_language_sample_by_text_and_language(spark):
+    """Rows that share an id, null too, don't stand or fall together, and many languages have their share each."""
+    from runloom.llm import language
+
+    rows = [(None, f"the thing number {i} and more", "en") for i in range(1000)] + [(5, f"word {i}", "de") for i in range(300)] + [(i, f"le chose {i}", "fr") for i in range(20)] + [(7, "egal", "es")] * 500
+    got = language.labelled_sample(spark.createDataFrame(rows, "id long, text string, lang string").repartition(7))
+    assert set(got) == {"en", "de", "fr", "es"} and got["es"] == " egal " and len(got["en"]) > 400
+    draw = random.Random(1)
+    words = {f"l{k:03d}": ["".join(draw.choice("abcdefghij") for _ in range(5)) for _ in range(60)] for k in range(200)}
+    train = [(i, " ".join(draw.choices(v, k=12)), k) for k, v in words.items() for i in range(30)]
+    t = spark.createDataFrame(train, "id long, text string, lang string")
+    tests = [(i, " ".join(draw.choices(v, k=20)), k) for i, (k, v) in enumerate(words.items())]
+    out = {r["doc_id"]: r["lang_pred"] for r in language.detect(spark.createDataFrame(tests, "doc_id long, text string, lang string"), t).collect()}
+    assert sum(out[i] == k for i, _, k in tests) >= 198
+
+
+def test_contamination_of_null_texts_without_ansi(spark):
+    from runloom.llm import decontaminate
+
+    docs, items = spark.createDataFrame([(1, None), (2, "a b")], "doc_id long, text string"), spark.createDataFrame([(1, "b")], "item_id long, text string")
+    was = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        got = {r["doc_id"]: (r["n_words"], r["n_hit"]) for r in decontaminate.contamination(docs, items).collect()}
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", was)
+    assert got == {1: (0, 0), 2: (2, 1)}
