@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from runloom.operators import retrieval, validate
 from runloom.plans.tables import table
+from runloom.session import gone_at_exit, scratch
 from runloom.sources import archives, trajectories
 
 
@@ -91,8 +92,22 @@ def _closure(s, d):
     return retrieval.closure(p.select((F.col("p_partkey") % 97).alias("src"), (F.col("p_partkey") * 13 % 97).alias("dst")).where("src % 3 != 0"))
 
 
-QUERIES = {"q_sources_records": _records, "q_sources_outcomes": lambda s, d: archives.outcomes(files(s, d)), "q_sources_events": _events, "q_sources_match_results": _match, "q_validate_graph": _graph, "q_validate_evidence": _evidence, "q_retrieval_closure": _closure}
+def _archived(s, d):
+    """Turns of conversations as files of samples, packed as zip, tar and tar.gz files, and read back in ranges: files, characters and a digest of each sample."""
+    c = table(s, d, "conversations").select("conv_id", F.concat(F.lit("c__"), "conv_id").alias("sample"), F.concat(F.lit("run/turns/"), "turn", F.lit(".txt")).alias("path"), F.concat(F.coalesce("role", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit(""))).alias("content"))
+    at = scratch(s, "archives")
+    for i, kind in enumerate(("zip", "tar", "tar.gz")):
+        archives.pack(c.where(F.col("conv_id") % 3 == i), at, kind)
+    files = archives.archive(s, gone_at_exit(s, at), members=("*.txt",), partition_bytes=1 << 20)
+    each = F.sort_array(F.collect_list(F.struct("path", "content")))
+    out = files.groupBy("sample").agg(F.count(F.lit(1)).alias("n_files"), F.sum(F.length("content")).cast("long").alias("n_chars"), each.alias("x"))
+    return out.select("sample", "n_files", "n_chars", F.md5(F.array_join(F.transform("x", lambda f: F.concat(f["path"], F.lit("="), f["content"])), "|").cast("binary")).alias("digest"))
+
+
+QUERIES = {"q_sources_archive": _archived, "q_sources_records": _records, "q_sources_outcomes": lambda s, d: archives.outcomes(files(s, d)), "q_sources_events": _events, "q_sources_match_results": _match, "q_validate_graph": _graph, "q_validate_evidence": _evidence, "q_retrieval_closure": _closure}
 SQL = {
+    "q_sources_archive": """WITH c AS (SELECT 'c__' || conv_id AS sample, 'run/turns/' || turn || '.txt' AS path, coalesce(role, '') || chr(10) || coalesce(text, '') AS content FROM conversations)
+SELECT sample, count(*) AS n_files, CAST(sum(length(content)) AS BIGINT) AS n_chars, md5(string_agg(path || '=' || content, '|' ORDER BY path, content)) AS digest FROM c GROUP BY 1""",
     "q_sources_records": """WITH o AS (SELECT o_orderkey AS k, *, CAST(o_orderkey % 3 + 1 - CASE WHEN o_orderkey % 13 = 0 THEN 1 ELSE 0 END AS BIGINT) AS turns, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END AS pf FROM orders)
 SELECT 'o__c-' || o_custkey AS instance_id, CAST(k AS VARCHAR) AS sample_id,
   CASE WHEN k % 11 = 0 THEN 'unknown' WHEN o_orderstatus = 'F' THEN 'resolved' WHEN k % 5 = 0 THEN 'empty' WHEN k % 7 = 0 THEN 'error' WHEN k % 4 = 0 THEN 'empty' ELSE 'unresolved' END AS status,

@@ -42,16 +42,24 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/runloom-{name}-{uuid.uuid4().hex}"
+
+
+def gone_at_exit(spark: SparkSession, path: str) -> str:
+    """Has a folder deleted when the session ends."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """df, computed once, kept as Parquet in the shared folder and read again.
 
     This cuts lineage: a lost executor costs no recomputation of what stands before. The
     folder goes when the session ends.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/runloom-{name}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(gone_at_exit(df.sparkSession, path))

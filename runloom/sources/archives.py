@@ -1,27 +1,13 @@
-"""Run archives: folders, tar.gz and zip files as rows (sample, member, content), and what is read from them."""
+"""Run archives: folders, tar.gz and zip files as rows (sample, path, member, content), and what is read from them."""
 
 from __future__ import annotations
 
 import fnmatch
-import io
-import posixpath
-import tarfile
-import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: sample: the name of its folder; path: where a file lies below that; member: its base name.
-FILES = "sample string, path string, member string, content string"
-#: Rows of an archive go on in batches of about so many bytes.
-BATCH = 16 << 20
-
-
-def safe(name: str) -> bool:
-    """A path that stays below the archive's root."""
-    n = posixpath.normpath(name)
-    return not (n.startswith(("/", "..")) or n in (".", "") or "\\" in n)
-
+from runloom.sources import packed
 
 def sample_of(path: Column | str) -> Column:
     """The first component of a path that holds __, which names a sample; null without one."""
@@ -37,63 +23,28 @@ def directory(spark: SparkSession, path: str) -> DataFrame:
     return f.where("sample IS NOT NULL AND NOT loose").drop("loose")
 
 
-def _members(name: str, raw: bytes, prefix: str, unsafe: str):
-    def allowed(n: str) -> bool:
-        if safe(n) and ".." not in n.split("/"):
-            return True
-        if unsafe == "reject":
-            raise ValueError(f"unsafe path in {name}: {n}")
-        return False
-
-    if name.endswith(".zip"):
-        with zipfile.ZipFile(io.BytesIO(raw)) as z:
-            for n in sorted(z.namelist()):
-                if n.startswith(prefix) and not n.endswith("/") and allowed(n):
-                    yield n, z.read(n)
-    else:
-        with tarfile.open(fileobj=io.BytesIO(raw), mode="r|*") as t:  # one member after the other
-            for m in t:
-                if m.isfile() and m.name.startswith(prefix) and allowed(m.name):
-                    yield m.name, t.extractfile(m).read()
-
-
-def archive(spark: SparkSession, path: str, subpath: str = "", unsafe: str = "skip") -> DataFrame:
-    """Members of .tar.gz and .zip files below subpath: one archive is one task, as gzip can't be split.
-
-    An archive's bytes are in memory once (Spark reads it, so any store will do, up to 2 GB);
-    its members are unpacked one by one and go on in batches of a bounded size. Paths that
-    leave the archive are skipped, or with unsafe="reject" an error. A sample's members
-    needn't stand together: rows are grouped by sample later, so it is one record however it
-    was packed.
+def archive(spark: SparkSession, path: str, subpath: str = "", unsafe: str = "skip", members: tuple[str, ...] = (), partition_bytes: int = packed.PARTITION) -> DataFrame:
+    """Members of a .zip, .tar, .tar.gz or .tgz file, or of all in a folder, below subpath.
+
+    Zip and plain tar files are read in ranges by many tasks, compressed tar files as streams;
+    see the data source. members: patterns of base names, others aren't unpacked. Paths that
+    leave the archive are skipped, or with unsafe="reject" an error. A sample's members needn't
+    stand together: rows are grouped by sample later, so it is one record however it was packed.
     """
-    prefix = subpath.rstrip("/") + "/" if subpath else ""
-
-    def read(batches):
-        import pandas as pd
-
-        frame = lambda rows: pd.DataFrame(rows, columns=["sample", "path", "member", "content"])
-        for pdf in batches:
-            for name, raw in zip(pdf["path"], pdf["content"], strict=True):
-                rows, size = [], 0
-                for n, content in _members(name, raw, prefix, unsafe):
-                    parts = n.split("/")
-                    at = next((i for i, x in enumerate(parts[:-1]) if "__" in x), -1)
-                    if at < 0:
-                        continue
-                    rows.append((parts[at], "/".join(parts[at + 1 :]), parts[-1], content.decode("utf-8", "replace")))
-                    size += len(content)
-                    if size > BATCH:
-                        yield frame(rows)
-                        rows, size = [], 0
-                yield frame(rows)
-
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("path").rlike(r"\.(tar\.gz|tgz|tar|zip)$"))
-    return f.select("path", "content").mapInPandas(read, FILES)
-
-
-def load(spark: SparkSession, path: str, subpath: str = "") -> DataFrame:
-    """Folder or archive, by the name's ending."""
-    return archive(spark, path, subpath) if path.endswith((".zip", ".tar", ".tgz", ".tar.gz")) else directory(spark, f"{path}/{subpath}".rstrip("/"))
+    spark.dataSource.register(packed.RunArchives)
+    r = spark.read.format("run_archive").option("subpath", subpath).option("unsafe", unsafe).option("members", ",".join(members)).option("partitionBytes", partition_bytes)
+    return r.load(path)
+
+
+def pack(files: DataFrame, path: str, kind: str = "zip") -> None:
+    """Writes rows (sample, path, content) as archives below path, one for each partition: zip, tar or tar.gz."""
+    files.sparkSession.dataSource.register(packed.RunArchives)
+    files.select("sample", "path", "content").write.format("run_archive").option("kind", kind).mode("append").save(path)
+
+
+def load(spark: SparkSession, path: str, subpath: str = "", unsafe: str = "skip") -> DataFrame:
+    """Folder or archive, by the name's ending; unsafe as in archive()."""
+    return archive(spark, path, subpath, unsafe) if path.endswith(packed.ENDINGS) else directory(spark, f"{path}/{subpath}".rstrip("/"))
 
 
 def assembled(files: DataFrame) -> DataFrame:
