@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runloom.llm.base import WordHashes, broadcast_if_small, held, small_batches, table, text_runs, written, written_small
@@ -105,15 +105,17 @@ def side(t: DataFrame, i: int, on: list[str]) -> DataFrame:
     return t.select(*on, *[F.col(c).alias(f"{c}{i}") for c in t.columns if c not in on])
 
 
-def across(members: DataFrame, on: list[str], rows: int) -> DataFrame:
+def across(members: DataFrame, on: list[str], rows: int, bounds: dict[str, Column] | None = None, may: Column | None = None) -> DataFrame:
     """All pairs of members (columns on, comp and others) that agree in `on` and differ in comp, each once, from 0 and 1 of its columns.
 
     Pairs of components are made first, and members put to them, so no pair within a
     component is ever made: a settled group of any size beside a few others costs what its
-    pairs with these do.
+    pairs with these do. bounds are aggregates of a component's members; may says from those
+    of two components, numbered 0 and 1, whether a pair of theirs can count at all.
     """
-    comps = written_small(members.select(*on, "comp").distinct(), rows, "components")
-    two = side(comps, 0, on).join(side(comps, 1, on), on).where("comp0 < comp1")
+    comps = members.groupBy(*on, "comp").agg(*[c.alias(n) for n, c in (bounds or {"k": F.count(F.lit(1))}).items()])
+    comps = written_small(comps, rows, "components")
+    two = side(comps, 0, on).join(side(comps, 1, on), on).where(F.expr("comp0 < comp1") & (F.lit(True) if may is None else may)).select(*on, "comp0", "comp1")
     return two.join(side(members, 0, on), [*on, "comp0"]).join(side(members, 1, on), [*on, "comp1"])
 
 
@@ -181,9 +183,13 @@ def rest_of_buckets(buckets: DataFrame, least: DataFrame, sets_of, confirmed, pe
     first = first.select("hub", "node", "comp", "n", "w", "all", "s", (F.col("k") - F.col("at")).alias("left")).join(least_w.select("hub", "g"), "hub")
     first = written(first, "prefixes")
     on = ["hub", "s"]
-    met = across(first, on, first.count()).where((F.greatest("w0", "w1") > 0) & close())
+    shares = lambda a, b: F.element_at(F.array_intersect(a, b), 1) == F.col("s")
+    bounds = {"w": F.min("w"), "most": F.max("w"), "left": F.max("left"), "g": F.max("g"), "low": F.min("n"), "high": F.max("n"), "own": F.when(F.count(F.lit(1)) == 1, F.first("all"))}
+    may = (F.greatest("most0", "most1") > 0) & ((100 + percent) * F.least("left0", "left1") >= F.col("w0") + F.col("w1") + F.col("g0"))
+    may = may & (100 * F.col("high0") >= percent * F.col("low1")) & (100 * F.col("high1") >= percent * F.col("low0")) & F.coalesce(shares("own0", "own1"), F.lit(True))
+    met = across(first, on, first.count(), bounds, may).where((F.greatest("w0", "w1") > 0) & close())
     # of several shared elements the first makes the pair; what is left from there on must be enough
-    met = met.where((F.element_at(F.array_intersect("all0", "all1"), 1) == F.col("s")) & ((100 + percent) * F.least("left0", "left1") >= F.col("w0") + F.col("w1") + F.col("g0")))
+    met = met.where(shares("all0", "all1") & ((100 + percent) * F.least("left0", "left1") >= F.col("w0") + F.col("w1") + F.col("g0")))
     met = written(met.select("hub", "node0", "node1"), "met")
     own = d.select("hub", "node", "d", "w", "g")
     j = met.join(side(own, 0, ["hub"]), ["hub", "node0"]).join(side(own, 1, ["hub"]), ["hub", "node1"])
