@@ -280,16 +280,16 @@ def labelled(rows: DataFrame, text: str, patch: str) -> DataFrame:
 
 
 def document(path: Column, content: Column, style: str = "content") -> Column:
-    """A file as a retrieval document: its path and its text, its docstrings, or its symbols."""
+    """A file as a retrieval document: its path and its text, or by its syntax tree its docstrings or its symbols."""
+    from runloom.functions import syntax
+
     if style == "content":
-        body = content
-    elif style == "docstrings":
-        body = F.array_join(F.regexp_extract_all(content, F.lit('(?s)"""(.*?)"""'), F.lit(1)), "\n\n")
-    elif style == "symbols":
-        body = F.array_join(F.regexp_extract_all(content, F.lit(r"(?m)^[ \t]*((?:async def|def|class)\s+\w+[^\n:]*)"), F.lit(1)), "\n")
-    else:
-        raise ValueError(f"no such style: {style}")
-    return F.concat(path, F.lit("\n"), body)
+        return F.concat(path, F.lit("\n"), content)
+    if style == "docstrings":
+        return syntax.documentation(path, content, syntax.tree(content))
+    if style == "symbols":
+        return syntax.symbol_names(path, content, syntax.tree(content))
+    raise ValueError(f"no such style: {style}")
 
 
 def valid_text(raw: Column) -> Column:

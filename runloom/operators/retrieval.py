@@ -83,3 +83,23 @@ def closure(edges: DataFrame, src: str = "src", dst: str = "dst", most: int = 10
         if len(parts) > 8:  # few tables to read in each round
             parts = [written(known.unionByName(new), "closure")]
     raise ValueError(f"paths of more than {most} steps")
+
+
+def reached(edges: DataFrame, start: DataFrame, on: list[str], src: str = "src", dst: str = "dst", most: int = 10_000) -> DataFrame:
+    """(on, start, node): what can be reached from each start (columns on, start) over edges (columns on, src, dst), itself included.
+
+    Unlike closure() it goes on from the starts only. Each round looks at what the last one
+    found and drops what is known.
+    """
+    from runloom.session import written
+
+    e = written(edges.select(*on, F.col(src).alias("_via"), F.col(dst).alias("node")).distinct(), "edges")
+    new = written(start.select(*on, "start").distinct().withColumn("node", F.col("start")), "reached")
+    known = new
+    for i in range(most):
+        step = new.select(*on, "start", F.col("node").alias("_via")).join(e, [*on, "_via"]).select(*on, "start", "node").distinct()
+        new = written(step.join(known, [*on, "start", "node"], "left_anti"), "reached")
+        if new.isEmpty():
+            return known
+        known = known.unionByName(new) if i % 8 else written(known.unionByName(new), "reached")
+    raise ValueError(f"paths of more than {most} steps")

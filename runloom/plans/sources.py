@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from runloom.operators import retrieval, validate
+from runloom.functions import syntax
+from runloom.operators import datasets, retrieval, validate
 from runloom.plans.tables import table
 from runloom.session import gone_at_exit, scratch
 from runloom.sources import archives, trajectories
@@ -88,8 +89,35 @@ def _evidence(s, d):
 
 
 def _closure(s, d):
-    p = table(s, d, "part").where("p_partkey <= 150")
-    return retrieval.closure(p.select((F.col("p_partkey") % 97).alias("src"), (F.col("p_partkey") * 13 % 97).alias("dst")).where("src % 3 != 0"))
+    """Each part leads to that of half its number, and the first to the sixth: chains that end in a cycle."""
+    k = F.col("p_partkey")
+    return retrieval.closure(table(s, d, "part").select(k.alias("src"), F.when(k == 1, 6).otherwise(F.floor(k / 2)).cast("long").alias("dst")))
+
+
+def _python_files(s, d):
+    """A Python file for each part, ten to a package: absolute and relative imports, one inside a function, symbols with docstrings; every eleventh is broken."""
+    k = F.col("p_partkey")
+    ten = lambda c: F.floor(c / 10).cast("string")
+    half, near, far = F.floor(k / 2), k - k % 10 + (k + 3) % 10, F.floor(k / 20)
+    lines = F.array(
+        F.concat(F.lit('"""Part '), k, F.lit('."""')),
+        F.concat(F.lit("import os, p"), ten(half), F.lit(".m"), half),
+        F.when(k % 3 == 0, F.concat(F.lit("from .m"), near, F.lit(" import name"))).otherwise(""),
+        F.when(k % 4 == 1, F.concat(F.lit("from ..p"), far, F.lit(" import (\n    x,\n    y,\n)"))).otherwise(""),
+        F.concat(F.lit("LIMIT = "), k),
+        F.concat(F.lit("class C"), k, F.lit(':\n    """A class."""\n    def run(self):\n        import p0.m1\n        def inner():\n            \'\'\'Inner.\'\'\'\n')),
+        F.when(k % 11 == 0, "def broken(:").otherwise(""),
+    )
+    return table(s, d, "part").select("p_partkey", F.lit("r").alias("repo"), F.concat(F.lit("src/p"), ten(k), F.lit("/m"), k, F.lit(".py")).alias("path"), F.array_join(lines, "\n").alias("content"))
+
+
+def _imports(s, d):
+    return syntax.import_edges(_python_files(s, d)).select("src", "dst")
+
+
+def _symbols(s, d):
+    doc = lambda style: F.md5(datasets.document(F.col("path"), F.col("content"), style).cast("binary")).alias(style)
+    return _python_files(s, d).select("path", doc("docstrings"), doc("symbols"))
 
 
 def _archived(s, d):
@@ -104,7 +132,7 @@ def _archived(s, d):
     return out.select("sample", "n_files", "n_chars", F.md5(F.array_join(F.transform("x", lambda f: F.concat(f["path"], F.lit("="), f["content"])), "|").cast("binary")).alias("digest"))
 
 
-QUERIES = {"q_sources_archive": _archived, "q_sources_records": _records, "q_sources_outcomes": lambda s, d: archives.outcomes(files(s, d)), "q_sources_events": _events, "q_sources_match_results": _match, "q_validate_graph": _graph, "q_validate_evidence": _evidence, "q_retrieval_closure": _closure}
+QUERIES = {"q_sources_archive": _archived, "q_source_imports": _imports, "q_source_documents": _symbols, "q_sources_records": _records, "q_sources_outcomes": lambda s, d: archives.outcomes(files(s, d)), "q_sources_events": _events, "q_sources_match_results": _match, "q_validate_graph": _graph, "q_validate_evidence": _evidence, "q_retrieval_closure": _closure}
 SQL = {
     "q_sources_archive": """WITH c AS (SELECT 'c__' || conv_id AS sample, 'run/turns/' || turn || '.txt' AS path, coalesce(role, '') || chr(10) || coalesce(text, '') AS content FROM conversations)
 SELECT sample, count(*) AS n_files, CAST(sum(length(content)) AS BIGINT) AS n_chars, md5(string_agg(path || '=' || content, '|' ORDER BY path, content)) AS digest FROM c GROUP BY 1""",
@@ -125,5 +153,12 @@ FROM customer LEFT JOIN n ON c = c_custkey AND i = 1""",
     "q_validate_graph": """WITH u AS (SELECT user_id AS c, count(*) AS n FROM events GROUP BY 1 HAVING count(*) >= 12)
 SELECT c AS case_id, array_to_string(list_filter([CASE WHEN c % 7 = 0 THEN 'phases' END, CASE WHEN c % 5 = 0 THEN 'ids' END, CASE WHEN c % 3 = 0 THEN 'order' END, CASE WHEN c % 3 = 0 OR c % 4 = 0 THEN 'accounting' END], lambda x: x IS NOT NULL), ',') AS violations FROM u""",
     "q_validate_evidence": "WITH c AS (SELECT conv_id AS case_id, 'E' || turn AS event_id, coalesce(text, '') AS t FROM conversations), q AS (SELECT *, substr(t, 3, 12) || CASE WHEN case_id % 4 = 0 THEN 'zqz' ELSE '' END AS quote FROM c) SELECT case_id, event_id, quote, contains(t, quote) AS found FROM q",
-    "q_retrieval_closure": "WITH RECURSIVE e AS (SELECT DISTINCT p_partkey % 97 AS a, p_partkey * 13 % 97 AS b FROM part WHERE p_partkey <= 150 AND p_partkey % 97 % 3 != 0), r AS (SELECT * FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b) SELECT * FROM r",
+    "q_retrieval_closure": "WITH RECURSIVE e AS (SELECT p_partkey AS a, CASE WHEN p_partkey = 1 THEN 6 ELSE p_partkey // 2 END AS b FROM part), r AS (SELECT * FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b) SELECT * FROM r",
+    "q_source_imports": """WITH f AS (SELECT p_partkey AS k, 'src/p' || p_partkey // 10 || '/m' || p_partkey || '.py' AS path FROM part), s AS (SELECT * FROM f WHERE k % 11 != 0),
+e AS (SELECT s.k, f.k AS t FROM s JOIN f ON f.k = s.k // 2 UNION SELECT s.k, f.k FROM s JOIN f ON s.k % 3 = 0 AND f.k = s.k - s.k % 10 + (s.k + 3) % 10 UNION SELECT s.k, f.k FROM s JOIN f ON s.k % 4 = 1 AND f.k // 10 = s.k // 20)
+SELECT a.path AS src, b.path AS dst FROM e JOIN f a ON a.k = e.k JOIN f b ON b.k = t WHERE e.k != t""",
+    "q_source_documents": """WITH f AS (SELECT p_partkey AS k, 'src/p' || p_partkey // 10 || '/m' || p_partkey AS p FROM part), x AS (SELECT *, p || '.py' AS path, 'src.p' || k // 10 || '.m' || k AS m, chr(10) AS n,
+'\"\"\"Part ' || k || '.\"\"\"' || chr(10) || 'import os, p' || (k // 2) // 10 || '.m' || k // 2 || chr(10) || CASE WHEN k % 3 = 0 THEN 'from .m' || (k - k % 10 + (k + 3) % 10) || ' import name' ELSE '' END || chr(10) || CASE WHEN k % 4 = 1 THEN 'from ..p' || k // 20 || ' import (' || chr(10) || '    x,' || chr(10) || '    y,' || chr(10) || ')' ELSE '' END || chr(10) || 'LIMIT = ' || k || chr(10) || 'class C' || k || ':' || chr(10) || '    \"\"\"A class.\"\"\"' || chr(10) || '    def run(self):' || chr(10) || '        import p0.m1' || chr(10) || '        def inner():' || chr(10) || '            ''''''Inner.''''''' || chr(10) || chr(10) || CASE WHEN k % 11 = 0 THEN 'def broken(:' ELSE '' END AS c FROM f)
+SELECT path, md5(path || n || CASE WHEN k % 11 = 0 THEN c ELSE 'Part ' || k || '.' || n || n || 'C' || k || n || 'A class.' || n || n || 'inner' || n || 'Inner.' END) AS docstrings,
+md5(path || n || CASE WHEN k % 11 = 0 THEN c ELSE m || n || 'Part ' || k || '.' || n || n || m || '.LIMIT' || n || m || '.C' || k || n || 'A class.' || n || n || m || '.C' || k || '.run' || n || m || '.C' || k || '.run.inner' || n || 'Inner.' || n || n END) AS symbols FROM x""",
 }
