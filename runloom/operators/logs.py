@@ -1,23 +1,22 @@
 """Test results from the logs of test programs: (key, test, status) of each test.
 
 Formats that tell a result by a line are rules over lines, evaluated by column expressions;
-formats that carry a heading over lines are windows; the few that need a stack, blocks or XML
-are Arrow functions over one log. Which format a log has is a column, so logs of many
+formats that carry a heading over lines are windows; those with nested headings, blocks or XML
+are in nested_logs. Which format a log has is a column, so logs of many
 projects are read in one pass.
 """
 
 from __future__ import annotations
 
-import re
-import xml.etree.ElementTree as ET
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runloom.functions.text import without_ansi
+from runloom.operators.nested_logs import NESTED
+from runloom.session import written
 
 
 @dataclass(frozen=True)
@@ -59,10 +58,14 @@ LINES: dict[str, tuple[Rule, ...]] = {
     "minitest": (Rule(r"^(.+)\. .*=.*(\.|F|E).*$", 1, 2, {".": "PASSED", "F": "FAILED", "E": "FAILED"}),),
     "cucumber": (Rule(r"^(.*) \.+(\.|F)", 1, 2, {".": "PASSED", "F": "FAILED"}),),
     "ruby_unit": (Rule(r"^(?:test: )?(.+):\s+(\.|E\b|F\b|O\b)", 1, 2, {".": "PASSED", "E": "FAILED", "F": "FAILED", "O": "SKIPPED"}),),
+    "go_passed": (Rule(r"^--- (PASS):\s*(\S+)\s*\(.*\)$", 2, 1, _GO),),
+    "go_nested": (Rule(r"^\s*--- (PASS|FAIL|SKIP|ERROR):\s+(.+?)\s+\(.*\)$", 2, 1, {**_GO, "ERROR": "ERROR"}),),
+    "go_anywhere": tuple(Rule(rf"^(?=.*--- {w}:)\S+\s+\S+\s+(\S+)", 1, s) for w, s in (("PASS", "PASSED"), ("FAIL", "FAILED"), ("SKIP", "SKIPPED"), ("ERROR", "ERROR"))),
+    "pytest_routes": tuple(Rule(rf"^(tests/.*?)\s+(?=PASSED|FAILED|SKIPPED|XFAIL|ERROR|XPASS)(?=.*(?:{w}))", 1, s) for w, s in (("PASSED|XFAIL", "PASSED"), ("FAILED|XPASS", "FAILED"), ("SKIPPED", "SKIPPED"), ("ERROR", "ERROR"))),
     "rspec_json": (Rule(r"^(.+) - (passed|failed)", 1, 2, {"passed": "PASSED", "failed": "FAILED"}),),
 }
 #: Formats whose lines are taken as they are.
-PLAIN = {"pytest", "pytest_options", "pytest_v2", "matplotlib", "seaborn", "chart_js", "marked", "react_pdf"}
+PLAIN = {"pytest", "pytest_options", "pytest_v2", "matplotlib", "seaborn", "chart_js", "marked", "react_pdf", "go_passed"}
 
 
 @dataclass(frozen=True)
@@ -79,141 +82,11 @@ class Carried:
 CARRIED = {
     "maven": Carried(r"^.*-Dtest=(\S+).*$", Rule(r"^.*(BUILD) (SUCCESS|FAILURE)$", 1, 2, {"SUCCESS": "PASSED", "FAILURE": "FAILED"}), lambda head, test: head, "---NO TEST NAME FOUND YET---"),
     "phpunit": Carried(r"^(\w.+) \(.+\)$", Rule(r"^\s*([✔✘↩])\s*(.*)$", 2, 1, {"✔": "PASSED", "✘": "FAILED", "↩": "SKIPPED"}), lambda head, test: F.concat(head, F.lit(" > "), test), "None"),
+    "jest_suites": Carried(r"^\s*(?:PASS|FAIL)\s+(.+\.(?:test|spec)\.[jt]sx?)", Rule(r"^\s*([✓✗○])\s+(\S.+?\S)(?:\s+\((?:\d+\s*ms|skipped)\))?$", 2, 1, {"✓": "PASSED", "✗": "FAILED", "○": "SKIPPED"}), lambda head, test: F.concat_ws(" | ", F.nullif(head, F.lit("")), test), ""),
 }
 
 
-def django(log: str) -> dict[str, str]:
-    """Results after " ... ", which other output may part from the test's name; FAIL: and ERROR: lines; the shapes of interrupted output."""
-    out: dict[str, str] = {}
-    last = None
-    for raw in log.split("\n"):
-        line = raw.strip()
-        if "--version is equivalent to version" in line:
-            out["--version is equivalent to version"] = "PASSED"
-        if " ... " in line:
-            last = line.split(" ... ", 1)[0]
-        if done := re.fullmatch(r"(.*) (?:\.\.\. ok|\.\.\. OK|\.\.\.  OK)", line):
-            name = done[1]
-            if name.startswith("Applying sites.0002_alter_domain_unique...test_no_migrations"):
-                name = name.split("...", 1)[1].strip()
-            out[name] = "PASSED"
-        if " ... skipped" in line:
-            out[line.split(" ... skipped", 1)[0]] = "SKIPPED"
-        for mark, word, status in ((" ... FAIL", "FAIL:", "FAILED"), (" ... ERROR", "ERROR:", "ERROR")):
-            if line.endswith(mark):
-                out[line.split(mark, 1)[0]] = status
-            if line.startswith(word) and len(line.split()) > 1:
-                out[line.split()[1]] = status
-        if line.startswith("ok") and last is not None:
-            out[last] = "PASSED"
-    for shape in (r"Testing against Django installed in (?s:.*?) silenced\)\.", r"Internal Server Error: /.*/", r"System check identified no issues \(0 silenced\)"):
-        for m in re.finditer(rf"^(.*?)\s\.\.\.\s{shape}\nok$", log, re.M):
-            out[m[1]] = "PASSED"
-    return out
-
-
-def calypso(log: str) -> dict[str, str]:
-    """Marks below headings, which nest by their indents, until each run's summary."""
-    out: dict[str, str] = {}
-    heads: list[tuple[str, int]] = []
-    for run in log.split(" ./node_modules/.bin/jest ")[1:]:
-        for line in run.split("\n"):
-            if line.startswith(("Test Suites", "  ● ")):
-                break
-            body, indent = line.strip(), len(line) - len(line.lstrip())
-            if body[:1] in ("✓", "✕"):
-                m = re.match(r"^\s+[✓✕]\s(.*?)(?:\(\d+ms\))?$", line)
-                if m:
-                    out[" - ".join([" - ".join(h for h, _ in heads), m[1]]).strip()] = "PASSED" if body[0] == "✓" else "FAILED"
-            elif indent:
-                while heads and heads[-1][1] >= indent:
-                    heads.pop()
-                heads.append((body, indent))
-    return out
-
-
-def karma(log: str) -> dict[str, str]:
-    """Marks below nested headings, from the browser's start up to the summary."""
-    out: dict[str, str] = {}
-    depth, heads, started = -1, [], False
-    for line in log.split("\n"):
-        if line.startswith("SUMMARY:"):
-            break
-        if "Starting browser" in line:
-            started = True
-        elif started and (m := re.match(r"^(\s*)?([✔✖])?\s(.*)$", line)):
-            indent, mark, name = m[1], m[2], m[3]
-            if mark:
-                out[" > ".join([*heads, name])] = "PASSED" if mark == "✔" else "FAILED"
-            elif indent and len(indent) > depth:
-                depth = len(indent)
-                heads.append(name)
-            elif indent and len(indent) < depth:
-                depth = len(indent)
-                if heads:
-                    heads.pop()
-    return out
-
-
-def p5js(log: str) -> dict[str, str]:
-    """Numbered failures whose titles nest by indent, after JSON and markup blocks have been taken out."""
-    kept, in_object, in_list = [], False, False
-    for line in re.sub(r"\x1B(?:[@-Z\\-_]|\[[0-?]*[ -/]*[@-~])", "", log).split("\n"):
-        end = line.rstrip()
-        if end.endswith("{"):
-            in_object = True
-        elif end.endswith("["):
-            in_list = True
-        elif end == "}" and in_object:
-            in_object = False
-        elif end == "]" and in_list:
-            in_list = False
-        elif not (in_object or in_list or (end[:1] + end[-1:] in ("{}", "[]") and len(end) > 1)):
-            kept.append(line)
-    text, block = "\n".join(kept), re.compile(r"<(\w+)>[\s\S]*?</\1>")
-    while m := block.search(text):
-        inner = max(m[0].count(f"<{m[1]}>") - 1, 0)  # openings whose ends are still to come
-        text = text[: m.start()] + f"<{m[1]}>" * inner + text[m.end() :]
-    out = {}
-    for m in re.finditer(r"^\s*(\d+)\)(.{0,1000}?):", text, re.M | re.S):
-        lines = m[2].split("\n")
-        indents = [0, *(len(x) - len(x.lstrip()) for x in lines)]
-        if all(a < b for a, b in zip(indents, indents[1:], strict=False)):
-            out[":".join(x.strip() for x in lines)] = "FAILED"
-    return out
-
-
-def doctest(log: str) -> dict[str, str]:
-    """case > subcase of an XML report; all its expressions must have held. A report that isn't well formed has no results."""
-    a = log.find("<doctest")
-    b = log.find("</doctest>", a)
-    if a < 0 or b < 0:
-        return {}
-    try:
-        root = ET.fromstring(log[a : b + len("</doctest>")])
-    except ET.ParseError:
-        return {}
-    return {f"{case.get('name')} > {sub.get('name')}": "PASSED" if all(e.get("success") == "true" for e in sub.iter("Expression")) else "FAILED" for case in root.iter("TestCase") for sub in case.iter("SubCase") if sub is not case}
-
-
-def go_first(log: str) -> dict[str, str]:
-    """Go results where the first of a name counts; a crash is an error of the test that ran last; output without results is one error."""
-    out: dict[str, str] = {}
-    for m in re.finditer(r"^\s*--- (PASS|FAIL|SKIP): (\S+)", log, re.M):
-        out.setdefault(m[2], _GO[m[1]])
-    last = "UNKNOWN_ERROR"
-    for line in log.splitlines():
-        if m := re.match(r"=== RUN\s+(\S+)", line):
-            last = m[1]
-        if re.search(r"panic:|fatal error|SIGSEGV|SIGILL|SIGFPE|SIGBUS|unexpected fault", line, re.I):
-            out.setdefault(last, "ERROR")
-    if not out and log.strip():
-        out["NO_TESTS_FOUND_OR_PARSING_ERROR"] = "ERROR"
-    return out
-
-
-WHOLE: dict[str, Callable[[str], dict[str, str]]] = {"django": django, "calypso": calypso, "karma": karma, "p5js": p5js, "doctest": doctest, "go_first": go_first}
-PARSERS = {*LINES, *CARRIED, *WHOLE}
+PARSERS = {*LINES, *CARRIED, *NESTED}
 
 #: The format of each project's logs.
 PROJECTS = {
@@ -261,6 +134,7 @@ _BEFORE = {
     "pytest_v2": lambda x: F.regexp_replace(F.regexp_replace(x, r"\[(\d+)m", ""), r"[\x01-\x1f]", ""),
     "matplotlib": lambda x: F.replace(F.replace(x, F.lit("MouseButton.LEFT"), F.lit("1")), F.lit("MouseButton.RIGHT"), F.lit("3")),
     "chart_js": without_ansi,
+    **dict.fromkeys(("go_anywhere", "pytest_routes"), lambda x: F.regexp_replace(F.regexp_replace(x, r"[\p{C}\p{Zl}\p{Zp}]", ""), r"^\s+|\s+$", "")),
 }
 _AFTER = {"pytest_options": _option, "marked": F.trim}
 
@@ -295,31 +169,25 @@ def _by_rules(rows: DataFrame, key: str) -> DataFrame:
     return hits.groupBy(key, F.col("_h.test").alias("test")).agg(F.max_by("_h.status", "_n").alias("status"))
 
 
-def _whole(names: list[str]):
-    @F.pandas_udf("array<struct<test string, status string>>")
-    def run(parser: pd.Series, log: pd.Series) -> pd.Series:
-        return pd.Series([list(WHOLE[p](x).items()) if p in names and x else [] for p, x in zip(parser, log, strict=True)])
-
-    return run
-
-
 def parse(logs: DataFrame, key: str, log: str, parser: Column | str) -> DataFrame:
     """(key, test, status); parser is the name of a format, or a column of names. Of several lines of a test the last counts.
 
-    A null log, or one of an unknown format, has no results.
+    A null log, or one of an unknown format, has no results. Of a column of names those that
+    it holds are looked up first, so only their formats are planned.
     """
-    names = [parser] if isinstance(parser, str) else sorted(PARSERS)
-    if not set(names) <= PARSERS:
+    if isinstance(parser, str) and parser not in PARSERS:
         raise ValueError(f"no such format: {parser}")
+    names = [parser] if isinstance(parser, str) else sorted(r[0] for r in logs.select(parser.alias("_p")).where(F.col("_p").isin(*PARSERS)).distinct().collect())  # no more than there are formats
+    if not names:
+        names = ["pytest"]
     rows = logs.select(F.col(key), F.col(log).alias("_log"), (F.lit(parser) if isinstance(parser, str) else parser).alias("_p"))
     parts = []
     if own := [n for n in names if n in LINES]:
         parts.append(_by_lines(rows, key, own[0]) if len(names) == 1 else _by_rules(rows, key))
     for n in (n for n in names if n in CARRIED):
         parts.append(parse_carried(rows.where(F.col("_p") == n), key, "_log", CARRIED[n]))
-    if own := [n for n in names if n in WHOLE]:
-        found = rows.where(F.col("_p").isin(own)).select(key, F.explode(_whole(own)("_p", "_log")).alias("_h"))
-        parts.append(found.select(key, "_h.test", "_h.status"))
+    for n in (n for n in names if n in NESTED):
+        parts.append(NESTED[n](rows.where(F.col("_p") == n), key))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -369,6 +237,6 @@ def evaluated(logs: DataFrame, key: str, log: str, parser: Column | str) -> tupl
     """(key, applied) of each log, and the results of those where tests ran: of the marked section, or of the whole log if that has none."""
     state = logs.select(key, applied(F.col(log)).alias("applied"))
     ran = logs.where(applied(F.col(log)))
-    inside = parse(ran.withColumn(log, log_section(F.col(log))), key, log, parser)
+    inside = written(parse(ran.withColumn(log, log_section(F.col(log))), key, log, parser), "results")
     rest = parse(ran.join(inside.select(key).distinct(), key, "left_anti"), key, log, parser)
     return state, inside.unionByName(rest)

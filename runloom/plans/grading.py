@@ -61,6 +61,42 @@ def _format_logs(s, d):
     return g.select("l_orderkey", "body", log.alias("log"), L.parser_of(repo, F.lit("x-1")).alias("parser"))
 
 
+#: Formats whose lines hang together. What begins a log; the lines of a passed, a failed and a skipped test %t of suite %s (number %n); what ends it; and the name each gets, if any.
+_NESTED = [
+    ("karma", "   ✔ early\nStarting browser\n  A\n    B", "      ✔ %t", "      ✖ %t", "    nothing", "SUMMARY:\n  ✔ late", "A > B > %t", "A > B > %t", None),
+    ("calypso", "x ./node_modules/.bin/jest a", "  S%s\n    inner\n      ✓ %t (3ms)", "  S%s\n    ✕ %t", "  S%s", "Test Suites: 1\n  ✓ late", "S%s - inner - %t", "S%s - %t", None),
+    ("p5js", "{\n 1) gone:\n}", "  <pre>%n) in <pre>markup</pre>:</pre>", " %n) S%s\n      %t:\n   Error at <anonymous>", "[\n 2) listed:\n]", "", None, "S%s:%t", None),
+    ("django", "Creating ...", "%t (m.T) ... noise\nok", "FAIL: %t (m.T)", "%t (m.T) ... skipped 'no'", "", "%t (m.T)", "%t", "%t (m.T)"),
+    ("doctest", "x <doctest>", "<TestSuite><TestCase name='S%s'><SubCase name='%t'><Expression success='true'/></SubCase></TestCase></TestSuite>", "<TestSuite><TestCase name='S%s'><SubCase name='%t'><Expression success='true'/><Expression success='false'/></SubCase></TestCase></TestSuite>", "<TestSuite/>", "</doctest>", "S%s > %t", "S%s > %t", None),
+    ("go_first", "start", "=== RUN   %t\n--- PASS: %t (0s)", "=== RUN   %t\n    --- FAIL: %t (0s)", "=== RUN   %t\npanic: no", "", "%t", "%t", "%t"),
+    ("go_passed", "", "--- PASS: %t (0s)", "--- FAIL: %t (0s)", "    --- PASS: %t (0s)", "", "%t", None, None),
+    ("go_nested", "", "--- PASS: S%s/%t (0s)", "    --- FAIL: S%s/%t (0s)", "--- SKIP: S%s/%t (0s)", "", "S%s/%t", "S%s/%t", "S%s/%t"),
+    ("go_anywhere", "", "\x07  --- PASS: %t (0s)", "--- FAIL: %t", "--- SKIP: %t now", "", "%t", "%t", "%t"),
+    ("pytest_routes", "", "tests/s%s.py::%t PASSED [ 1%]", "tests/s%s.py::%t XPASS", "tests/s%s.py::%t SKIPPED (x)", "", "tests/s%s.py::%t", "tests/s%s.py::%t", "tests/s%s.py::%t"),
+    ("jest_suites", "", "PASS src/s%s.test.ts\n  ✓ test %t (3 ms)", "FAIL src/s%s.test.ts (2 s)\n  ✗ test %t", "  ○ ab", "", "src/s%s.test.ts | test %t", "src/s%s.test.ts | test %t", None),
+]
+
+
+def _nested_logs(s, d):
+    """Logs of these formats made from rows, one for each order."""
+    k = F.col("l_orderkey") % len(_NESTED)
+    of = lambda i: F.element_at(F.array(*[F.lit(x[i]) for x in _NESTED]), (k + 1).cast("int"))
+    word = F.when(F.col("l_returnflag") == "N", of(2)).when(F.col("l_returnflag") == "R", of(3)).otherwise(of(4))
+    for mark, value in (("%t", F.concat(F.lit("t"), F.col("l_partkey") % 7)), ("%s", (F.col("l_linenumber") % 2).cast("string")), ("%n", F.col("l_linenumber").cast("string"))):
+        word = F.replace(word, F.lit(mark), value)
+    g = table(s, d, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_returnflag", word.alias("l")))), lambda x: x["l"]), "\n").alias("body"))
+    return g.select("l_orderkey", F.concat_ws("\n", of(1), "body", of(5)).alias("log"), of(0).alias("parser"))
+
+
+def _nested_sql() -> str:
+    """What these logs tell; of a name the last line counts, but in go_first the first, and there a panic only if nothing else."""
+    rows = ", ".join("(" + ", ".join("NULL" if x is None else "'" + x.replace("'", "''") + "'" for x in (str(i), n, p, f, k)) + ")" for i, (n, _, _, _, _, _, p, f, k) in enumerate(_NESTED))
+    return f"""WITH v(i, n, p, f, k) AS (VALUES {rows}), l AS (SELECT l_orderkey, n, l_linenumber AS a, l_partkey AS b, ascii(l_returnflag) AS flag, CASE l_returnflag WHEN 'N' THEN 'PASSED' WHEN 'R' THEN 'FAILED' WHEN 'A' THEN CASE WHEN n = 'go_first' THEN 'ERROR' ELSE 'SKIPPED' END END AS status,
+  replace(replace(CASE l_returnflag WHEN 'N' THEN p WHEN 'R' THEN f ELSE k END, '%t', 't' || l_partkey % 7), '%s', CAST(l_linenumber % 2 AS VARCHAR)) AS test FROM lineitem JOIN v ON CAST(i AS INT) = l_orderkey % {len(_NESTED)}),
+r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, test ORDER BY CASE WHEN n = 'go_first' AND status = 'ERROR' THEN 1 ELSE 0 END, CASE WHEN n = 'go_first' THEN a ELSE -a END, CASE WHEN n = 'go_first' THEN b ELSE -b END, CASE WHEN n = 'go_first' THEN flag ELSE -flag END) AS nth FROM l WHERE test IS NOT NULL)
+SELECT l_orderkey, test, status FROM r WHERE nth = 1"""
+
+
 def _classes(s, d):
     o = table(s, d, "orders").select(F.col("o_orderkey").alias("id"), "o_orderstatus", "o_orderpriority")
     preds = o.where("id % 5 != 0").select("id", F.when(F.col("id") % 7 == 0, " ").otherwise(F.col("o_orderpriority")).alias("patch"))
@@ -86,6 +122,7 @@ QUERIES = {
     "q_grading_run_lists": lambda s, d: G.report_lists(_classes(s, d), "id").select("class", "n", F.md5(F.array_join("ids", ",").cast("binary")).alias("ids_md5")),
     "q_grading_log_lines": lambda s, d: L.parse(_logs(s, d), "l_orderkey", "log", "gotest"),
     "q_grading_log_formats": lambda s, d: L.parse(_format_logs(s, d), "l_orderkey", "body", F.col("parser")),
+    "q_grading_log_nested": lambda s, d: L.parse(_nested_logs(s, d), "l_orderkey", "log", F.col("parser")),
     "q_grading_log_applied": lambda s, d: L.evaluated(_format_logs(s, d), "l_orderkey", "log", F.col("parser"))[0],
     "q_grading_log_evaluated": lambda s, d: L.evaluated(_format_logs(s, d), "l_orderkey", "log", F.col("parser"))[1],
     "q_grading_difficulty": lambda s, d: table(s, d, "orders").groupBy(F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "hard").when(F.col("o_orderpriority") == "3-MEDIUM", "medium").otherwise("unknown").alias("bucket")).agg(F.count_if(F.col("o_orderstatus") == "F").alias("n_resolved"), F.count(F.lit(1)).alias("n")),
@@ -104,6 +141,7 @@ SELECT *, CASE WHEN f2p = 1 AND p2p = 1 THEN 'FULL' WHEN f2p > 0 AND f2p < 1 AND
 r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, status) AS n FROM l)
 SELECT l_orderkey, test, arg_max(status, n) AS status FROM r GROUP BY 1, 2""",
     "q_grading_log_formats": _F + " SELECT * FROM f",
+    "q_grading_log_nested": _nested_sql(),
     "q_grading_log_applied": "SELECT l_orderkey, l_orderkey % 13 != 0 AND l_orderkey % 11 != 0 AS applied FROM lineitem GROUP BY 1",
     # an order of the first format without results in its section has those of the whole log
     "q_grading_log_evaluated": _F + " SELECT * FROM f WHERE l_orderkey % 13 != 0 AND l_orderkey % 11 != 0",

@@ -36,6 +36,11 @@ LOGS = {
     "minitest": ("A#b. = 0.1 s = .\nA#c. = 0.1 s = F", {"A#b": P, "A#c": X}),
     "cucumber": ("features/a .....\nfeatures/b .F", {"features/a": P, "features/b": X}),
     "ruby_unit": ("test: a(X):\t.: (0.1)\n b(Y): F", {"a(X)": P, "b(Y)": X}),
+    "go_passed": ("--- PASS: A (0s)\n--- FAIL: B (0s)\n    --- PASS: A/c (0s)", {"A": P}),
+    "go_nested": ("--- PASS: A (0s)\n    --- ERROR: A/b c (1s)\n--- FAIL: A (0s)\n--- SKIP: no time", {"A": X, "A/b c": E}),
+    "go_anywhere": ("\x07    --- PASS: A/b (0s)\n--- SKIP: C\nx --- FAIL: D", {"A/b": P, "C": S, "FAIL:": X}),
+    "pytest_routes": ("tests/a.py::t PASSED [ 1%]\n\x1btests/b.py::u XPASS\ntests/c.py::v SKIPPED (x)\nunit/d.py PASSED\ntests/e.py::w FAILED", {"tests/a.py::t": P, "tests/b.py::u": X, "tests/c.py::v": S, "tests/e.py::w": X}),
+    "jest_suites": ("  ✓ before all\nPASS src/a.test.ts (5 s)\n  ✓ adds up (3 ms)\n  ○ later (skipped)\n  ✓ ab\nFAIL b.spec.jsx\n  ✗ breaks", {"before all": P, "src/a.test.ts | adds up": P, "src/a.test.ts | later": S, "b.spec.jsx | breaks": X}),
     "rspec_json": ("a b - passed\nc - failed", {"a b": P, "c": X}),
 }
 
