@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from runloom.operators import datasets as D
+from runloom.operators import mutants
 from runloom.operators import triage as T
 from runloom.plans.tables import table
 
@@ -90,7 +91,38 @@ def _shown(df):
 
 
 _CUSTOMERS = r"Customer#0{5,6}\d*[13]"
+_POOL = ["rename_variable", "swap_operands", "dead_string_assignment", "dead_method_injection", "unroll_loop", "string_literal_splitter"]
+
+
+def _mutants(s, d):
+    """Customers as mutants of their nation's repository, whose suppliers are its files; four of seven have keywords."""
+    m = table(s, d, "customer").select(F.col("c_custkey").alias("mutant_id"), F.col("c_nationkey").alias("instance_id"))
+    k = F.col("c_custkey")
+    words = F.array(*[F.struct(F.lit(kind).alias("kind"), F.concat(F.lit(f"{p}{i}."), k % 13, F.lit("w")).alias("word"), F.lit(i).alias("i")) for i in range(7) for kind, p in (("string_literals", "s"), ("methods", "a.m"))])
+    keywords = table(s, d, "customer").where("c_custkey % 7 < 4").select(k.alias("mutant_id"), F.explode(F.filter(words, lambda x: x["i"] < k % 9)).alias("x")).select("mutant_id", "x.kind", "x.word")
+    files = table(s, d, "supplier").select(F.col("s_nationkey").alias("instance_id"), F.concat(F.lit("src/f"), "s_suppkey", F.lit(".py")).alias("path"), (F.col("s_suppkey") % 9 == 0).alias("required"))
+    draws = mutants.targeted(mutants.drawn(m, _POOL), keywords).join(m, "mutant_id")
+    out = mutants.placed(draws, files, injected=3)
+    return out.select("mutant_id", "nth", "name", "target", F.round("p_file", 6).alias("p_file"), "path", "required")
+
+
+def _h(*parts: str) -> str:
+    return f"CAST('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 8) AS BIGINT)"
+
+
+_MUTANTS_SQL = f"""WITH pool AS (SELECT unnest([{', '.join(f"'{n}'" for n in _POOL)}]) AS name),
+dr AS (SELECT c_custkey AS m, c_nationkey AS g, name, row_number() OVER (PARTITION BY c_custkey ORDER BY {_h("'draw0'", "c_custkey", "name")}, name) AS nth, {_h("'p0'", "c_custkey", "name")} / 4294967296.0 AS p FROM customer, pool),
+kw AS (SELECT c_custkey AS m, kind, CASE kind WHEN 'methods' THEN 'a.m' ELSE 's' END || i || '.' || c_custkey % 13 || 'w' AS word FROM customer, range(7) t(i), (VALUES ('string_literals'), ('methods')) AS kinds(kind) WHERE c_custkey % 7 < 4 AND i < c_custkey % 9),
+ta AS (SELECT dr.*, word, row_number() OVER (PARTITION BY dr.m, nth ORDER BY {_h("'word0'", "dr.m", "name", "word")}, word) AS a FROM dr LEFT JOIN kw ON kw.m = dr.m AND kind = CASE name WHEN 'dead_string_assignment' THEN 'string_literals' WHEN 'dead_method_injection' THEN 'methods' END WHERE nth <= 3),
+tt AS (SELECT m, g, name, nth, p, CASE WHEN name = 'dead_method_injection' THEN split_part(word, '.', -1) ELSE word END AS target FROM ta WHERE a <= 5),
+f AS (SELECT s_nationkey AS g, 'src/f' || s_suppkey || '.py' AS path, s_suppkey % 9 = 0 AS required FROM supplier), n AS (SELECT g, count(*) FILTER (required) AS req FROM f GROUP BY 1),
+u AS (SELECT tt.*, path, required, req, {_h("'file0'", "m", "name", "target", "path")} / 4294967296.0 AS u FROM tt JOIN f USING (g) JOIN n USING (g)),
+k AS (SELECT *, row_number() OVER (PARTITION BY m, nth, name, target, required ORDER BY u, path) AS a FROM u WHERE required OR u <= p)
+SELECT m AS mutant_id, CAST(nth AS INT) AS nth, name, target, round(p, 6) AS p_file, path, required FROM k WHERE required OR name NOT IN ('dead_string_assignment', 'dead_method_injection') OR a <= 3 - req"""
+
+
 QUERIES = {
+    "q_sampling_mutants": _mutants,
     "q_data_hints": _hints,
     "q_data_statements": _statements,
     "q_data_gold_files": _gold,
@@ -117,6 +149,7 @@ QUERIES = {
 _M = "WITH m AS (SELECT conv_id AS case_id, turn, role, coalesce(length(text), 0) AS n FROM conversations), o AS (SELECT *, coalesce(role, '') != 'system' AND turn != 0 AS own FROM m), c AS (SELECT * FROM (SELECT *, bool_or(own) OVER (PARTITION BY case_id) AS has FROM o) WHERE own OR NOT has)"
 _B = [28_000, 12_000, 9_000, 6_000, 4_500, 3_000, 2_000, 1_200]
 SQL = {
+    "q_sampling_mutants": _MUTANTS_SQL,
     "q_data_hints": """WITH c AS (SELECT l_orderkey AS pull, l_linenumber % 2 AS i, l_linenumber, l_partkey, CAST(l_shipdate AS DATE) AS u, coalesce(CAST(l_shipdate AS DATE) < CAST(o_orderdate AS DATE) + 60 AND o_orderkey % 9 != 0, false) AS ok FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey),
 r AS (SELECT *, min(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY pull, i ORDER BY l_linenumber, l_partkey, u ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS a FROM c),
 b AS (SELECT pull, i, coalesce(string_agg(CAST(l_partkey AS VARCHAR), chr(10) ORDER BY l_linenumber, l_partkey, u) FILTER (a = 1), '') AS t FROM r GROUP BY 1, 2)
