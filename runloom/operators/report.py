@@ -37,7 +37,7 @@ def statistics(runs: DataFrame, draws: int = 20_000, seed: int = 0) -> DataFrame
     boot = boot.select(F.when(F.col("n") > 0, F.struct(*_rounded(4, mean_pp=F.col("mean"), ci_lower_pp=F.col("lo"), ci_upper_pp=F.col("hi")), F.col("n").alias("n_instances"), F.lit(0.95).alias("confidence"), F.lit(draws).alias("n_boot"))).alias("degradation_ci"))
     redraw = stats.binomial_redraw(per.select("instance_id", "p1", "p2").join(F.broadcast(n)), draws, seed).join(F.broadcast(n))
     redraw = redraw.select(F.when(F.col("n") > 0, F.struct(*_rounded(4, mean_pp=F.col("mean"), ci_lower_pp=F.col("lo"), ci_upper_pp=F.col("hi")), F.col("n1").alias("n_baseline_per_instance"), F.col("n2").alias("n_mutant_per_instance"), F.col("n").alias("n_instances"), F.lit(0.95).alias("confidence"), F.lit(draws).alias("n_boot"))).alias("degradation_binomial_ci"))
-    flip = stats.sign_flip_test(per.select(F.lit(0).alias("g"), "d"), "d", "g").agg(F.round(F.max("p"), 6).alias("sign_flip_pvalue"))
+    flip = stats.sign_flip_test(per.select("instance_id", F.lit(0).alias("g"), "d"), "d", "g").agg(F.round(F.max("p"), 6).alias("sign_flip_pvalue"))
     out = boot.join(F.broadcast(redraw)).join(F.broadcast(flip))
     for name, rows in (("", runs), ("_resolved", runs.where(F.col("status") == R.RESOLVED))):
         for field, short in (("steps", "step"), ("cost", "cost")):

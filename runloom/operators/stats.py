@@ -9,6 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runloom.operators import ranks
+from runloom.operators.runs import hashed
+from runloom.session import written
+
 #: The standard normal quantile at 0.975.
 Z95 = 1.959963984540054
 
@@ -52,11 +56,11 @@ def _interval(means: DataFrame, alpha: float) -> list[Column]:
 def bootstrap_mean(values: DataFrame, value: str, draws: int = 20_000, seed: int = 0, key: str = "instance_id", alpha: float = 0.05) -> DataFrame:
     """Percentile interval of the mean over rows: lo, hi, mean, n.
 
-    Each draw takes n of the n rows again. Up to MOST_VALUES values these are broadcast in
-    order of key and each task makes some of the draws, by picks(). Beyond, each task keeps
-    its own rows: how many of a draw's n rows it gives follows from one multinomial that all
-    tasks know, it picks as many of its own, and only its sums by draw leave. Fewer than two
-    values, or equal ones, are their own interval. No value: a mean of 0 with n = 0.
+    Each draw takes n of the n rows again, by picks() over their order by key, whatever n is.
+    Up to MOST_VALUES values are broadcast, and each task makes some of the draws. Beyond,
+    they stand in blocks of so many: a task has one block and some of the draws, makes these
+    draws' picks and adds up those that fall into its block. Fewer than two values, or equal
+    ones, are their own interval. No value: a mean of 0 with n = 0.
     """
     spark = values.sparkSession
     v = values.where(F.col(value).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(value).cast("double").alias("v"))
@@ -68,10 +72,15 @@ def bootstrap_mean(values: DataFrame, value: str, draws: int = 20_000, seed: int
     return means.agg(*_interval(means, alpha)).select("lo", "hi", F.lit(float(t["mean"])).alias("mean"), F.lit(t.n).alias("n"))
 
 
+def _ordered(v: DataFrame) -> DataFrame:
+    """Keys as numbers, if all of them are."""
+    kind = "long" if v.where(F.col("key").try_cast("long").isNull()).isEmpty() else "string"
+    return v.select(F.col("key").cast(kind).alias("key"), "v")
+
+
 def _small_draws(v: DataFrame, n: int, draws: int, seed: int) -> DataFrame:
     """(b, m): the mean of each draw, of values that fit a broadcast."""
-    kind = "long" if v.where(F.col("key").try_cast("long").isNull()).isEmpty() else "string"
-    own = v.select(F.col("key").cast(kind).alias("key"), "v").toArrow().sort_by([("key", "ascending"), ("v", "ascending")])  # a bounded number of values
+    own = _ordered(v).toArrow().sort_by([("key", "ascending"), ("v", "ascending")])  # a bounded number of values
     x = v.sparkSession.sparkContext.broadcast(np.asarray(own.column("v")))
 
     def draw(batches):
@@ -85,24 +94,25 @@ def _small_draws(v: DataFrame, n: int, draws: int, seed: int) -> DataFrame:
     return v.sparkSession.range(0, draws, 1, tasks).mapInPandas(draw, "b long, m double")
 
 
-def _wide_draws(v: DataFrame, n: int, draws: int, seed: int, blocks: int = 1024) -> DataFrame:
-    """(b, m): the mean of each draw, from sums that each block of rows makes of its own."""
-    rows = v.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
-    size = np.zeros(blocks, dtype=np.int64)
-    for r in rows.groupBy("block").count().collect():  # a row for each block
-        size[r["block"]] = r["count"]
+def _wide_draws(v: DataFrame, n: int, draws: int, seed: int) -> DataFrame:
+    """(b, m): the mean of each draw, from what each block of values gives to it."""
+    most = MOST_VALUES
+    rows = ranks.numbered(_ordered(v), [F.col("key"), F.col("v")], "at")
+    parts = -(-draws // BLOCK)
+    rows = rows.select((F.col("at") / most).cast("int").alias("block"), "at", "v", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
 
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        k, x = int(pdf["block"].iloc[0]), pdf.sort_values(["key", "v"])["v"].to_numpy()
-        all_, own = np.random.default_rng([seed, 1]), np.random.default_rng([seed, 2, k])
-        sums = np.zeros(draws)
-        for a in range(0, draws, BLOCK):
-            m = min(BLOCK, draws - a)
-            for i, c in enumerate(all_.multinomial(n, size / n, m)[:, k].tolist()):
-                sums[a + i] = x[own.integers(0, len(x), c)].sum()
-        return pd.DataFrame({"b": np.arange(draws), "s": sums})
+        low, part = int(pdf["block"].iloc[0]) * most, int(pdf["part"].iloc[0])
+        x = pdf.sort_values("at")["v"].to_numpy()
+        b = np.arange(part * BLOCK, min(draws, (part + 1) * BLOCK))
+        sums = np.zeros(len(b))
+        for i in range(0, n, 1 << 12):
+            p = picks(b[:, None] + seed * 1_000_000, np.arange(i, min(n, i + (1 << 12)))[None, :], n) - low
+            own = (p >= 0) & (p < len(x))
+            sums += np.where(own, x[np.where(own, p, 0)], 0.0).sum(axis=1)
+        return pd.DataFrame({"b": b, "s": sums})
 
-    return rows.groupBy("block").applyInPandas(draw, "b long, s double").groupBy("b").agg((F.sum("s") / n).alias("m"))
+    return rows.groupBy("block", "part").applyInPandas(draw, "b long, s double").groupBy("b").agg((F.sum("s") / n).alias("m"))
 
 
 def _seeded(seed: int, *parts: object) -> np.random.Generator:
@@ -113,32 +123,48 @@ def _seeded(seed: int, *parts: object) -> np.random.Generator:
 def relative_change_bootstrap(runs: DataFrame, value: str, draws: int = 20_000, seed: int = 0, alpha: float = 0.05) -> DataFrame:
     """Mean over instances of the % change of `value`, with runs resampled within each instance: change, lo, hi, instances.
 
-    Each instance's draws are made where its runs are (one group), seeded by its whole id;
-    only means of draws leave, and are added up before they are shuffled. An instance without
-    runs of a side, or with a baseline that sums to 0, is left out; a resampled baseline of
-    mean 0 gives no change for that draw.
+    Equal values of an instance's side are counted before anything is shuffled; how often a
+    draw takes each is a multinomial of these counts, seeded by the instance's whole id.
+    Instances are dealt to blocks of some 64; a block adds up its instances' changes by draw,
+    so only a row for each draw and block is shuffled again. An instance without runs of a
+    side, or with a baseline that sums to 0, is left out; a resampled baseline of mean 0 gives
+    no change for that draw.
     """
     rows = runs.select(F.col("instance_id").cast("string").alias("instance_id"), "run_type", F.col(value).cast("double").alias("v")).where("v IS NOT NULL")
+    counts = rows.groupBy("instance_id", "run_type", "v").agg(F.count(F.lit(1)).alias("c"))
+    blocks = max(1, min(4096, rows.agg(F.approx_count_distinct("instance_id")).first()[0] // 64))
 
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        b, m = (pdf.loc[pdf.run_type == k, "v"].sort_values().to_numpy() for k in ("baseline", "mutant"))
-        if not len(b) or not len(m) or b.sum() == 0:
-            return pd.DataFrame({"b": [], "c": []})
-        rng, c = _seeded(seed, pdf.instance_id.iloc[0]), []
-        step = max(1, (1 << 20) // max(len(b), len(m)))
-        for k in range(0, draws, step):
-            bm, mm = (x[rng.integers(0, len(x), (min(step, draws - k), len(x)))].mean(axis=1) for x in (b, m))
+        sums, k = np.zeros(draws + 1), np.zeros(draws + 1, dtype=np.int64)
+        for name, one in pdf.sort_values(["instance_id", "v"]).groupby("instance_id"):
+            (b, bc), (m, mc) = ((x["v"].to_numpy(), x["c"].to_numpy()) for x in (one[one["run_type"] == t] for t in ("baseline", "mutant")))
+            if not len(b) or not len(m) or b @ bc == 0:
+                continue
+            rng = _seeded(seed, name)
+            takes = lambda x, c: _means(rng, x, c, draws)  # noqa: B023, E731
+            bm, mm = takes(b, bc), takes(m, mc)
             with np.errstate(divide="ignore", invalid="ignore"):
-                c.append((mm - bm) / bm * 100)
-        c = np.concatenate([[(m.mean() - b.mean()) / b.mean() * 100], *c])
-        return pd.DataFrame({"b": np.arange(-1, draws), "c": np.where(np.isfinite(c), c, np.nan)})
-
-    d = rows.groupBy("instance_id").applyInPandas(draw, "b long, c double").where("c IS NOT NULL AND NOT isnan(c)")
-    per = d.groupBy("b").agg(F.avg("c").alias("m"), F.count(F.lit(1)).alias("k"))
+                c = np.concatenate([[(m @ mc / mc.sum()) / (b @ bc / bc.sum()) - 1], (mm - bm) / bm]) * 100
+            good = np.isfinite(c)
+            sums += np.where(good, c, 0)
+            k += good
+        return pd.DataFrame({"b": np.arange(-1, draws), "s": sums, "k": k})
+
+    d = counts.groupBy(F.pmod(F.xxhash64("instance_id"), F.lit(blocks)).alias("_block")).applyInPandas(draw, "b long, s double, k long")
+    per = d.groupBy("b").agg((F.sum("s") / F.nullif(F.sum("k"), F.lit(0))).alias("m"), F.sum("k").alias("k"))
     q = lambda p: F.percentile(F.when(F.col("b") >= 0, F.col("m")), F.lit(p))
     return per.agg(F.max(F.when(F.col("b") < 0, F.col("m"))).alias("change"), q(alpha / 2).alias("lo"), q(1 - alpha / 2).alias("hi"), F.coalesce(F.max(F.when(F.col("b") < 0, F.col("k"))), F.lit(0)).alias("instances"))
 
 
+def _means(rng: np.random.Generator, x: np.ndarray, counts: np.ndarray, draws: int) -> np.ndarray:
+    """The means of draws of as many runs again, from their different values and how often each is there."""
+    n, out = int(counts.sum()), np.empty(draws)
+    step = max(1, (1 << 20) // len(x))
+    for a in range(0, draws, step):
+        out[a : a + step] = rng.multinomial(n, counts / n, min(step, draws - a)) @ x / n
+    return out
+
+
 def binomial_redraw(rates: DataFrame, draws: int = 20_000, seed: int = 0, alpha: float = 0.05) -> DataFrame:
     """Interval, in percentage points, of the mean difference of rates when each instance's successes are drawn anew: lo, hi, mean, n.
 
@@ -185,12 +211,65 @@ def sign_flip(diffs: np.ndarray, draws: int = 100_000, seed: int = 0, exact: int
     return (hits + 1) / (draws + 1)
 
 
-def sign_flip_test(values: DataFrame, value: str, group: str) -> DataFrame:
-    """p by group; a group's differences are one for each instance."""
+#: Signs that one number gives; groups of which a task adds up draws at once.
+_BITS, _GROUPS = 30, 32
 
-    def test(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({group: [pdf[group].iloc[0]], "n": [len(pdf)], "p": [sign_flip(np.sort(pdf["v"].to_numpy()))]})
 
-    rows = values.where(F.col(value).isNotNull()).select(F.col(group), F.col(value).cast("double").alias("v"))
+def words(w: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """A number below 2^31 for the wth 30 draws of a row whose key hashes to h: as in picks(), so the same in any engine."""
+    return picks(w, h, PRIME)
+
+
+def sign_flip_test(values: DataFrame, value: str, group: str, key: str = "instance_id", draws: int = 100_000, exact: int = 24) -> DataFrame:
+    """(group, n, p): the two-sided p of each group's mean under random signs of its differences.
+
+    Zeros are dropped; n counts them. Groups of up to `exact` others try all signs. In larger
+    ones each row has a sign for each draw by a hash of its key; a task adds up its rows by
+    group and draw, so rows of a group never meet, and only sums are shuffled. A draw counts
+    whose sum is as far from 0 as the observed one, but for rounding; the observed one itself
+    is one of them.
+    """
+    h = F.pmod(hashed(F.lit("flip"), F.col(key).cast("string")), F.lit(PRIME))
+    rows = values.where(F.col(value).isNotNull()).select(F.col(group), F.col(value).cast("double").alias("v"), h.alias("h"))
     kind = rows.schema[group].dataType.simpleString()
-    return rows.groupBy(group).applyInPandas(test, f"{group} {kind}, n long, p double")
+    per = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("v") != 0).alias("k"), (F.abs(F.sum("v")) - 1e-9 * F.sum(F.abs("v"))).alias("least"))
+    per = written(per, "groups")
+    g = broadcast_up_to(per.select(F.col(group).alias("_g"), "k"), 1_000_000)
+    rows = rows.where("v != 0").join(g, F.col(group).eqNullSafe(F.col("_g"))).select(group, "v", "h", "k")
+
+    def test(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({group: [pdf[group].iloc[0]], "p": [sign_flip(np.sort(pdf["v"].to_numpy()), exact=exact)]})
+
+    few = rows.where(F.col("k") <= exact).select(group, "v").groupBy(group).applyInPandas(test, f"{group} {kind}, p double")
+    blocks = -(-draws // _BITS)
+
+    def added(batches):
+        sums: dict = {}
+        for pdf in batches:
+            for name, one in pdf.groupby(group, dropna=False):
+                own = sums.setdefault(None if pd.isna(name) else name, np.zeros((blocks, _BITS)))
+                v, hs = one["v"].to_numpy(), one["h"].to_numpy()
+                for i in range(0, len(v), 64):
+                    u = words(np.arange(blocks)[:, None], hs[None, i : i + 64])
+                    for bit in range(_BITS):
+                        own[:, bit] += (1 - 2 * ((u >> bit) & 1)) @ v[i : i + 64]
+                if len(sums) >= _GROUPS:
+                    yield from _given(sums, group, draws)
+                    sums = {}
+        yield from _given(sums, group, draws)
+
+    many = rows.where(F.col("k") > exact).select(group, "v", "h").mapInPandas(added, f"{group} {kind}, b int, s double")
+    many = many.groupBy(group, "b").agg(F.sum("s").alias("s")).join(broadcast_up_to(per.select(F.col(group).alias("_g"), "least"), 1_000_000), F.col(group).eqNullSafe(F.col("_g")))
+    many = many.groupBy(group).agg(((F.count_if(F.abs("s") >= F.col("least")) + 1) / (draws + 1)).alias("p"))
+    p = few.unionByName(many).select(F.col(group).alias("_g"), "p")
+    return per.join(p, F.col(group).eqNullSafe(F.col("_g")), "left").select(group, "n", F.coalesce("p", F.lit(1.0)).alias("p"))
+
+
+def _given(sums: dict, group: str, draws: int):  # noqa: ANN202
+    for name, s in sums.items():
+        yield pd.DataFrame({group: [name] * draws, "b": np.arange(draws, dtype=np.int32), "s": s.reshape(-1)[:draws]})
+
+
+def broadcast_up_to(df: DataFrame, rows: int) -> DataFrame:
+    """df, a written table, with a broadcast hint if it has up to so many rows."""
+    return F.broadcast(df) if df.count() <= rows else df

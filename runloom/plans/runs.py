@@ -110,10 +110,15 @@ def _bootstrap(s, d):
 
 
 def _sign_flip_exact(s, d):
-    """Groups of few instances, so all signs are tried; differences in whole hundredths."""
-    r = R.instance_report(runs(s, d)).where("degradation IS NOT NULL").select((F.col("instance_id") % 211).alias("side"), F.floor(F.col("degradation") + F.lit(0.5)).alias("degradation"))
-    few = r.where("degradation != 0").groupBy("side").count().where("count <= 12").select("side")
-    return stats.sign_flip_test(r.join(few, "side", "left_semi"), "degradation", "side")
+    """Groups of ten instances, so all signs are tried; differences in whole hundredths."""
+    r = R.instance_report(runs(s, d)).where("degradation IS NOT NULL").select("instance_id", F.floor(F.col("instance_id") / 10).alias("side"), F.floor(F.col("degradation") + F.lit(0.5)).alias("degradation"))
+    return stats.sign_flip_test(r, "degradation", "side")
+
+
+def _sign_flip(s, d):
+    """Two large groups, so signs are drawn."""
+    r = R.instance_report(runs(s, d)).withColumn("side", F.when(F.col("instance_id") % 2 == 0, "even").otherwise("odd"))
+    return stats.sign_flip_test(r, "degradation", "side")
 
 
 def _binomial(s, d):
@@ -130,10 +135,17 @@ u2 AS (SELECT b, ((u * u % {stats.PRIME}) * (u * u % {stats.PRIME}) % {stats.PRI
 p AS (SELECT b, ((u * u % {stats.PRIME}) * (u * u % {stats.PRIME}) % {stats.PRIME} * u % {stats.PRIME}) % n AS i FROM u2, c),
 m AS (SELECT b, avg(v) AS m FROM p JOIN v USING (i) GROUP BY b)
 SELECT round(quantile_cont(m, 0.025), 8) AS lo, round(quantile_cont(m, 0.975), 8) AS hi, round(any_value(mean), 8) AS mean, any_value(n) AS n FROM m, c""")
-_add("q_stats_sign_flip_exact", _sign_flip_exact, _REPORT + """, d AS (SELECT instance_id % 211 AS side, CAST(floor(degradation + 0.5) AS BIGINT) AS v FROM r WHERE degradation IS NOT NULL),
-few AS (SELECT side FROM d WHERE v != 0 GROUP BY 1 HAVING count(*) <= 12), z AS (SELECT side, v, row_number() OVER (PARTITION BY side ORDER BY v) - 1 AS i FROM d WHERE v != 0 AND side IN (SELECT side FROM few)),
-zn AS (SELECT side, count(*) AS k, sum(v) AS t FROM z GROUP BY 1), sg AS (SELECT zn.side, k, t, g, sum(CASE WHEN (g >> i) & 1 = 1 THEN -v ELSE v END) AS x FROM zn, range(4096) u(g), z WHERE g < (1 << k) AND z.side = zn.side GROUP BY ALL)
-SELECT side, (SELECT count(*) FROM d WHERE d.side = sg.side) AS n, count(*) FILTER (abs(x) >= abs(t)) / CAST(count(*) AS DOUBLE) AS p FROM sg GROUP BY side""")
+_add("q_stats_sign_flip_exact", _sign_flip_exact, _REPORT + """, d AS (SELECT instance_id // 10 AS side, CAST(floor(degradation + 0.5) AS BIGINT) AS v FROM r WHERE degradation IS NOT NULL),
+z AS (SELECT side, v, row_number() OVER (PARTITION BY side ORDER BY v) - 1 AS i FROM d WHERE v != 0),
+zn AS (SELECT side, count(*) AS k, sum(v) AS t FROM z GROUP BY 1), sg AS (SELECT zn.side, k, t, g, sum(CASE WHEN (g >> i) & 1 = 1 THEN -v ELSE v END) AS x FROM zn, range(1024) u(g), z WHERE g < (1 << k) AND z.side = zn.side GROUP BY ALL),
+p AS (SELECT side, count(*) FILTER (abs(x) >= abs(t)) / CAST(count(*) AS DOUBLE) AS p FROM sg GROUP BY side)
+SELECT side, n, coalesce(p, 1.0) AS p FROM (SELECT side, count(*) AS n FROM d GROUP BY 1) LEFT JOIN p USING (side)""")
+_add("q_stats_sign_flip", _sign_flip, _REPORT + f""", d AS (SELECT CASE WHEN instance_id % 2 = 0 THEN 'even' ELSE 'odd' END AS side, degradation AS v, CAST('0x' || substr(md5('flip|' || instance_id), 1, 8) AS BIGINT) % {stats.PRIME} AS h FROM r WHERE degradation IS NOT NULL),
+g AS (SELECT side, count(*) AS n, abs(sum(v)) - 1e-9 * sum(abs(v)) AS least FROM d GROUP BY 1), u1 AS (SELECT side, v, w, (w * 1000003 + h * 7919 + 12345) % {stats.PRIME} AS u FROM d, range(3334) t(w) WHERE v != 0),
+u2 AS (SELECT side, v, w, ((u * u % {stats.PRIME}) * (u * u % {stats.PRIME}) % {stats.PRIME} * u % {stats.PRIME} + 31 * w) % {stats.PRIME} AS u FROM u1),
+u3 AS (SELECT side, v, w, (u * u % {stats.PRIME}) * (u * u % {stats.PRIME}) % {stats.PRIME} * u % {stats.PRIME} AS u FROM u2),
+f AS (SELECT side, w * 30 + b AS b, sum(CASE WHEN (u >> b) & 1 = 1 THEN -v ELSE v END) AS s FROM u3, range(30) t(b) WHERE w * 30 + b < 100000 GROUP BY 1, 2)
+SELECT side, any_value(n) AS n, (count(*) FILTER (abs(s) >= least) + 1) / 100001.0 AS p FROM f JOIN g USING (side) GROUP BY side""")
 _add("q_stats_degradation_intervals", lambda s, d: report.degradation_intervals(runs(s, d)).select("instance_id", F.round("p1", 9).alias("p1"), F.round("p2", 9).alias("p2"), "n_baseline", "n_mutant"), _REPORT + """
 SELECT instance_id, round(bl_resolved / CAST(bl_n AS DOUBLE), 9) AS p1, round(mt_resolved / CAST(mt_n AS DOUBLE), 9) AS p2, bl_n AS n_baseline, mt_n AS n_mutant FROM r WHERE bl_n > 0 AND mt_n > 0""")
 _add("q_runs_errors", lambda s, d: report.errors(runs(s, d), 3), _W + """, c AS (
@@ -148,5 +160,4 @@ SELECT baseline_resolved, baseline_runs, 100.0 * baseline_resolved / baseline_ru
   100.0 * x / scoped_baseline_runs AS scoped_baseline_rate, scoped_baseline_runs, 100.0 * x / scoped_baseline_runs - 100.0 * mutant_resolved / mutant_runs AS pooled_degradation, mean_degradation FROM o, sc, ex""")
 _add("q_stats_report", lambda s, d: report.statistics(runs(s, d)))
 _add("q_stats_relative_change", lambda s, d: stats.relative_change_bootstrap(runs(s, d), "steps"))
-_add("q_stats_sign_flip", lambda s, d: stats.sign_flip_test(R.instance_report(runs(s, d)).withColumn("side", F.when(F.col("instance_id") % 2 == 0, "even").otherwise("odd")), "degradation", "side"))
 _add("q_stats_binomial_redraw", _binomial)

@@ -99,6 +99,9 @@ def test_bootstrap_of_the_mean_against_plain_draws(spark, monkeypatch):
     monkeypatch.setattr(stats, "MOST_VALUES", 10)  # the way beyond the broadcast
     wide = stats.bootstrap_mean(v, "d", draws=4000).first()
     assert np.allclose((wide.lo, wide.hi), want, atol=0.08) and (wide["mean"], wide.n) == (all_["mean"], 40)
+    monkeypatch.setattr(stats, "MOST_VALUES", 1 << 20)
+    same = stats.bootstrap_mean(v, "d", draws=4000).first()
+    assert np.allclose((wide.lo, wide.hi), (same.lo, same.hi), rtol=1e-12)  # one definition, whatever the way
     one = stats.bootstrap_mean(v.where("instance_id = 2"), "d").first()
     none = stats.bootstrap_mean(v.limit(0), "d").first()
     assert (one.lo, one.hi, one.n) == (4.0, 4.0, 1) and (none.lo, none["mean"], none.n) == (0.0, 0.0, 0)
@@ -125,6 +128,32 @@ def test_instances_are_resampled_apart(spark):
     assert y.hi - y.lo < 0.6 * (x.hi - x.lo) and (y["mean"], y.n) == (0.0, 8)
 
 
+def test_sign_flips_by_rows_that_never_meet(spark):
+    rng = np.random.default_rng(8)
+    d = {g: rng.normal(0.35, 1, n).round(2).tolist() for g, n in (("small", 9), ("twenty", 20), ("large", 400))} | {"zeros": [0.0] * 5, None: [1.0, -2.0, 0.0]}
+    rows = [(g, f"{g}-{i}", x) for g, xs in d.items() for i, x in enumerate(xs)] + [("small", "null", None)]
+    df = spark.createDataFrame(rows, "side string, instance_id string, v double").repartition(7)
+    exact = {r["side"]: (r["n"], r["p"]) for r in stats.sign_flip_test(df, "v", "side").collect()}
+    assert {g: x[0] for g, x in exact.items()} == {g: len(xs) for g, xs in d.items()} and exact["zeros"] == (5, 1.0)
+    assert all(exact[g][1] == stats.sign_flip(d[g]) for g in ("small", "twenty", None))
+    drawn = {r["side"]: r["p"] for r in stats.sign_flip_test(df, "v", "side", exact=0).collect()}
+    assert all(abs(drawn[g] - exact[g][1]) < 0.006 for g in ("small", "twenty")) and drawn["large"] == exact["large"][1]
+    assert abs(drawn["large"] - stats.sign_flip(d["large"], draws=50_000)) < 0.006
+    one = {r["side"]: r["p"] for r in stats.sign_flip_test(df.coalesce(1), "v", "side", exact=0).collect()}
+    assert one == drawn  # however rows are dealt
+
+
+def test_relative_changes_by_counted_values(spark):
+    rng = np.random.default_rng(2)
+    rows = [(f"i{k}", t, float(x)) for k in range(6) for t, m in (("baseline", 20), ("mutant", 26)) for x in rng.poisson(m, 30)] + [("none", "mutant", 3.0), ("zero", "baseline", 0.0), ("zero", "mutant", 2.0)]
+    x = stats.relative_change_bootstrap(spark.createDataFrame(rows, "instance_id string, run_type string, steps double"), "steps", draws=5000).first()
+    side = lambda k, t: np.array([v for i, tt, v in rows if i == f"i{k}" and tt == t])
+    plain = np.mean([(lambda b, m: (m - b) / b * 100)(*(s[rng.integers(0, 30, (5000, 30))].mean(axis=1) for s in (side(k, "baseline"), side(k, "mutant")))) for k in range(6)], axis=0)
+    want = np.mean([(side(k, "mutant").mean() / side(k, "baseline").mean() - 1) * 100 for k in range(6)])
+    assert x.instances == 6 and abs(x.change - want) < 1e-9
+    assert np.allclose((x.lo, x.hi), np.quantile(plain, [0.025, 0.975]), atol=0.5)
+
+
 def test_statistics_report_and_files(spark, tmp_path):
     from runloom.operators import report
 
