@@ -45,6 +45,71 @@ def triage(rows: DataFrame) -> DataFrame:
     return violations(rows, {"score": F.col("score").between(0, 100), "confidence": F.col("confidence").between(0, 1), "priority": F.col("priority").isin("high", "medium", "low"), "include": ~(F.col("include") & (F.col("priority") == "low"))})
 
 
+def triage_answers(answers: DataFrame, shown: DataFrame) -> DataFrame:
+    """(case_id, violations, evidence) of answers (case_id, response: JSON text), held against the events as the prompt showed them.
+
+    shown: case_id, id, and the struct shown of triage.compacted() or prompt_events(): an
+    event's content, or its two ends with the length of all of it. Types are strict: a number
+    in quotes is none, a fraction is no score. Rules: object, include (true or false), priority
+    (high, medium, low), priority_low (not for what is included), score (a whole number from 0
+    to 100), confidence (0 to 1), tags and metadata_evidence (lists of texts that aren't blank),
+    rationale, trajectory_evidence (a list of objects, not empty), and of each of these event
+    (shown), quote (in what is shown of it) and why.
+
+    evidence has those whose quote was found, in order: event_id, quote, part (content,
+    content_start or content_end), start and stop in the event's whole content. In a content
+    shown whole a quote may differ in case, spaces, quotes or dashes; it becomes the text's
+    own. A null response, or one that isn't JSON, breaks object alone.
+    """
+    v = answers.select("case_id", F.try_parse_json("response").alias("_v"))
+    kind = lambda path: F.schema_of_variant(F.try_variant_get("_v", path, "variant"))
+    get = lambda path, t: F.try_variant_get("_v", path, t)
+    is_text = lambda path: F.coalesce(kind(path) == "STRING", F.lit(False)) & F.coalesce(get(path, "string").rlike(r"\S"), F.lit(False))
+    number = lambda path, *kinds: F.coalesce(kind(path).rlike("^(?:" + "|".join(kinds) + ")"), F.lit(False))
+    texts = lambda path: kind(path).isin("ARRAY<STRING>", "ARRAY<VOID>") & F.forall(get(path, "array<string>"), lambda x: F.coalesce(x.rlike(r"\S"), F.lit(False)))
+    priority, include = F.when(kind("$.priority") == "STRING", get("$.priority", "string")), F.when(kind("$.include") == "BOOLEAN", get("$.include", "boolean"))
+    items = get("$.trajectory_evidence", "array<variant>")
+    top = {
+        "include": include.isNotNull(),
+        "priority": priority.isin("high", "medium", "low"),
+        "priority_low": ~(F.coalesce(include, F.lit(False)) & F.coalesce(priority == "low", F.lit(False))),
+        "score": number("$.score", "BIGINT$") & get("$.score", "long").between(0, 100),
+        "confidence": number("$.confidence", "BIGINT$", "DOUBLE$", "DECIMAL") & get("$.confidence", "double").between(0, 1),
+        "tags": texts("$.tags"),
+        "rationale": is_text("$.rationale"),
+        "metadata_evidence": texts("$.metadata_evidence"),
+        "trajectory_evidence": kind("$.trajectory_evidence").startswith("ARRAY") & (F.size(items) > 0) & F.forall(items, lambda x: F.coalesce(F.schema_of_variant(x).startswith("OBJECT"), F.lit(False))),
+    }
+    whole = kind("$").startswith("OBJECT")
+    checked = violations(v.withColumn("_items", items), {"object": whole} | {n: ~F.coalesce(whole, F.lit(False)) | ok for n, ok in top.items()})
+
+    part = lambda path: F.when(F.schema_of_variant(F.try_variant_get("_i", path, "variant")) == "STRING", F.try_variant_get("_i", path, "string"))
+    each = checked.select("case_id", F.posexplode("_items").alias("_at", "_i")).where(F.coalesce(F.schema_of_variant("_i").startswith("OBJECT"), F.lit(False)))
+    each = each.select("case_id", "_at", part("$.event_id").alias("event_id"), part("$.quote").alias("quote"), part("$.why").alias("why"))
+    j = each.join(shown.select("case_id", F.col("id").alias("event_id"), "shown", F.lit(True).alias("_known")), ["case_id", "event_id"], "left")
+    inside = lambda c: F.coalesce(F.contains(F.col(f"shown.{c}"), F.col("quote")) & (F.col("quote") != ""), F.lit(False))
+    folded = locate_quote("quote", "shown.content")
+    j = j.withColumn("_folded", F.when(F.col("_known") & (F.col("quote") != "") & F.col("shown.content").isNotNull() & ~inside("content"), folded))
+    at = lambda c: F.instr(F.col(f"shown.{c}"), F.col("quote")) - 1
+    size = F.length("quote")
+    found = lambda c, start: F.struct(F.col("quote").alias("quote"), F.lit(c).alias("part"), start.cast("int").alias("start"), (start + size).cast("int").alias("stop"))
+    own = F.struct(F.substring(F.col("shown.content"), F.col("_folded.start") + 1, F.col("_folded.stop") - F.col("_folded.start")).alias("quote"), F.lit("content").alias("part"), F.col("_folded.start").alias("start"), F.col("_folded.stop").alias("stop"))
+    back = F.col("shown.content_length") - F.length("shown.content_end")
+    place = F.when(inside("content"), found("content", at("content"))).when(inside("content_start"), found("content_start", at("content_start"))).when(inside("content_end"), found("content_end", back + at("content_end"))).when(F.col("_folded.start").isNotNull(), own)
+    j = j.withColumn("_place", place)
+    broken = lambda ok: F.bool_and(F.coalesce(ok, F.lit(False)))
+    per = j.groupBy("case_id").agg(
+        broken(F.col("_known")).alias("_event"),
+        broken(F.col("_place").isNotNull() | F.col("_known").isNull()).alias("_quote"),
+        broken(F.col("why").rlike(r"\S")).alias("_why"),
+        F.array_sort(F.collect_list(F.when(F.col("_place").isNotNull(), F.struct("_at", "event_id", "_place")))).alias("_found"),
+    )
+    out = checked.join(per, "case_id", "left")
+    more = F.filter(F.array(*[F.when(~F.coalesce(c, F.lit(True)), n) for c, n in ((F.col("_event"), "event"), (F.col("_quote"), "quote"), (F.col("_why"), "why"))]), lambda x: x.isNotNull())
+    spans = F.transform("_found", lambda x: F.struct(x["event_id"].alias("event_id"), x["_place"]["quote"].alias("quote"), x["_place"]["part"].alias("part"), x["_place"]["start"].alias("start"), x["_place"]["stop"].alias("stop")))
+    return out.select("case_id", F.concat("violations", more).alias("violations"), F.coalesce(spans, F.array().cast("array<struct<event_id: string, quote: string, part: string, start: int, stop: int>>")).alias("evidence"))
+
+
 def clues(rows: DataFrame, issues: DataFrame, categories: list[str], roles: list[str], strengths: list[str]) -> DataFrame:
     """Clues with their places in the issue's text and the rules that each breaks.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from runloom.operators import datasets as D
-from runloom.operators import mutants
+from runloom.operators import mutants, validate
 from runloom.operators import triage as T
 from runloom.plans.tables import table
 
@@ -91,6 +91,28 @@ def _shown(df):
 
 
 _CUSTOMERS = r"Customer#0{5,6}\d*[13]"
+#: What is wrong with a conversation's answer, by its id modulo their number; the last two find their quotes.
+_WRONG = ("include", "priority_low", "score", "confidence", "tags", "rationale", "metadata_evidence", "trajectory_evidence", "event", "quote", "why", "", "")
+
+
+def _triage_answers(s, d):
+    """An answer for each conversation, with a quote of its last message's end, held against messages whose two ends are shown."""
+    shown = T.prompt_events(_messages(s, d), 900).select("case_id", F.concat(F.lit("E"), "turn").alias("id"), "shown")
+    last = _messages(s, d).groupBy("case_id").agg(F.max(F.struct("turn", F.coalesce("content", F.lit("")).alias("content"))).alias("x"))
+    wrong = F.element_at(F.array(*map(F.lit, _WRONG)), (F.pmod("case_id", F.lit(len(_WRONG))) + 1).cast("int"))
+    w = lambda n, bad, good: F.when(F.col("w") == n, F.lit(bad)).otherwise(F.lit(good))
+    quote = F.when(F.col("w") == "quote", "zqz#").otherwise(F.right("x.content", F.lit(5)))
+    item = F.to_json(F.struct(F.when(F.col("w") == "event", "E999").otherwise(F.concat(F.lit("E"), "x.turn")).alias("event_id"), quote.alias("quote"), w("why", " ", "so").alias("why")))
+    fields = [
+        F.concat(F.lit('"include": '), w("include", '"yes"', "true")), F.concat(F.lit('"priority": '), w("priority_low", '"low"', '"high"')), F.concat(F.lit('"score": '), w("score", "50.5", "50")), F.concat(F.lit('"confidence": '), w("confidence", '"0.5"', "0.5")),
+        F.concat(F.lit('"tags": '), w("tags", '["a", " "]', "[]")), F.concat(F.lit('"rationale": '), w("rationale", '" "', '"since"')), F.concat(F.lit('"metadata_evidence": '), w("metadata_evidence", "[1]", '["x"]')), F.concat(F.lit('"trajectory_evidence": ['), F.when(F.col("w") == "trajectory_evidence", "").otherwise(item), F.lit("]")),
+    ]
+    answers = last.withColumn("w", wrong).select("case_id", F.concat(F.lit("{"), F.concat_ws(", ", *fields), F.lit("}")).alias("response"))
+    out = validate.triage_answers(answers, shown)
+    e = F.element_at("evidence", 1)
+    return out.select("case_id", F.array_join("violations", ",").alias("violations"), F.size("evidence").alias("n_found"), F.when(F.size("evidence") > 0, e["part"]).alias("part"), F.when(F.size("evidence") > 0, e["start"].cast("long")).alias("start"))
+
+
 _POOL = ["rename_variable", "swap_operands", "dead_string_assignment", "dead_method_injection", "unroll_loop", "string_literal_splitter"]
 
 
@@ -122,6 +144,7 @@ SELECT m AS mutant_id, CAST(nth AS INT) AS nth, name, target, round(p, 6) AS p_f
 
 
 QUERIES = {
+    "q_validate_triage": _triage_answers,
     "q_sampling_mutants": _mutants,
     "q_data_hints": _hints,
     "q_data_statements": _statements,
@@ -150,6 +173,12 @@ _M = "WITH m AS (SELECT conv_id AS case_id, turn, role, coalesce(length(text), 0
 _B = [28_000, 12_000, 9_000, 6_000, 4_500, 3_000, 2_000, 1_200]
 SQL = {
     "q_sampling_mutants": _MUTANTS_SQL,
+    "q_validate_triage": f"""WITH m AS (SELECT conv_id AS c, turn, coalesce(text, '') AS t, least(12000, 900 // count(*) OVER (PARTITION BY conv_id)) AS b FROM conversations),
+l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn DESC, t DESC) AS n FROM m) WHERE n = 1),
+x AS (SELECT c, t, right(t, 5) AS q, [{', '.join(f"'{w}'" for w in _WRONG)}][c % {len(_WRONG)} + 1] AS w, CASE WHEN length(t) > b THEN left(t, b // 2) END AS s, CASE WHEN length(t) > b THEN right(t, b - b // 2) END AS e FROM l),
+p AS (SELECT *, CASE WHEN w IN ('trajectory_evidence', 'event', 'quote') OR q = '' THEN NULL WHEN s IS NULL THEN 'content' WHEN contains(s, q) THEN 'content_start' ELSE 'content_end' END AS part FROM x)
+SELECT c AS case_id, CASE WHEN w = '' AND q = '' THEN 'quote' ELSE w END AS violations, CASE WHEN part IS NULL THEN 0 ELSE 1 END AS n_found, part,
+  CASE part WHEN 'content' THEN strpos(t, q) - 1 WHEN 'content_start' THEN strpos(s, q) - 1 WHEN 'content_end' THEN length(t) - length(e) + strpos(e, q) - 1 END AS start FROM p""",
     "q_data_hints": """WITH c AS (SELECT l_orderkey AS pull, l_linenumber % 2 AS i, l_linenumber, l_partkey, CAST(l_shipdate AS DATE) AS u, coalesce(CAST(l_shipdate AS DATE) < CAST(o_orderdate AS DATE) + 60 AND o_orderkey % 9 != 0, false) AS ok FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey),
 r AS (SELECT *, min(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY pull, i ORDER BY l_linenumber, l_partkey, u ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS a FROM c),
 b AS (SELECT pull, i, coalesce(string_agg(CAST(l_partkey AS VARCHAR), chr(10) ORDER BY l_linenumber, l_partkey, u) FILTER (a = 1), '') AS t FROM r GROUP BY 1, 2)
