@@ -60,6 +60,31 @@ def recall(gold: DataFrame, hits: DataFrame, query: str, key: str) -> DataFrame:
     return r.agg(F.count(F.lit(1)).alias("n"), F.avg("r").alias("recall_avg"), F.avg((F.col("r") == 1).cast("int")).alias("recall_all"), F.avg((F.col("r") > 0).cast("int")).alias("recall_any"))
 
 
+def prompt_files(text: Column) -> Column:
+    """The files whose blocks `[start of f]` to `[end of f]` a prompt holds, each once; a block in a block is part of its text. A readme that comes first isn't one of them."""
+    found = F.regexp_extract_all(text, F.lit(r"(?U)\[start of ([\w.\-/]+)\]\n[\s\S]+?\n\[end of \1\]"), F.lit(1))
+    rest = F.when(F.contains(F.lower(F.get(found, 0)), F.lit("readme")), F.slice(found, 2, F.greatest(F.size(found) - 1, F.lit(0)))).otherwise(found)
+    return F.array_distinct(F.coalesce(rest, F.array().cast("array<string>")))
+
+
+def patched_files(patch: Column) -> Column:
+    """The files that a patch has old sides of, each once."""
+    return F.array_distinct(F.coalesce(F.regexp_extract_all(patch, F.lit(r"--- a/(.+)"), F.lit(1)), F.array().cast("array<string>")))
+
+
+def prompt_recalls(rows: DataFrame, key: str, text: str, patch: str) -> DataFrame:
+    """(key, n_retrieved, n_gold, recall) of prompts by the files of their gold patches; without retrieved files 0. Rows whose patch names no file are left out."""
+    r = rows.select(key, prompt_files(F.col(text)).alias("_r"), patched_files(F.col(patch)).alias("_g")).where(F.size("_g") > 0)
+    return r.select(key, F.size("_r").alias("n_retrieved"), F.size("_g").alias("n_gold"), (F.size(F.array_intersect("_r", "_g")) / F.size("_g")).alias("recall"))
+
+
+def recall_summary(recalls: DataFrame) -> DataFrame:
+    """One row: n, and in per cent recall_avg, recall_all and recall_any."""
+    r = F.col("recall")
+    per = lambda c: F.round(100 * F.avg(c), 2)
+    return recalls.agg(F.count(F.lit(1)).alias("n"), per(r).alias("recall_avg"), per((r == 1).cast("int")).alias("recall_all"), per((r > 0).cast("int")).alias("recall_any"))
+
+
 def closure(edges: DataFrame, src: str = "src", dst: str = "dst", most: int = 10_000) -> DataFrame:
     """All pairs (a, b) that imports connect, over any number of steps; cycles do no harm.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from runloom.functions import charset
 from runloom.functions import text as X
 from runloom.operators import datasets, index, retrieval
 from runloom.operators.runs import hashed
@@ -103,6 +104,27 @@ def _gold(s, d):
     return found.where(F.col("text").contains(F.col("k"))).select("item_id", "doc_id").distinct()
 
 
+def _prompts(s, d):
+    """Prompts made from parts: a readme, a file, one that never ends, one around another; patches of up to three files."""
+    k = F.col("p_partkey")
+    block = lambda f, body: F.concat(F.lit("[start of "), f, F.lit("]\n"), body, F.lit("\n[end of "), f, F.lit("]\n"))
+    of = lambda p, n: F.concat(F.lit(f"src/{p}"), n, F.lit(".py"))
+    text = F.concat(F.lit("premise\n"), F.when(k % 2 == 0, block(F.lit("README.md"), F.lit("read"))).otherwise(""), F.when(k % 10 != 3, block(of("f", k), F.col("p_name"))).otherwise(""), F.when(k % 3 == 0, "[start of src/g.py]\nnever closed\n").otherwise(""), F.when(k % 10 != 3, block(of("h", k % 5), block(F.lit("src/inner.py"), F.lit("x")))).otherwise(""))
+    side = lambda f: F.concat(F.lit("--- a/"), f, F.lit("\n+++ b/"), f, F.lit("\n@@ -1 +1 @@\n-a\n+b\n"))
+    patch = F.concat(F.when(k % 4 != 0, side(of("f", k))).otherwise(""), F.when(k % 7 < 5, side(of("h", k % 7))).otherwise(""), F.when(k % 5 == 1, side(F.lit("src/inner.py"))).otherwise(""))
+    rows = table(s, d, "part").select("p_partkey", text.alias("text"), patch.alias("patch"))
+    return retrieval.prompt_recalls(rows, "p_partkey", "text", "patch")
+
+
+def _encodings(s, d):
+    """Documents as bytes in one of five encodings, or no text at all; only those that all of these can write."""
+    own = table(s, d, "documents").where(F.col("text").rlike(r"^[\x{09}\x{0A}\x{0D}\x{20}-\x{7E}\x{A1}-\x{FF}]*$"))
+    k = F.col("doc_id") % 6
+    mark = F.encode("text", "UTF-16")
+    raw = F.when(k == 0, F.encode("text", "UTF-8")).when(k == 1, F.encode("text", "ISO-8859-1")).when(k == 2, mark).when(k == 3, F.encode("text", "UTF-16LE")).when(k == 4, F.encode("text", "UTF-16BE")).otherwise(F.unhex(F.concat(F.lit("00"), F.sha2("text", 256), F.lit("0102"))))
+    return own.select("doc_id", charset.read_text(raw).alias("x")).select("doc_id", F.md5(F.col("x.text").cast("binary")).alias("text_md5"))
+
+
 def _shards(s, d):
     """Contiguous shards of equal size within a language, and a seeded order."""
     doc = table(s, d, "documents")
@@ -119,6 +141,7 @@ def _label_split(s, d):
 _WORDS = r"len(list_filter(string_split_regex(trim({c}), '\s+'), lambda x: x != ''))"
 QUERIES = {
     "q_text_criteria": _criteria, "q_text_diff_summary": _diffs, "q_text_compaction": _compaction, "q_text_keyword_grep": _grep, "q_text_context_packing": _packing,
+    "q_retrieval_prompts": _prompts, "q_text_encodings": _encodings,
     "q_retrieval_bm25": _bm25, "q_retrieval_index": _indexed, "q_retrieval_recall": lambda s, d: retrieval.recall(_gold(s, d), _bm25(s, d), "item_id", "doc_id"),
     "q_sampling_shards": _shards, "q_text_label_split": _label_split,
     "q_sets_common_users": lambda s, d: table(s, d, "events").select(F.col("user_id").alias("id")).intersect(table(s, d, "customer").select(F.col("c_custkey").alias("id"))),
@@ -129,6 +152,9 @@ QUERIES = {
     "q_data_take": lambda s, d: datasets.take(table(s, d, "documents").select("doc_id"), "doc_id", 50),
 }
 SQL = {
+    "q_retrieval_prompts": """WITH p AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 10 = 3 THEN 0 ELSE 2 END AS n_retrieved, CASE WHEN p_partkey % 4 != 0 THEN 1 ELSE 0 END AS f, CASE WHEN p_partkey % 7 < 5 THEN 1 ELSE 0 END AS h, CASE WHEN p_partkey % 5 = 1 THEN 1 ELSE 0 END AS i FROM part)
+SELECT k AS p_partkey, n_retrieved, f + h + i AS n_gold, CASE WHEN n_retrieved = 0 THEN 0 ELSE f + CASE WHEN h = 1 AND k % 7 = k % 5 THEN 1 ELSE 0 END END / CAST(f + h + i AS DOUBLE) AS recall FROM p WHERE f + h + i > 0""",
+    "q_text_encodings": r"""SELECT doc_id, md5(CASE WHEN doc_id % 6 = 5 THEN '[BINARY DATA FILE]' ELSE text END) AS text_md5 FROM documents WHERE regexp_matches(text, '^[\x{09}\x{0A}\x{0D}\x{20}-\x{7E}\x{A1}-\x{FF}]*$')""",
     "q_text_criteria": r"""WITH p AS (SELECT page_id, url, regexp_replace(coalesce(html, ''), '[0-9#./]', ' ', 'g') || CASE WHEN page_id % 3 = 0 THEN ' ' || sha1(CAST(page_id AS VARCHAR)) ELSE '' END || CASE WHEN page_id % 4 = 0 THEN ' see shot.PNG' ELSE '' END || CASE WHEN page_id % 5 = 0 THEN ' fixes #12' ELSE '' END AS t FROM pages)
 SELECT page_id, len(list_filter(string_split_regex(trim(t), '\s+'), lambda x: x != '')) AS n_words, coalesce(regexp_matches(url, 'https?://(www\.)?\S+'), false) AS link, page_id % 4 = 0 AS image, page_id % 3 = 0 AS commit_hash, page_id % 5 = 0 AS reference FROM p""",
     "q_text_diff_summary": "SELECT p_partkey, 1 AS files, 2 AS lines_added, 1 AS lines_removed, 1 AS hunks, 'ok' AS class, 'src/f' || p_partkey || '.py' AS file FROM part",
