@@ -119,10 +119,15 @@ def head_tail(c: Column, budget: Column, head: float = 0.65) -> Column:
     return F.when(F.length(c) > budget, F.concat(F.left(c, a), F.lit(" … "), F.right(c, (budget - a).cast("int")))).otherwise(c)
 
 
+def stripped(c: Column) -> Column:
+    """A text without white space of any kind at its ends."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def issue_text(c: Column) -> Column:
     """The body of <issue> or <pr_description>, else the whole text."""
-    body = F.trim(F.regexp_extract(c, r"(?is)<(?:issue|pr_description)>(.*?)</(?:issue|pr_description)>", 1))
-    return F.when(body != "", body).otherwise(F.trim(c))
+    body = stripped(F.regexp_extract(c, r"(?is)<(?:issue|pr_description)>(.*?)</(?:issue|pr_description)>", 1))
+    return F.when(body != "", body).otherwise(stripped(c))
 
 
 def shortened(c: Column, width: int, left: bool = False) -> Column:
@@ -289,12 +294,12 @@ def is_test_path(path: Column) -> Column:
 def one_action(content: Column, fence: str = "bash") -> Column:
     """The command of a message that holds exactly one fenced block; null otherwise."""
     found = F.regexp_extract_all(content, F.lit(rf"(?s)```{fence}\s*\n(.*?)\n```"), F.lit(1))
-    return F.when(F.size(found) == 1, F.trim(found[0]))
+    return F.when(F.size(found) == 1, stripped(found[0]))
 
 
 def is_submission(output: Column, returncode: Column, sentinels: tuple[str, ...]) -> Column:
     """An output whose first line is a sentinel, of a command that succeeded."""
-    first = F.trim(F.substring_index(F.regexp_replace(output, r"^\s+", ""), "\n", 1))
+    first = stripped(F.substring_index(F.regexp_replace(output, r"^\s+", ""), "\n", 1))
     return F.coalesce(first.isin(*sentinels) & (F.coalesce(returncode, F.lit(0)) == 0), F.lit(False))
 
 
@@ -317,7 +322,7 @@ def json_reply(c: Column) -> Column:
 def keywords(c: Column) -> Column:
     """keywords and failed of a model's reply {"keywords": [...]}: trimmed, each once; failed tells a reply that isn't valid from an empty list."""
     parsed = F.from_json(json_reply(c), "keywords array<string>")["keywords"]
-    own = F.array_distinct(F.filter(F.transform(parsed, lambda x: F.trim(x)), lambda x: x != ""))
+    own = F.array_distinct(F.filter(F.transform(parsed, stripped), lambda x: x != ""))
     return F.struct(F.coalesce(own, F.array().cast("array<string>")).alias("keywords"), parsed.isNull().alias("failed"))
 
 

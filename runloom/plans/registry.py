@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("runs", "events", "grading", "text", "checks", "datasets", "sources")
+FAMILIES = ("runs", "events", "grading", "text", "checks", "datasets", "sources", "cases")
 
 
 def queries() -> dict:

@@ -18,7 +18,7 @@ def write_report(df: DataFrame, path: str, kind: str = "csv") -> None:
         one.write.mode("overwrite").json(path)
     else:
         flat = [F.to_json(c).alias(c) if t.startswith(("array", "map", "struct")) else F.col(c) for c, t in df.dtypes]
-        one.select(*flat).write.mode("overwrite").csv(path, header=True, nullValue="", emptyValue="")
+        one.select(*flat).write.mode("overwrite").csv(path, header=True, nullValue="", emptyValue="", escape='"')
 
 
 def spt_log(entries: DataFrame, sample: str, order: str) -> DataFrame:
