@@ -60,17 +60,34 @@ def fitting_budget(events: DataFrame, fixed: DataFrame, most: int = PROMPT, case
     return g.select(case, pick.alias("x")).select(case, "x.*")
 
 
-#: Names of a case's features, which are columns of checks.composite() or of the case.
-FEATURES = ("events", "resolved", "result_status", "patch_applied", "patch_exists", "n_failures", "test_runs", "test_failures", "test_reruns", "patch_iterations", "repeated_edits", "backtracking", "reversions", "errors", "unique_resources", "spt_available", "spt_entry_count", "spt_applied")
+#: A case's features, which are columns of checks.composite() or of the case, and their types.
+FEATURES = {
+    "events": "long", "resolved": "boolean", "result_status": "string", "patch_applied": "boolean", "patch_exists": "boolean", "n_failures": "long", "test_runs": "long", "test_failures": "long", "test_reruns": "long", "patch_iterations": "long",
+    "repeated_edits": "long", "backtracking": "long", "reversions": "long", "errors": "long", "unique_resources": "long", "spt_available": "boolean", "spt_entry_count": "long", "spt_applied": "boolean",
+}
 
 
-def features(checks: DataFrame, cases: DataFrame, files: DataFrame, case: str = "case_id") -> DataFrame:
-    """One row for each case: ids, format, FEATURES and the files of its events' patches (files: case, file); what neither table has is null."""
+def features(checks: DataFrame, cases: DataFrame, files: DataFrame, case: str = "case_id", repeated: DataFrame | None = None, needed: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each case: ids, format, FEATURES and the files of its events' patches (files: case, file).
+
+    Types are always the same; what neither table has is null, but for a feature in `needed`,
+    which is an error, as is a name there that is no feature. repeated: case, file, events, as
+    repeatedly_edited() gives them, becomes the map repeated_file_edits.
+    """
+    if unknown := set(needed) - set(FEATURES):
+        raise ValueError(f"no such features: {', '.join(sorted(unknown))}")
     f = files.groupBy(case).agg(F.array_sort(F.collect_set("file")).alias("patched_files"))
     own = [c for c in cases.columns if c == case or c not in checks.columns]
     j = checks.join(cases.select(*own), case, "left").join(f, case, "left")
-    there = [c if c in j.columns else F.lit(None).cast("string").alias(c) for c in ("case_name", "format", *FEATURES)]
-    return j.select(case, *there, F.coalesce("patched_files", F.array().cast("array<string>")).alias("patched_files"))
+    if lacking := sorted(set(needed) - set(j.columns)):
+        raise ValueError(f"neither table has {', '.join(lacking)}")
+    kinds = {"case_name": "string", "format": "string", **FEATURES}
+    there = [(F.col(c) if c in j.columns else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()]
+    out = j.select(case, *there, F.coalesce("patched_files", F.array().cast("array<string>")).alias("patched_files"))
+    if repeated is None:
+        return out
+    r = repeated.groupBy(case).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("file"), F.col("events").cast("long"))))).alias("repeated_file_edits"))
+    return out.join(r, case, "left").withColumn("repeated_file_edits", F.coalesce("repeated_file_edits", F.create_map().cast("map<string,bigint>")))
 
 
 def compact_case(cases: DataFrame, keep: list[str], limit: int = 4000) -> DataFrame:

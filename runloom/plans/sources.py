@@ -132,8 +132,36 @@ def _archived(s, d):
     return out.select("sample", "n_files", "n_chars", F.md5(F.array_join(F.transform("x", lambda f: F.concat(f["path"], F.lit("="), f["content"])), "|").cast("binary")).alias("digest"))
 
 
-QUERIES = {"q_sources_archive": _archived, "q_source_imports": _imports, "q_source_documents": _symbols, "q_sources_records": _records, "q_sources_outcomes": lambda s, d: archives.outcomes(files(s, d)), "q_sources_events": _events, "q_sources_match_results": _match, "q_validate_graph": _graph, "q_validate_evidence": _evidence, "q_retrieval_closure": _closure}
+def _sessions(s, d):
+    """Sessions of the other dialect from orders: a question, and one to three turns with a step and a tool each; for some no cost is logged."""
+    k = _k()
+    turn = F.transform(F.sequence(F.lit(1), (k % 3 + 1).cast("int")), lambda i: F.concat(F.lit('{"info": {"role": "assistant", "time": {"created": '), (i * 2000 + 1_700_000_000_000).cast("string"), F.lit(', "completed": '), (i * 2000 + 1_700_000_003_000).cast("string"), F.lit('}}, "parts": [{"type": "step-start"}, {"type": "tool", "tool": "bash", "state": {"status": "completed", "input": {"command": "ls"}, "output": "out '), k, F.lit('"}}]}')))
+    question = F.array(F.lit('{"info": {"role": "user", "time": {"created": 1700000000000}}, "parts": [{"type": "text", "text": "why?"}]}'))
+    model = F.when(k % 2 == 0, "Qwen3-coder").otherwise("other")
+    info = F.concat(F.lit('{"info": {"id": "ses_'), k, F.lit('", "cost": '), F.when(k % 4 < 2, "0").otherwise(((k % 50) / 8).cast("string")), F.lit(', "model": {"id": "'), model, F.lit('", "providerID": "lab"}, "tokens": {"input": '), k % 5000, F.lit(', "output": '), k % 700, F.lit(', "reasoning": '), k % 11, F.lit(', "cache": {"read": '), k % 13, F.lit(', "write": '), k % 17, F.lit('}}}, "messages": ['), F.array_join(F.concat(question, turn), ", "), F.lit("]}"))
+    return trajectories.parsed(table(s, d, "orders").select(F.concat(F.lit("s-"), k).alias("sample"), info.alias("trajectory")))
+
+
+def _session_metrics(s, d):
+    t = trajectories.model_metadata(trajectories.metrics(_sessions(s, d)))
+    return t.select("sample", "dialect", "steps", F.round("cost", 9).alias("cost"), "exit_status", "input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens", "reasoning_tokens", F.col("metadata.model").alias("model"), F.col("metadata.provider").alias("provider"), F.round("metadata.cost", 6).alias("logged"))
+
+
+def _session_events(s, d):
+    e = trajectories.events(_sessions(s, d), "sample")
+    return e.select("sample", "id", "role", "kind", F.length("content").cast("long").alias("n_chars"), "tool_name", "tool_status", "tool_output", "timestamp", "duration_seconds", "duration_is_estimated")
+
+
+QUERIES = {"q_sources_sessions": _session_metrics, "q_sources_session_events": _session_events, "q_sources_archive": _archived, "q_source_imports": _imports, "q_source_documents": _symbols, "q_sources_records": _records, "q_sources_outcomes": lambda s, d: archives.outcomes(files(s, d)), "q_sources_events": _events, "q_sources_match_results": _match, "q_validate_graph": _graph, "q_validate_evidence": _evidence, "q_retrieval_closure": _closure}
 SQL = {
+    "q_sources_sessions": """WITH o AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 4 < 2 THEN 0 ELSE (o_orderkey % 50) / 8.0 END AS c FROM orders)
+SELECT 's-' || k AS sample, 'opencode' AS dialect, k % 3 + 1 AS steps, round(CASE WHEN c = 0 AND k % 2 = 0 THEN ((k % 5000) * 0.285 + (k % 700) * 2.4) / 1e6 ELSE c END, 9) AS cost, 'ok' AS exit_status,
+k % 5000 AS input_tokens, k % 700 AS output_tokens, k % 13 AS cache_read_tokens, k % 17 AS cache_write_tokens, k % 11 AS reasoning_tokens, CASE WHEN k % 2 = 0 THEN 'Qwen3-coder' ELSE 'other' END AS model, 'lab' AS provider, round(c, 6) AS logged FROM o""",
+    "q_sources_session_events": """WITH o AS (SELECT o_orderkey AS k, i, p FROM orders, range(4) t(i), range(2) u(p) WHERE i <= o_orderkey % 3 + 1 AND (i > 0 OR p = 0))
+SELECT 's-' || k AS sample, 'E' || CASE WHEN i = 0 THEN 0 ELSE 2 * i - 1 + p END AS id, CASE WHEN i = 0 THEN 'user' ELSE 'assistant' END AS role, CASE WHEN i = 0 THEN 'text' WHEN p = 0 THEN 'step-start' ELSE 'tool' END AS kind,
+CASE WHEN i = 0 THEN 4 WHEN p = 0 THEN 0 ELSE length('TOOL: bash' || chr(10) || 'INPUT:' || chr(10) || '{"command": "ls"}' || chr(10) || 'OUTPUT:' || chr(10) || 'out ' || k) END AS n_chars,
+CASE WHEN i > 0 AND p = 1 THEN 'bash' END AS tool_name, CASE WHEN i > 0 AND p = 1 THEN 'completed' END AS tool_status, CASE WHEN i > 0 AND p = 1 THEN 'out ' || k END AS tool_output,
+CAST(1700000000 + 2 * i AS DOUBLE) AS timestamp, CASE WHEN i > 0 THEN CAST(1.5 AS DOUBLE) END AS duration_seconds, i > 0 AS duration_is_estimated FROM o""",
     "q_sources_archive": """WITH c AS (SELECT 'c__' || conv_id AS sample, 'run/turns/' || turn || '.txt' AS path, coalesce(role, '') || chr(10) || coalesce(text, '') AS content FROM conversations)
 SELECT sample, count(*) AS n_files, CAST(sum(length(content)) AS BIGINT) AS n_chars, md5(string_agg(path || '=' || content, '|' ORDER BY path, content)) AS digest FROM c GROUP BY 1""",
     "q_sources_records": """WITH o AS (SELECT o_orderkey AS k, *, CAST(o_orderkey % 3 + 1 - CASE WHEN o_orderkey % 13 = 0 THEN 1 ELSE 0 END AS BIGINT) AS turns, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END AS pf FROM orders)

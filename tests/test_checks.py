@@ -96,7 +96,7 @@ def test_datasets(spark):
     text = "\n".join(f"l{i}" for i in range(1, 61))
     hunk = F.array(F.struct(F.lit(30).alias("start"), F.lit(2).alias("length")))
     assert one(D.excerpts(F.col("c"), hunk), text) == "...\n" + "\n".join(f"{i} l{i}" for i in range(16, 33)) + "\n..."
-    assert one(D.document(F.lit("p"), F.col("c"), "symbols"), "class A(B):\n  def f(self):\n    x") == "p\nclass A(B)\ndef f(self)" and one(D.document(F.lit("p"), F.col("c"), "docstrings"), 'x = 1\n"""Doc."""') == "p\nDoc."
+    assert one(D.document(F.lit("p"), F.col("c"), "symbols"), "class A(B):\n  def f(self):\n    x") == "p\np\np.A\np.A.f\n" and one(D.document(F.lit("p"), F.col("c"), "docstrings"), '"""Doc."""\nx = 1') == "p\nDoc."
     assert f([(b"\xff\xfe",), (b"ok",)], "b binary").select(D.valid_text(F.col("b")).alias("t")).collect() == [("[non-UTF-8 content]",), ("ok",)]
     assert "<issue>\nS\n</issue>" in one(D.prompt(F.col("c"), F.lit(""), F.lit("C"), "do", "ex"), "S") and one(D.problem_text(F.col("c"), F.lit("r"), F.lit(" ")), "S") == "S\n\nRequirements:\nr"
     assert [r.answer for r in D.labelled(f([("t", "p"), ("t", None)], "text string, patch string"), "text", "patch").collect()] == ["<patch>\np\n</patch>"]
@@ -127,6 +127,14 @@ def test_triage_budgets(spark):
     f = triage.features(checks, spark.createDataFrame([("a", "n", "mini", True)], "case_id string, case_name string, format string, resolved boolean"), spark.createDataFrame([("a", "x.py")], "case_id string, file string"))
     r = f.where("case_id = 'a'").first()
     assert (r.resolved, r.test_runs, r.patched_files, r.spt_applied) == (True, 2, ["x.py"], None) and len(f.columns) == 22
+    kinds = dict(f.dtypes)
+    assert all(kinds[c] == {"long": "bigint"}.get(t, t) for c, t in triage.FEATURES.items())
+    none = spark.createDataFrame([], "case_id string, file string")
+    m = triage.features(checks, spark.createDataFrame([], "case_id string"), none, repeated=spark.createDataFrame([("a", "x.py", 3), ("a", "y.py", 2)], "case_id string, file string, events int"), needed=("test_runs",))
+    assert {r.case_id: r.repeated_file_edits for r in m.collect()}["a"] == {"x.py": 3, "y.py": 2}
+    for wrong in (("test_run",), ("spt_applied",)):
+        with pytest.raises(ValueError):
+            triage.features(checks, spark.createDataFrame([], "case_id string"), none, needed=wrong)
 
 
 def test_clues_and_repair(spark):
