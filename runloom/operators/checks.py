@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from runloom.session import written
 from runloom.functions import text as X
 
 def commands(events: DataFrame) -> DataFrame:
@@ -161,8 +162,9 @@ def composite(events: DataFrame, cases: DataFrame | None = None, issue: DataFram
 
     backtracking adds up reversions, failed test runs, and files with more than one edit.
     """
-    cmds = commands(events)
-    acc, pat, ran, gits = accesses(events, cmds), patches(events), tests(events, cmds), git(cmds)
+    cmds = written(commands(events), "commands")  # each is read more than once
+    acc, pat, ran = (written(t, "checks") for t in (accesses(events, cmds), patches(events), tests(events, cmds)))
+    gits = git(cmds)
     edits = acc.where("kind = 'edit'").select("case_id", "event_idx").unionByName(pat.select("case_id", "event_idx"))
     cyc = iterations(ran, edits)
     by = lambda t, **aggs: t.groupBy("case_id").agg(*[c.alias(n) for n, c in aggs.items()])

@@ -42,10 +42,11 @@ def bm25(docs: DataFrame, queries: DataFrame, *, key: str, text: str, query: str
         return j.groupBy(query, key).agg(F.sum(weight).alias("score"))
 
     top = Window.partitionBy(query).orderBy(F.desc("score"), key)
-    kth = scores(of.where("NOT common")).withColumn("rank", F.row_number().over(top)).where(F.col("rank") == k).select(query, (F.col("score") - 1e-8).alias("bound"))
+    rare = written(scores(of.where("NOT common")), "rare")
+    kth = rare.withColumn("rank", F.row_number().over(top)).where(F.col("rank") == k).select(query, (F.col("score") - 1e-8).alias("bound"))
     c = of.where("common").join(kth, query, "left").withColumn("sum", F.sum("idf").over(Window.partitionBy(query).orderBy("idf", "term")))
     c = written(c.withColumn("late", F.coalesce(F.col("sum") < F.col("bound"), F.lit(False))), "common")
-    first = scores(of.where("NOT common").unionByName(c.where("NOT late").select(*of.columns)))
+    first = rare.unionByName(scores(c.where("NOT late").select(*of.columns))).groupBy(query, key).agg(F.sum("score").alias("score"))
     late = c.where("late").groupBy(query).agg(F.max("sum").alias("more"), F.max("bound").alias("bound"))
     first = written(first.join(late, query, "left").where("more IS NULL OR score + more >= bound").select(query, key, "score"), "first")
     more = scores(c.where("late").select(*of.columns), first).withColumnRenamed("score", "more")
@@ -60,6 +61,26 @@ def recall(gold: DataFrame, hits: DataFrame, query: str, key: str) -> DataFrame:
     return r.agg(F.count(F.lit(1)).alias("n"), F.avg("r").alias("recall_avg"), F.avg((F.col("r") == 1).cast("int")).alias("recall_all"), F.avg((F.col("r") > 0).cast("int")).alias("recall_any"))
 
 
+def holding(docs: DataFrame, items: DataFrame, key: str, item: str) -> DataFrame:
+    """(item, key) of documents (key, text) that hold the whole text of an item (item, k); empty items are left out.
+
+    Documents and items meet by the item's longest inner word, as a word at either of its ends
+    may go on in the document. Items of one or two words have none: they meet by their first
+    characters, four at most, with each such piece of a document. What meets is compared.
+    """
+    items = items.where("k != ''")
+    words = F.split("k", r"[ \n]")
+    inner = F.filter(words, lambda x, i: (i > 0) & (i < F.size(words) - 1) & (x != ""))
+    items = items.withColumn("_w", F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"])
+    found = docs.select(key, "text", F.explode(F.array_distinct(F.split("text", r"[ \n]"))).alias("_w")).join(items.where("_w IS NOT NULL"), "_w").select(item, key, "text", "k")
+    short = items.where("_w IS NULL").withColumn("_n", F.least(F.length("k"), F.lit(4)))
+    for n in (r[0] for r in short.select("_n").distinct().orderBy("_n").collect()):  # up to four lengths
+        pieces = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - n + 1, F.lit(1))), lambda i: F.substring("text", i, F.lit(n))))
+        own = short.where(F.col("_n") == n).select(item, "k", F.substring("k", 1, n).alias("_w"))
+        found = found.unionByName(docs.select(key, "text", F.explode(pieces).alias("_w")).join(own, "_w").select(item, key, "text", "k"))
+    return found.where(F.contains("text", F.col("k"))).select(item, key).distinct()
+
+
 def prompt_files(text: Column) -> Column:
     """The files whose blocks `[start of f]` to `[end of f]` a prompt holds, each once; a block in a block is part of its text. A readme that comes first isn't one of them."""
     found = F.regexp_extract_all(text, F.lit(r"(?U)\[start of ([\w.\-/]+)\]\n[\s\S]+?\n\[end of \1\]"), F.lit(1))

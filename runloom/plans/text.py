@@ -89,19 +89,9 @@ def _indexed(s, d):
 
 
 def _gold(s, d):
-    """Documents that hold the whole text of an item; by the longest whole word of it, then compared.
-
-    A word at either end of the item may go on in the document, so only words between white
-    space are joined on. Items without one (less than three words) are compared with each document.
-    """
-    item = table(s, d, "benchmark").select("item_id", F.col("text").alias("k")).where("k != ''")
-    inner = F.filter(F.split("k", r"[ \n]"), lambda x, i: (i > 0) & (i < F.size(F.split("k", r"[ \n]")) - 1) & (x != ""))
-    item = item.withColumn("w", F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"])
-    docs = table(s, d, "documents").select("doc_id", "text")
-    by = docs.select("doc_id", "text", F.explode(F.array_distinct(F.split("text", r"[ \n]"))).alias("w")).join(item.where("w IS NOT NULL"), "w")
-    short = docs.join(F.broadcast(item.where("w IS NULL")))
-    found = by.select("item_id", "doc_id", "text", "k").union(short.select("item_id", "doc_id", "text", "k"))
-    return found.where(F.col("text").contains(F.col("k"))).select("item_id", "doc_id").distinct()
+    """Documents that hold the whole text of an item."""
+    item = table(s, d, "benchmark").select("item_id", F.col("text").alias("k"))
+    return retrieval.holding(table(s, d, "documents").select("doc_id", "text"), item, "doc_id", "item_id")
 
 
 def _prompts(s, d):

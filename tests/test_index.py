@@ -101,3 +101,13 @@ def test_long_queries_are_cut_by_fifths(spark):
         return t
 
     assert got == [want(t) for t in texts]
+
+
+def test_documents_that_hold_items(spark):
+    from runloom.operators import retrieval
+
+    docs = [(1, "the quick brown fox"), (2, "prequick brownish"), (3, "a\nb c"), (4, ""), (5, None), (6, "xyz")]
+    items = [(1, "quick brown"), (2, "the quick brown"), (3, "b"), (4, ""), (5, None), (6, "xyz"), (7, "\nb"), (8, "quick  brown"), (9, "o")]
+    d, i = spark.createDataFrame(docs, "id long, text string"), spark.createDataFrame(items, "item long, k string")
+    got = sorted(tuple(r) for r in retrieval.holding(d, i, "id", "item").collect())
+    assert got == sorted((n, m) for n, k in items for m, t in docs if k and t and k in t)
