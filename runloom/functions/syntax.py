@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from runloom.session import written
+
 _IMPORT = "struct<module: string, names: array<string>, level: int, line: int>"
 _SYMBOL = "struct<name: string, kind: string, scope: string, line: int, docstring: string>"
 TREE = f"parsed boolean, docstring string, imports array<{_IMPORT}>, symbols array<{_SYMBOL}>"
@@ -105,12 +107,16 @@ def import_edges(files: DataFrame, *, group: str = "repo", path: str = "path", c
     asked = F.when(F.col("level") == 0, F.replace(asked, F.lit("."), F.lit("/"))).otherwise(asked)
     too_far = F.col("level") > F.size(parts)
     own = own.where(~too_far).select("_g", F.col("_p").alias("src"), asked.alias("_name"), (F.col("level") > 0).alias("_exact")).distinct()
+    own = written(own, "imports")  # files are parsed once
     # a file by its own name, and by its folder's
     places = f.select("_g", F.col("_p").alias("dst"), F.explode(F.array(F.struct(F.regexp_replace("_p", r"\.py$", "").alias("at"), F.lit("file").alias("kind")), F.struct(F.when(F.contains("_p", F.lit("/")), F.regexp_replace("_p", "/[^/]*$", "")).otherwise("").alias("at"), F.lit("folder").alias("kind")))).alias("_x")).select("_g", "dst", "_x.*")
     steps = F.split("at", "/")
     endings = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.struct(F.array_join(F.slice(steps, i, F.size(steps)), "/").alias("name"), (i - 1).alias("above")))
     places = places.select("_g", "dst", "kind", "at", F.explode(endings).alias("_e")).select("_g", "dst", "kind", "at", F.col("_e.name").alias("_name"), F.col("_e.above").alias("above"))
-    j = own.join(places, ["_g", "_name"]).where(~F.col("_exact") | (F.col("above") == 0))
-    w = Window.partitionBy("_g", "src", "_name", "_exact", "kind").orderBy("above", "at")
-    j = j.withColumn("_rank", F.dense_rank().over(w)).where((F.col("_rank") == 1) & (F.col("src") != F.col("dst")))
+    # by the size of their files both sides look small enough to be broadcast, but rows are made from them, so they are shuffled; a name is looked up once, whoever imports it
+    names = own.select("_g", "_name", "_exact").distinct()
+    w = Window.partitionBy("_g", "_name", "_exact", "kind").orderBy("above", "at")
+    hits = names.join(places.hint("merge"), ["_g", "_name"]).where(~F.col("_exact") | (F.col("above") == 0))
+    hits = hits.withColumn("_rank", F.dense_rank().over(w)).where("_rank = 1").select("_g", "_name", "_exact", "dst")
+    j = own.join(hits.hint("merge"), ["_g", "_name", "_exact"]).where(F.col("src") != F.col("dst"))
     return j.select(F.col("_g").alias(group), "src", "dst").distinct()

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from runloom.functions import syntax
 from runloom.operators import datasets, retrieval, validate
-from runloom.plans.tables import table
+from runloom.plans.tables import spread, table
 from runloom.session import gone_at_exit, scratch
 from runloom.sources import archives, trajectories
 
@@ -108,7 +108,7 @@ def _python_files(s, d):
         F.concat(F.lit("class C"), k, F.lit(':\n    """A class."""\n    def run(self):\n        import p0.m1\n        def inner():\n            \'\'\'Inner.\'\'\'\n')),
         F.when(k % 11 == 0, "def broken(:").otherwise(""),
     )
-    return table(s, d, "part").select("p_partkey", F.lit("r").alias("repo"), F.concat(F.lit("src/p"), ten(k), F.lit("/m"), k, F.lit(".py")).alias("path"), F.array_join(lines, "\n").alias("content"))
+    return spread(table(s, d, "part").select("p_partkey")).select("p_partkey", F.lit("r").alias("repo"), F.concat(F.lit("src/p"), ten(k), F.lit("/m"), k, F.lit(".py")).alias("path"), F.array_join(lines, "\n").alias("content"))
 
 
 def _imports(s, d):

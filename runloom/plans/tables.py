@@ -10,6 +10,11 @@ def table(spark, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt evenly to several tasks a core: files of few bytes make few tasks, however many rows are made from them and however much work a row is."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism * 4)
+
+
 def runs(spark, sf: str) -> DataFrame:
     """orders as runs of their customer: status, cost in hundredths (whole numbers, so sums are exact), and from lineitem steps, files and transformations."""
     o = table(spark, sf, "orders").select(

@@ -73,3 +73,11 @@ def test_import_edges(spark):
     for r in retrieval.reached(edges, starts, ["repo"]).collect():
         reached.setdefault((r["repo"], r["start"]), set()).add(r["node"])
     assert reached == {("r", "src/app/sub/one.py"): {"src/app/sub/one.py", "src/app/main.py", "src/lib/deep.py", "src/app/util.py", "src/app/sub/__init__.py"}, ("r", "util.py"): {"util.py"}, ("other", "src/app/main.py"): {"src/app/main.py"}}
+
+
+def test_made_rows_are_not_broadcast(spark, tmp_path):
+    rows = [("r", "a/b.py", "import c\nfrom . import d"), ("r", "a/d.py", ""), ("r", "c/e.py", "import a.b"), ("r", "c.py", "")]
+    spark.createDataFrame(rows, "repo string, path string, content string").write.parquet(str(tmp_path / "f"))
+    e = syntax.import_edges(spark.read.parquet(str(tmp_path / "f")))
+    assert "BroadcastHashJoin" not in e._jdf.queryExecution().executedPlan().toString()
+    assert {(r["src"], r["dst"]) for r in e.collect()} == {("a/b.py", "c.py"), ("a/b.py", "c/e.py"), ("a/b.py", "a/d.py"), ("c/e.py", "a/b.py")}
