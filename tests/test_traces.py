@@ -105,6 +105,8 @@ def test_recovery():
     assert [n["events"] for n in recovery.ordered_nodes([{"id": "b", "events": [3, 4, 5]}, {"id": "a", "events": [1, 3, 4]}])] == [[1, 3, 4], [5]]
     assert recovery.loose_unescape('"a\\n\\"b"') == 'a\n"b' and recovery.loose_unescape("a\\nb\\") == "a\nb\\" and recovery.loose_unescape(None) == ""
     assert recovery.locate("a – b…", "A - b") == (0, 5, False) or recovery.locate("a – b", "A - b") == (0, 5, False)
+    assert recovery.locate("une fois.\n", "X. Une Fois.\nune fois.") == (3, 13, False) and recovery.locate(" b", "a B b") == (3, 5, True) and recovery.locate("\nle", "\nLe le") == (0, 3, False)
+    assert recovery.locate("b\n", "İB\nb") == (1, 3, False)
     assert recovery.locate("...x y...", "ax y") == (1, 4, False) and recovery.locate("..x", "x") is None
 
 
