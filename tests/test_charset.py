@@ -22,6 +22,7 @@ GERMAN = "Größere Bücher müssen schön übersetzt werden, sagt die Prüferin
         (CHINESE, "gbk", "gbk"), (KOREAN, "euc_kr", "euc_kr"), (JAPANESE, "shift_jis", "shift_jis"), (JAPANESE, "euc_jp", "euc_jp"), (TAIWAN, "big5", "big5"),
         (FRENCH, "latin-1", "cp1252"), (GERMAN, "cp1252", "cp1252"), (FRENCH + " \x81", "latin-1", "latin-1"), ("x = 'é'", "latin-1", "cp1252"),
         (CHINESE, "utf-8", "utf-8"), (CHINESE, "utf-8-sig", "utf-8-sig"), (CHINESE, "utf-16", "utf-16"), (FRENCH, "utf-16-le", "utf-16-le"), (FRENCH, "utf-16-be", "utf-16-be"), (FRENCH, "utf-32", "utf-32"),
+        ("ENÄKEIT!! DIE " * 5, "latin-1", "cp1252"), ("nd der. Öäver die", "latin-1", "cp1252"), ("s osci. Ñíco. Ieja", "latin-1", "cp1252"), ("x = 1  # 中文", "gbk", "gbk"),
         ("", "ascii", "utf-8"), ("plain\n", "ascii", "utf-8"),
     ],
 )
