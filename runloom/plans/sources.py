@@ -31,7 +31,7 @@ def _trajectory():
 def files(s, d):
     """The files of a sample folder for each order: report, predictions, trajectory, log of transformations, patch."""
     k, (traj, info) = _k(), _trajectory()
-    o = table(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus").withColumn("x", info).withColumn("x", traj)
+    o = spread(table(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")).withColumn("x", info).withColumn("x", traj)
     patch = F.when(k % 7 == 0, "ThrottlingException").when(k % 4 == 0, " ").otherwise("diff")
     entries = F.array_join(F.concat(F.array_repeat(F.concat(F.lit('{"transformation": "t'), k % 2, F.lit('"}')), (k % 3).cast("int")), F.when(k % 6 == 0, F.array(F.lit('{"keywords": []}'))).otherwise(F.array().cast("array<string>"))), ", ")
     f = lambda keep, path, content: F.when(keep, F.struct(F.lit(path).alias("path"), content.alias("content")))
@@ -139,7 +139,7 @@ def _sessions(s, d):
     question = F.array(F.lit('{"info": {"role": "user", "time": {"created": 1700000000000}}, "parts": [{"type": "text", "text": "why?"}]}'))
     model = F.when(k % 2 == 0, "Qwen3-coder").otherwise("other")
     info = F.concat(F.lit('{"info": {"id": "ses_'), k, F.lit('", "cost": '), F.when(k % 4 < 2, "0").otherwise(((k % 50) / 8).cast("string")), F.lit(', "model": {"id": "'), model, F.lit('", "providerID": "lab"}, "tokens": {"input": '), k % 5000, F.lit(', "output": '), k % 700, F.lit(', "reasoning": '), k % 11, F.lit(', "cache": {"read": '), k % 13, F.lit(', "write": '), k % 17, F.lit('}}}, "messages": ['), F.array_join(F.concat(question, turn), ", "), F.lit("]}"))
-    return trajectories.parsed(table(s, d, "orders").select(F.concat(F.lit("s-"), k).alias("sample"), info.alias("trajectory")))
+    return trajectories.parsed(spread(table(s, d, "orders").select("o_orderkey")).select(F.concat(F.lit("s-"), k).alias("sample"), info.alias("trajectory")))
 
 
 def _session_metrics(s, d):

@@ -68,11 +68,12 @@ def assembled(files: DataFrame) -> DataFrame:
         .when(in_report & F.col("member").endswith(".json") & (F.col("member") != "report.json") & F.try_parse_json("content").isNotNull(), "report")
     )
     named = (F.col("member") == F.concat("instance_id", F.lit(".traj.json"))) | F.endswith(F.concat(F.lit("/"), F.col("path")), F.concat(F.lit("/"), "instance_id", F.lit("/"), "member"))
-    f = f.withColumn("role", role)
-    f = f.withColumn("_n", F.row_number().over(Window.partitionBy("sample", "role").orderBy(named.desc(), "path")))
-    pick = lambda r: F.max(F.when((F.col("role") == r) & (F.col("_n") == 1), F.col("content"))).alias(r)
+    order = F.struct(~F.coalesce(named, F.lit(False)), F.col("path"))
+    f = f.withColumns({"role": role, "_order": order})
+    pick = lambda r: F.min_by("content", F.when(F.col("role") == r, F.col("_order"))).alias(r)
     has_report = F.coalesce(F.bool_or(F.startswith("path", F.lit("report/"))), F.lit(False)).alias("has_report")
-    return f.groupBy("sample", "instance_id", "sample_id").agg(*[pick(r) for r in ("trajectory", "spt_log", "patch", "preds", "eval_results", "report")], has_report)
+    g = f.groupBy("sample").agg(*[pick(r) for r in ("trajectory", "spt_log", "patch", "preds", "eval_results", "report")], has_report)
+    return g.select("sample", instance.alias("instance_id"), sample.alias("sample_id"), *g.columns[1:])
 
 
 def spt_entry_count(log: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runloom.functions import text
@@ -117,20 +117,34 @@ def events(t: DataFrame, case: str = "case_id") -> DataFrame:
     A mini message lasts until the next one, unless time runs back; the last has no duration.
     The parts of an opencode message share its time evenly, which is then an estimate.
     """
-    m = t.select(case, "dialect", F.posexplode("messages").alias("message_index", "m"))
-    none = F.lit(None).cast("string")
-    plain = m.where("dialect != 'opencode'").select(case, "message_index", F.lit(0).alias("part_index"), F.coalesce(_get("m", "$.role"), F.lit("unknown")).alias("role"), F.lit("message").alias("kind"), F.coalesce(_get("m", "$.content"), F.lit("")).alias("content"), none.alias("tool_name"), none.alias("tool_status"), none.alias("tool_input"), none.alias("tool_output"), seconds(_num(F.col("m"), "$.timestamp")).alias("timestamp"), F.lit(None).cast("double").alias("took"), F.lit(False).alias("duration_is_estimated"), F.lit(True).alias("plain"))
-    p = m.where("dialect = 'opencode'").withColumn("parts", F.filter(F.from_json(_get("m", "$.parts"), "array<string>"), lambda x: x.startswith("{")))
-    created, completed = seconds(_num(F.col("m"), "$.info.time.created")), seconds(_num(F.col("m"), "$.info.time.completed"))
-    took = F.when(completed >= created, completed - created)
-    p = p.select(case, "message_index", "m", created.alias("timestamp"), took.alias("all"), F.size("parts").alias("n"), F.posexplode("parts").alias("part_index", "p"))
+    opencode = F.col("dialect") == "opencode"
+    own = F.when(opencode, F.transform("messages", lambda m: F.coalesce(F.filter(F.from_json(_get(m, "$.parts"), "array<string>"), lambda x: x.startswith("{")), F.array().cast("array<string>")))).otherwise(F.transform("messages", lambda m: F.array(m)))
+    said = F.transform(
+        "messages",
+        lambda m: F.struct(
+            F.when(opencode, _get(m, "$.info.role")).otherwise(_get(m, "$.role")).alias("role"),
+            seconds(F.when(opencode, _num(m, "$.info.time.created")).otherwise(_num(m, "$.timestamp"))).alias("timestamp"),
+            F.when(opencode, seconds(_num(m, "$.info.time.completed"))).alias("completed"),
+        ),
+    )
+    e = t.select(case, "dialect", own.alias("_own"), said.alias("_said"))
+    at = lambda i: F.get("_said", i)
+    piece = lambda i, j, x, n: F.struct(i.alias("message_index"), j.alias("part_index"), x.alias("p"), n.alias("n"), at(i).alias("said"), at(i + 1)["timestamp"].alias("next"))
+    # a trajectory is one row, so its events are numbered there, in one pass without a shuffle
+    e = e.select(case, "dialect", F.posexplode(F.flatten(F.transform("_own", lambda parts, i: F.transform(parts, lambda x, j: piece(i, j, x, F.size(parts)))))).alias("event_idx", "_e"))
+    e = e.select(case, "dialect", "event_idx", "_e.*").select("*", "said.*").drop("said")
+    plain = F.col("dialect") != "opencode"
     kind = F.coalesce(_get("p", "$.type"), F.lit("unknown"))
     tool, given, out = F.coalesce(_get("p", "$.tool"), F.lit("unknown")), _get("p", "$.state.input"), _get("p", "$.state.output")
+    is_tool = ~plain & (kind == "tool")
+    given, out = F.when(is_tool, given), F.when(is_tool, out)
     body = F.concat_ws("\n", F.concat(F.lit("TOOL: "), tool), F.when(given.isNotNull() & ~given.isin("", "{}"), F.concat(F.lit("INPUT:\n"), sorted_json(given))), F.when(out != "", F.concat(F.lit("OUTPUT:\n"), sorted_json(out))))
-    only = lambda c: F.when(kind == "tool", c)
-    p = p.select(case, "message_index", "part_index", F.coalesce(_get("m", "$.info.role"), F.lit("unknown")).alias("role"), kind.alias("kind"), F.when(kind == "tool", body).otherwise(F.coalesce(_get("p", "$.text"), F.lit(""))).alias("content"), only(tool).alias("tool_name"), only(_get("p", "$.state.status")).alias("tool_status"), only(given).alias("tool_input"), only(out).alias("tool_output"), "timestamp", (F.col("all") / F.col("n")).alias("took"), (F.col("all").isNotNull() & (F.col("n") > 1)).alias("duration_is_estimated"), F.lit(False).alias("plain"))
-    e = plain.unionByName(p)
-    w = Window.partitionBy(case).orderBy("message_index", "part_index")
-    gap = F.lead("timestamp").over(w) - F.col("timestamp")
-    e = e.withColumn("event_idx", F.row_number().over(w) - 1)
-    return e.withColumns({"id": F.concat(F.lit("E"), F.col("event_idx")), "duration_seconds": F.when(F.col("plain"), F.when(gap >= 0, gap)).otherwise(F.col("took"))}).drop("took", "plain")
+    only = lambda c: F.when(is_tool, c)
+    gap, took = F.col("next") - F.col("timestamp"), F.col("completed") - F.col("timestamp")
+    return e.select(
+        case, "message_index", "part_index", F.coalesce("role", F.lit("unknown")).alias("role"), F.when(plain, "message").otherwise(kind).alias("kind"),
+        F.when(plain, F.coalesce(_get("p", "$.content"), F.lit(""))).when(is_tool, body).otherwise(F.coalesce(_get("p", "$.text"), F.lit(""))).alias("content"),
+        only(tool).alias("tool_name"), only(_get("p", "$.state.status")).alias("tool_status"), only(given).alias("tool_input"), only(out).alias("tool_output"), "timestamp",
+        (~plain & F.coalesce(took >= 0, F.lit(False)) & (F.col("n") > 1)).alias("duration_is_estimated"), "event_idx", F.concat(F.lit("E"), F.col("event_idx")).alias("id"),
+        F.when(plain, F.when(gap >= 0, gap)).when(took >= 0, took / F.col("n")).alias("duration_seconds"),
+    )

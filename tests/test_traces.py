@@ -371,3 +371,15 @@ def test_keyword_grep_of_all_turns(spark, tmp_path):
     spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     got = sorted(map(tuple, plans.QUERIES["q_text_keyword_grep"](spark, str(tmp_path)).collect()))
     assert got == [(1, "bug", 2, 2), (1, "fix", 1, 3), (1, "nowhere", 0, None), (1, "the", 0, None), (2, "lonely", 0, None)]
+
+
+def test_trajectories_are_parsed_once_and_files_shuffled_once(spark):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    t = spark.createDataFrame([("a", '{"messages": [{"role": "user", "content": "x", "timestamp": 1}, {"role": "assistant", "content": "y", "timestamp": 3}]}')], "case_id string, trajectory string")
+    e = trajectories.events(trajectories.parsed(t))
+    assert "Exchange" not in plan(e) and "Window" not in plan(e) and "Union" not in plan(e)
+    assert [(r["id"], r["event_idx"], r["duration_seconds"]) for r in e.collect()] == [("E0", 0, 2.0), ("E1", 1, None)]
+    f = spark.createDataFrame([("o__c-1_2", "b/x.traj.json", "x.traj.json", "2"), ("o__c-1_2", "a/x.traj.json", "x.traj.json", "1"), ("o__c-1_2", "z/o__c-1.traj.json", "o__c-1.traj.json", "3")], "sample string, path string, member string, content string")
+    a = archives.assembled(f)
+    assert "Window" not in plan(a) and plan(a).count("Exchange hash") == 1
+    assert tuple(a.select("instance_id", "sample_id", "trajectory", "preds", "has_report").first()) == ("o__c-1", "2", "3", None, False)
