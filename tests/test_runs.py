@@ -188,3 +188,16 @@ def test_binomial_query_takes_the_modes(spark, monkeypatch):
     monkeypatch.setattr(plans.stats, "binomial_redraw", lambda rates, **kw: seen.append((rates.select("n1", "n2").distinct().collect(), kw)))
     plans.QUERIES["q_stats_binomial_redraw"](spark, "")
     assert [tuple(r) for r in seen[0][0]] == [(3, 3)] and seen[0][1] == {}
+
+
+def test_few_runs_are_drawn_from_all_ordered_picks():
+    class All:
+        def integers(self, low, high, size, dtype):
+            assert (low, high) == (0, 27)
+            return np.arange(27, dtype=dtype)
+
+    got = stats._means(All(), np.array([1.0, 4.0]), np.array([2, 1]), 27)
+    assert sorted(got) == sorted((a + b + c) / 3 for a in (1, 1, 4) for b in (1, 1, 4) for c in (1, 1, 4))
+    for n in (5, 12, 32):
+        m = stats._means(np.random.default_rng(1), np.arange(float(n)), np.ones(n, dtype=int), 20_000)
+        assert abs(m.mean() - (n - 1) / 2) < 0.05 * n and abs(m.std() / np.sqrt((n * n - 1) / 12 / n) - 1) < 0.03
