@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from runloom.functions.text import without_ansi
 from runloom.operators.nested_logs import NESTED
-from runloom.session import written
+from runloom.session import gone_at_exit, scratch, written
 
 
 @dataclass(frozen=True)
@@ -151,44 +151,37 @@ def _by_lines(rows: DataFrame, key: str, n: str) -> DataFrame:
     return lines.groupBy(key, F.col("_h.test").alias("test")).agg(F.max_by("_h.status", "_n").alias("status"))
 
 
-def _by_rules(rows: DataFrame, key: str) -> DataFrame:
-    """Results of many formats: the rules are a small table, joined on the format's name."""
-    table = [(n, i, r.pattern, r.test, r.status if isinstance(r.status, int) else None, r.meaning, r.status if isinstance(r.status, str) else None) for n, own in LINES.items() for i, r in enumerate(own)]
-    rules = rows.sparkSession.createDataFrame(table, "_p string, _rule int, pattern string, of_test int, of_status int, meaning map<string,string>, always string")
-    line = F.when(F.col("_p").isin(*sorted(PLAIN)), F.col("_l")).otherwise(F.regexp_replace("_l", r"^\s+|\s+$", ""))
-    for n, f in _BEFORE.items():
-        line = F.when(F.col("_p") == n, f(F.col("_l"))).otherwise(line)
-    lines = rows.where(F.col("_p").isin(*LINES)).select(key, "_p", F.posexplode(F.split("_log", "\n")).alias("_n", "_l")).select(key, "_p", "_n", line.alias("_l"))
-    hits = lines.join(F.broadcast(rules), "_p").where("regexp(_l, pattern)")
-    test = F.expr("regexp_extract(_l, pattern, of_test)")
-    for n, f in _AFTER.items():
-        test = F.when(F.col("_p") == n, f(F.expr("regexp_extract(_l, pattern, of_test)"))).otherwise(test)
-    status = F.coalesce("always", F.expr("try_element_at(meaning, regexp_extract(_l, pattern, coalesce(of_status, 0)))"))
-    hits = hits.select(key, "_n", "_rule", F.struct(test.alias("test"), status.alias("status")).alias("_h"))
-    hits = hits.groupBy(key, "_n").agg(F.min_by("_h", "_rule").alias("_h"))
-    return hits.groupBy(key, F.col("_h.test").alias("test")).agg(F.max_by("_h.status", "_n").alias("status"))
+#: Characters of logs that one task reads, about.
+PART = 4_000_000
+
+
+def _deal(rows: DataFrame, key: str, chars: int) -> DataFrame:
+    """rows by their key in as many parts as their characters take, so that a task's windows and groups are of bounded size however many logs there are."""
+    return rows.repartition(chars // PART + 1, key)
 
 
 def parse(logs: DataFrame, key: str, log: str, parser: Column | str) -> DataFrame:
     """(key, test, status); parser is the name of a format, or a column of names. Of several lines of a test the last counts.
 
-    A null log, or one of an unknown format, has no results. Of a column of names those that
-    it holds are looked up first, so only their formats are planned.
+    A null log, or one of an unknown format, has no results. Logs are written once, a folder
+    for each format, so only formats that are present are planned and each reads its own; a
+    format's logs are dealt by their size.
     """
     if isinstance(parser, str) and parser not in PARSERS:
         raise ValueError(f"no such format: {parser}")
-    names = [parser] if isinstance(parser, str) else sorted(r[0] for r in logs.select(parser.alias("_p")).where(F.col("_p").isin(*PARSERS)).distinct().collect())  # no more than there are formats
-    if not names:
-        names = ["pytest"]
     rows = logs.select(F.col(key), F.col(log).alias("_log"), (F.lit(parser) if isinstance(parser, str) else parser).alias("_p"))
+    if isinstance(parser, str) and parser in LINES:
+        return _by_lines(rows, key, parser)
+    spark, at = logs.sparkSession, scratch(logs.sparkSession, "logs")
+    rows.where(F.col("_p").isin(*PARSERS)).write.partitionBy("_p").parquet(at)
+    own = rows.select(key, "_log").schema
+    kept = spark.read.schema(rows.schema).parquet(gone_at_exit(spark, at))
+    sizes = {r[0]: r[1] or 0 for r in kept.groupBy("_p").agg(F.sum(F.length("_log").cast("long"))).collect()}  # no more than there are formats
     parts = []
-    if own := [n for n in names if n in LINES]:
-        parts.append(_by_lines(rows, key, own[0]) if len(names) == 1 else _by_rules(rows, key))
-    for n in (n for n in names if n in CARRIED):
-        parts.append(parse_carried(rows.where(F.col("_p") == n), key, "_log", CARRIED[n]))
-    for n in (n for n in names if n in NESTED):
-        parts.append(NESTED[n](rows.where(F.col("_p") == n), key))
-    out = parts[0]
+    for n in sorted(sizes):
+        mine = _deal(spark.read.schema(own).parquet(f"{at}/_p={n}"), key, sizes[n])
+        parts.append(_by_lines(mine, key, n) if n in LINES else parse_carried(mine, key, "_log", CARRIED[n]) if n in CARRIED else NESTED[n](mine, key))
+    out = parts[0] if parts else _by_lines(rows.where(F.lit(False)), key, "pytest")
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
@@ -237,6 +230,12 @@ def evaluated(logs: DataFrame, key: str, log: str, parser: Column | str) -> tupl
     """(key, applied) of each log, and the results of those where tests ran: of the marked section, or of the whole log if that has none."""
     state = logs.select(key, applied(F.col(log)).alias("applied"))
     ran = logs.where(applied(F.col(log)))
+    if not isinstance(parser, str):
+        ran, parser = ran.select(key, log, parser.alias("_parser")), F.col("_parser")
+    ran = written(ran, "ran")
     inside = written(parse(ran.withColumn(log, log_section(F.col(log))), key, log, parser), "results")
-    rest = parse(ran.join(inside.select(key).distinct(), key, "left_anti"), key, log, parser)
+    same = F.col(key).eqNullSafe(F.col("_k"))
+    # keys first, as these are small; the logs are looked up by what is left
+    none = written(ran.select(F.col(key).alias("_k")).distinct().join(inside.select(key).distinct(), same, "left_anti"), "without")
+    rest = parse(ran.join(none, same, "left_semi"), key, log, parser)
     return state, inside.unionByName(rest)

@@ -79,3 +79,27 @@ def test_log_gate(spark):
 def test_json_reports(spark):
     df = spark.createDataFrame([("k", '{"tests": [{"name": "a", "status": "passed"}, {"name": "b", "status": "pending"}, {"name": "a", "status": "failed"}]}'), ("l", "no json"), ("m", None)], "k string, log string")
     assert {r.test: r.status for r in L.parse_json(df, "k", "log").collect()} == {"a": "PASSED", "b": "SKIPPED"}
+
+
+def test_logs_are_made_once_and_dealt_by_their_size(spark, monkeypatch):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def log(name):
+        made.add(1)
+        return LOGS[name][0]
+
+    names = ("karma", "django", "jq", "phpunit")
+    rows = spark.createDataFrame([(i, n) for i in range(40) for n in names], "k long, parser string")
+    got = L.parse(rows.select(F.concat("parser", "k").alias("k"), "parser", log("parser").alias("log")), "k", "log", F.col("parser"))
+    assert got.count() == 40 * sum(len(LOGS[n][1]) for n in names) and made.value == 160
+    monkeypatch.setattr(L, "PART", 500)
+    one = L.parse(rows.where("parser = 'django'").select("k", F.lit(LOGS["django"][0]).alias("log")).coalesce(1), "k", "log", "django")
+    assert one.select(F.spark_partition_id().alias("p")).distinct().count() > 3
+
+
+def test_sections_without_results_of_a_null_key(spark):
+    text = lambda inside, after: f"{L.START}\n{inside}\n{L.END}\n{after}"
+    df = spark.createDataFrame([(None, text("nothing", "PASSED a")), (1, text("PASSED b", "PASSED c")), (2, text("nothing", "FAILED d"))], "k long, log string")
+    _, got = L.evaluated(df, "k", "log", "pytest")
+    assert sorted(map(tuple, got.collect()), key=str) == [(1, "b", P), (2, "d", X), (None, "a", P)]
