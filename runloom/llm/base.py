@@ -9,9 +9,8 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from runloom.session import written  # noqa: F401
+from runloom.session import broadcast_if_small, bytes_of, written  # noqa: F401
 
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -20,19 +19,6 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bytes_of(df: DataFrame) -> int:
-    """Spark's own estimate of df's size; for a table just written, the size of its files."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def broadcast_if_small(df: DataFrame, most: int = 64 << 20) -> DataFrame:
-    """df, a written table, with a broadcast hint if its files take up to `most` bytes.
-
-    Above the bound the join shuffles both sides and adaptive execution splits skewed keys.
-    """
-    return F.broadcast(df) if bytes_of(df) <= most else df
-
-
 def written_small(df: DataFrame, rows: int, name: str = "table", each: int = 1 << 15) -> DataFrame:
     """written(), for a table of at most `rows` rows: a file for each 32,768 of them, and never more than df has partitions.
 

@@ -70,6 +70,29 @@ def test_search_is_that_of_scoring_all(spark, corpus, made):
         close(got, {x: y for x, y in plain(docs, queries, k).items() if y})
 
 
+def test_postings_are_neither_shuffled_nor_written_twice(spark, corpus, tmp_path, monkeypatch):
+    from runloom import session
+    from runloom.operators import retrieval
+
+    tables, write = [], session.written
+
+    def seen(df, name="table"):
+        tables.append((name, (out := write(df, name)).count()))
+        return out
+
+    monkeypatch.setattr(session, "written", seen)
+    monkeypatch.setattr(index, "written", seen)
+    docs, queries = spark.createDataFrame(corpus[0], "c string, id long, text string"), spark.createDataFrame(corpus[1], "q long, c string, t string")
+    index.add(docs, str(tmp_path / "i"), key="id", text="text", collection="c", buckets=2)
+    assert not tables
+    index.search(spark, str(tmp_path / "i"), queries, query="q", text="t", collection="c", k=5)
+    assert max(n for _, n in tables) <= docs.count() * queries.count() / 2  # documents and queries, not their terms
+    some = spark.createDataFrame([(1, "b a b"), (2, "c"), (3, ""), (4, None)], "id long, text string")
+    p = retrieval.postings(some, ["id"], F.col("text"))
+    assert "Exchange" not in p._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in p.collect()) == [(1, 3, "a", 1), (1, 3, "b", 2), (2, 1, "c", 1)]
+
+
 def test_an_unfinished_generation_does_not_count(spark, corpus, made, tmp_path):
     q = spark.createDataFrame([(1, "a", "w3 w5")], "q long, c string, t string")
     run = lambda: index.search(spark, made, q, query="q", text="t", collection="c").collect()
