@@ -21,8 +21,11 @@ BLOCK = 256
 #: Stands for a literal ▁ of the text, which no piece may match; a lone surrogate is in no text.
 _LITERAL = "\ud800"
 _UNITS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+_LETTERS, _OTHERS = r"[^\W\d_¹²³]+", f"(?:[^\\w{SPACE}]|(?![0-9])[\\d_¹²³])+"
+_FINE = re.compile(f"{SPACE}+(?:{_LETTERS}|[0-9]|{_OTHERS})?|{_LETTERS}|[0-9]|{_OTHERS}")
 _CUT = re.compile(f"(?<=[^{SPACE}]){SPACE}")
 _NONE = -(1 << 60)
+_NO_PIECE = ({}, None, None)
 
 
 class _Units(dict):
@@ -32,7 +35,7 @@ class _Units(dict):
         self.codec, self.most = codec, most
 
     def __missing__(self, u: str) -> bytes:
-        got = self.codec.ids_between(u, self.codec.paths(u, 0, len(u)), 0, len(u))
+        got = self.codec.ids_of(u)
         if len(self) >= self.most:
             self.clear()
         if len(u) <= 64:
@@ -47,7 +50,9 @@ class Codec:
     nat), so sums don't depend on the order in which they are made. A character without a
     piece is coded as its UTF-8 bytes. No piece holds a ▁ after another character, so every
     path is cut before a ▁ that follows one; what lies between two cuts is a unit, whose
-    segmentation is remembered for at most `most` units.
+    segmentation is remembered for at most `most` units. Where no piece of the vocabulary joins
+    letters to other characters, or has two digits, paths are cut there too, so a word is one
+    unit whatever stands behind it.
     """
 
     def __init__(self, vocabulary: Vocabulary, most: int = 400_000):
@@ -59,6 +64,7 @@ class Codec:
             if SPACE not in p.lstrip(SPACE) and not (p.startswith(SPACE * 2) and p.strip(SPACE)):
                 self.id[p], self.score[p] = i, round(w * 65536)
         self.longest = max(map(len, self.id))
+        self.units = _FINE if all(map(_FINE.fullmatch, self.id)) else _UNITS
         self.trie: dict = {}  # by character: what may follow, and the score and id of the piece that ends there
         for p, w in self.score.items():
             node = self.trie
@@ -100,6 +106,34 @@ class Codec:
                     best[i + 1], back[i + 1], piece[i + 1] = w, i, -1
         return best, back, piece
 
+    def ids_of(self, u: str) -> bytes:
+        """The ids of a whole unit: as ids_between() of paths(), of ties the same."""
+        n, longest, root = len(u), self.longest, self.trie
+        best, back, piece = [0] + [_NONE] * n, [0] * (n + 1), [None] * (n + 1)
+        for i in range(n):
+            a, j = best[i], i + 1
+            node, w, x = root.get(u[i], _NO_PIECE)
+            if w is None:
+                w, x = self.byte_score * len(self._raw(u[i])), None
+            if a + w > best[j]:
+                best[j], back[j], piece[j] = a + w, i, x
+            for ch in u[j : i + longest]:
+                if (got := node.get(ch)) is None:
+                    break
+                node, w, x = got
+                j += 1
+                if w is not None and a + w > best[j]:
+                    best[j], back[j], piece[j] = a + w, i, x
+        out: list[int] = []
+        while n:
+            if (x := piece[n]) is None:
+                out += [self.bytes[b] for b in reversed(self._raw(u[n - 1]))]
+            else:
+                out.append(x)
+            n = back[n]
+        out.reverse()
+        return array("H", out).tobytes()
+
     def ids_between(self, s: str, path: tuple, start: int, end: int) -> bytes:
         _, back, piece = path
         out: list[int] = []
@@ -118,7 +152,7 @@ class Codec:
         return self._units(prepared(" " + text)) if text else b""
 
     def _units(self, s: str) -> bytes:
-        return b"".join(map(self.memo.__getitem__, _UNITS.findall(s)))
+        return b"".join(map(self.memo.__getitem__, self.units.findall(s)))
 
     def decode(self, ids: bytes) -> bytes:
         out = b"".join(map(self.text.__getitem__, np.frombuffer(ids, dtype=np.uint16).tolist()))
