@@ -48,26 +48,30 @@ class SuffixAutomaton:
                     link[q] = link[new] = clone
             last = new
 
-        # a state is its dictionary of characters, so a step is one look-up
-        for d in self.next:
-            for ch, to in d.items():
-                d[ch] = self.next[to]
-        self.root = self.next[0]
+        # a state is its dictionary of characters; those near the root come first, so they lie together
+        order, near = [0], {0: {}}
+        for i in order:
+            order += [to for to in self.next[i].values() if near.setdefault(to, new := {}) is new]
+        for i in order:
+            near[i].update((ch, near[to]) for ch, to in self.next[i].items())
+        self.root = near[0]
+        del self.next
 
     def phrases(self, text: str) -> int:
         """How many longest matches, one after the other, make up text; a character that the automaton lacks is a phrase."""
         n, root = 0, self.root
         state = root
         for ch in text:
-            to = state.get(ch)
-            if to is None:
+            if ch in state:
+                state = state[ch]
+            else:
                 if state is not root:
                     n += 1
-                to = root.get(ch)
-                if to is None:
+                if ch in root:
+                    state = root[ch]
+                else:
                     n += 1
-                    to = root
-            state = to
+                    state = root
         return n + (state is not root)
 
 
@@ -90,12 +94,15 @@ class CrossParser:
     def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """For each text the best language's number (-1: no letter, or nothing was learned) and a score."""
         best, score = np.full(len(texts), -1), np.zeros(len(texts))
-        for i, text in enumerate(texts):
-            if self.langs and (text := normalised(text)):
-                n = np.array([a.phrases(text) for a in self.automata]) * self.cost
-                order = np.argsort(n, kind="stable")
-                best[i] = order[0]
-                score[i] = 1.0 if len(n) == 1 else float((n[order[1]] - n[order[0]]) / n[order[1]])
+        texts = [normalised(t) for t in texts] if self.langs else []
+        own = [i for i, t in enumerate(texts) if t]
+        # one automaton after the other, so that the states in use stay near the processor
+        phrases = [[a.phrases(texts[i]) for i in own] for a in self.automata]
+        for i, n in zip(own, zip(*phrases, strict=True), strict=True):
+            n = np.array(n) * self.cost
+            order = np.argsort(n, kind="stable")
+            best[i] = order[0]
+            score[i] = 1.0 if len(n) == 1 else float((n[order[1]] - n[order[0]]) / n[order[1]])
         return best, score
 
 
