@@ -62,7 +62,7 @@ def held(key: tuple, make: Callable):
     return _HELD[key]
 
 
-def small_batches(df: DataFrame, rows: int = 2000, most: int = 8 << 20) -> DataFrame:
+def small_batches(df: DataFrame, rows: int = 2000, most: int = 4 << 20) -> DataFrame:
     """df; its session sends batches of at most so many rows and about so many bytes to Python, or of what was set if that is less."""
     conf = df.sparkSession.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, rows + 1):
@@ -85,7 +85,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """Two independent 64-bit hashes of each word; words are numbered as they come and forgotten between calls once there are more than `most`."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 150_000):
         self.most = most
         self.table = np.zeros((2, 1 << 16), dtype=np.uint64)
 

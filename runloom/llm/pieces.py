@@ -29,14 +29,17 @@ _NO_PIECE = ({}, None, None)
 
 
 class _Units(dict):
-    """The ids of each unit, kept up to a bound."""
+    """The ids of each unit, kept up to a bound. The half before stays until the next half is full, so that units that come often are never made again."""
 
     def __init__(self, codec: Codec, most: int):
-        self.codec, self.most = codec, most
+        self.codec, self.half, self.before = codec, max(1, most // 2), {}
 
     def __missing__(self, u: str) -> bytes:
-        got = self.codec.ids_of(u)
-        if len(self) >= self.most:
+        got = self.before.get(u)
+        if got is None:
+            got = self.codec.ids_of(u)
+        if len(self) >= self.half:
+            self.before = dict(self)
             self.clear()
         if len(u) <= 64:
             self[u] = got
@@ -55,7 +58,7 @@ class Codec:
     unit whatever stands behind it.
     """
 
-    def __init__(self, vocabulary: Vocabulary, most: int = 400_000):
+    def __init__(self, vocabulary: Vocabulary, most: int = 240_000):
         self.memo = _Units(self, most)
         self.score = {}
         self.id = {}

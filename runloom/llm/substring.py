@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from runloom.llm.base import WordHashes, broadcast_if_small, held, mix, small_batches, table, text_runs, written
 
 WINDOW = 20
-#: Windows that a task gathers before it emits them.
+#: Windows that a task gathers before it emits them; bytes of text whose words it holds at a time.
 BLOCK = 2 << 20
+RUN = 1 << 19
 _BASE = np.uint64(0xA0761D6478BD642F | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _NULL_ID = np.iinfo(np.int64).min
@@ -81,28 +82,29 @@ def _sketch(width: int, slices: int, window: int):
     """Each task's counts of cells, the high `width` bits of a window's hash; 2 stands for more. A row for each slice of the cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, got, n = held(("words",), WordHashes), [], 0
+        words, block, n = held(("words",), WordHashes), np.empty(BLOCK, np.uint64), 0
 
-        def rows():
-            c = np.concatenate(got)
-            got.clear()
+        def twice(c: np.ndarray) -> np.ndarray:
+            return c if len(c) <= 2 else c[np.concatenate([[True, True], c[2:] != c[:-2]])]
+
+        def rows(c: np.ndarray):
             c.sort()
             c >>= np.uint64(64 - width)
-            if len(c) > 2:
-                c = c[np.concatenate([[True, True], c[2:] != c[:-2]])]
             cut = np.searchsorted(c, np.arange(slices + 1, dtype=np.uint64) << np.uint64(width - slices.bit_length() + 1))
             some = np.flatnonzero(np.diff(cut))
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([_pack(_steps(c[cut[i] : cut[i + 1]])) for i in some], pa.binary())], names=["slice", "cells"])
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([_pack(_steps(twice(c[cut[i] : cut[i + 1]]))) for i in some], pa.binary())], names=["slice", "cells"])
 
-        for _, texts in text_runs(batches, 0):
+        for _, texts in text_runs(batches, 0, RUN):
             x = window_hashes(words, texts, window)[0]
-            got.append(x)
-            n += len(x)
-            if n >= BLOCK:
-                yield from rows()
-                n = 0
+            while len(x):
+                part, x = x[: BLOCK - n], x[BLOCK - n :]
+                block[n : n + len(part)] = part
+                n += len(part)
+                if n == BLOCK:
+                    yield from rows(block)
+                    n = 0
         if n:
-            yield from rows()
+            yield from rows(block[:n])
 
     return run
 
@@ -146,11 +148,13 @@ def _suspects(parts, bits: int, groups: int, window: int):
 
         def rows():
             ids, marks = np.concatenate([x[4] for x in got]), np.concatenate([x[5] for x in got])
-            base = np.cumsum([0, *(len(x[4]) for x in got)])
+            base = np.cumsum([0, *(len(x[4]) for x in got)]).astype(np.uint32)
             a, b, s = (np.concatenate([x[i] for x in got]) for i in (0, 1, 3))
             d = np.concatenate([x[2] + o for x, o in zip(got, base, strict=False)])
+            got.clear()
             order = np.lexsort((s, ids[d], b, a))
             a, b, d, s = a[order], b[order], d[order], s[order]
+            del order
             new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
             lead = np.flatnonzero(new)[np.cumsum(new) - 1]
             first = new | ((ids[d] == ids[d[lead]]) & (s == s[lead]))  # a repeated row is as early as the other
@@ -159,17 +163,18 @@ def _suspects(parts, bits: int, groups: int, window: int):
                 late = ~first
                 yield from wire((mix(marks[d[late]].view(np.uint64)) % np.uint64(groups)).astype(np.int64), True, d[late], s[late], a, b, ids, marks)
 
-        for batch, texts in text_runs(batches, 2):
+        for batch, texts in text_runs(batches, 2, RUN):
             a, b, d, s = window_hashes(words, texts, window, True)
             at = (a >> np.uint64(64 - bits)).astype(np.int64)
             on = np.flatnonzero((flt[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1)
             if len(on):
-                ids = np.asarray(pa.compute.fill_null(batch.column(0), _NULL_ID))
-                got.append((a[on], b[on], d[on], s[on], ids, np.asarray(batch.column(1))))
+                # copies, as views of two columns would keep the texts of all batches until the block is full
+                ids, marks = np.array(pa.compute.fill_null(batch.column(0), _NULL_ID)), np.array(batch.column(1))
+                got.append((a[on], b[on], d[on].astype(np.uint32), s[on].astype(np.uint32), ids, marks))
                 n += len(on)
             if n >= BLOCK // 2:
                 yield from rows()
-                got, n = [], 0
+                n = 0
         if n:
             yield from rows()
 
@@ -222,7 +227,7 @@ def _cut(drop: int):
     """What stays of each text; of the columns runs, text and others, all from number `drop` on come along."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in text_runs(batches, 1):
+        for rows, texts in text_runs(batches, 1, RUN):
             n, gone, kept = [], [], []
             for text, runs in zip(texts, rows.column(0).to_pylist(), strict=True):
                 words = text.split()
