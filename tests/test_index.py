@@ -9,7 +9,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from runloom.operators import index
+from runloom.operators import index, retrieval
 
 
 def tokens(t):
@@ -134,3 +134,29 @@ def test_documents_that_hold_items(spark):
     d, i = spark.createDataFrame(docs, "id long, text string"), spark.createDataFrame(items, "item long, k string")
     got = sorted(tuple(r) for r in retrieval.holding(d, i, "id", "item").collect())
     assert got == sorted((n, m) for n, k in items for m, t in docs if k and t and k in t)
+
+
+def test_documents_are_read_once_for_scores(spark):
+    """Sizes are counted as the postings are made; a null text has size 0 and counts as a document."""
+    rows = [(1, "a b a c"), (2, "b c d"), (3, None), (4, ""), (5, "a a a e f g")]
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    docs = spark.createDataFrame(rows, "id int, text string").mapInArrow(counted, "id int, text string")
+    queries = spark.createDataFrame([("q", "a b")], "q string, text string")
+    got = retrieval.bm25(docs, queries, key="id", text="text", query="q", query_text="text").collect()
+    assert read.value == len(rows)
+    sizes = {i: len((x or "").split()) for i, x in rows}
+    avg = sum(sizes.values()) / len(rows)
+    want = {}
+    for term in "ab":
+        tf = {i: (x or "").split().count(term) for i, x in rows}
+        df = sum(n > 0 for n in tf.values())
+        for i, n in tf.items():
+            if n:
+                want[i] = want.get(i, 0) + math.log(1 + (len(rows) - df + 0.5) / (df + 0.5)) * n / (n + 0.9 * (0.6 + 0.4 * sizes[i] / avg))
+    assert {r["id"]: r["score"] for r in got} == {i: round(x, 9) for i, x in want.items()}
