@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from runloom.operators import runs as R
@@ -201,3 +202,80 @@ def test_few_runs_are_drawn_from_all_ordered_picks():
     for n in (5, 12, 32):
         m = stats._means(np.random.default_rng(1), np.arange(float(n)), np.ones(n, dtype=int), 20_000)
         assert abs(m.mean() - (n - 1) / 2) < 0.05 * n and abs(m.std() / np.sqrt((n * n - 1) / 12 / n) - 1) < 0.03
+
+
+def test_few_runs_of_two_values_are_all_ordered_picks():
+    from itertools import product
+
+    class All(stats._Picks):
+        def below(self, n):
+            assert n in seen
+            return np.arange(self.draws) // seen[n] % n
+
+    b, m = np.array([[1.0, 8.0], [2.0, 5.0]]), np.array([[3.0, 1.0], [4.0, 0.0], [9.0, 7.0]])
+    means = lambda x: np.array([np.mean(p, axis=0) for p in product(x, repeat=len(x))])
+    want = (means(m)[:, None] * 3 / (means(b)[None] * 2)).reshape(-1, 2)
+    seen = {108: 1}
+    assert np.allclose(sorted(stats._ratios(All(None, 108), b, m).tolist()), sorted(want.tolist()))
+    seen = {27: 4, 4: 1}
+    table, stats.TABLE = stats.TABLE, 32
+    try:
+        apart = stats._ratios(All(None, 108), b, m)
+    finally:
+        stats.TABLE = table
+    assert np.allclose(sorted(apart.tolist()), sorted(want.tolist()))
+    n = stats._Picks(np.random.default_rng(1), 200_000).below(5)
+    assert abs(np.bincount(n, minlength=5) / 40_000 - 1).max() < 0.03
+
+
+def test_relative_changes_of_values_together(spark):
+    rng = np.random.default_rng(4)
+    side = {(i, t): [(float(rng.integers(3, 12)), float(rng.uniform(1, 9)), bool(rng.integers(0, 2))) for _ in range(n)] for i, n in (("a", 3), ("b", 7), ("c", 40), ("d", 2)) for t in ("baseline", "mutant")}
+    side["e", "baseline"], side["e", "mutant"] = [(0.0, None, True), (2.0, 3.0, True)], [(1.0, 4.0, True)] * 2
+    side["f", "mutant"] = [(1.0, 1.0, True)]
+    df = spark.createDataFrame([(i, t, *x) for (i, t), xs in side.items() for x in xs], "instance_id string, run_type string, steps double, cost double, ok boolean")
+    got = stats.relative_changes(df, ["steps", "cost"], F.col("ok"), draws=5000).first()
+    for q, v in enumerate(("steps", "cost")):
+        for name, some in ((v, False), (f"{v}_some", True)):
+            sums, point, n = np.zeros(5000), 0.0, 0
+            k = np.zeros(5000)
+            for i in "abcde":
+                b, m = (np.array([x[q] for x in side[i, t] if x[q] is not None and (x[2] or not some)]) for t in ("baseline", "mutant"))
+                if not len(b) or not len(m) or not b.sum():
+                    continue
+                bm, mm = (x[rng.integers(0, len(x), (5000, len(x)))].mean(axis=1) for x in (b, m))
+                good = bm > 0
+                sums += np.where(good, (mm / np.where(good, bm, 1) - 1) * 100, 0)
+                k += good
+                point, n = point + (m.mean() / b.mean() - 1) * 100, n + 1
+            want = np.quantile(sums / k, [0.025, 0.975])
+            assert got[f"{name}_instances"] == n and abs(got[f"{name}_change"] - point / n) < 1e-9
+            assert np.allclose((got[f"{name}_lo"], got[f"{name}_hi"]), want, rtol=0.08, atol=4), (name, want)
+
+
+def test_equal_values_are_drawn_together(spark, monkeypatch):
+    v = spark.createDataFrame([(i, float(i % 7) - 2.9) for i in range(600)] + [(None, None)], "instance_id long, d double")
+    x = np.array([float(i % 7) - 2.9 for i in range(600)])
+    few, plain = stats.bootstrap_counted(v, "d").first(), stats.bootstrap_mean(v, "d").first()
+    assert np.allclose((few.lo, few.hi), (plain.lo, plain.hi), atol=0.01) and few.n == 600 and abs(few["mean"] - x.mean()) < 1e-12
+    assert stats.bootstrap_counted(v.repartition(5), "d").first() == few
+    monkeypatch.setattr(stats, "MOST_DIFFERENT", 3)
+    many = stats.bootstrap_counted(v, "d").first()
+    assert (many.lo, many.hi, many.n) == (plain.lo, plain.hi, 600)
+    assert stats.bootstrap_counted(v.limit(0), "d").first().n == 0
+    flip = stats.sign_flip_counted(v, "d").first()
+    assert flip.n == 600 and abs(flip.p - stats.sign_flip(x)) < 0.01
+    apart = v.withColumn("d", F.col("d") + F.col("instance_id") * 1e-4)  # each value once
+    assert abs(stats.sign_flip_counted(apart, "d").first().p - stats.sign_flip(x + np.arange(600) * 1e-4)) < 0.01
+    some = v.where("instance_id < 20")
+    assert stats.sign_flip_counted(some, "d").first().p == stats.sign_flip(np.sort(x[:20])) and stats.sign_flip_counted(v.limit(0), "d").count() == 0
+
+
+def test_the_report_makes_no_run_or_rate_twice(spark, monkeypatch):
+    from runloom.operators import report
+
+    r = _runs(spark, [(f"i{i}", t, "resolved" if (i * k) % 3 else "unresolved", {}) for i in range(40) for t in ("baseline", "mutant") for k in range(5)])
+    for name in ("bootstrap_mean", "sign_flip_test", "relative_change_bootstrap"):
+        monkeypatch.setattr(stats, name, lambda *a, **k: pytest.fail("a pass of its own for each value or instance"))
+    plan = report.statistics(r, draws=100)
+    assert plan.first().degradation_ci.n_instances == 40
