@@ -271,7 +271,7 @@ def test_equal_values_are_drawn_together(spark, monkeypatch):
     assert stats.sign_flip_counted(some, "d").first().p == stats.sign_flip(np.sort(x[:20])) and stats.sign_flip_counted(v.limit(0), "d").count() == 0
 
 
-def test_the_report_makes_no_run_or_rate_twice(spark, monkeypatch):
+def test_the_report_has_no_pass_for_each_value(spark, monkeypatch):
     from runloom.operators import report
 
     r = _runs(spark, [(f"i{i}", t, "resolved" if (i * k) % 3 else "unresolved", {}) for i in range(40) for t in ("baseline", "mutant") for k in range(5)])
